@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import fingerprints
+from pricewright.llm import chat, fingerprints, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_pareto_mix": mixing.op7_pareto_mix,
+        "op8_chat_format": chat.op8_chat_format,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_pareto_mix": mixing.OP7_SQL, "op8_chat_format": chat.OP8_SQL}
