@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, mixing
+from pricewright.llm import chat, fingerprints, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_simhash": simhash.op6_simhash,
         "op7_pareto_mix": mixing.op7_pareto_mix,
         "op8_chat_format": chat.op8_chat_format,
         "op10_fingerprints": fingerprints.op10_fingerprints,
