@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, mixing, quality, simhash
+from pricewright.llm import chat, fingerprints, mixing, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_pii": pii.op3_pii,
         "op5_compression_quality": quality.op5_compression_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_pareto_mix": mixing.op7_pareto_mix,
