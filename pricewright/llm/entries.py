@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, mixing, pii, quality, simhash
+from pricewright.llm import chat, fingerprints, katz, mixing, neighbours, pii, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,10 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_pii": pii.op3_pii,
+        "op4_katz": katz.op4_katz,
         "op5_compression_quality": quality.op5_compression_quality,
         "op6_simhash": simhash.op6_simhash,
         "op7_pareto_mix": mixing.op7_pareto_mix,
         "op8_chat_format": chat.op8_chat_format,
+        "op9_posting_lists": neighbours.op9_posting_lists,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 

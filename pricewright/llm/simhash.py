@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.components import components
 from pricewright.llm.scratch import written
-from pricewright.llm.words import WORD_RE, lower_ascii
 
 SHINGLE = 3
 SEED = 42
@@ -36,21 +35,19 @@ RADIUS = 3
 TREE = 4096
 
 
-def fingerprint_text(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a text: bit b is set if it is set in over half of the shingle hashes."""
-    found = WORD_RE.findall(lower_ascii(text or ""))
+def fingerprint_text(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a UTF-8 text: bit b is set if it is set in over half of the shingle hashes."""
+    # bytes.lower() changes A to Z alone, and bytes.split() cuts at the six characters of the word rule
+    found = text.lower().split()
     if not found:
         return 0
-    joined = " ".join(found).encode()
-    ends = np.cumsum(np.fromiter((len(w.encode()) for w in found), np.int64, len(found)) + 1)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
     last = ends[shingle - 1 :] - 1 if len(found) >= shingle else ends[-1:] - 1
-    first = starts[: len(last)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(joined[i:j], SEED) for i, j in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(last)
-    )
-    return majority(hashes)
+    spans = zip(starts.tolist(), last.tolist(), strict=False)
+    return majority(np.fromiter((digest(joined[i:j], SEED) for i, j in spans), np.uint64, len(last)))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -64,9 +61,8 @@ def majority(hashes: np.ndarray) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.fromiter(
-            (fingerprint_text(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows
-        ).view(np.int64)
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        values = np.fromiter((fingerprint_text(t or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
 
 
