@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, katz, mixing, neighbours, pii, quality, simhash
+from pricewright.llm import chat, fingerprints, katz, mixing, neighbours, pii, quality, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op3_pii": pii.op3_pii,
         "op4_katz": katz.op4_katz,
         "op5_compression_quality": quality.op5_compression_quality,
