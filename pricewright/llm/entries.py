@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, katz, mixing, neighbours, pii, quality, simhash, token_counts
+from pricewright.llm import chat, fingerprints, katz, mixing, neighbours, pii, quality, segmentations, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_gumbel_pieces": segmentations.op2_gumbel_pieces,
         "op3_pii": pii.op3_pii,
         "op4_katz": katz.op4_katz,
         "op5_compression_quality": quality.op5_compression_quality,
