@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     from importlib import import_module
 
-    for module in ():
+    for module in ("panels",):
         import_module(f"pricewright.plans.{module}")
 
 
