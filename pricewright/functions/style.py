@@ -46,6 +46,18 @@ def punctuation_entropy(text: Column) -> Column:
     return F.when(n > 0, -F.aggregate(each, F.lit(0.0), lambda a, p: a + p * F.log2(p))).otherwise(F.lit(0.0))
 
 
+def _singles(words: Column) -> Column:
+    """How many distinct words occur once, from one pass over the sorted words."""
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("once"))
+
+    def step(state: Column, word: Column) -> Column:
+        same = state["last"].eqNullSafe(word)
+        ended = (~same & (state["run"] == 1)).cast("int")
+        return F.struct(word.alias("last"), F.when(same, state["run"] + 1).otherwise(F.lit(1)).alias("run"), (state["once"] + ended).alias("once"))
+
+    return F.aggregate(F.sort_array(words), start, step, lambda s: s["once"] + (s["run"] == 1).cast("int"))
+
+
 def features(text: Column) -> dict[str, Column]:
     """Name and expression of each feature; blank texts have zeros throughout."""
     words, parts = tokens(text), sentences(text)
@@ -53,10 +65,10 @@ def features(text: Column) -> dict[str, Column]:
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
     lengths = F.transform(parts, lambda s: F.size(tokens(s)).cast("double"))
     mean = F.aggregate(lengths, F.lit(0.0), lambda a, v: a + v) / n_parts
-    spread = F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n_parts)
+    squares = F.aggregate(lengths, F.lit(0.0), lambda a, v: a + v * v) / n_parts
+    spread = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
     alpha = F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))
     letters = F.aggregate(F.transform(alpha, lambda w: F.length(w).cast("double")), F.lit(0.0), lambda a, v: a + v)
-    once = F.filter(F.array_distinct(words), lambda w: _count(words, lambda x: x == w) == 1)
     distinct = F.greatest(F.size(F.array_distinct(words)), F.lit(1))
     marks = F.regexp_count(text, F.lit(r"(?U)[^\w\s]")).cast("double")
     found = {
@@ -64,7 +76,7 @@ def features(text: Column) -> dict[str, Column]:
         "std_sentence_length": spread,
         "max_sentence_length": F.coalesce(F.array_max(lengths), F.lit(0.0)),
         "type_token_ratio": F.size(F.array_distinct(words)) / n,
-        "hapax_ratio": F.size(once) / distinct,
+        "hapax_ratio": _singles(words) / distinct,
         "stopword_ratio": _count(words, lambda w: F.lower(w).isin(*STOP_WORDS["en"])) / n,
         "avg_word_length": F.when(F.size(alpha) > 0, letters / F.size(alpha)).otherwise(F.lit(0.0)),
         "long_word_ratio": _count(alpha, lambda w: F.length(w) > 6) / n,
