@@ -146,9 +146,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """The rows of ``docs``, each as often as the mix takes it, with their own columns."""
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     planned = plan(sizes, weights, share, most)
-    rows = with_copies(docs, planned.select("*"))
-    rows = rows.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = with_copies(whole, planned).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricewright.llm.scratch import sliced
+
 PER_CLASS = 3000
 LONGEST = 100_000
 DICTIONARY = 65_536
@@ -125,14 +127,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` with score and predicted; the score reads the text alone."""
+    """All columns of ``docs`` with score and predicted, in place of any of that name; the score reads the text alone."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(t or "").encode("utf-8") for t in batch.column("text").to_pylist()]
             values = score(texts)
             columns = [*batch.columns, pa.array(values), pa.array((values >= threshold).astype(np.int32))]
@@ -141,6 +144,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier doesn't reject, with their own columns."""
+    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return scored(whole, model, threshold).where("predicted = 1").select("_row.*")
+
+
 def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

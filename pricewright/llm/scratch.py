@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark deletes a query's shuffle files at its end while this holds.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in local tests."""
@@ -23,21 +28,38 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
-    The lineage is cut: a lost executor costs a re-read, not a recomputation.
+    The lineage is cut: a lost executor costs a re-read, not a recomputation. The shuffle files of the write go with it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no DataFrame refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def lean() -> None:
+    """Have the C library give every freed block of a megabyte or more back to the system.
+
+    Its own threshold grows with use, after which a worker that has once held large arrays keeps their memory.
+    """
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into short ones, which bounds what a Python worker holds as objects at once."""
+    lean()
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

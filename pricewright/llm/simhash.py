@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.llm.components import components
-from pricewright.llm.scratch import written
+from pricewright.llm.scratch import sliced, written
 
 SHINGLE = 3
 SEED = 42
@@ -60,7 +60,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         values = np.fromiter((fingerprint_text(t or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])

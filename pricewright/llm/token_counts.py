@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pricewright.llm.pieces import DEFAULT_MODEL, Pieces, pre_tokens
+from pricewright.llm.scratch import sliced
 
 #: Pre-tokens whose counts a task holds at once.
 STORE = 400_000
@@ -58,9 +59,8 @@ def token_counts(docs: DataFrame, model: str = DEFAULT_MODEL, store: int = STORE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
+        for batch in sliced(batches):
+            if batch.num_rows:
                 split = [pre_tokens(t or "") for t in batch.column(1).to_pylist()]
                 fresh = {t for tokens in split for t in tokens if t not in known}
                 if len(known) + len(fresh) > store:
