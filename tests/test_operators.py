@@ -203,3 +203,48 @@ def test_json_and_lookup(spark, tmp_path):
     assert tables.find_dataset(spark, str(tmp_path), "zzz") is None
     with pytest.raises(ValueError, match="not one of"):
         tables.matching(spark.range(1), "id; drop", "x")
+
+
+def test_headers_group_and_merge(spark):
+    from pricewright.operators import catalogue
+
+    groups = catalogue.header_clusters(["ttf_Color", "btf_Color", "ttf_Couleur", "ttf_Item Weight", "btf_Battery life"])
+    assert [g.names for g in groups] == [["ttf_Color", "btf_Color", "ttf_Couleur"], ["ttf_Item Weight"], ["btf_Battery life"]]
+    long = spark.createDataFrame([(1, "clean", "btf_Color", "red"), (1, "clean", "ttf_Color", None), (2, "clean", "ttf_Couleur", "blue")], "row_id long, section string, feature string, value string")
+    got = sorted((r.row_id, r.feature, r.value) for r in catalogue.merged_headers(long, groups).collect())
+    assert got == [(1, "ttf_Color", "red"), (2, "ttf_Color", "blue")]
+
+
+def test_items_keep_their_places(spark):
+    from pricewright.operators import catalogue
+
+    rows = spark.createDataFrame([(1, '[{"about_item":"a"},{"other":1},"plain",{"about_item":"c"}]'), (2, "[]"), (3, "x")], "id long, data string")
+    got = [(r.row_id, r.section, r.value) for r in catalogue.about_items(rows, "id", "data").orderBy("section").collect()]
+    assert got == [(1, "paragraph_1", "a"), (1, "paragraph_2", None), (1, "paragraph_3", "c")]
+
+
+def test_failures_of_one_term_stop_no_other(spark):
+    from pricewright.operators import catalogue
+
+    frame = spark.createDataFrame([(i, "clean", "w", f"{i} kg") for i in range(5)], "row_id long, section string, feature string, value string")
+
+    def load(term):
+        if term == "bad":
+            raise ValueError("no such term")
+        return frame
+
+    done, failed = catalogue.build_all(["good", "bad"], load)
+    assert set(done) == {"good"} and failed == {"bad": "no such term"}
+    assert done["good"].table.where("scaled is not null").count() == 5
+
+
+def test_sample_sizes_and_imputation(spark):
+    from pricewright.operators import backtest, factors
+
+    rows = spark.createDataFrame([(0.5,), (1 / 3,), (0.5,), (None,)], "s double")
+    assert {round(r.s, 3): (r.n, r.denominator) for r in backtest.inferred_sizes(rows, "s").collect()} == {0.5: (2, 2), 0.333: (1, 3)}
+    x = np.outer(np.linspace(0.1, 0.9, 12), np.linspace(0.2, 1, 6))
+    y = x.copy()
+    y[3, 2] = np.nan
+    assert abs(factors.imputed(y, 1, 30)[3, 2] - x[3, 2]) < 0.02
+    assert factors.linked_features(np.array([[1, 0.95, 0], [0.95, 1, 0], [0, 0, 1]])) == [0, 0, 1]
