@@ -26,10 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.scratch import written
+from pricewright.llm.scratch import sliced, written
 
 SAMPLE = 20_000
 LISTS = 2048
@@ -37,6 +37,10 @@ LISTS = 2048
 LIST_ROWS = 256
 #: Rows of a list searched in one task.
 SLICE = 4096
+#: Rows of lists, on average, that one task holds.
+SHARD = 16_384
+#: Above the slices of any list.
+PARTS = 1 << 32
 #: A vector is copied to lists at most this much farther than its nearest, and to this many in all.
 COPY_RATIO, COPIES = 1.02, 3
 #: A copy needs a centroid that is this share of its distance away from those of the lists it is in.
@@ -226,57 +230,132 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def _dealt(rows: DataFrame, index: Index, reading: bool) -> DataFrame:
-    """(list, vec_id, embedding): each vector in its lists, or each query for the lists it reads."""
+def _held(rows: DataFrame, index: Index) -> DataFrame:
+    """(list, vec_id, embedding): each vector in its lists."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                x = _matrix(batch.column(1))
-                lists = shared.value.lists_for(x) if reading else shared.value.lists_of(x)
-                take = pa.array(np.repeat(np.arange(len(x)), [len(c) for c in lists]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(take) for c in batch.columns]],
-                    ["list", "vec_id", "embedding"],
-                )
+        for batch in sliced(batches):
+            lists = shared.value.lists_of(_matrix(batch.column(1)))
+            take = pa.array(np.repeat(np.arange(len(lists)), [len(c) for c in lists]))
+            homes = pa.array(np.concatenate(lists).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [homes, *[c.take(take) for c in batch.columns]], ["list", "vec_id", "embedding"]
+            )
 
     return rows.mapInArrow(run, f"list int, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}")
 
 
-def nearest_in(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple]:
-    """For each query the (index, ids, scores) of its best ``k`` rows, ties to smaller ids, its own id left out.
+def shard_of(lists: np.ndarray, slices: np.ndarray, shards: int) -> np.ndarray:
+    """The task that searches a slice of a list."""
+    return (lists * 7919 + slices * 104729) % shards
+
+
+def _asked(rows: DataFrame, index: Index, slices: dict[int, int], shards: int) -> DataFrame:
+    """(shard, vec_id, embedding, parts): each query once for each task that has parts of its lists."""
+    shared = rows.sparkSession.sparkContext.broadcast((index, slices))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, slices = shared.value
+        for batch in sliced(batches):
+            place, shard, parts = [], [], []
+            for i, lists in enumerate(index.lists_for(_matrix(batch.column(1)))):
+                counts = np.array([slices.get(int(c), 0) for c in lists])
+                whole = np.repeat(lists, counts)
+                part = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                task, code = shard_of(whole, part, shards), whole * PARTS + part
+                for t in np.unique(task).tolist():
+                    place.append(i)
+                    shard.append(t)
+                    parts.append(code[task == t])
+            take = pa.array(place, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard, pa.int32()), *[c.take(take) for c in batch.columns], pa.array(parts, pa.list_(pa.int64()))],
+                ["shard", "vec_id", "embedding", "parts"],
+            )
+
+    vector = rows.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(run, f"shard int, vec_id long, embedding {vector}, parts array<long>")
+
+
+def nearest_in(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(index of query, id, score) of the best ``k`` rows of each query and all that tie with them, its own id left out.
 
     A product of matrices picks the rows that can be among the best; their scores are then summed in one fixed order, so
     that equal vectors get equal scores.
     """
+    found: list[tuple[np.ndarray, ...]] = []
+    width = min(k + 12, len(x))
     for i in range(0, len(q), 128):
-        rough = q[i : i + 128] @ x.T
-        rough[own[i : i + 128, None] == ids[None, :]] = -np.inf
-        for j, row in enumerate(rough):
-            if len(row) > k:
-                least = np.partition(row, len(row) - k)[len(row) - k]
-                near = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least))) & np.isfinite(row))
-            else:
-                near = np.flatnonzero(np.isfinite(row))
-            exact = (x[near] * q[i + j]).sum(axis=1)
-            best = np.lexsort((ids[near], -exact))[:k]
-            yield i + j, ids[near][best], exact[best]
+        part, mine = q[i : i + 128], own[i : i + 128]
+        rough = part @ x.T
+        rough[mine[:, None] == ids[None, :]] = -np.inf
+        near = np.argpartition(rough, len(x) - width, axis=1)[:, len(x) - width :] if width < len(x) else np.tile(np.arange(width), (len(part), 1))
+        values = np.take_along_axis(rough, near, 1)
+        if width < len(x):
+            ordered = np.sort(values, axis=1)
+            tied = ordered[:, 0] >= ordered[:, width - k] - 1e-9 * np.maximum(1.0, np.abs(ordered[:, width - k]))
+        else:
+            tied = np.zeros(len(part), bool)
+        row = np.repeat(np.flatnonzero(~tied), width)
+        column = near[~tied].reshape(-1)
+        for j in np.flatnonzero(tied).tolist():
+            least = np.partition(rough[j], len(x) - k)[len(x) - k]
+            more = np.flatnonzero(rough[j] >= least - 1e-9 * max(1.0, abs(least)))
+            row, column = np.r_[row, np.full(len(more), j)], np.r_[column, more]
+        real = np.isfinite(rough[row, column])
+        row, column = row[real], column[real]
+        found.append((row + i, ids[column], (x[column] * part[row]).sum(axis=1)))
+    return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The best ``k`` of each query, each id once with its best score, ties to smaller ids."""
+    order = np.lexsort((-scores, ids, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.concatenate([[True], (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])]) if len(query) else np.zeros(0, bool)
+    query, ids, scores = query[first], ids[first], scores[first]
+    order = np.lexsort((ids, -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], ids[place < k], scores[place < k]
+
+
+FOUND = "query_id long, near array<struct<away:double,vec_id:long>>"
 
 
 def _search(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if rows.num_rows and queries.num_rows:
-            ids, own = rows["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-            for j, near, scores in nearest_in(_matrix(rows["embedding"]), ids, _matrix(queries["embedding"]), own, k):
-                out[0].append(np.full(len(near), own[j]))
-                out[1].append(near)
-                out[2].append(scores)
-        flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        types = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), flat, types, strict=True)})
+        kind = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
+        if not rows.num_rows or not queries.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "near": pa.array([], kind)})
+        code, ids, x = rows["code"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"])
+        order = np.argsort(code, kind="stable")
+        code, ids, x = code[order], ids[order], x[order]
+        own, q, parts = queries["vec_id"].to_numpy(), _matrix(queries["embedding"]), queries["parts"].combine_chunks()
+        sizes = parts.value_lengths().to_numpy(zero_copy_only=False)
+        wanted, reader = parts.flatten().to_numpy(), np.repeat(np.arange(len(own)), sizes)
+        by_code = np.argsort(wanted, kind="stable")
+        wanted, reader = wanted[by_code], reader[by_code]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        fresh: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+        for c in np.unique(code):
+            a, b = np.searchsorted(code, [c, c + 1])
+            r = reader[slice(*np.searchsorted(wanted, [c, c + 1]))]
+            if len(r):
+                at, near, scores = nearest_in(x[a:b], ids[a:b], q[r], own[r], k)
+                for column, values in zip(fresh, (r[at], near, scores), strict=True):
+                    column.append(values)
+                size += len(at)
+            if size > 1_000_000:
+                held = list(best_of(*[np.concatenate([h, *f]) for h, f in zip(held, fresh, strict=True)], k))
+                fresh, size = [[], [], []], 0
+        query, near, scores = best_of(*[np.concatenate([h, *f]) for h, f in zip(held, fresh, strict=True)], k)
+        edges = np.searchsorted(query, np.arange(len(own) + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(-scores), pa.array(near)], names=["away", "vec_id"])
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs)
+        return pa.table({"query_id": pa.array(own), "near": lists.cast(kind)})
 
     return run
 
@@ -285,23 +364,33 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row that ``queries`` holds for."""
     rows = usable(vectors)
     index = fit(rows, k)
-    schema = "query_id long, vec_id long, score double"
     if index is None:
-        found = rows.sparkSession.createDataFrame([], schema)
-    else:
-        lists = written(_dealt(rows, index, reading=False), "posting-lists")
-        sizes = lists.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-        slice_of = F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice")
-        held = lists.join(sizes, "list").select("list", slice_of, "vec_id", "embedding")
-        reads = _dealt(rows.where(queries), index, reading=True).join(sizes, "list")
-        reads = reads.select(
-            "list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "vec_id", "embedding"
-        )
-        found = held.groupBy("list", "slice").cogroup(reads.groupBy("list", "slice")).applyInArrow(_search(k), schema)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lists = written(_held(rows, index), "posting-lists")
+    sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    counted = sizes.collect()  # at most LISTS rows
+    slices = {r["list"]: r["slices"] for r in counted}
+    shards = max(1, -(-sum(r["n"] for r in counted) // SHARD))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("slices"))
+    whole = F.col("list").cast("long")
+    shard = ((whole * 7919 + part * 104729) % shards).cast("int").alias("shard")
+    held = lists.join(F.broadcast(sizes.select("list", "slices")), "list")
+    held = held.select(shard, (whole * PARTS + part).alias("code"), "vec_id", "embedding")
+    asked = _asked(rows.where(queries), index, slices, shards)
+    found = held.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_search(k), FOUND)
+    near = F.flatten(F.collect_list("near"))
+    # a vec_id may come from several tasks: its best score is its first place in the order
+    merged = found.groupBy("query_id").agg(F.sort_array(F.array_distinct(near)).alias("near"))
+    ranked = merged.select("query_id", F.posexplode(F.slice(_first_of_each(F.col("near")), 1, k)).alias("place", "x"))
+    return ranked.select(
+        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.away")).alias("score")
+    )
+
+
+def _first_of_each(near: Column) -> Column:
+    """Entries whose vec_id has not come before."""
+    ids = F.transform(near, lambda x: x["vec_id"])
+    return F.filter(near, lambda x, i: F.array_position(ids, x["vec_id"]) == i + 1)
 
 
 def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
