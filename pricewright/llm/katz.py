@@ -34,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.scratch import release, written
+from pricewright.llm.scratch import lean, sliced, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Counts above this are not discounted.
 CUTOFF = 5
 #: Tokens in a chunk, but for the last document's; a task holds a few arrays of this length.
-CHUNK_TOKENS = 5_000_000
+CHUNK_TOKENS = 1_250_000
 #: Tokens of the corpus for each bucket of keys.
 BUCKET_TOKENS = 2_500_000
 #: Hashes of two marks that no word equals, since they hold a space.
@@ -74,7 +74,7 @@ def _tokenised(chunk_tokens: int):
         context = TaskContext.get()
         base, number = (context.partitionId() if context else 0) << 24, 0
         state = _Builder()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).cast(pa.binary())
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                 state.add(doc_id, text.as_py() or b"")
@@ -187,8 +187,10 @@ ANSWER = "chunk long, bucket int, words binary, pairs binary, owned binary, stat
 
 def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 chunk = Chunk.of(row)
                 words, word_counts = chunk.words[chunk.word_order], chunk.word_counts[chunk.word_order]
                 pairs, pair_counts = chunk.pair_keys[chunk.pair_order], chunk.pair_counts[chunk.pair_order]
@@ -227,6 +229,7 @@ def _counts_of_counts(sums: np.ndarray) -> list[int]:
 
 
 def _answer(table: pa.Table) -> pa.Table:
+    lean()
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     words = [unpack(r["words"], np.uint64) for r in rows]
     word_counts = [unpack(r["word_counts"], np.uint32).astype(np.int64) for r in rows]
@@ -327,6 +330,7 @@ def _counts_in(chunk: Chunk, answers: list[dict]) -> tuple[np.ndarray, np.ndarra
 
 def _context_sums(model: Model, buckets: int):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        lean()
         out = []
         for row in chunks.to_pylist():
             chunk = Chunk.of(row)
@@ -346,6 +350,7 @@ def _context_sums(model: Model, buckets: int):
 
 
 def _weights(table: pa.Table) -> pa.Table:
+    lean()
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     keys = [unpack(r["words"], np.uint64) for r in rows]
     _, _, taken, _ = _totals(keys, [unpack(r["taken"], np.float64) for r in rows])
@@ -367,6 +372,7 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _scores(model: Model):
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        lean()
         out = []
         for row in chunks.to_pylist():
             chunk = Chunk.of(row)
@@ -405,7 +411,6 @@ def _scores(model: Model):
 
 def scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_seen_pairs for each row."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     chunks = written(docs.select("doc_id", text).mapInArrow(_tokenised(chunk_tokens), CHUNK), "lm-chunks")
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
@@ -416,11 +421,9 @@ def scores(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int
     sums = answers.where("chunk = -1").agg(*[F.sum(F.get("stats", F.lit(i))) for i in range(width)]).first()
     model = Model.of([int(x or 0) for x in sums])
     answers = answers.where("chunk >= 0")
-    release(spark)
     by_chunk = chunks.groupBy("chunk")
     partial = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(_context_sums(model, buckets), SUMS_ASK)
     weights = written(partial.groupBy("bucket").applyInArrow(_weights, SUMS_ANSWER), "lm-weights")
-    release(spark)
     every = answers.unionByName(weights)
     return by_chunk.cogroup(every.groupBy("chunk")).applyInArrow(_scores(model), SCORES)
 
