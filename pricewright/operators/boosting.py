@@ -67,8 +67,15 @@ class Trees:
         out[:, -1] = self.base
         for tree in self.trees:
             out[:, -1] += self.rate * _expected(tree)
-            for row in range(len(b)):
-                out[row, :-1] += self.rate * _shapley(tree, b[row], len(self.features))
+            # a tree tells rows apart by the features it splits on, so equal ones are worked out once
+            used = sorted(_used(tree))
+            kinds, place = np.unique(b[:, used], axis=0, return_inverse=True)
+            row = np.zeros(b.shape[1], np.int64)
+            shares = np.zeros((len(kinds), len(self.features)))
+            for k, kind in enumerate(kinds):
+                row[used] = kind
+                shares[k] = _shapley(tree, row, len(self.features))
+            out[:, :-1] += self.rate * shares[place.reshape(-1)]
         return out
 
     def to_json(self) -> str:
@@ -99,6 +106,11 @@ def _walk(node: Node, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _used(node: Node) -> set[int]:
+    """The features a tree splits on."""
+    return set() if node.left is None else {node.feature} | _used(node.left) | _used(node.right)
+
+
 def _expected(node: Node) -> float:
     if node.left is None:
         return node.value
@@ -141,12 +153,20 @@ def _choose_weight(m: int, s: int) -> float:
     return factorial(s) * factorial(m - s - 1) / factorial(m)
 
 
-def quantile_edges(x: np.ndarray, bins: int = BINS) -> list[list[float]]:
+def quantile_edges(x: np.ndarray, bins: int = BINS, count: np.ndarray | None = None) -> list[list[float]]:
+    """Quantiles of each column; with counts, those of the rows each repeated so many times."""
     out = []
+    count = np.ones(len(x), np.int64) if count is None else count
     for j in range(x.shape[1]):
-        known = x[~np.isnan(x[:, j]), j]
-        points = np.unique(np.quantile(known, np.linspace(0, 1, bins)[1:-1])) if len(known) else np.zeros(0)
-        out.append(points.tolist())
+        there = ~np.isnan(x[:, j])
+        order = np.argsort(x[there, j], kind="stable")
+        known, upto = x[there, j][order], np.cumsum(count[there][order])
+        if not len(known):
+            out.append([])
+            continue
+        at = np.linspace(0, 1, bins)[1:-1] * (upto[-1] - 1)
+        low, high = (known[np.searchsorted(upto, k, "right")] for k in (np.floor(at), np.ceil(at)))
+        out.append(np.unique(low + (high - low) * (at - np.floor(at))).tolist())
     return out
 
 
@@ -161,15 +181,20 @@ def grow(
     ridge: float = 1.0,
     logistic: bool = False,
     monotone: dict[str, int] | None = None,
+    count: np.ndarray | None = None,
 ) -> Trees:
     """Boost trees on squared or logistic loss.
 
+    With ``count``, a row stands for so many rows of equal features and ``y`` is the mean of theirs; both losses depend on
+    no more than that, so the model is the one of all those rows.
+
     A feature with sign -1 never raises the prediction and one with +1 never lowers it: a split on it must order its
     leaves that way, and each side stays beyond the middle of the two for all splits below.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
-    edges = quantile_edges(x)
-    mean = float(y.mean()) if len(y) else 0.0
+    count = np.ones(len(y)) if count is None else np.asarray(count)
+    edges = quantile_edges(x, count=count)
+    mean = float(np.average(y, weights=count)) if len(y) else 0.0
     held = min(max(mean, 1e-6), 1 - 1e-6)
     model = Trees(list(features), edges, float(np.log(held / (1 - held))) if logistic else mean, rate, logistic)
     b = model.binned(x)
@@ -177,8 +202,8 @@ def grow(
     raw = np.full(len(y), model.base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) if logistic else raw
-        gradient, curve = y - p, (np.maximum(p * (1 - p), 1e-6) if logistic else np.ones(len(y)))
-        tree = _grow_node(b, gradient, curve, np.arange(len(y)), depth, min_leaf, ridge, signs, -np.inf, np.inf)
+        gradient, curve = (y - p) * count, (np.maximum(p * (1 - p), 1e-6) if logistic else np.ones(len(y))) * count
+        tree = _grow_node(b, gradient, curve, count, np.arange(len(y)), depth, min_leaf, ridge, signs, -np.inf, np.inf)
         if tree.left is None:
             break
         model.trees.append(tree)
@@ -190,19 +215,19 @@ def _leaf_value(g: float, h: float, ridge: float, low: float, high: float) -> fl
     return float(min(max(g / (h + ridge), low), high))
 
 
-def _grow_node(b, g, h, rows, depth, min_leaf, ridge, signs, low, high) -> Node:
-    total_g, total_h = g[rows].sum(), h[rows].sum()
-    node = Node(_leaf_value(total_g, total_h, ridge, low, high), float(len(rows)))
-    if depth == 0 or len(rows) < 2 * min_leaf:
+def _grow_node(b, g, h, count, rows, depth, min_leaf, ridge, signs, low, high) -> Node:
+    total_g, total_h, total_n = g[rows].sum(), h[rows].sum(), count[rows].sum()
+    node = Node(_leaf_value(total_g, total_h, ridge, low, high), float(total_n))
+    if depth == 0 or total_n < 2 * min_leaf:
         return node
     best = (1e-9, None)
     for j in range(b.shape[1]):
         column = b[rows, j]
         width = int(column.max()) + 1
-        sums = [np.bincount(column, weights=w, minlength=width) for w in (g[rows], h[rows], np.ones(len(rows)))]
+        sums = [np.bincount(column, weights=w, minlength=width) for w in (g[rows], h[rows], count[rows])]
         for missing_left in (True, False) if sums[2][0] else (True,):
             gl, hl, nl = (np.cumsum(s[1:]) + (s[0] if missing_left else 0.0) for s in sums)
-            gr, hr, nr = total_g - gl, total_h - hl, len(rows) - nl
+            gr, hr, nr = total_g - gl, total_h - hl, total_n - nl
             with np.errstate(divide="ignore", invalid="ignore"):
                 vl, vr = np.clip(gl / (hl + ridge), low, high), np.clip(gr / (hr + ridge), low, high)
                 gain = (gl * vl - 0.5 * (hl + ridge) * vl**2) + (gr * vr - 0.5 * (hr + ridge) * vr**2)
@@ -224,8 +249,8 @@ def _grow_node(b, g, h, rows, depth, min_leaf, ridge, signs, low, high) -> Node:
     if signs[j]:
         middle = (vl + vr) / 2
         bounds = [(low, middle), (middle, high)] if signs[j] > 0 else [(middle, high), (low, middle)]
-    node.left = _grow_node(b, g, h, rows[left], depth - 1, min_leaf, ridge, signs, *bounds[0])
-    node.right = _grow_node(b, g, h, rows[~left], depth - 1, min_leaf, ridge, signs, *bounds[1])
+    node.left = _grow_node(b, g, h, count, rows[left], depth - 1, min_leaf, ridge, signs, *bounds[0])
+    node.right = _grow_node(b, g, h, count, rows[~left], depth - 1, min_leaf, ridge, signs, *bounds[1])
     return node
 
 

@@ -294,22 +294,29 @@ def hurdle_cvr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("price_attribution")
 def price_attribution(spark: SparkSession, d: str) -> DataFrame:
-    """A boosted price model and the mean absolute share of each feature in its predictions."""
-    part = table(spark, d, "part").select("p_partkey", "p_size", "p_type", "p_retailprice")
-    types = sorted(r[0] for r in part.select("p_type").distinct().collect())
+    """A boosted price model of all parts and the mean absolute share of each feature in its predictions for all of them.
+
+    Parts of equal features are summed before the fit, which loses nothing: there are at most sizes times types of them.
+    """
+    part = table(spark, d, "part").groupBy("p_size", "p_type")
+    exact = F.sum(F.col("p_retailprice").cast("decimal(28,6)")).cast("double")  # the same however rows are dealt out
+    part = part.agg(F.count("*").alias("n"), F.count("p_retailprice").alias("known"), exact.alias("price"))
+    types = sorted(r[0] for r in part.select("p_type").where("p_type is not null").distinct().collect())
     rows = ty.one_hot(part, "p_type", types)
     names = ["p_size", *[f"p_type_{t}" for t in types[1:]]]
-    train = rows.orderBy(F.xxhash64("p_partkey")).limit(5000).toPandas()  # the fit is one task's work
-    model = boosting.grow(train[names].to_numpy(float), train["p_retailprice"].to_numpy(float), names, 20, depth=3)
+    train = rows.where("known > 0").orderBy("p_size", "p_type").toPandas()  # the fit is one task's work
+    count = train["known"].to_numpy(float)
+    model = boosting.grow(train[names].to_numpy(float), train["price"].to_numpy(float) / count, names, 20, depth=3, count=count)
     text = model.to_json()
 
     def explain(batches):
         trees = boosting.Trees.from_json(text)
         for batch in batches:
-            shares = trees.attributions(batch[names].to_numpy(float))
-            yield pd.DataFrame({"feature": names, "total": np.abs(shares[:, :-1]).sum(0), "n": len(batch)})
+            n = batch["n"].to_numpy(float)
+            shares = np.abs(trees.attributions(batch[names].to_numpy(float))[:, :-1])
+            yield pd.DataFrame({"feature": names, "total": n @ shares, "n": int(n.sum())})
 
-    parts = rows.select(*names).where(F.col("p_size") % 5 == 0).mapInPandas(explain, "feature string, total double, n long")
+    parts = rows.select(*names, "n").mapInPandas(explain, "feature string, total double, n long")
     return parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("importance"))
 
 

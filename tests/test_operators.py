@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright.operators import agents, asof, boosting, graphs, market, metrics, panel, similarity, typing
+from pricewright.plans import registry
 from pricewright.sources import sinks, tables
 
 
@@ -105,6 +106,32 @@ def test_attributions_are_shapley_values():
         assert np.allclose(boosting._shapley(tree, row, 3), expected)
 
 
+def test_counted_rows_grow_the_model_of_all_rows():
+    rng = np.random.default_rng(6)
+    x = np.c_[rng.integers(0, 90, 3000), rng.integers(0, 2, 3000)].astype(float)
+    x[::50, 0] = np.nan
+    y = np.nan_to_num(x[:, 0]) % 7 + x[:, 1] + rng.random(3000)
+    groups = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": y}).groupby(["a", "b"], dropna=False).y.agg(["mean", "size"]).reset_index()
+    whole = boosting.grow(x, y, ["a", "b"], 10)
+    counted = boosting.grow(groups[["a", "b"]].to_numpy(), groups["mean"].to_numpy(), ["a", "b"], 10, count=groups["size"].to_numpy())
+    assert whole.edges[0] == np.unique(np.quantile(x[~np.isnan(x[:, 0]), 0], np.linspace(0, 1, boosting.BINS)[1:-1])).tolist()
+    assert np.allclose(counted.predict(x), whole.predict(x))
+
+
+def test_price_attribution_covers_all_parts(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    n = 7000
+    part = pd.DataFrame({"p_partkey": range(n), "p_size": rng.integers(1, 51, n).astype("int32"), "p_type": rng.choice(["X", "Y", "Z"], n)})
+    part["p_retailprice"] = np.round(np.where(part.p_size % 5 == 0, 100.0, 5.0 * part.p_size) + 40.0 * (part.p_type == "Z") + rng.random(n), 2)
+    spark.createDataFrame(part).write.parquet(f"{tmp_path}/part.parquet")
+    names = ["p_size", "p_type_Y", "p_type_Z"]
+    x = np.c_[part.p_size, part.p_type == "Y", part.p_type == "Z"].astype(float)
+    model = boosting.grow(x, part.p_retailprice, names, 20, depth=3)
+    expected = dict(zip(names, np.abs(model.attributions(x)[:, :-1]).mean(0), strict=True))
+    got = {r.feature: r.importance for r in registry.queries()["price_attribution"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(expected)
+
+
 def test_rule_gives_parity_and_falls_with_price(spark):
     m = market.Market(100.0, (100.0,))
     assert m.share(100.0, 100.0) == pytest.approx(0.5)
