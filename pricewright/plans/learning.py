@@ -69,7 +69,7 @@ def otsu_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("kept_votes")
 def kept_votes(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.kept_votes(similarity.cosine_votes(codes(spark, d)), 500)
+    return similarity.kept_votes(similarity.cosine_votes(codes(spark, d)))
 
 
 @query("k_modes")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pricewright.operators import agents, asof, boosting, graphs, market, metrics, panel, similarity, typing
 from pricewright.plans import registry
+from pricewright.plans.learning import codes
 from pricewright.sources import sinks, tables
 
 
@@ -186,6 +187,23 @@ def test_k_modes_and_votes(spark):
     assert placed.agg(F.sum("cost")).first()[0] == 0
 
 
+def test_kept_votes_are_all_pairs_over_the_threshold(spark, tmp_path):
+    # 40 parts of each of two types: 2 * 780 equal pairs in one brand
+    part = [(i, "B", f"T{i % 2}", i % 2 + 1, 100.0 + 900 * (i % 2)) for i in range(80)]
+    spark.createDataFrame(part, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    votes = similarity.cosine_votes(codes(spark, str(tmp_path))).toPandas()
+    cut = similarity.otsu(spark.createDataFrame(votes), "score", ["cluster"]).first().threshold
+    got = registry.queries()["kept_votes"](spark, str(tmp_path)).toPandas()
+    assert set(zip(got.i, got.j)) == set(zip(*votes[votes.score >= cut][["i", "j"]].to_numpy().T)) and len(got) > 500
+
+
+def test_a_budget_keeps_the_best_pairs_and_ties(spark):
+    scores = [0.1] * 5 + [0.8, 0.8, 0.9, 1.0]
+    votes = spark.createDataFrame([("c", 0, i, s) for i, s in enumerate(scores)], "cluster string, i long, j long, score double")
+    kept = lambda *budget: sorted(r.j for r in similarity.kept_votes(votes, *budget).collect())
+    assert kept() == [5, 6, 7, 8] and kept(1) == [8] and kept(2) == [7, 8] and kept(3) == [5, 6, 7, 8]
+
+
 def test_metrics_against_numpy(spark):
     rng = np.random.default_rng(5)
     y, s = rng.integers(0, 2, 200), np.round(rng.random(200), 1)
