@@ -180,6 +180,26 @@ def test_louvain_finds_two_cliques(spark):
     assert graphs.largest_share(rows).first()[0] == 0.5
 
 
+def test_whole_components_match_union_find(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    lines = [(int(s), int(s // 5 * 10 + rng.integers(0, 8)), float(q)) for s, q in zip(rng.integers(0, 40, 120), rng.integers(1, 51, 120), strict=True)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s, s % 3) for s in range(40)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(n, n) for n in range(3)], "n_nationkey long, n_regionkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    over: dict[int, int] = {}
+
+    def top(n):
+        while over.setdefault(n, n) != n:
+            n = over[n]
+        return n
+
+    for s, p, _ in lines:
+        low, high = sorted((top(s), top(p + 1_000_000)))
+        over[high] = low
+    got = {r.node: r.component for r in registry.queries()["whole_components"](spark, str(tmp_path)).collect()}
+    assert got == {n: top(n) for n in over} and len(set(got.values())) > 3
+
+
 def test_k_modes_and_votes(spark):
     rows = spark.createDataFrame([(i, "a" if i < 6 else "b", "x" if i < 6 else "y") for i in range(12)], "id long, f string, g string")
     placed, modes = similarity.k_modes(rows, "id", ["f", "g"], 2)
