@@ -31,8 +31,8 @@ CONFIDENT = 0.9
 SUPPORT = 5
 #: A pattern's occurrences in the whole corpus must announce a seed in at least this share.
 SPECIFIC = 0.3
-#: The model holds at most so many patterns: those with the most support.
-PATTERNS = 50_000
+#: So many patterns are counted in one pass over the corpus, which bounds what a task holds.
+BLOCK = 50_000
 #: So many characters before a match are looked at for the words that announce it.
 REACH = 64
 
@@ -208,7 +208,7 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 
 def corpus_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """(pattern, n): how often each of a bounded list of patterns occurs in all texts."""
+    """(pattern, n): how often each of a block of patterns occurs in all texts."""
     shared = docs.sparkSession.sparkContext.broadcast((set(wanted), {p.split()[-1] for p in wanted}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +224,23 @@ def corpus_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def counted(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(pattern, n) of every pattern of ``wanted``, in as many passes over the corpus as there are blocks of them."""
+    wanted = written(wanted.select("pattern").distinct(), "pii-wanted")
+    blocks = -(-wanted.count() // BLOCK)
+    counts = None
+    for k in range(blocks):
+        block = wanted.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()
+        some = written(corpus_counts(docs, [r["pattern"] for r in block]), "pii-counts")
+        counts = some if counts is None else counts.union(some)
+    return wanted.withColumn("n", F.lit(0).cast("long")) if counts is None else counts
+
+
 def specific_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, pattern): those with enough distinct seeds that announce one in a fair share of all their occurrences."""
     seeds = edges.where("seed").groupBy("kind", "pattern").agg(F.count("*").alias("support"), F.sum("n").alias("seeds"))
     seeds = written(seeds.where(F.col("support") >= SUPPORT), "pii-support")
-    best = seeds.orderBy(F.desc("support"), "kind", "pattern").limit(PATTERNS).collect()
-    if not best:
-        return seeds.select("kind", "pattern")
-    counts = corpus_counts(docs, sorted({r["pattern"] for r in best}))
-    return seeds.join(counts, "pattern").where(F.col("seeds") >= SPECIFIC * F.col("n")).select("kind", "pattern")
+    return seeds.join(counted(seeds, docs), "pattern").where(F.col("seeds") >= SPECIFIC * F.col("n")).select("kind", "pattern")
 
 
 def confident_patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

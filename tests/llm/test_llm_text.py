@@ -211,6 +211,15 @@ def test_patterns_discover_what_the_base_rules_miss(spark):
     assert text[100] == "please: Call: [PHONE] soon" and text[0] == "number 0 please: Call: [PHONE] soon" and text[101] == rows[-1][1]
 
 
+def test_patterns_beyond_a_block_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK" if hasattr(pii, "BLOCK") else "PATTERNS", 2)
+    rows = [(i, f"hot: Call: +1 (0{i:02d}) 555-77{i:02d} soon") for i in range(40)]
+    rows += [(50 + i, f"rare: Ring: +1 (0{i:02d}) 555-88{i:02d} soon") for i in range(30)]
+    rows += [(100, "hot: Call: 017 555 7713 soon"), (101, "rare: Ring: 018 555 8813 soon")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == "phone:11:23" and found[101] == "phone:12:24"
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact_text("ab 12 cd", [(0, 3, 5), (2, 3, 8)]) == "ab [CARD]"
     assert pii.redact_text("", []) == ""
