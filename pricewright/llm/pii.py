@@ -1,10 +1,11 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction of identifiers that these miss.
 
 Every base match is a seed. Looser shapes of each kind (addresses written with "(at)", IPv6, digit groups that fail the
-checks, phone numbers without a plus) are candidates. The words before seeds and candidates are lexical patterns; those
-that announce an identifier often enough, of all the times they occur in the corpus, form a graph with the instances.
-Each round scores a pattern by the share of its distinct instances that are trusted, then a candidate by its patterns
-together; patterns of high confidence give their candidates to the result. Base matches are never changed by that.
+checks, phone numbers without a plus) are candidates. The words before seeds and candidates are lexical patterns, which form a graph with the instances.
+Each round admits the patterns that announce a trusted instance often enough, of all the times they occur in the corpus,
+scores them by the share of their distinct instances that are trusted, then a candidate by its patterns together. What
+becomes trusted admits more patterns in the next round. Patterns of high confidence give their candidates to the result;
+base matches are never changed by that.
 
 Defined cases: null text counts as empty; positions are code points with the end exclusive; rows that repeat a doc_id are
 told apart by their texts; a candidate that overlaps a base match is none; kinds are matched separately, so spans of two
@@ -29,7 +30,7 @@ ROUNDS = 3
 CONFIDENT = 0.9
 #: A pattern needs so many distinct trusted instances.
 SUPPORT = 5
-#: A pattern's occurrences in the whole corpus must announce a seed in at least this share.
+#: A pattern's occurrences in the whole corpus must announce a trusted instance in at least this share.
 SPECIFIC = 0.3
 #: So many patterns are counted in one pass over the corpus, which bounds what a task holds.
 BLOCK = 50_000
@@ -236,29 +237,42 @@ def counted(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return wanted.withColumn("n", F.lit(0).cast("long")) if counts is None else counts
 
 
-def specific_patterns(edges: DataFrame, docs: DataFrame) -> DataFrame:
-    """(kind, pattern): those with enough distinct seeds that announce one in a fair share of all their occurrences."""
-    seeds = edges.where("seed").groupBy("kind", "pattern").agg(F.count("*").alias("support"), F.sum("n").alias("seeds"))
-    seeds = written(seeds.where(F.col("support") >= SUPPORT), "pii-support")
-    return seeds.join(counted(seeds, docs), "pattern").where(F.col("seeds") >= SPECIFIC * F.col("n")).select("kind", "pattern")
+def reachable(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """(kind, pattern, corpus): those that would be admitted if all their instances were trusted, with their counts.
+
+    No round can admit another one, so the rest of the graph is never looked at.
+    """
+    most = edges.groupBy("kind", "pattern").agg(F.count("*").alias("support"), F.sum("n").alias("places"))
+    most = written(most.where(F.col("support") >= SUPPORT), "pii-support")
+    counts = counted(most, docs).withColumnRenamed("n", "corpus")
+    return most.join(counts, "pattern").where(F.col("places") >= SPECIFIC * F.col("corpus")).select("kind", "pattern", "corpus")
 
 
 def confident_patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Scored patterns (kind, pattern, confidence, support) and instances (kind, instance, trust) of occurrences.
 
     A pattern's confidence is the trust of its distinct instances over one more than their number; a candidate's trust
-    is the chance that one of its confident patterns is right.
+    is the chance that one of its confident patterns is right. Seeds are trusted from the start, candidates once their
+    trust is that of a confident pattern.
     """
     edges = seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     edges = written(edges, "pii-edges")
-    edges = written(edges.join(specific_patterns(edges, docs), ["kind", "pattern"], "left_semi"), "pii-graph")
+    edges = written(edges.join(reachable(edges, docs), ["kind", "pattern"]), "pii-graph")
     trust = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("trust"))
+    sure = F.col("trust") >= CONFIDENT
     scores = None
     for _ in range(rounds):
-        scores = edges.join(trust, ["kind", "instance"]).groupBy("kind", "pattern")
-        scores = scores.agg((F.sum("trust") / (F.count("*") + 1)).alias("confidence"), F.sum("trust").alias("support"))
-        scores = written(scores.where(f"support >= {SUPPORT} and confidence >= 0.5"), "pii-patterns")
+        scores = edges.join(trust, ["kind", "instance"]).groupBy("kind", "pattern", "corpus")
+        scores = scores.agg(
+            (F.sum("trust") / (F.count("*") + 1)).alias("confidence"),
+            F.sum("trust").alias("support"),
+            F.count_if(sure).alias("known"),
+            F.sum(F.when(sure, F.col("n")).otherwise(0)).alias("announced"),
+        )
+        admitted = (F.col("known") >= SUPPORT) & (F.col("announced") >= SPECIFIC * F.col("corpus"))
+        scores = scores.where(admitted & (F.col("confidence") >= 0.5)).select("kind", "pattern", "confidence", "support")
+        scores = written(scores, "pii-patterns")
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(1 - 1e-9))))
         graded = edges.join(scores, ["kind", "pattern"], "left").groupBy("kind", "instance")
         graded = graded.agg(F.max("seed").alias("seed"), doubt.alias("doubt"))

@@ -220,6 +220,16 @@ def test_patterns_beyond_a_block_are_counted(spark, monkeypatch):
     assert found[100] == "phone:11:23" and found[101] == "phone:12:24"
 
 
+def test_trusted_candidates_admit_their_patterns(spark):
+    # "Mail:" announces 200 addresses and 20 written with "(at)"; "hops over" announces only the latter, and a new one
+    rows = [(i, f"send Mail: u{i}@x.org now") for i in range(200)]
+    rows += [(300 + i, f"send Mail: v{i}(at)y.org now, hops over v{i}(at)y.org too") for i in range(20)]
+    rows += [(400, "it hops over wanda(at)z.org too"), (401, "lost wilma(at)z.org again")]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[400].spans == "email:13:27" and found[401].spans == ""
+    assert all(found[300 + i].n_added == 2 for i in range(20))
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact_text("ab 12 cd", [(0, 3, 5), (2, 3, 8)]) == "ab [CARD]"
     assert pii.redact_text("", []) == ""
