@@ -146,19 +146,47 @@ def shaped(text: str) -> str:
 
 
 def patterns(text: str, start: int) -> list[str]:
-    """The lexical patterns of a place: the word before it, and the two before."""
-    words = shaped(text[max(0, start - REACH) : start]).split()
-    return [w for w in (" ".join(words[-1:]), " ".join(words[-2:])) if w]
+    """The lexical patterns of a place: the word before it, and the two before.
 
+    A blank at the end tells a word that stands before the place from the part of a word that is glued to it.
+    """
+    before = shaped(text[max(0, start - REACH) : start])
+    words = before.split()
+    if not words:
+        return []
+    gap = " " if before[-1].isspace() else ""
+    return [" ".join(words[-n:]) + gap for n in range(1, min(len(words), 2) + 1)]
+
+
+class Wanted:
+    """Patterns to count, by their last words: whole ones, and glued ones by first letter and length."""
+
+    def __init__(self, wanted: list[str]):
+        self.patterns = set(wanted)
+        self.ends = {p.split()[-1] for p in wanted if p.endswith(" ")}
+        self.glued = {p.split()[-1] for p in wanted if not p.endswith(" ")}
+        self.lengths: dict[str, list[int]] = {}
+        for first, n in sorted({(w[0], len(w)) for w in self.glued}):
+            self.lengths.setdefault(first, []).append(n)
 
-def count_patterns(text: str, wanted: set[str], ends: set[str]) -> dict[str, int]:
-    """How often each wanted pattern of one or two words occurs in a text."""
+
+def count_patterns(text: str, wanted: Wanted) -> dict[str, int]:
+    """How often each wanted pattern occurs in a text, at the places where ``patterns`` would find it."""
     words, found = shaped(text).split(), {}
+
+    def met(i: int, end: str) -> None:
+        for p in (end, f"{words[i - 1]} {end}" if i else ""):
+            if p in wanted.patterns:
+                found[p] = found.get(p, 0) + 1
+
     for i, w in enumerate(words):
-        if w in ends:
-            for p in (w, f"{words[i - 1]} {w}" if i else ""):
-                if p in wanted:
-                    found[p] = found.get(p, 0) + 1
+        if w in wanted.ends:
+            met(i, f"{w} ")
+        for n in wanted.lengths.get(w[0], ()):
+            if n >= len(w):
+                break
+            if w[:n] in wanted.glued:
+                met(i, w[:n])
     return found
 
 
@@ -210,13 +238,14 @@ def with_base(docs: DataFrame) -> DataFrame:
 
 def corpus_counts(docs: DataFrame, wanted: list[str]) -> DataFrame:
     """(pattern, n): how often each of a block of patterns occurs in all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((set(wanted), {p.split()[-1] for p in wanted}))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, int] = {}
+        ends = Wanted(shared.value)
         for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
-                for p, n in count_patterns(text or "", *shared.value).items():
+                for p, n in count_patterns(text or "", ends).items():
                     totals[p] = totals.get(p, 0) + n
         yield pa.RecordBatch.from_arrays(
             [pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64())], ["pattern", "n"]
@@ -240,12 +269,14 @@ def counted(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, pattern, corpus): those that would be admitted if all their instances were trusted, with their counts.
 
-    No round can admit another one, so the rest of the graph is never looked at.
+    No round can admit another one, so the rest of the graph is never looked at. A pattern that ``REACH`` cuts inside a
+    word is not found in the corpus; it counts as often as it announces a seed or a candidate.
     """
     most = edges.groupBy("kind", "pattern").agg(F.count("*").alias("support"), F.sum("n").alias("places"))
     most = written(most.where(F.col("support") >= SUPPORT), "pii-support")
-    counts = counted(most, docs).withColumnRenamed("n", "corpus")
-    return most.join(counts, "pattern").where(F.col("places") >= SPECIFIC * F.col("corpus")).select("kind", "pattern", "corpus")
+    corpus = F.greatest("places", F.coalesce("n", F.lit(0))).alias("corpus")
+    every = most.join(counted(most, docs), "pattern", "left").select("kind", "pattern", "places", corpus)
+    return every.where(F.col("places") >= SPECIFIC * F.col("corpus")).select("kind", "pattern", "corpus")
 
 
 def confident_patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

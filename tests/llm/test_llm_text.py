@@ -230,6 +230,22 @@ def test_trusted_candidates_admit_their_patterns(spark):
     assert all(found[300 + i].n_added == 2 for i in range(20))
 
 
+def test_patterns_are_counted_where_they_are_found():
+    text = "Write mailto:bob@x.org or <a@b.de> , ip=10.0.0.1 mailto: x <p> ip ip=2"
+    found = Counter(p for _, a, _ in pii.base_spans(text) for p in pii.patterns(text, a))
+    assert found == Counter(["mailto:", "write mailto:", "<", "or <", "ip=", ", ip="])
+    assert pii.count_patterns(text, pii.Wanted([*found, "mailto: ", "ip "])) == {
+        "mailto:": 1, "write mailto:": 1, "<": 2, "or <": 1, "ip=": 2, ", ip=": 1, "mailto: ": 1, "ip ": 1,
+    }
+
+
+def test_glued_labels_announce_identifiers(spark):
+    rows = [(i, f"see mailto:u{i}@x.org now") for i in range(40)] + [(100 + i, f"host ip=10.0.0.{i} up") for i in range(40)]
+    rows += [(200, "or mailto:bob(at)x.org now"), (201, "at ip=2001:db8::1 up"), (202, "lost bob(at)x.org and 2001:db8::1 here")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[200] == "email:10:22" and found[201] == "ip:6:17" and found[202] == ""
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact_text("ab 12 cd", [(0, 3, 5), (2, 3, 8)]) == "ab [CARD]"
     assert pii.redact_text("", []) == ""
