@@ -19,8 +19,8 @@ from pricewright.llm.scratch import written
 from pricewright.llm.words import text_or_empty, word_array
 
 SHINGLE = 5
-#: One hash in eight: about 70 of them for a text of 580 words.
-FRACTION = 0.125
+#: One hash in two: about five for a text of 15 words, 290 for one of 580.
+FRACTION = 0.5
 #: Neighbours in ``doc_id`` order meet in buckets of 2**BUCKET_BITS consecutive ids.
 BUCKET_BITS = 9
 

@@ -84,6 +84,15 @@ def test_fingerprints_match_brute_force(docs):
     assert Counter((-1 if r.doc_id is None else r.doc_id, *r[1:7]) for r in got) == expected
 
 
+def test_short_texts_keep_enough_hashes(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(np.array([f"w{i}" for i in range(900)]), n)) for n in rng.integers(15, 60, 300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = lambda f: np.array([r.near_edited for r in fingerprints.compare_edited(rows, **f).orderBy("doc_id").collect()])
+    got, true = near({}), near({"fraction": 1.0})
+    assert not ((true >= 0.5) & (got == 0)).any() and np.abs(got - true).mean() < 0.1
+
+
 def test_fingerprints_of_nothing_and_sparse_ids(spark, empty):
     assert fingerprints.compare_edited(empty).count() == 0
     rows = spark.createDataFrame([(i * 10**7, f"text {i}") for i in range(20)], "doc_id long, text string")
