@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark deletes a query's shuffle files at its end while this holds.
@@ -44,14 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean() -> None:
-    """Have the C library give every freed block of a megabyte or more back to the system.
+def lean(least: int = 1 << 20) -> None:
+    """Have the C library give every freed block of ``least`` bytes or more back to the system.
 
-    Its own threshold grows with use, after which a worker that has once held large arrays keeps their memory.
+    Its own threshold grows with use, after which a worker that has once held large arrays keeps their memory. Blocks
+    below it are used again, which spares the system the work of clearing fresh pages.
     """
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-3, least)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
         libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
@@ -63,3 +67,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where a text column reaches ``size`` bytes or ``rows`` rows; a longer text is a block of its own."""
+    lean(8 << 20)
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < batch.num_rows:
+            full = (upto[at - 1] if at else 0) + size
+            end = min(max(at + 1, int(np.searchsorted(upto, full, "right"))), at + rows)
+            yield batch.slice(at, end - at)
+            at = end

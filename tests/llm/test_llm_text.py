@@ -432,7 +432,7 @@ def test_samples_follow_the_lattice(depth, monkeypatch):
     p = np.array([math.exp(sum(known.scores[x] for x in q)) for q in found])
     p /= p.sum()
     key = {tuple(known.ids[x] for x in q): j for j, q in enumerate(found)}
-    block = segmentations.encode_block(segmentations.Walker(known, 4), segmentations.Codec(known), list(range(n)), [text] * n, k, 1.0, "array")
+    block = segmentations.encode_block(segmentations.Store(segmentations.Walker(known, 4), 1.0), segmentations.Codec(known), list(range(n)), [text] * n, k, "array")
     rows = block.to_pylist()
     drawn = np.full((n, k), -1)
     weight = np.zeros(n)
@@ -451,7 +451,7 @@ def test_samples_follow_the_lattice(depth, monkeypatch):
 
 def test_few_segmentations_come_once(spark):
     known = toy()
-    block = segmentations.encode_block(segmentations.Walker(known, 4), segmentations.Codec(known), [1, 2, 3], ["b", "", "é"], 4, 1.0, "array")
+    block = segmentations.encode_block(segmentations.Store(segmentations.Walker(known, 4), 1.0), segmentations.Codec(known), [1, 2, 3], ["b", "", "é"], 4, "array")
     rows = block.to_pylist()
     assert [(r["doc_id"], r["sample"], r["inclusion"]) for r in rows] == [(1, 0, 0.0), (2, 0, 0.0), (3, 0, 0.0)]
     assert rows[2]["ids"] == [305, *"é".encode()]
