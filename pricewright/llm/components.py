@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pricewright.llm.scratch import written
 
-#: Each round at least halves the longest path that is left; this many suffice for 2**40 links in a row.
-ROUNDS = 40
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest one around it."""
@@ -27,16 +24,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); the component is its smallest node.
+    """(node, component) for every node of ``links`` (a, b) but the smallest of each component, which names it.
 
     Links may repeat and come in either direction; self links only name their node. The loop ends when a round changes
-    nothing, which compares two sums over the edges, not the edges themselves.
+    nothing, which compares two sums over the edges, not the edges themselves. Each round that changes something ties a node to
+    a smaller one, so it does end; rounds grow with the logarithm of the longest path.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     seen = None
-    for _ in range(ROUNDS):
+    while True:
         edges = written(_small_star(_large_star(edges)), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:

@@ -22,8 +22,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewright.llm.components import components
 from pricewright.llm.scratch import sliced, written
@@ -63,12 +64,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in sliced(batches):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         values = np.fromiter((fingerprint_text(t or b"") for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(values)], [*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row, the fingerprint as a signed 64-bit number."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) for each row, the fingerprint as a signed 64-bit number, with more columns in between."""
+    rows = docs.select("doc_id", *more, "text")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("fp", T.LongType())])
+    return rows.mapInArrow(_fingerprints, schema)
 
 
 class BKTree:
@@ -284,21 +288,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(_classes(rows, radius).select("fp", "component_id"), "fp")
 
 
+def _row_hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes of a whole row, in which a null differs from every value."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    parts = [x for c in ("doc_id", "text") for x in (F.col(c), F.col(c).isNull())]
+    parts += [F.to_json(F.struct(*others))] if others else []
+    return [F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in (("a", "_row_a"), ("b", "_row_b"))]
+
+
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of near-duplicates, with its own columns: the one whose doc_id names the group.
+    """One row of each group of near-duplicates, with its own columns: one with the doc_id that names the group.
 
-    A group without any doc_id keeps one of its rows; of rows that repeat the naming doc_id one stays.
+    Where several rows of the group have that doc_id, or none has any, the hash of the whole row decides; of rows that
+    agree in every column one stays. Groups are made up from fingerprints and hashes; texts move once, to meet the hashes
+    of the rows that stay.
     """
-    rows = written(fingerprints(docs), "simhash")
-    classes = written(_classes(rows, radius), "simhash-classes")
-    first = classes.select(F.col("component_id").alias("_first")).where("_first is not null")
-    named = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    hashed = docs.where("doc_id is null").withColumn("_row", F.xxhash64(*docs.columns))
-    fp = hashed.select("_row", "text").withColumnRenamed("_row", "doc_id")
-    fp = fingerprints(fp).join(classes.where("component_id is null"), "fp")
-    one = fp.groupBy("component").agg(F.min("doc_id").alias("_one"))
-    anonymous = hashed.join(one, hashed["_row"] == one["_one"], "left_semi").dropDuplicates(["_row"]).drop("_row")
-    return named.unionByName(anonymous)
+    hashed = docs.select("*", *_row_hashes(docs))
+    rows = written(fingerprints(hashed, "_row_a", "_row_b"), "simhash")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row_a", "_row_b")).alias("least")
+    groups = written(rows.groupBy("fp").agg(least), "simhash-distinct")
+    member = components(links(groups.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = groups.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = named.groupBy("component").agg(F.min("least").alias("least")).select("least._row_a", "least._row_b")
+    kept = hashed.join(first, ["_row_a", "_row_b"], "left_semi")
+    return kept.dropDuplicates(["_row_a", "_row_b"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
