@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pricewright.llm import chat, fingerprints, katz, mixing, pii, pieces, quality, segmentations, simhash, token_counts
+from pricewright.llm import chat, components, fingerprints, katz, mixing, pii, pieces, quality, segmentations, simhash, token_counts
 
 WORDS = "the of and to in is that it was for on are as with his they at be this from".split()
 
@@ -135,6 +135,24 @@ def test_simhash_components_match_brute_force(docs, empty):
     assert len(kept) == len({root(f) for _, f in rows}) and kept.count(None) == 1
 
 
+def test_one_of_each_group_is_kept_when_ids_repeat(spark):
+    rows = [(3, "a a a a", None), (5, "a a a a", "x"), (5, "b b b b", "y"), (7, "c c c c", "z"), (7, "c c c c", "z"), (7, "c c c c", None),
+            (None, "d d d d", "p"), (None, "d d d d", "q"), (None, "e e e e", None), (9, "e e e e", "last")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for parts in (1, 4):
+        got = simhash.keep_first(frame.repartition(parts)).collect()
+        assert sorted((r.text[0], r.doc_id) for r in got if r.doc_id) == [("a", 3), ("b", 5), ("c", 7), ("e", 9)]
+        assert [r.text[0] for r in got if r.doc_id is None] == ["d"] and len(got) == 5
+    assert {tuple(r) for r in got} == {tuple(r) for r in simhash.keep_first(frame.repartition(3)).collect()}
+
+
+def test_long_chains_of_links_are_one_component(spark):
+    n = 300
+    links = spark.createDataFrame([((i * 7919) % 10007, ((i + 1) * 7919) % 10007) for i in range(n)], "a long, b long")
+    got = {r.node: r.component for r in components.components(links).collect()}
+    assert set(got.values()) == {0} and len(got) == n
+
+
 def test_dense_shards_in_slices(spark):
     rng = np.random.default_rng(0)
     base = int(rng.integers(2**63))
@@ -263,58 +281,131 @@ def test_redaction_merges_overlaps():
 # ---- language model ----
 
 
+def discounts(counts):
+    """Good-Turing ratios for counts 1 to 5, from a least-squares line through the smoothed counts of counts up to 64."""
+    n = {r: k for r, k in Counter(counts).items() if r <= 64}
+    rs = sorted(n)
+    b = -2.0
+    if len(rs) > 1:
+        xs, ys = [], []
+        for i, r in enumerate(rs):
+            q = rs[i - 1] if i else 0
+            t = rs[i + 1] if i + 1 < len(rs) else 2 * r - q
+            xs.append(math.log(r))
+            ys.append(math.log(2 * n[r] / (t - q)))
+        mx, my = sum(xs) / len(xs), sum(ys) / len(ys)
+        b = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / sum((x - mx) ** 2 for x in xs)
+        b = min(b, -1.05)
+    line = lambda r: float(r) ** b
+    cut = 6 * line(6) / line(1)
+    return {r: ((r + 1) * line(r + 1) / (r * line(r)) - cut) / (1 - cut) for r in range(1, 6)}
+
+
 def brute_katz(rows):
-    """Scores by explicit dictionaries over (doc_id, text)."""
+    """Scores by explicit dictionaries over (doc_id, text), and sums of probabilities after some contexts."""
     tokens = [[*words(lower(t)), "</s>"] for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
-    uni, bi, context = Counter(), Counter(), Counter()
+    uni, bi, tri, context = Counter(), Counter(), Counter(), Counter()
     for t, h in zip(tokens, held, strict=True):
         if not h:
             uni.update(t)
-            bi.update(zip(["<s>", *t[:-1]], t, strict=True))
-            context.update(["<s>", *t[:-1]])
+            marked = ["<s>", *t]
+            bi.update(zip(marked, t))  # noqa: B905
+            tri.update(zip(marked, marked[1:], marked[2:]))  # noqa: B905
+    for gram in (bi, tri):
+        for g, c in gram.items():
+            context[g[:-1]] += c
     n, v = sum(uni.values()), len(uni)
-    of = lambda c: katz.good_turing([sum(1 for x in c.values() if x == r) for r in range(1, katz.CUTOFF + 2)])
-    du, db = of(uni), of(bi)
-    d = lambda c, ratio: c * (ratio[c - 1] if c <= katz.CUTOFF else 1.0)
-    freed = n - sum(d(c, du) for c in uni.values())
-    total = n if freed > 1e-9 else n + 1
-    p1 = lambda w: d(uni[w], du) / total if w in uni else (freed if freed > 1e-9 else 1) / total
-    follow = defaultdict(dict)
-    for (a, b), c in bi.items():
-        follow[a][b] = c
-
-    def p(a, b):
-        if a not in follow:
-            return p1(b)
-        taken = sum(d(c, db) for c in follow[a].values())
-        below = context[a] if context[a] - taken > 1e-9 * context[a] else context[a] + 1
-        if b in follow[a]:
-            return d(follow[a][b], db) / below
-        return (1 - taken / below) / (1 - sum(p1(w) for w in follow[a])) * p1(b)
-
+    ratio = [discounts(c.values()) for c in (uni, bi, tri)]
+    d = lambda c, k: c * ratio[k].get(c, 1.0)
+    more = lambda c: c + 1 if c > 5 else c
+    left = more(n) - sum(d(c, 0) for c in uni.values())
+    p1 = lambda w: (d(uni[w], 0) if w in uni else left) / more(n)
+    follow = defaultdict(list)
+    for g in [*bi, *tri]:
+        follow[g[:-1]].append(g[-1])
+
+    def p(ctx, w):
+        if not ctx:
+            return p1(w)
+        if ctx not in context:
+            return p(ctx[1:], w)
+        seen = lambda x: d((bi, tri)[len(ctx) - 1][(*ctx, x)], len(ctx)) / more(context[ctx])
+        if w in follow[ctx]:
+            return seen(w)
+        if ctx not in weight:
+            lower_mass = sum(p(ctx[1:], x) for x in follow[ctx])
+            weight[ctx] = (1 - sum(map(seen, follow[ctx]))) / (1 - lower_mass)
+        return weight[ctx] * p(ctx[1:], w)
+
+    weight: dict = {}
     out = []
     for (doc_id, _), t, h in zip(rows, tokens, held, strict=True):
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
-        score = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t[:-1]], t, strict=True))
+        score = 0.0
+        for i, w in enumerate(t):
+            score += math.log10(p(tuple(["<s>", *t][max(0, i - 1) : i + 1]), w))
         out.append((doc_id, h, len(t), sum(w in uni for w in t), n, round(base, 6), round(score, 6)))
-    sums = [sum(p(a, w) for w in uni) + p(a, "unknown word") for a in list(follow)[:20]]
+    sums = [sum(p(a, w) for w in uni) + p(a, "unknown word") for a in [(), *list(context)[:30], *list(context)[-30:]]]
     return out, sums
 
 
-def test_katz_matches_brute_force_and_sums_to_one(docs, empty):
+@pytest.mark.parametrize("direct", [1, 2048])
+def test_katz_matches_brute_force_and_sums_to_one(docs, empty, direct):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected, sums = brute_katz(rows)
     assert np.allclose(sums, 1)
-    got = katz.scores(docs, chunk_tokens=300, bucket_tokens=500).collect()
+    got = katz.scores(docs, chunk_tokens=300, bucket_tokens=200, direct=direct).collect()
     assert Counter((*r[:5], round(r.base_score, 6), round(r.score, 6)) for r in got) == Counter(expected)
     assert katz.scores(empty).count() == 0
 
 
+def test_katz_backs_off_in_texts_with_irregular_counts(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"w{i}" for i in range(120)])
+    weights = 1 / np.arange(1, 121) ** 1.1
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 90), p=weights / weights.sum()))) for i in range(120)]
+    expected, sums = brute_katz(rows)
+    assert np.allclose(sums, 1)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for direct in (2, 2048):
+        got = katz.scores(frame, chunk_tokens=700, bucket_tokens=300, direct=direct).collect()
+        assert Counter((*r[:5], round(r.base_score, 6), round(r.score, 6)) for r in got) == Counter(expected)
+        held = [r for r in got if r.held_out]
+        assert any(r.n_seen_triples < r.n_seen_pairs < r.n_tokens for r in held)
+
+
+def test_katz_without_training_rows(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    frame = spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")
+    assert [(r.score, r.n_known, r.train_tokens) for r in katz.scores(frame).collect()] == [(0.0, 0, 0)] * 3
+
+
+@pytest.mark.parametrize(
+    "counts",
+    [[1] * 50 + [2] * 20 + [3] * 9 + [4] * 10 + [5] * 11 + [6] * 4 + [40], [1] * 3 + [2] * 30, [1] * 9, [], [7, 9, 70], [1, 2, 3, 4, 5, 6, 7, 8]],
+)
+def test_discounts_are_good_turings(counts):
+    spectrum = [counts.count(r) for r in range(1, katz.FITTED + 1)]
+    got, expected = katz.good_turing(spectrum), discounts(counts)
+    assert got == pytest.approx([expected[r] for r in range(1, 6)])
+    assert all(0 < x < 1 for x in got) and list(got) == sorted(got)
+
+
+def test_ranges_send_no_more_runs_than_keys():
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 2**64, 40, dtype=np.uint64))
+    for per_bucket, direct in ((1, 10**9), (7, 5), (1000, 1)):
+        ranges = katz.Ranges.over(100_000, 1000, per_bucket, direct)
+        runs = ranges.sent(keys)
+        assert len(runs) <= min(len(keys), -(-ranges.buckets // ranges.per)) and sum(b - a for _, a, b in runs) == 40
+
+
 def test_packing_round_trips():
     for values in (np.array([], np.uint64), np.array([0, 2**63, 5], np.uint64), np.arange(70000, dtype=np.int32)):
         assert (katz.unpack(katz.pack(values), values.dtype.type) == values).all()
-    assert all(0 < x <= 1 for x in katz.good_turing([5, 900, 1, 0, 3, 2])) and katz.good_turing([0] * 6) == [1.0] * 5
+    for values in (np.array([], np.uint64), np.array([3, 9, 2**64 - 1, 0, 5], np.uint64)):
+        assert (katz.unpack_sorted(katz.pack_sorted(values)) == values).all()
 
 
 # ---- quality ----
@@ -350,7 +441,7 @@ def test_mix_keeps_targets_and_repeats(spark, docs, empty):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), None if i % 9 == 8 else f"s{i % 9 % 4}") for i in range(3000)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sizes = frame.select("doc_id", "source", mixing.word_count(frame["text"]).alias("size"))
+    sizes = mixing.sized(frame)
     plan = mixing.plan(sizes)
     got = mixing.with_copies(sizes, plan).collect()
     taken, target, size = Counter(), {}, {}
@@ -366,6 +457,35 @@ def test_mix_keeps_targets_and_repeats(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_splits_equal_rows_and_null_ids(spark):
+    rows = [(None, "b " * 10, "b") for _ in range(2000)] + [(None, f"a{i} " * 10, "a") for i in range(1000)] + [(5, "c", "c")] * 7
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    goal = {r.source: r.target for r in mixing.source_targets(mixing.sized(frame)).collect()}
+    got = Counter()
+    for r in mixing.mix(frame).collect():
+        got[r.source] += len(r.text.split())
+    assert all(abs(got[s] - goal[s]) <= 10 for s in goal) and goal["b"] % 10 and goal["b"] < 40000
+    again = Counter()
+    for r in mixing.mix(frame.repartition(3)).collect():
+        again[r.source, r.text] += 1
+    assert again == Counter((r.source, r.text) for r in mixing.mix(frame).collect())
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    rng = np.random.default_rng(6)
+    lengths = rng.choice([20, 300, 2500], 12000, p=[0.6, 0.3, 0.1])
+    frame = spark.createDataFrame([(i, int(n), "s", str(i)) for i, n in enumerate(lengths)], "doc_id long, size long, source string, text_key string")
+    rows = mixing.with_copies(frame, mixing.plan(frame, share=0.4)).collect()
+    q = lengths / (lengths + mixing.HALF)
+    p = 0.4 + 0.4 * (q - (q * lengths).sum() / lengths.sum())
+    taken = {r.doc_id: r.copies for r in rows}
+    for n in (20, 300, 2500):
+        own = np.flatnonzero(lengths == n)
+        share = np.mean([taken[i] for i in own])
+        assert abs(share - p[own[0]]) < 4.5 * math.sqrt(0.25 / len(own))
+    assert abs(sum(taken[i] * n for i, n in enumerate(lengths.tolist())) - 0.4 * lengths.sum()) <= 2500
+
+
 def test_targets_by_repeated_resharing(spark):
     sizes = {"a": 1, "b": 500, "c": 100, None: 40}
     rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
