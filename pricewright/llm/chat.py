@@ -1,16 +1,19 @@
 """Chat formatting: schema fingerprints select the mapping that turns any known layout into canonical turns.
 
-A record is one JSON object. Its fingerprint hashes the sorted paths of its fields, array elements as ``[]``; a registry
-maps fingerprints to declarative mappings, each a list of (role, path) pairs or a path to a list of messages. Canonical
-turns are then written in one template, with a mask of the assistant's texts, and can be read back from it.
+A record is one JSON object. Its fingerprint hashes its shape: the paths of all fields at any depth, those of all elements of
+a list taken together, with every scalar alike. A registry maps fingerprints to declarative mappings, each a list of (role,
+path) pairs or a path to a list of messages. Canonical turns are then written in one template, with a mask of the assistant's
+texts, and can be read back from it.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts every backslash is doubled and
 every control string gets a backslash after its first character, so no control string of the template or of the other
 listed templates stays in a text; reading back removes one backslash before any character.
 
 Defined cases: null text or role counts as empty; turns with the same number are ordered by role, then text, and
-repeated rows are repeated turns; a null turn number sorts first; a record of unknown layout has null turns and keeps
-its fingerprint; an empty table gives an empty result; other columns are ignored.
+repeated rows are repeated turns; a null turn number sorts first; a record of unknown layout, such as one with a further
+field in any message, has null turns and keeps its fingerprint; text that is no JSON, repeats a key in an object or is longer
+than the parser takes (128 MB) has a null fingerprint; a message of a known layout that lacks a field has it empty; a number
+where text is expected is its digits; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,10 +41,26 @@ class Layout:
     text_key: str = "content"
     roles: tuple[tuple[str, str], ...] = ()
 
-    def paths(self, present: tuple[str, ...] = ()) -> tuple[str, ...]:
-        if self.messages:
-            return tuple(sorted((self.messages, f"{self.messages}[].{self.role_key}", f"{self.messages}[].{self.text_key}")))
-        return tuple(sorted(present or tuple(path for _, path in self.fields)))
+    def shapes(self) -> tuple[str, ...]:
+        """The shapes of the records in this layout: of a list of messages also the empty one."""
+        if not self.messages:
+            return (shape_of({path: SCALAR for _, path in self.fields}),)
+        message = shape_of({self.role_key: SCALAR, self.text_key: SCALAR})
+        return tuple(shape_of({self.messages: f"ARRAY<{inner}>"}) for inner in (message, SCALAR))
+
+
+#: Stands for every scalar in a shape.
+SCALAR = "VALUE"
+
+
+def shape_of(paths: dict[str, str]) -> str:
+    """The shape of an object from dotted paths and the shapes at their ends."""
+    heads: dict[str, dict[str, str]] = {}
+    for path, end in paths.items():
+        head, _, rest = path.partition(".")
+        heads.setdefault(head, {})[rest] = end
+    inner = {h: below[""] if "" in below else shape_of(below) for h, below in heads.items()}
+    return "OBJECT<" + ", ".join(f"{h}: {inner[h]}" for h in sorted(inner)) + ">"
 
 
 #: The layouts in use, with the role names that each of them has for the canonical ones.
@@ -55,23 +74,21 @@ LAYOUTS = (
     Layout("instruction_input_output", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("system_prompt_response", fields=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("question_answer", fields=(("user", "question"), ("assistant", "answer"))),
+    Layout("nested_messages", messages="conversation.messages", role_key="speaker", text_key="text"),
+    Layout("nested_prompt_response", fields=(("user", "data.prompt"), ("assistant", "data.response"))),
 )
 
 
-def fingerprint_of(paths: tuple[str, ...]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+def fingerprint_of(shape: str) -> str:
+    return hashlib.sha256(shape.encode()).hexdigest()[:16]
 
 
 def schema_fingerprint(record: Column) -> Column:
-    """The fingerprint of a JSON object's field paths: its keys, and those of the first object in each list."""
-    none = F.array().cast("array<string>")
-    get = lambda path: F.call_function("get_json_object", record, path)
-    inner = lambda k: F.coalesce(F.json_object_keys(get(F.concat(F.lit("$['"), k, F.lit("'][0]")))), none)
-    paths = F.transform(
-        F.coalesce(F.json_object_keys(record), none),
-        lambda k: F.concat(F.array(k), F.transform(inner(k), lambda i: F.concat(k, F.lit("[]."), i))),
-    )
-    return F.substring(F.sha2(F.array_join(F.sort_array(F.flatten(paths)), "\n").cast("binary"), 256), 1, 16)
+    """The fingerprint of a JSON record's shape."""
+    schema = F.schema_of_variant(F.try_parse_json(record))
+    kinds = r"(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|UUID|DECIMAL\([0-9]+,[0-9]+\))"
+    shape = F.regexp_replace(schema, rf"(^|: |<){kinds}(?=[,>]|$)", f"$1{SCALAR}")
+    return F.substring(F.sha2(shape.cast("binary"), 256), 1, 16)
 
 
 def _turns(record: Column, layout: Layout) -> Column:
@@ -99,7 +116,7 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
     rows = records.withColumn("fingerprint", schema_fingerprint(F.col(record)))
     turns = F.lit(None).cast(TURNS)
     for layout in layouts:
-        known = [fingerprint_of(layout.paths())] + ([fingerprint_of((layout.messages,))] if layout.messages else [])
+        known = [fingerprint_of(shape) for shape in layout.shapes()]
         turns = F.when(F.col("fingerprint").isin(known), _turns(F.col(record), layout)).otherwise(turns)
     return rows.withColumn("turns", turns)
 
@@ -173,19 +190,58 @@ def read_back(rows: DataFrame) -> DataFrame:
     return rows.withColumn("loss_text", F.array_join(masked, ""))
 
 
+def _rows_of(conversations: DataFrame) -> DataFrame:
+    """(conv_id, rows): the turns of each conversation in order."""
+    row = F.struct(
+        F.col("turn"),
+        F.coalesce(F.col("role"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text"), F.lit("")).alias("content"),
+    )
+    grouped = conversations.select("conv_id", row.alias("row")).groupBy("conv_id")
+    return grouped.agg(F.sort_array(F.collect_list("row")).alias("rows"))
+
+
+def _messages(role_key: str = "role", text_key: str = "content", roles: tuple[tuple[str, str], ...] = ()) -> Column:
+    def message(r: Column) -> Column:
+        role = r["role"]
+        for theirs, ours in roles:
+            role = F.when(r["role"] == ours, F.lit(theirs)).otherwise(role)
+        return F.struct(role.alias(role_key), r["content"].alias(text_key))
+
+    return F.transform("rows", message)
+
+
 def records_from_rows(conversations: DataFrame) -> DataFrame:
     """One JSON record of messages for each conv_id from rows of (conv_id, turn, role, text)."""
-    rows = conversations.select(
-        "conv_id",
-        F.struct(
-            F.col("turn"),
-            F.coalesce(F.col("role"), F.lit("")).alias("role"),
-            F.coalesce(F.col("text"), F.lit("")).alias("content"),
-        ).alias("row"),
+    rows = _rows_of(conversations)
+    return rows.select("conv_id", F.to_json(F.struct(_messages().alias("messages"))).alias("record"))
+
+
+def mixed_records(conversations: DataFrame) -> DataFrame:
+    """The same in layouts of several kinds, as a corpus from many places has them.
+
+    A question with its answer, two turns of user and assistant, is one of two layouts with single fields, by whether conv_id is
+    even; after a system turn it is the one with three. All others are lists of messages of three kinds by conv_id modulo 3,
+    but for those in which a role has the name that the second kind has for another: they stay with the first.
+    """
+    text = lambda i: F.get("rows", F.lit(i))["content"]
+    said = F.transform("rows", lambda r: r["role"])
+    are = lambda *roles: said == F.array(*map(F.lit, roles))
+    theirs = LAYOUTS[1].roles
+    clash = F.arrays_overlap(said, F.array(*[F.lit(t) for t, _ in theirs]))
+    kind = F.when(clash, 0).otherwise(F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3)))
+    pair = lambda a, b: F.struct(text(0).alias(a), text(1).alias(b))
+    three = F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))
+    nested = F.struct(F.struct(_messages("speaker", "text").alias("messages")).alias("conversation"))
+    record = (
+        F.when(are("user", "assistant") & (F.pmod("conv_id", F.lit(2)) == 0), F.to_json(pair("prompt", "completion")))
+        .when(are("user", "assistant"), F.to_json(F.struct(pair("prompt", "response").alias("data"))))
+        .when(are("system", "user", "assistant"), F.to_json(three))
+        .when(kind == 1, F.to_json(F.struct(_messages("from", "value", theirs).alias("conversations"))))
+        .when(kind == 2, F.to_json(nested))
+        .otherwise(F.to_json(F.struct(_messages().alias("messages"))))
     )
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return _rows_of(conversations).select("conv_id", record.alias("record"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +250,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(
         f"SELECT * FROM VALUES (-1L, 0L, 'user', '{planted}'), (-1L, 1L, 'assistant', '{planted}') t(conv_id, turn, role, text)"
     )
-    done = read_back(formatted(canonical(records_from_rows(rows.unionByName(extra)))))
+    done = read_back(formatted(canonical(mixed_records(rows.unionByName(extra)))))
     said = F.array_join(
         F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
@@ -216,15 +272,31 @@ def _sql_escaped(column: str) -> str:
     return text
 
 
+def _sql_fingerprint() -> str:
+    """The rule of ``mixed_records`` over the list of roles."""
+    named = {layout.name: fingerprint_of(layout.shapes()[0]) for layout in LAYOUTS}
+    clash = ", ".join(f"'{theirs}'" for theirs, _ in LAYOUTS[1].roles)
+    return f"""CASE WHEN roles = ['user', 'assistant'] AND conv_id % 2 = 0 THEN '{named["prompt_completion"]}'
+            WHEN roles = ['user', 'assistant'] THEN '{named["nested_prompt_response"]}'
+            WHEN roles = ['system', 'user', 'assistant'] THEN '{named["system_prompt_response"]}'
+            WHEN list_has_any(roles, [{clash}]) THEN '{named["messages"]}'
+            WHEN (coalesce(conv_id, 0) % 3 + 3) % 3 = 1 THEN '{named["sharegpt"]}'
+            WHEN (coalesce(conv_id, 0) % 3 + 3) % 3 = 2 THEN '{named["nested_messages"]}'
+            ELSE '{named["messages"]}' END"""
+
+
 OP8_SQL = f"""
 WITH spoken AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+done AS (
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
        CAST(sum({len(START) + 1 + len(END)} + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars,
-       '{fingerprint_of(LAYOUTS[0].paths())}' AS fingerprint
-FROM spoken GROUP BY conv_id
+       list(role ORDER BY turn NULLS FIRST, role, text) AS roles
+FROM spoken GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, {_sql_fingerprint()} AS fingerprint
+FROM done
 """
