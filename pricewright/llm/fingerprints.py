@@ -39,20 +39,32 @@ def with_sketch(rows: DataFrame, text: str, name: str, shingle: int = SHINGLE, f
 
     Each step is a column that the next one uses more than once, so that Spark evaluates it once for a row.
     """
-    if not 0 < fraction <= 1:
-        raise ValueError("fraction must be above 0 and at most 1")
-    bound = min(-(2**63) + int(fraction * 2**64), 2**63 - 1)
+    bound = _bound(fraction)
     rows = rows.withColumn("_words", word_array(F.col(text)))
     rows = rows.withColumn("_hashes", shingle_hashes(F.col("_words"), shingle))
-    rows = rows.withColumn("_low", F.filter("_hashes", lambda h: h <= F.lit(bound)))
+    rows = rows.withColumn("_low", F.filter("_hashes", lambda h: h <= bound))
     least = F.filter(F.array(F.array_min("_hashes")), lambda h: h.isNotNull())
     kept = F.when(F.size("_low") > 0, F.col("_low")).otherwise(least)
     return rows.withColumn(name, F.sort_array(F.array_distinct(kept))).drop("_words", "_hashes", "_low")
 
 
-def merge(left: Column, right: Column) -> Column:
-    """The sketch of two texts taken together."""
-    return F.sort_array(F.array_union(left, right))
+def _bound(fraction: float) -> Column:
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must be above 0 and at most 1")
+    return F.lit(min(-(2**63) + int(fraction * 2**64), 2**63 - 1))
+
+
+def _kept(hashes: Column, fraction: float) -> Column:
+    """The hashes below the bound, or the smallest one if there is none."""
+    low = F.filter(hashes, lambda h: h <= _bound(fraction))
+    least = F.filter(F.array(F.array_min(hashes)), lambda h: h.isNotNull())
+    return F.when(F.size(low) > 0, low).otherwise(least)
+
+
+def merge(left: Column, right: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of two texts' shingles taken together: the smallest hash of a text without low ones goes if the other has
+    any, and else the smaller of the two is the union's smallest."""
+    return F.sort_array(_kept(F.array_union(left, right), fraction))
 
 
 def containment(left: Column, right: Column) -> Column:
