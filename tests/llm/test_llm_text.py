@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pricewright.llm import chat, components, fingerprints, katz, mixing, pii, pieces, quality, segmentations, simhash, token_counts
 
@@ -84,6 +85,21 @@ def test_fingerprints_match_brute_force(docs):
     assert Counter((-1 if r.doc_id is None else r.doc_id, *r[1:7]) for r in got) == expected
 
 
+def test_merged_sketches_are_those_of_both_texts(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 90, n)) for n in rng.integers(0, 9, 120)]
+    pairs = spark.createDataFrame([(a, b) for a in texts[:40] for b in texts[40:80]], "a string, b string")
+    for fraction in (0.5, 0.05):
+        rows = fingerprints.with_sketch(fingerprints.with_sketch(pairs, "a", "x", fraction=fraction), "b", "y", fraction=fraction)
+        bound = -(2**63) + int(fraction * 2**64)
+        for r in rows.withColumn("z", fingerprints.merge(F.col("x"), F.col("y"), fraction)).collect():
+            shingles = set()
+            for w in (r.a.split(), r.b.split()):
+                shingles |= {chained(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+            low = sorted(h for h in shingles if h <= bound)
+            assert r.z == (low or sorted(shingles)[:1])
+
+
 def test_short_texts_keep_enough_hashes(spark):
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice(np.array([f"w{i}" for i in range(900)]), n)) for n in rng.integers(15, 60, 300)]
@@ -609,6 +625,43 @@ def test_layouts_meet_in_the_same_turns(spark):
     assert rows[5].turns is None and rows[6].turns is None and rows[7].turns is None and rows[8].turns == []
 
 
+def test_shapes_tell_layouts_apart(spark):
+    records = [
+        '{"data":{"prompt":"q"}}', '{"data":{"foo":"q"}}', '{"data":"x"}', '{"data":[{"prompt":"q"}]}', '{"data":[{"x":1},{"prompt":"q"}]}',
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","text":"a"}]}',
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a","name":"n"}]}',
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a","tool":{"k":"v"}}]}',
+        '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a","tool":{"j":"v"}}]}',
+        '{"messages":[{"role":"user","content":["q"]}]}', '{"messages":[{"role":"user","content":"q","content":"r"}]}',
+    ]
+    known = [
+        '{"messages":[{"content":"q","role":"user"},{"role":"assistant","content":null}]}', '{"messages":[{"role":"user","content":7}]}',
+        '{"conversation":{"messages":[{"speaker":"user","text":"q"}]}}', '{"data":{"response":"a","prompt":"q"}}',
+    ]
+    frame = spark.createDataFrame(list(enumerate(records + known)), "i int, record string")
+    rows = chat.canonical(frame).orderBy("i").collect()
+    prints = [r.fingerprint for r in rows[: len(records)]]
+    assert prints[-1] is None and len(set(prints)) == len(prints) and all(r.turns is None for r in rows[: len(records)])
+    assert [[tuple(t) for t in r.turns] for r in rows[len(records) :]] == [
+        [("user", "q"), ("assistant", "")], [("user", "7")], [("user", "q")], [("user", "q"), ("assistant", "a")],
+    ]
+
+
+def test_mixed_layouts_say_the_same(spark):
+    rng = np.random.default_rng(5)
+    roles = [["user", "assistant"], ["system", "user", "assistant"], ["user"], ["human", "gpt", "user"], ["user", "assistant", "user", "assistant"], [None, "tool"]]
+    rows = []
+    for i in range(60):
+        for turn, role in enumerate(roles[i // 3 % 6]):
+            rows.append((i - 7 if i else None, turn, role, [None, "", "a\nb", 'x "q" \\ </s>', "é 日本"][rng.integers(5)], "clash", "clash"))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string, fingerprint string")
+    mixed = chat.canonical(chat.mixed_records(frame)).collect()
+    plain = {r.conv_id: r.turns for r in chat.canonical(chat.records_from_rows(frame)).collect()}
+    assert {r.conv_id: r.turns for r in mixed} == plain and len({r.fingerprint for r in mixed}) == 6
+    empty = frame.where("false")
+    assert chat.read_back(chat.formatted(chat.canonical(chat.mixed_records(empty)))).count() == 0
+
+
 def test_rows_become_turns_in_order(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (2, None, None, "x"), (None, 0, "user", "n")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
