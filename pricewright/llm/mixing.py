@@ -232,7 +232,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     whole, kept = sized(docs, own, place), None
     if _among_copies(planned):
         whole = kept = written(whole, "mix-rows")  # both passes have to agree on the places
-    rows = with_copies(whole, planned, kept if kept is None else kept.drop("_row")).where("copies > 0")
+    rows = with_copies(whole, planned, kept if kept is None else kept.drop("_row"))
+    # with the place in the condition it stays above the projection that sizes the texts, which is then done once for a row
+    rows = rows.where("copies > 0 and place >= 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
