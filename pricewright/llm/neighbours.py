@@ -3,15 +3,19 @@
 A bounded sample is split by 2-means until every part is small, which gives centroids of balanced lists. A graph over the
 centroids, held in memory, finds the nearest ones of any vector. Each vector goes to its nearest list, and a vector near
 a border also to others: those within a distance ratio, unless their centroid nearly coincides with one it already has.
-A query reads the lists within a distance ratio of its nearest centroid; the fit chooses the smallest ratio that reaches
-``RECALL`` on queries from the sample, whose neighbours lie farther apart than those in the whole table. Lists that grow
-large are cut into slices, each searched on its own, so a hot list costs more tasks and not longer ones.
+A query reads the lists within a distance ratio of its nearest centroid, and of them a certain number at most; the fit finds
+the true neighbours of ``TRIALS`` sampled vectors in the whole table and chooses the pair of limits that reaches ``RECALL``
+on them with the fewest lists. A list holds about a
+quarter of the root of the number of vectors, so there are more lists and longer ones as the table grows. Lists that grow
+large are cut into slices, each searched on its own, so a hot list costs more tasks and not longer ones; queries are dealt
+into blocks, so that no task holds more of them than fit.
 
 Nearness is the largest inner product. It becomes the smallest distance once each vector gets one more component that
 lifts it to the largest norm in the table, so the lists serve vectors of any norms. Scores are exact inner products of
 the original vectors in double precision.
 
-Bounds: the fit reads at most ``SAMPLE`` vectors; the broadcast model holds at most ``LISTS`` centroids.
+Bounds: the fit reads at most ``SAMPLE`` vectors, and so the broadcast model holds at most a quarter as many centroids, the
+number that about 1.5 million vectors ask for; beyond that lists grow in proportion to the table, in more slices.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite component take no
 part, nor do rows without a vec_id; rows that repeat a vec_id count as one candidate with its best score, and none of
@@ -26,34 +30,45 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewright.llm.scratch import sliced, written
 
 SAMPLE = 20_000
-LISTS = 2048
-#: Vectors in a list, on average, while there are fewer than ``LISTS`` lists.
-LIST_ROWS = 256
+#: A list has at least so many vectors, and at least this share of the root of their number.
+LIST_ROWS, ROOT_SHARE = 24, 0.25
+#: Sampled vectors for each list at least.
+PER_LIST = 4
 #: Rows of a list searched in one task.
 SLICE = 4096
-#: Rows of lists, on average, that one task holds.
-SHARD = 16_384
+#: Rows of lists, on average, and queries that one task holds.
+SHARD, QUERIES = 65_536, 32_768
 #: Above the slices of any list.
 PARTS = 1 << 32
 #: A vector is copied to lists at most this much farther than its nearest, and to this many in all.
-COPY_RATIO, COPIES = 1.02, 3
+COPY_RATIO, COPIES = 1.2, 4
 #: A copy needs a centroid that is this share of its distance away from those of the lists it is in.
 SPREAD = 0.25
 #: The recall that the fit asks for, and from how many sampled queries it measures it.
 RECALL, TRIALS = 0.96, 256
-LINKS, BEAM, ENTRIES = 24, 64, 64
+#: Rounds in which centroids move to the means of their vectors.
+LLOYD = 6
+#: Rows of a matrix of distances to all centroids that are held at once.
+ROWS = 1024
+#: Links of a centroid, centroids kept and opened in a step of the walk, and where it starts.
+LINKS, BEAM, OPENED, ENTRIES = 24, 64, 6, 64
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", x, x)
 
 
+def _apart(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances of vectors to centroids."""
+    return np.maximum(_norms(x)[:, None] + _norms(centroids)[None, :] - 2 * x @ centroids.T, 0)
+
+
 def split_balanced(x: np.ndarray, parts: int, seed: int = 7) -> np.ndarray:
     """Centroids of about ``parts`` parts of near-equal size, by 2-means on the largest part again and again."""
     rng = np.random.default_rng(seed)
@@ -97,44 +112,47 @@ class Index:
     reads: int = 1
 
     @staticmethod
-    def build(sample: np.ndarray, lists: int, top: float, k: int = 20) -> Index:
+    def build(sample: np.ndarray, lists: int, top: float) -> Index:
         lifted = lift(sample, top)
         centroids = split_balanced(lifted, lists)
-        for _ in range(2):
-            nearest = np.argmin(_norms(centroids)[None, :] - 2 * lifted @ centroids.T, axis=1)
+        for _ in range(LLOYD):
+            nearest = np.concatenate([_apart(lifted[i : i + ROWS], centroids).argmin(1) for i in range(0, len(lifted), ROWS)])
             sums = np.zeros_like(centroids)
             np.add.at(sums, nearest, lifted)
             count = np.bincount(nearest, minlength=len(centroids))
             centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
-        apart = _norms(centroids)[:, None] + _norms(centroids)[None, :] - 2 * centroids @ centroids.T
         width = min(LINKS, len(centroids))
-        links = np.argpartition(apart, width - 1, axis=1)[:, :width]
-        entries, reach = [0], apart[0].copy()
+        links = [
+            np.argpartition(_apart(centroids[i : i + ROWS], centroids), width - 1, axis=1)[:, :width]
+            for i in range(0, len(centroids), ROWS)
+        ]
+        links = np.concatenate(links)
+        entries, reach = [0], _apart(centroids[:1], centroids)[0]
         while len(entries) < min(ENTRIES, len(centroids)):
             entries.append(int(np.argmax(reach)))
-            reach = np.minimum(reach, apart[entries[-1]])
-        index = Index(centroids, links, np.array(entries), top)
-        index.ratio, index.reads = index.reach(sample, k)
-        return index
-
-    def reach(self, sample: np.ndarray, k: int) -> tuple[float, int]:
-        """The smallest distance ratio whose lists hold ``RECALL`` of the true neighbours of sampled queries, and how many
-        lists that is at most."""
-        queries = sample[:: max(1, len(sample) // TRIALS)]
-        homes = np.full((len(sample), COPIES), -1)
-        for i in range(0, len(sample), 512):
-            for j, lists in enumerate(self.lists_of(sample[i : i + 512])):
-                homes[i + j, : len(lists)] = lists
-        lifted = lift(queries, self.top)
-        squares = _norms(lifted)[:, None] + _norms(self.centroids) - 2 * lifted @ self.centroids.T
-        ratios = np.sqrt(np.maximum(squares, 0))
+            reach = np.minimum(reach, _apart(centroids[entries[-1:]], centroids)[0])
+        return Index(centroids, links, np.array(entries), top)
+
+    def reach(self, queries: np.ndarray, owner: np.ndarray, near: np.ndarray) -> None:
+        """Set the limits by trial queries and their true neighbours ``near``, each with the number of its query."""
+        ratios = np.sqrt(_apart(lift(queries, self.top), self.centroids))
         ratios /= np.maximum(ratios.min(1, keepdims=True), 1e-12)
+        place = ratios.argsort(1, kind="stable").argsort(1, kind="stable")
+        ordered = np.sort(ratios, axis=1)
         needed = []
-        for query, ratio in zip(queries, ratios, strict=True):
-            near = np.argsort(-(sample @ query), kind="stable")[: k + 1]
-            needed.append(np.where(homes[near] >= 0, ratio[homes[near]], np.inf).min(1))
-        bound = float(np.quantile(np.concatenate(needed), RECALL)) * (1 + 1e-9)
-        return bound, int((ratios <= bound).sum(1).max())
+        for i in range(0, len(near), ROWS):
+            for j, lists in enumerate(self.lists_of(near[i : i + ROWS])):
+                best = lists[place[owner[i + j], lists].argmin()]
+                needed.append((place[owner[i + j], best] + 1, ratios[owner[i + j], best]))
+        places, ratio = (np.array(c) for c in zip(*needed, strict=True))
+        most, best = int(np.ceil(RECALL * len(places))), (np.inf, 0, 0.0)
+        for limit in np.unique(np.quantile(places, np.linspace(RECALL, 1, 9), method="higher")).tolist():
+            within = np.sort(ratio[places <= limit])
+            if len(within) >= most:
+                bound = within[most - 1] * (1 + 1e-9)
+                read = float(np.minimum((ordered <= bound).sum(1), limit).mean())
+                best = min(best, (read, int(limit), float(bound)))
+        _, self.reads, self.ratio = best
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Lists and squared distances of about the ``width`` nearest centroids, nearest first, by a walk over the graph."""
@@ -148,25 +166,28 @@ class Index:
 
         nodes = np.tile(self.entries, (n, 1))
         apart = distance(nodes)
-        beam = min(max(BEAM, width), k)
-        seen = np.zeros((n, k), bool)
+        beam = min(max(BEAM, width + OPENED), k)
         rows = np.arange(n)[:, None]
+        seen = np.zeros((n, k), bool)
         seen[rows, nodes] = True
         opened = np.zeros(nodes.shape, bool)
-        for _ in range(4 * beam):
-            best = np.where(opened, np.inf, apart).argmin(1)
-            worst = np.partition(apart, min(width, apart.shape[1]) - 1, axis=1)[:, min(width, apart.shape[1]) - 1]
-            at = np.arange(n)
-            active = ~opened[at, best] & ((apart[at, best] <= worst) | (apart.shape[1] < width))
+        while True:
+            step = min(OPENED, nodes.shape[1])
+            open_apart = np.where(opened, np.inf, apart)
+            best = np.argpartition(open_apart, step - 1, axis=1)[:, :step]
+            last = min(width, apart.shape[1]) - 1
+            worst = np.partition(apart, last, axis=1)[:, last] if apart.shape[1] >= width else np.full(n, np.inf)
+            active = np.take_along_axis(open_apart, best, 1) <= np.minimum(worst, 1e300)[:, None]
             if not active.any():
                 break
-            opened[at, best] = True
-            fresh = self.links[nodes[at, best]]
-            new = distance(fresh)
-            new[seen[rows, fresh] | ~active[:, None]] = np.inf
-            seen[rows, fresh] = True
-            nodes, apart = np.c_[nodes, fresh], np.c_[apart, new]
-            opened = np.c_[opened, np.isinf(new)]
+            opened[rows, best] |= active
+            fresh = np.sort(np.where(active[:, :, None], self.links[nodes[rows, best]], k).reshape(n, -1), axis=1)
+            new = (fresh < k) & np.concatenate([np.ones((n, 1), bool), fresh[:, 1:] != fresh[:, :-1]], axis=1)
+            fresh = np.where(new, fresh, 0)
+            new &= ~seen[rows, fresh]
+            seen[np.broadcast_to(rows, fresh.shape)[new], fresh[new]] = True
+            far = np.where(new, distance(fresh), np.inf)
+            nodes, apart, opened = np.c_[nodes, fresh], np.c_[apart, far], np.c_[opened, ~new]
             if nodes.shape[1] > beam:
                 keep = np.argpartition(apart, beam - 1, axis=1)[:, :beam]
                 nodes, apart = np.take_along_axis(nodes, keep, 1), np.take_along_axis(apart, keep, 1)
@@ -177,22 +198,29 @@ class Index:
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """The lists that hold each vector."""
         near, apart = self.search(lift(x, self.top), 2 * COPIES)
-        between = lambda a, b: float(((self.centroids[a] - self.centroids[b]) ** 2).sum())
-        out = []
-        for lists, squared in zip(near.tolist(), apart.tolist(), strict=True):
-            chosen = lists[:1]
-            for other, d in zip(lists[1:], squared[1:], strict=True):
-                if len(chosen) == COPIES or not d <= COPY_RATIO**2 * squared[0]:
-                    break
-                if all(between(other, c) > SPREAD**2 * d for c in chosen):
-                    chosen.append(other)
-            out.append(np.array(chosen))
-        return out
-
-    def lists_for(self, x: np.ndarray) -> list[np.ndarray]:
-        """The lists that each query reads."""
-        near, apart = self.search(lift(x, self.top), self.reads)
-        return [lists[d <= self.ratio**2 * d[0] + 1e-12] for lists, d in zip(near, apart, strict=True)]
+        close = self.centroids[near]
+        squares = np.einsum("nid,nid->ni", close, close)
+        between = squares[:, :, None] + squares[:, None, :] - 2 * close @ close.transpose(0, 2, 1)
+        chosen = np.zeros(near.shape, bool)
+        chosen[:, 0] = True
+        for j in range(1, near.shape[1]):
+            spread = (between[:, j] > SPREAD**2 * apart[:, j, None]) | ~chosen
+            chosen[:, j] = (apart[:, j] <= COPY_RATIO**2 * apart[:, 0]) & (chosen.sum(1) < COPIES) & spread.all(1)
+        return [lists[take] for lists, take in zip(near, chosen, strict=True)]
+
+    def lists_for(self, x: np.ndarray, rows: np.ndarray | None = None, least: int = 0) -> list[np.ndarray]:
+        """The lists that each query reads: those within the ratio, and further ones while these have under ``least`` rows."""
+        rows = np.full(len(self.centroids), least) if rows is None else rows
+        width = self.reads
+        while True:
+            near, apart = self.search(lift(x, self.top), width)
+            upto = np.cumsum(rows[near], axis=1)
+            if width >= len(self.centroids) or (upto[:, -1] >= least).all():
+                break
+            width *= 4
+        short = np.c_[np.zeros(len(x), np.int64), upto[:, :-1]] < least
+        inside = apart <= self.ratio**2 * apart[:, :1] + 1e-12
+        return [lists[take] for lists, take in zip(near, short | inside, strict=True)]
 
 
 def lift(x: np.ndarray, top: float) -> np.ndarray:
@@ -219,9 +247,44 @@ def fit(rows: DataFrame, k: int = 20) -> Index | None:
     if not total:
         return None
     place = F.xxhash64(F.lit("index"), F.col("vec_id"))
-    picked = rows.select(place.alias("place"), "embedding").orderBy("place").limit(SAMPLE).toPandas()
-    sample = np.array(picked["embedding"].tolist(), float)
-    return Index.build(sample, min(LISTS, max(1, total // LIST_ROWS), max(1, len(sample) // 4)), float(largest), k)
+    picked = rows.select(place.alias("place"), "vec_id", "embedding").orderBy("place", "vec_id").limit(SAMPLE).toPandas()
+    sample, ids = np.array(picked["embedding"].tolist(), float), picked["vec_id"].to_numpy()
+    index = Index.build(sample, min(lists_of_rows(total), max(1, len(sample) // PER_LIST)), float(largest))
+    trials = slice(0, TRIALS)  # the sample is in the order of a hash
+    owner, near = _neighbours_of(rows, ids[trials], sample[trials], k)
+    if len(near):
+        index.reach(sample[trials], owner, near)
+    return index
+
+
+def _neighbours_of(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` true neighbours of each of a few queries in the whole table: the number of the query, and the vector.
+
+    Each task hands out the best of its rows, and only the vectors of the best of all are fetched, in a second pass.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for batch in sliced(batches, 2048):
+            found = nearest_in(_matrix(batch.column(1)), batch.column(0).to_numpy(), q, own, k)
+            held = list(best_of(*[np.concatenate(c) for c in zip(held, found, strict=True)], k))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held[0], held[1], -held[2])], ["query", "vec_id", "away"])
+
+    best = rows.mapInArrow(run, "query long, vec_id long, away double").groupBy("query", "vec_id").agg(F.min("away").alias("away"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("away", "vec_id"))
+    best = best.withColumn("place", place).where(F.col("place") <= k).select("query", "vec_id").toPandas()
+    wanted = rows.sparkSession.createDataFrame(best[["vec_id"]].drop_duplicates(), "vec_id long")  # at most TRIALS * k rows
+    found = rows.join(F.broadcast(wanted), "vec_id", "left_semi").dropDuplicates(["vec_id"]).toPandas()
+    vectors = dict(zip(found["vec_id"], found["embedding"], strict=True))
+    near = np.array([vectors[v] for v in best["vec_id"]], float).reshape(len(best), -1)
+    return best["query"].to_numpy(), near
+
+
+def lists_of_rows(total: int) -> int:
+    """The number of lists for so many vectors."""
+    return max(1, int(total // max(LIST_ROWS, ROOT_SHARE * total**0.5)))
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -251,15 +314,17 @@ def shard_of(lists: np.ndarray, slices: np.ndarray, shards: int) -> np.ndarray:
     return (lists * 7919 + slices * 104729) % shards
 
 
-def _asked(rows: DataFrame, index: Index, slices: dict[int, int], shards: int) -> DataFrame:
-    """(shard, vec_id, embedding, parts): each query once for each task that has parts of its lists."""
-    shared = rows.sparkSession.sparkContext.broadcast((index, slices))
+def _asked(rows: DataFrame, index: Index, sizes: dict[int, int], slices: dict[int, int], shards: int, k: int) -> DataFrame:
+    """(shard, vec_id, embedding, parts): each query once for each shard that has parts of its lists."""
+    held = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
+    shared = rows.sparkSession.sparkContext.broadcast((index, held, slices))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, slices = shared.value
+        index, held, slices = shared.value
         for batch in sliced(batches):
             place, shard, parts = [], [], []
-            for i, lists in enumerate(index.lists_for(_matrix(batch.column(1)))):
+            # each row may be in COPIES lists, and one is the query itself
+            for i, lists in enumerate(index.lists_for(_matrix(batch.column(1)), held, COPIES * (k + 1))):
                 counts = np.array([slices.get(int(c), 0) for c in lists])
                 whole = np.repeat(lists, counts)
                 part = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -321,14 +386,13 @@ def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> t
     return query[place < k], ids[place < k], scores[place < k]
 
 
-FOUND = "query_id long, near array<struct<away:double,vec_id:long>>"
+FOUND = "query_id long, vec_id long, away double"
 
 
 def _search(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        kind = pa.list_(pa.struct([("away", pa.float64()), ("vec_id", pa.int64())]))
         if not rows.num_rows or not queries.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "near": pa.array([], kind)})
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "away": pa.array([], pa.float64())})
         code, ids, x = rows["code"].to_numpy(), rows["vec_id"].to_numpy(), _matrix(rows["embedding"])
         order = np.argsort(code, kind="stable")
         code, ids, x = code[order], ids[order], x[order]
@@ -352,10 +416,7 @@ def _search(k: int):
                 held = list(best_of(*[np.concatenate([h, *f]) for h, f in zip(held, fresh, strict=True)], k))
                 fresh, size = [[], [], []], 0
         query, near, scores = best_of(*[np.concatenate([h, *f]) for h, f in zip(held, fresh, strict=True)], k)
-        edges = np.searchsorted(query, np.arange(len(own) + 1))
-        pairs = pa.StructArray.from_arrays([pa.array(-scores), pa.array(near)], names=["away", "vec_id"])
-        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pairs)
-        return pa.table({"query_id": pa.array(own), "near": lists.cast(kind)})
+        return pa.table({"query_id": own[query], "vec_id": near, "away": -scores})
 
     return run
 
@@ -368,29 +429,25 @@ def search(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = written(_held(rows, index), "posting-lists")
     sizes = lists.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    counted = sizes.collect()  # at most LISTS rows
+    counted = sizes.collect()  # one row for each list, as many as the model has centroids
     slices = {r["list"]: r["slices"] for r in counted}
     shards = max(1, -(-sum(r["n"] for r in counted) // SHARD))
+    asking = rows.where(queries)
+    blocks = max(1, -(-asking.count() // QUERIES))
     part = F.pmod(F.xxhash64("vec_id"), F.col("slices"))
     whole = F.col("list").cast("long")
     shard = ((whole * 7919 + part * 104729) % shards).cast("int").alias("shard")
     held = lists.join(F.broadcast(sizes.select("list", "slices")), "list")
     held = held.select(shard, (whole * PARTS + part).alias("code"), "vec_id", "embedding")
-    asked = _asked(rows.where(queries), index, slices, shards)
-    found = held.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_search(k), FOUND)
-    near = F.flatten(F.collect_list("near"))
-    # a vec_id may come from several tasks: its best score is its first place in the order
-    merged = found.groupBy("query_id").agg(F.sort_array(F.array_distinct(near)).alias("near"))
-    ranked = merged.select("query_id", F.posexplode(F.slice(_first_of_each(F.col("near")), 1, k)).alias("place", "x"))
-    return ranked.select(
-        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.away")).alias("score")
-    )
-
-
-def _first_of_each(near: Column) -> Column:
-    """Entries whose vec_id has not come before."""
-    ids = F.transform(near, lambda x: x["vec_id"])
-    return F.filter(near, lambda x, i: F.array_position(ids, x["vec_id"]) == i + 1)
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = _asked(asking, index, {r["list"]: r["n"] for r in counted}, slices, shards, k)
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k), FOUND)
+    # a vec_id may come from several lists or rows: its best score counts
+    found = found.groupBy("query_id", "vec_id").agg(F.min("away").alias("away"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("away", "vec_id"))
+    ranked = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", (-F.col("away")).alias("score"))
 
 
 def op9_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
