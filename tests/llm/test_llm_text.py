@@ -544,7 +544,7 @@ def test_token_counts_match_the_library(spark, docs, empty, vocabulary):
             p.score, p.type = vocabulary.scores[p.piece.replace("▁", " ")], 1
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     expected = Counter((r.doc_id, len(library.encode(r.text or ""))) for r in docs.collect() if "▁" not in (r.text or ""))
-    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, store=50).collect() if r.doc_id != 11)
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs, nodes=50).collect() if r.doc_id != 11)
     assert got == expected
     assert token_counts.token_counts(empty).count() == 0
 
