@@ -1,20 +1,27 @@
 """Personal data: exact base patterns, and bootstrapped contextual extraction of identifiers that these miss.
 
-Every base match is a seed. Looser shapes of each kind (addresses written with "(at)", IPv6, digit groups that fail the
-checks, phone numbers without a plus) are candidates. The words before seeds and candidates are lexical patterns, which form a graph with the instances.
-Each round admits the patterns that announce a trusted instance often enough, of all the times they occur in the corpus,
-scores them by the share of their distinct instances that are trusted, then a candidate by its patterns together. What
-becomes trusted admits more patterns in the next round. Patterns of high confidence give their candidates to the result;
-base matches are never changed by that.
+Every base match is a seed, and so is a looser shape inside one ("(017) 555-7713" in "+1 (017) 555-7713"). Looser shapes
+elsewhere (addresses written with "(at)", IPv6, digit groups that fail the checks, phone numbers without a plus) are candidates.
+A fifth kind, keys, has no base rule: hexadecimal words as long as a digest are its seeds and other long words of letters and
+digits its candidates, and either is reported only where a pattern announces it, in columns of its own.
+
+The patterns of a place are the word before it and the two before, the word after it and the two after, and the frame of both
+words around it, each with what is glued to it told from what stands apart. They form a graph with the instances. Each round
+admits the patterns that announce enough distinct trusted instances and do so often enough, of all the times they occur in the
+corpus, scores them by the share of their distinct instances that are trusted, then a candidate by its patterns together. What
+becomes trusted admits more patterns in the next round. Trust can only rise, so the rounds end where nothing rises any more.
+Patterns of high confidence give their candidates to the result; base matches are never changed by that.
 
 Defined cases: null text counts as empty; positions are code points with the end exclusive; rows that repeat a doc_id are
-told apart by their texts; a candidate that overlaps a base match is none; kinds are matched separately, so spans of two
-kinds may overlap; no seeds means no patterns; an empty table gives an empty result; other columns are ignored.
+told apart by their texts, and rows that repeat both get the same spans; a candidate that overlaps a base match is none; kinds
+are matched separately, so spans of two kinds may overlap; a word of over ``WORD_CHARS`` characters counts as one and the same
+long word in patterns; no seeds means no patterns; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +31,9 @@ from pyspark.sql import types as T
 
 from pricewright.llm.scratch import sliced, written
 
-KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+KINDS = ("email", "ip", "card", "phone", "key")
+#: Kinds from here on have no base rule.
+KEY = 4
 #: A pattern is used from this share of trusted instances, among one more than it has.
 CONFIDENT = 0.9
 #: A pattern needs so many distinct trusted instances.
@@ -34,21 +42,24 @@ SUPPORT = 5
 SPECIFIC = 0.3
 #: So many patterns are counted in one pass over the corpus, which bounds what a task holds.
 BLOCK = 50_000
-#: So many characters before a match are looked at for the words that announce it.
-REACH = 64
+#: Words longer than this are alike, and this many characters on either side hold two words that are not.
+WORD_CHARS, REACH = 256, 600
+LONG_WORD = "\u2026"
+#: Trust that rises by less than this in a whole round ends the rounds.
+STEADY = 1e-6
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Looser shapes, one for each kind.
-LOOSE = (
-    re.compile(r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}(?:@|\(at\)|\[at\])[A-Za-z0-9][A-Za-z0-9.-]{0,253}"),
-    re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])"),
-    CARD,
-    re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9A-Za-z])"),
-)
+#: What stands for "@", and what may follow it.
+AT = re.compile(r"@|\(at\)|\[at\]")
+HOST = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*+")
+IPV6 = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
+LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,5}(?![0-9A-Za-z])")
+KEY_WORD = re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{16,}+")
+DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})")
 
 _SHAPE = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)} | {i: ord("0") for i in range(ord("1"), ord("9") + 1)}
 
@@ -65,22 +76,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def emails(text: str) -> list[tuple[int, int]]:
-    """Leftmost matches, found from each "@" outwards, in time linear in the text."""
+def _around(text: str, mark: re.Pattern, host: re.Pattern) -> list[tuple[int, int]]:
+    """Leftmost matches of a local part, a mark and a host, found from each mark outwards, in time linear in the text."""
     out, after = [], 0
-    at = text.find("@")
-    while at >= 0:
-        start = at
+    for m in mark.finditer(text):
+        if m.start() < after:
+            continue
+        start = m.start()
         while start > after and text[start - 1] in LOCAL:
             start -= 1
-        domain = DOMAIN.match(text, at + 1) if start < at else None
-        if domain:
-            out.append((start, domain.end()))
-            after = domain.end()
-        at = text.find("@", max(at + 1, after))
+        rest = host.match(text, m.end()) if start < m.start() else None
+        if rest:
+            out.append((start, rest.end()))
+            after = rest.end()
     return out
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    return _around(text, _MARK, DOMAIN)
+
+
+_MARK = re.compile("@")
+
+
 def addresses(text: str) -> list[tuple[int, int]]:
     """Each four parts in a row of a chain of dotted numbers, where none is over 255."""
     out = []
@@ -117,76 +135,161 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
-def loose_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates of the looser shapes that overlap no base match."""
-    taken = sorted((a, b) for _, a, b in base)
-    out = []
-
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
-
-    if "@" in text or "at" in text:
-        out += [(0, m.start(), m.end()) for m in LOOSE[0].finditer(text) if free(m.start(), m.end())]
+def loose_shapes(text: str) -> list[Span]:
+    """(kind, start, end) of every looser shape."""
+    out = [(0, a, b) for a, b in _around(text, AT, HOST)] if "@" in text or "at" in text else []
     if DOTTED.search(text) is None:
         return out
     if ":" in text:
-        out += [(1, m.start(), m.end()) for m in LOOSE[1].finditer(text) if free(m.start(), m.end())]
-    for m in LOOSE[2].finditer(text):
-        if m.end() - m.start() >= 13 and 13 <= len(_digits(m.group())) <= 19 and free(m.start(), m.end()):
-            out.append((2, m.start(), m.end()))
-    for m in LOOSE[3].finditer(text):
-        if 9 <= len(_digits(m.group())) <= 15 and free(m.start(), m.end()):
-            out.append((3, m.start(), m.end()))
+        out += [(1, *m.span()) for m in IPV6.finditer(text)]
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 13 and 13 <= len(_digits(m.group())) <= 19:
+            out.append((2, *m.span()))
+    out += [(3, *m.span()) for m in LOCAL_PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
+    for m in KEY_WORD.finditer(text):
+        word = m.group()
+        if not word.isdecimal() and any("0" <= c <= "9" for c in word) and any(c.isalpha() for c in word):
+            out.append((KEY, *m.span()))
     return out
 
 
+def graded(text: str, base: list[Span]) -> tuple[list[Span], list[Span]]:
+    """Further seeds, which lie within a base match of their kind or are keys of a digest's form, and candidates, which
+    overlap no base match."""
+    taken: list[list[int]] = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts = [a for a, _ in taken]
+    own: dict[int, list[tuple[int, int]]] = {}
+    for k, a, b in sorted(base):
+        own.setdefault(k, []).append((a, b))
+    seeds, candidates = [], []
+    for k, a, b in loose_shapes(text):
+        at = bisect_right(starts, b - 1) - 1
+        if at < 0 or taken[at][1] <= a:
+            (seeds if k == KEY and DIGEST.fullmatch(text, a, b) else candidates).append((k, a, b))
+        elif k in own:
+            i = bisect_right(own[k], (a, len(text) + 1)) - 1
+            if i >= 0 and b <= own[k][i][1] and (a, b) != own[k][i]:
+                seeds.append((k, a, b))
+    return seeds, candidates
+
+
 def shaped(text: str) -> str:
     """Lower-case A to Z and write every digit as 0."""
     return text.translate(_SHAPE)
 
 
-def patterns(text: str, start: int) -> list[str]:
-    """The lexical patterns of a place: the word before it, and the two before.
+def _words(text: str) -> list[str]:
+    return [w if len(w) <= WORD_CHARS else LONG_WORD for w in text.split()]
+
+
+def _beside(text: str, place: int, side: int) -> tuple[list[str], str]:
+    """Up to two words before (-1) or after (1) a place, the nearest first, and the blank between, if any."""
+    if side < 0:
+        low = max(0, place - REACH)
+        part, cut = shaped(text[low:place]), low > 0 and not text[low - 1].isspace()
+    else:
+        high = place + REACH
+        part, cut = shaped(text[place:high]), high < len(text) and not text[high].isspace()
+    words = part.split()
+    far = part[:1] if side < 0 else part[-1:]
+    if cut and words and not far.isspace():  # the farthest word goes on outside
+        if len(words[0 if side < 0 else -1]) <= WORD_CHARS:
+            del words[0 if side < 0 else -1]
+    words = [w if len(w) <= WORD_CHARS else LONG_WORD for w in (words[::-1] if side < 0 else words)][:2]
+    edge = part[-1:] if side < 0 else part[:1]
+    return words, " " if edge.isspace() else ""
 
-    A blank at the end tells a word that stands before the place from the part of a word that is glued to it.
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a place: "<" and the words before, ">" and those after, "=" and both with a bar between.
+
+    A blank next to the place tells a word that stands apart from what is glued to it.
     """
-    before = shaped(text[max(0, start - REACH) : start])
-    words = before.split()
-    if not words:
-        return []
-    gap = " " if before[-1].isspace() else ""
-    return [" ".join(words[-n:]) + gap for n in range(1, min(len(words), 2) + 1)]
+    before, gap = _beside(text, start, -1)
+    after, space = _beside(text, end, 1)
+    found = [f"<{' '.join(before[:n][::-1])}{gap}" for n in range(1, len(before) + 1)]
+    found += [f">{space}{' '.join(after[:n])}" for n in range(1, len(after) + 1)]
+    if before and after:
+        found.append(f"={before[0]}{gap}|{space}{after[0]}")
+    return found
+
+
+class _Glued:
+    """Parts of words by their outer character and length."""
+
+    def __init__(self, parts: set[str], outer: int):
+        self.parts, self.lengths = parts, {}
+        for c, n in sorted({(p[outer], len(p)) for p in parts if p}):
+            self.lengths.setdefault(c, []).append(n)
+
+    def before(self, word: str) -> list[str]:
+        return [word[:n] for n in self.lengths.get(word[0], ()) if n < len(word) and word[:n] in self.parts]
+
+    def after(self, word: str) -> list[str]:
+        return [word[-n:] for n in self.lengths.get(word[-1], ()) if n < len(word) and word[-n:] in self.parts]
 
 
 class Wanted:
-    """Patterns to count, by their last words: whole ones, and glued ones by first letter and length."""
+    """Patterns to count, by their nearest words: whole ones, and glued ones."""
 
     def __init__(self, wanted: list[str]):
         self.patterns = set(wanted)
-        self.ends = {p.split()[-1] for p in wanted if p.endswith(" ")}
-        self.glued = {p.split()[-1] for p in wanted if not p.endswith(" ")}
-        self.lengths: dict[str, list[int]] = {}
-        for first, n in sorted({(w[0], len(w)) for w in self.glued}):
-            self.lengths.setdefault(first, []).append(n)
+        before = [p[1:] for p in wanted if p[0] == "<"]
+        after = [p[1:] for p in wanted if p[0] == ">"]
+        #: a bar may also be part of a word, so each one may be the one between
+        frames = [(p[1:i], p[i + 1 :]) for p in wanted if p[0] == "=" for i in range(1, len(p)) if p[i] == "|"]
+        self.lefts, self.rights = {a for a, _ in frames}, {b for _, b in frames}
+        self.ends = {p.split()[-1] for p in before if p[-1] == " "}
+        self.starts = {p.split()[0] for p in after if p[0] == " "}
+        self.prefixes = _Glued({p.split()[-1] for p in before if p[-1] != " "} | {p for p in self.lefts if p and p[-1] != " "}, 0)
+        self.suffixes = _Glued({p.split()[0] for p in after if p[0] != " "} | {p for p in self.rights if p and p[0] != " "}, -1)
 
 
 def count_patterns(text: str, wanted: Wanted) -> dict[str, int]:
-    """How often each wanted pattern occurs in a text, at the places where ``patterns`` would find it."""
-    words, found = shaped(text).split(), {}
+    """How often each wanted pattern occurs in a text, at the places where ``patterns`` would find it; a frame is counted
+    around single words."""
+    words, found = _words(shaped(text)), {}
+    last = len(words) - 1
 
-    def met(i: int, end: str) -> None:
-        for p in (end, f"{words[i - 1]} {end}" if i else ""):
-            if p in wanted.patterns:
-                found[p] = found.get(p, 0) + 1
+    def met(p: str) -> None:
+        if p in wanted.patterns:
+            found[p] = found.get(p, 0) + 1
 
     for i, w in enumerate(words):
         if w in wanted.ends:
-            met(i, f"{w} ")
-        for n in wanted.lengths.get(w[0], ()):
-            if n >= len(w):
-                break
-            if w[:n] in wanted.glued:
-                met(i, w[:n])
+            met(f"<{w} ")
+            if i:
+                met(f"<{words[i - 1]} {w} ")
+        if w in wanted.starts:
+            met(f"> {w}")
+            if i < last:
+                met(f"> {w} {words[i + 1]}")
+        prefixes = wanted.prefixes.before(w) if w[0] in wanted.prefixes.lengths else ()
+        suffixes = wanted.suffixes.after(w) if w[-1] in wanted.suffixes.lengths else ()
+        for p in prefixes:
+            met(f"<{p}")
+            if i:
+                met(f"<{words[i - 1]} {p}")
+        for p in suffixes:
+            met(f">{p}")
+            if i < last:
+                met(f">{p} {words[i + 1]}")
+        if wanted.lefts:
+            lefts = [p for p in prefixes if p in wanted.lefts]
+            if i and f"{words[i - 1]} " in wanted.lefts:
+                lefts.append(f"{words[i - 1]} ")
+            if lefts:
+                rights = [p for p in suffixes if p in wanted.rights]
+                if i < last and f" {words[i + 1]}" in wanted.rights:
+                    rights.append(f" {words[i + 1]}")
+                for a in lefts:
+                    for b in rights:
+                        met(f"={a}|{b}")
     return found
 
 
@@ -212,9 +315,9 @@ def with_base(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                loose = loose_spans(text, base)
+                seeds, loose = graded(text, base)
                 found[0].append(span_text(base))
-                for k in range(4):
+                for k in range(KEY):
                     found[k + 1].append(sum(1 for s in base if s[0] == k))
                 found[5].append(
                     [
@@ -223,10 +326,10 @@ def with_base(docs: DataFrame) -> DataFrame:
                             "start": a,
                             "end": b,
                             "seed": seed,
-                            "instance": re.sub(r"[\x20().-]", "", text[a:b].lower()) if k else text[a:b].lower(),
-                            "patterns": patterns(text, a),
+                            "instance": re.sub(r"[\x20().-]", "", text[a:b].lower()) if 0 < k < KEY else text[a:b].lower(),
+                            "patterns": patterns(text, a, b),
                         }
-                        for spans, seed in ((base, True), (loose, False))
+                        for spans, seed in ((base, True), (seeds, True), (loose, False))
                         for k, a, b in spans
                     ]
                 )
@@ -269,8 +372,8 @@ def counted(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """(kind, pattern, corpus): those that would be admitted if all their instances were trusted, with their counts.
 
-    No round can admit another one, so the rest of the graph is never looked at. A pattern that ``REACH`` cuts inside a
-    word is not found in the corpus; it counts as often as it announces a seed or a candidate.
+    No round can admit another one, so the rest of the graph is never looked at. A pattern counts at least as often as it
+    announces a seed or a candidate, also where these are of several words and a frame around them is not counted.
     """
     most = edges.groupBy("kind", "pattern").agg(F.count("*").alias("support"), F.sum("n").alias("places"))
     most = written(most.where(F.col("support") >= SUPPORT), "pii-support")
@@ -279,12 +382,12 @@ def reachable(edges: DataFrame, docs: DataFrame) -> DataFrame:
     return every.where(F.col("places") >= SPECIFIC * F.col("corpus")).select("kind", "pattern", "corpus")
 
 
-def confident_patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def confident_patterns(seen: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scored patterns (kind, pattern, confidence, support) and instances (kind, instance, trust) of occurrences.
 
     A pattern's confidence is the trust of its distinct instances over one more than their number; a candidate's trust
     is the chance that one of its confident patterns is right. Seeds are trusted from the start, candidates once their
-    trust is that of a confident pattern.
+    trust is that of a confident pattern. Every quantity can only rise from round to round, so the loop ends.
     """
     edges = seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
@@ -292,8 +395,8 @@ def confident_patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -
     edges = written(edges.join(reachable(edges, docs), ["kind", "pattern"]), "pii-graph")
     trust = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("trust"))
     sure = F.col("trust") >= CONFIDENT
-    scores = None
-    for _ in range(rounds):
+    before = None
+    while True:
         scores = edges.join(trust, ["kind", "instance"]).groupBy("kind", "pattern", "corpus")
         scores = scores.agg(
             (F.sum("trust") / (F.count("*") + 1)).alias("confidence"),
@@ -309,14 +412,18 @@ def confident_patterns(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -
         graded = graded.agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
         known = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0))))
         trust = written(graded.select("kind", "instance", known.alias("trust")), "pii-instances")
-    return scores, trust
+        n_sure, total = trust.agg(F.count_if(sure), F.coalesce(F.sum("trust"), F.lit(0.0))).first()
+        state = (scores.count(), n_sure, total)
+        if before and state[:2] == before[:2] and state[2] - before[2] < STEADY:
+            return scores, trust
+        before = state
 
 
-def discovered(seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered(seen: DataFrame, docs: DataFrame) -> DataFrame:
     """(doc_id, key, added): the spans that confident patterns add to each text, as a list."""
-    scores, trust = confident_patterns(seen, docs, rounds)
+    scores, trust = confident_patterns(seen, docs)
     sure = scores.where(F.col("confidence") >= CONFIDENT).select("kind", "pattern")
-    candidates = seen.where("not seed").join(
+    candidates = seen.where(f"not seed or kind >= {KEY}").join(
         trust.where(F.col("trust") >= CONFIDENT).select("kind", "instance"), ["kind", "instance"], "left_semi"
     )
     places = candidates.select("doc_id", "key", "kind", "start", "end", F.explode("patterns").alias("pattern"))
@@ -350,7 +457,10 @@ def find(docs: DataFrame) -> DataFrame:
     rows = written(with_base(_keyed(docs.select("doc_id", "text"))).drop("text"), "pii-base")
     rows = _joined(rows, written(discovered(_occurrences(rows), docs), "pii-added"))
     base = F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.split("base", ","))
-    every = F.concat(base, F.coalesce(_named("added"), F.array().cast("array<string>")))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    added = F.filter(F.coalesce("added", none), lambda s: s["kind"] < KEY)
+    keys = F.filter(F.coalesce("added", none), lambda s: s["kind"] >= KEY)
+    every = F.concat(base, _named(added))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     sortable = F.transform(
         every,
@@ -369,7 +479,10 @@ def find(docs: DataFrame) -> DataFrame:
         "n_phone",
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         F.array_join(ordered, ",").alias("spans"),
-        F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"),
+        F.size(added).cast("long").alias("n_added"),
+        F.size(keys).cast("long").alias("n_key"),
+        F.array_join(_named(keys), ",").alias("keys"),
+        (F.size(every) + F.size(keys)).cast("long").alias("n_found"),
     )
 
 
