@@ -275,13 +275,85 @@ def test_trusted_candidates_admit_their_patterns(spark):
 
 def test_patterns_are_counted_where_they_are_found():
     text = "Write mailto:bob@x.org or <a@b.de> , ip=10.0.0.1 mailto: x <p> ip ip=2"
-    found = Counter(p for _, a, _ in pii.base_spans(text) for p in pii.patterns(text, a))
-    assert found == Counter(["mailto:", "write mailto:", "<", "or <", "ip=", ", ip="])
-    assert pii.count_patterns(text, pii.Wanted([*found, "mailto: ", "ip "])) == {
-        "mailto:": 1, "write mailto:": 1, "<": 2, "or <": 1, "ip=": 2, ", ip=": 1, "mailto: ": 1, "ip ": 1,
+    found = Counter(p for _, a, b in pii.base_spans(text) for p in pii.patterns(text, a, b))
+    assert found == Counter([
+        "<mailto:", "<write mailto:", "> or", "> or <a@b.de>", "=mailto:| or", "<<", "<or <", ">>", ">> ,", "=<|>",
+        "<ip=", "<, ip=", "> mailto:", "> mailto: x", "=ip=| mailto:",
+    ])
+    assert pii.count_patterns(text, pii.Wanted([*found, "<mailto: ", "<ip "])) == {
+        "<mailto:": 1, "<write mailto:": 1, "> or": 1, "> or <a@b.de>": 1, "=mailto:| or": 1, "<<": 2, "<or <": 1, ">>": 2, ">> ,": 1,
+        "=<|>": 2, "<ip=": 2, "<, ip=": 1, "> mailto:": 1, "> mailto: x": 1, "=ip=| mailto:": 1, "<mailto: ": 1, "<ip ": 1,
     }
 
 
+def test_patterns_see_whole_words():
+    long, longer = "w" * 256, "v" * 5000
+    text = f"{long} {long} a@b.de {longer} next"
+    (_, a, b), = pii.base_spans(text)
+    assert pii.patterns(text, a, b) == [f"<{long} ", f"<{long} {long} ", f"> {pii.LONG_WORD}", f"={long} | {pii.LONG_WORD}"]
+    text = f"{longer}:a@b.de"
+    assert pii.patterns(text, *pii.base_spans(text)[0][1:]) == [f"<{pii.LONG_WORD}"]
+    many = ",".join(["a@b.de"] * 3000)
+    assert len(pii.base_spans(many)) == 3000 and pii.graded(many, pii.base_spans(many)) == ([], [])
+    assert pii.loose_shapes("x" * 200_000 + "(at)y.org") == [(0, 0, 200_009)]
+
+
+def test_words_after_and_frames_discover(spark):
+    rows = [(i, f"w{i} u{i}@x.org wrote: v{i}") for i in range(30)] + [(100 + i, f"a{i} [10.0.0.{i}] b{i}") for i in range(30)]
+    rows += [(200 + i, f"c{i} the 10.1.0.{i} of d{i}, e{i} of it, of and of the f{i} q{i}, the the the r{i}") for i in range(30)]
+    rows += [(300, "then bob(at)x.org wrote: no"), (301, "at [2001:db8::1] up"), (302, "and the 2001:db8::2 of some"), (303, "the 2001:db8::3 it"), (304, "bob(at)x.org wrote")]
+    found = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[300] == "email:5:17" and found[301] == "ip:4:15" and found[302] == "ip:8:19"
+    assert found[303] == "" and found[304] == ""
+
+
+def test_shapes_inside_base_matches_are_seeds(spark):
+    rows = [(i, f"x{i} +1 (0{i:02d}) 555-77{i:02d} y{i}") for i in range(40)] + [(100, "so +1 (555) 555-0000 10.0.0.1 12 end"), (101, "so (555) 555-0001 end")]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100].n_phone == 0 and "phone:6:20" in found[100].spans.split(",") and found[101].spans == ""
+
+
+def test_keys_are_found_where_they_are_announced(spark):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'a{i} token = "{digest(i)}" b{i}') for i in range(30)] + [(100, 'my token = "Ab3-defgh_1jklm2nop" z'), (101, f"commit {digest(7777)} and Ab3-defgh_1jklm2nop")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find(frame).collect()}
+    assert found[3].keys == "key:12:52" and found[3].n_key == 1 and found[3].spans == ""
+    assert found[100].keys == "key:12:31" and found[101].keys == "" and found[101].n_found == 0
+    assert {r.doc_id: r.text for r in pii.redact(frame).collect()}[100] == 'my token = "[KEY]" z'
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """A generated corpus in which contexts announce identifiers, and decoys of the same forms stand in prose."""
+    rng = np.random.default_rng(12)
+    prose = lambda n: " ".join(rng.choice(WORDS, n))
+    announce = {"email": ("contact:", "Mail to", "<"), "ip": ("host=", "from address"), "phone": ("call", "Tel."), "card": ("card no.",)}
+    base = {"email": lambda i: f"u{i}@x{i % 7}.org", "ip": lambda i: f"10.{i % 200}.3.{i % 90}", "phone": lambda i: f"+1 (2{i % 90:02d}) 555-{i:04d}"}
+    loose = {"email": lambda i: f"u{i}(at)y.org", "ip": lambda i: f"2001:db8::{i % 999}", "phone": lambda i: f"3{i % 90:02d} 555 {i:04d}"}
+    rows, truth = [], set()
+    for i in range(900):
+        kind = ["email", "ip", "phone"][i % 3]
+        label, parts = announce[kind][int(rng.integers(len(announce[kind])))], [prose(rng.integers(3, 15))]
+        label += "" if label[-1] in "<=" else " "
+        hidden, decoy = rng.random() < 0.3, rng.random() < 0.2
+        value = (loose if hidden else base)[kind](i)
+        start = len(parts[0]) + 1 + len(label)
+        text = f"{parts[0]} {label}{value} {prose(5)}"
+        if hidden:
+            truth.add((i, f"{kind}:{start}:{start + len(value)}"))
+        if decoy:
+            text += f" {loose[kind](5000 + i)} {prose(4)}"
+        rows.append((i, text))
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text_of_row = dict(rows)
+    added = {(r.doc_id, s) for r in got for s in r.spans.split(",") if s} - {
+        (d, s) for d, t in rows for s in pii.span_text(brute_spans(t)).split(",") if s
+    }
+    hits = len(added & truth)
+    assert len(truth) > 200 and text_of_row
+    assert hits / len(added) >= 0.98 and hits / len(truth) >= 0.95
+
+
 def test_glued_labels_announce_identifiers(spark):
     rows = [(i, f"see mailto:u{i}@x.org now") for i in range(40)] + [(100 + i, f"host ip=10.0.0.{i} up") for i in range(40)]
     rows += [(200, "or mailto:bob(at)x.org now"), (201, "at ip=2001:db8::1 up"), (202, "lost bob(at)x.org and 2001:db8::1 here")]
