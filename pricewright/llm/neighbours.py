@@ -57,7 +57,7 @@ LLOYD = 6
 #: Rows of a matrix of distances to all centroids that are held at once.
 ROWS = 1024
 #: Links of a centroid, centroids kept and opened in a step of the walk, and where it starts.
-LINKS, BEAM, OPENED, ENTRIES = 24, 64, 6, 64
+LINKS, BEAM, OPENED, ENTRIES = 24, 24, 4, 32
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -390,6 +390,12 @@ FOUND = "query_id long, vec_id long, away double"
 
 
 def _search(k: int):
+    """The best ``k`` of each query in one shard.
+
+    A product of matrices scores each list roughly. A list with ``k`` distinct ids bounds the query's k-th best score from
+    below, and only rows that reach the bound are scored in one fixed order and kept.
+    """
+
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not rows.num_rows or not queries.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "away": pa.array([], pa.float64())})
@@ -401,21 +407,38 @@ def _search(k: int):
         wanted, reader = parts.flatten().to_numpy(), np.repeat(np.arange(len(own)), sizes)
         by_code = np.argsort(wanted, kind="stable")
         wanted, reader = wanted[by_code], reader[by_code]
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        fresh: list[list[np.ndarray]] = [[], [], []]
+        least = np.full(len(own), -np.inf)
+        slack = lambda bound: bound - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(bound), bound, 0)))
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        fresh: list[tuple[np.ndarray, ...]] = []
         size = 0
+
+        def settled() -> tuple[np.ndarray, ...]:
+            if not fresh:
+                return held
+            query, row, rough = (np.concatenate(c) for c in zip(*fresh, strict=True))
+            near = rough >= slack(least[query])
+            query, row = query[near], row[near]
+            scores = np.concatenate([np.zeros(0), *((x[row[i : i + 65536]] * q[query[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536))])
+            fresh.clear()
+            return best_of(*(np.concatenate(c) for c in zip(held, (query, ids[row], scores), strict=True)), k)
+
         for c in np.unique(code):
             a, b = np.searchsorted(code, [c, c + 1])
-            r = reader[slice(*np.searchsorted(wanted, [c, c + 1]))]
-            if len(r):
-                at, near, scores = nearest_in(x[a:b], ids[a:b], q[r], own[r], k)
-                for column, values in zip(fresh, (r[at], near, scores), strict=True):
-                    column.append(values)
+            readers = reader[slice(*np.searchsorted(wanted, [c, c + 1]))]
+            distinct = b - a >= k and len(np.unique(ids[a:b])) == b - a
+            for i in range(0, len(readers), 256):
+                part = readers[i : i + 256]
+                rough = q[part] @ x[a:b].T
+                rough[own[part][:, None] == ids[None, a:b]] = -np.inf
+                if distinct:
+                    least[part] = np.maximum(least[part], np.partition(rough, b - a - k, axis=1)[:, b - a - k])
+                at, near = np.nonzero((rough >= slack(least[part])[:, None]) & (rough > -np.inf))
+                fresh.append((part[at], a + near, rough[at, near]))
                 size += len(at)
-            if size > 1_000_000:
-                held = list(best_of(*[np.concatenate([h, *f]) for h, f in zip(held, fresh, strict=True)], k))
-                fresh, size = [[], [], []], 0
-        query, near, scores = best_of(*[np.concatenate([h, *f]) for h, f in zip(held, fresh, strict=True)], k)
+                if size > 1_000_000:
+                    held, size = settled(), 0
+        query, near, scores = settled()
         return pa.table({"query_id": own[query], "vec_id": near, "away": -scores})
 
     return run
