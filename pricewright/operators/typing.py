@@ -50,6 +50,49 @@ def robust_scaled(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
     return joined.withColumn(f"{value}_scaled", scaled).drop("center", "scale")
 
 
+def scaled(rows: DataFrame, value: str, by: Sequence[str] = (), method: str = "robust") -> DataFrame:
+    """Add ``{value}_scaled`` by one of three methods: robust, zscore (mean and deviation) or minmax.
+
+    Values that are not finite take no part in the fit and stay as they are; a scale of 0 counts as 1.
+    """
+    x = F.col(value).cast("double")
+    finite = rows.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    if method == "robust":
+        fitted = scale_parameters(finite, value, by)
+    elif method == "zscore":
+        fitted = finite.groupBy(*by).agg(F.avg(x).alias("center"), F.stddev_pop(x).alias("scale"))
+    elif method == "minmax":
+        fitted = finite.groupBy(*by).agg(F.min(x).alias("center"), (F.max(x) - F.min(x)).alias("scale"))
+    else:
+        raise ValueError(f"unknown method: {method}")
+    joined = rows.join(fitted, list(by), "left") if by else rows.crossJoin(F.broadcast(fitted))  # one row without keys
+    step = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))
+    return joined.withColumn(f"{value}_scaled", (x - F.col("center")) / step).drop("center", "scale")
+
+
+def log_target(value: Column, least: float = 1e-6) -> Column:
+    """The logarithm of a target, held above ``least``; ``exp`` takes it back."""
+    return F.log(F.greatest(value.cast("double"), F.lit(least)))
+
+
+def levels(rows: DataFrame, value: str) -> list[str]:
+    """The levels of a column as they are at fit, in order: the size of a schema's domain."""
+    return sorted(r[0] for r in rows.where(F.col(value).isNotNull()).select(value).distinct().collect())
+
+
+def with_levels(rows: DataFrame, value: str, fitted: Sequence[str]) -> DataFrame:
+    """Add ``{value}_level`` and ``{value}_code``: the fitted levels and their places; others are missing, with code -1."""
+    known = F.array(*[F.lit(v) for v in fitted]).cast("array<string>")
+    place = F.coalesce(F.array_position(known, F.col(value)), F.lit(0)).cast("int") - 1
+    return rows.withColumn(f"{value}_level", F.when(place >= 0, F.col(value))).withColumn(f"{value}_code", place)
+
+
+def top_contributions(parts: dict[str, Column], n: int) -> Column:
+    """array<struct<size, feature, value>> of the ``n`` parts of a row that are largest by size, ties by name."""
+    each = [F.struct((-F.abs(v)).alias("size"), F.lit(k).alias("feature"), v.alias("value")) for k, v in parts.items()]
+    return F.slice(F.array_sort(F.array(*each)), 1, n)
+
+
 class Normaliser:
     """Fit on a long frame (row_id, section, feature, value) one scale for each numeric feature, whatever its section."""
 

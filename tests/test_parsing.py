@@ -18,6 +18,21 @@ def test_numbers(spark):
     assert read(spark, parse.number, *cells) == [1299.0, 20.0, 4.0, 22.0, 95.0, None, None, -5.5, 150.0, 6.0, -7.5]
 
 
+def test_numbers_in_compatibility_forms(spark):
+    cells = ("１２,５００.５ kg", "x²", "1\u00a0299 €", "③ Stück", "٣")
+    assert read(spark, parse.number, *cells) == [12500.5, 2.0, 1299.0, 3.0, None]
+
+
+def test_letters_without_marks(spark):
+    assert read(spark, parse.unaccented, "Größe  ÉTÉ", "e\u0301te\u0301", "Ａｂ", None) == ["große ete", "ete", "ab", None]
+
+
+def test_words_that_are_no_units_stay_unknown(spark):
+    words = units.lexicon()
+    assert "kilogram" not in words["mass_g"][1] and "megavolt" not in words["voltage_v"][1]
+    assert read(spark, lambda t: parse.converted(t, "mass_g"), "2 kilogram", "3 kilogramm") == [[], [3000.0]]
+
+
 def test_european_numbers(spark):
     cells = ("20.000", "1,5", "1.234,5", "1.2", "", "1.234.567", "x")
     assert read(spark, parse.european_number, *cells) == [20000.0, 1.5, 1234.5, 1.2, None, 1234567.0, None]
