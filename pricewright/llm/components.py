@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.llm.scratch import written
+from pricewright.llm.scratch import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     seen = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        old, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewright.llm.scratch import sliced, written
+from pricewright.llm.scratch import discard, sliced, written
 
 KINDS = ("email", "ip", "card", "phone", "key")
 #: Kinds from here on have no base rule.
@@ -392,10 +392,11 @@ def confident_patterns(seen: DataFrame, docs: DataFrame) -> tuple[DataFrame, Dat
     edges = seen.select("kind", "instance", "seed", F.explode("patterns").alias("pattern"))
     edges = edges.groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     edges = written(edges, "pii-edges")
-    edges = written(edges.join(reachable(edges, docs), ["kind", "pattern"]), "pii-graph")
+    whole, edges = edges, written(edges.join(reachable(edges, docs), ["kind", "pattern"]), "pii-graph")
+    discard(whole)
     trust = edges.groupBy("kind", "instance").agg(F.max("seed").cast("double").alias("trust"))
     sure = F.col("trust") >= CONFIDENT
-    before = None
+    before = last = None
     while True:
         scores = edges.join(trust, ["kind", "instance"]).groupBy("kind", "pattern", "corpus")
         scores = scores.agg(
@@ -407,11 +408,14 @@ def confident_patterns(seen: DataFrame, docs: DataFrame) -> tuple[DataFrame, Dat
         admitted = (F.col("known") >= SUPPORT) & (F.col("announced") >= SPECIFIC * F.col("corpus"))
         scores = scores.where(admitted & (F.col("confidence") >= 0.5)).select("kind", "pattern", "confidence", "support")
         scores = written(scores, "pii-patterns")
+        discard(last)
+        last = scores
         doubt = F.sum(F.log(1 - F.least("confidence", F.lit(1 - 1e-9))))
         graded = edges.join(scores, ["kind", "pattern"], "left").groupBy("kind", "instance")
         graded = graded.agg(F.max("seed").alias("seed"), doubt.alias("doubt"))
         known = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0))))
-        trust = written(graded.select("kind", "instance", known.alias("trust")), "pii-instances")
+        old, trust = trust, written(graded.select("kind", "instance", known.alias("trust")), "pii-instances")
+        discard(old)
         n_sure, total = trust.agg(F.count_if(sure), F.coalesce(F.sum("trust"), F.lit(0.0))).first()
         state = (scores.count(), n_sure, total)
         if before and state[:2] == before[:2] and state[2] - before[2] < STEADY:

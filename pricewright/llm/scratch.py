@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,38 +11,49 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from pricewright.session import shared_folder
+
+#: The tables written so far.
+_PATHS: list[str] = []
 #: Spark deletes a query's shuffle files at its end while this holds.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in local tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        named = "file://" + tempfile.mkdtemp(prefix="pricewright-")
-        sc.setCheckpointDir(named)
-        return sc._jsc.sc().getCheckpointDir().get()
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
     The lineage is cut: a lost executor costs a re-read, not a recomputation. The shuffle files of the write go with it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` has made and nothing will read again; others are left alone."""
+    for path in [t.written_to for t in tables if getattr(t, "written_to", None) in _PATHS]:
+        _delete(next(t for t in tables if t is not None).sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table that this process has written, once all results that rest on them have been consumed."""
+    while _PATHS:
+        _delete(spark, _PATHS[-1])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _PATHS.remove(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def lean(least: int = 1 << 20) -> None:
