@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricewright.session import shared_folder
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): summed weights of a node's edges."""
@@ -14,17 +16,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("weight").alias("degree"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): smallest reachable node, by spreading minima and jumping along them until nothing moves."""
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): smallest reachable node, by spreading minima and jumping along them until nothing moves.
 
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="pricewright-"))
+    Labels can only fall, so the loop ends; its rounds grow with the logarithm of the longest path.
+    """
+    shared_folder(edges.sparkSession)
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     label = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node").checkpoint()
-    for _ in range(rounds):
+    while True:
         heard = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("heard"))
         spread = label.join(heard, label["node"] == heard["src"]).select("node", F.least("label", "heard").alias("near"), "label")
         far = label.select(F.col("node").alias("near"), F.col("label").alias("jump"))
@@ -33,8 +33,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = fresh.where("fresh <> label").limit(1).count()
         label = fresh.select("node", F.col("fresh").alias("label"))
         if not moved:
-            break
-    return label.withColumnRenamed("label", "component")
+            return label.withColumnRenamed("label", "component")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

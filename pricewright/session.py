@@ -3,10 +3,32 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, set as the checkpoint folder of the session too.
+
+    Only a master in this very process may go without: it gets a temporary folder. Elsewhere other machines could not read
+    what one of them writes there.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
+    if not named and current.isDefined():
+        return current.get()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="pricewright-")
+    if not current.isDefined():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def build_session(app: str = "pricewright", master: str | None = None, **extra: str) -> SparkSession:
     """A session pinned to UTC with adaptive execution; extra settings win over the defaults."""
     builder = SparkSession.builder.appName(app)

@@ -196,7 +196,7 @@ def test_whole_components_match_union_find(spark, tmp_path):
     for s, p, _ in lines:
         low, high = sorted((top(s), top(p + 1_000_000)))
         over[high] = low
-    got = {r.node: r.component for r in registry.queries()["whole_components"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in registry.queries()["components"](spark, str(tmp_path)).collect()}
     assert got == {n: top(n) for n in over} and len(set(got.values())) > 3
 
 
