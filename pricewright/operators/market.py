@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pricewright.functions.columns import logistic, over_price_penalty
+from pricewright.functions.columns import logistic, over_price_penalty, shifted_logit
 
 #: The stated rule for the featured-offer share.
 RULE = {"intercept": -1.45, "gap": -12.0, "abs_gap": -4.0, "fba": 0.5, "prime": 0.5, "feedback": 0.1}
@@ -32,6 +32,16 @@ def price_gap(price: Column, reference: Column) -> Column:
     return F.coalesce(F.try_divide(price - reference, reference), F.lit(0.0))
 
 
+def featured_share(rule: Column, fitted: Column | None, gap: Column, abs_gap: Column, use_rule: bool = True, slope: float = -12.0,
+                   abs_slope: float = -4.0) -> Column:
+    """The share of the featured offer: the stated rule; or a fitted share, moved on the logit scale by both gaps, since a
+    tree is flat beyond its data; or, where nothing is fitted, a logistic curve of the gaps alone."""
+    if use_rule:
+        return rule
+    shift = F.coalesce(gap, F.lit(0.0)) * slope + F.coalesce(abs_gap, F.lit(0.0)) * abs_slope
+    return logistic(shift) if fitted is None else F.coalesce(shifted_logit(fitted, shift), logistic(shift))
+
+
 def conversion(chance: Column, size: Column, gap: Column, abs_gap: Column, free: float = 0.15, decay: float = 8.0, abs_decay: float = 4.0) -> Column:
     """Hurdle conversion, cut for prices beyond the free zones of both references, in [0, 1]."""
     rate = chance * size * over_price_penalty(gap, free, decay) * over_price_penalty(abs_gap, free, abs_decay)

@@ -13,8 +13,9 @@ from pricewright.functions.columns import ratio
 def regression(rows: DataFrame, truth: str, guess: str, by: Sequence[str] = ()) -> DataFrame:
     """R2, MAE, RMSE, MedAE, MAPE, sMAPE, Bias % and Hit20 of each group, in one aggregate after the group's mean."""
     y, p = F.col(truth).cast("double"), F.col(guess).cast("double")
-    mean = F.avg(y).over(Window.partitionBy(*by))
-    known = rows.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()).withColumn("_mean", mean)
+    known = rows.where(F.col(truth).isNotNull() & F.col(guess).isNotNull())
+    means = known.groupBy(*by).agg(F.avg(y).alias("_mean"))
+    known = known.join(means, list(by)) if by else known.crossJoin(F.broadcast(means))  # one row without keys
     err = p - y
     return known.groupBy(*by).agg(
         (1 - ratio(F.sum(err * err), F.sum((y - F.col("_mean")) ** 2))).alias("r2"),

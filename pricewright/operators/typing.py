@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewright.functions import parse
-from pricewright.functions.columns import min_max
 from pricewright.operators.panel import coverage
 
 #: Words in a header that mark identifiers, and those that mark counts.
@@ -212,8 +211,11 @@ def quantile_codes(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
 def soft_codes(rows: DataFrame, value: str, numeric: bool, order: str) -> DataFrame:
     """Add ``{value}_soft`` in [0, 1]: the scaled number, or the code in order of first appearance over the last code."""
     if numeric:
-        scaled = min_max(F.col(value).cast("double"), Window.partitionBy(), constant=0.5)
-        return rows.withColumn(f"{value}_soft", scaled)
+        x = F.col(value).cast("double")
+        ends = rows.agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+        spread = F.when(F.col("_high") > F.col("_low"), (x - F.col("_low")) / (F.col("_high") - F.col("_low")))
+        soft = spread.when(x.isNotNull(), F.lit(0.5))
+        return rows.crossJoin(F.broadcast(ends)).withColumn(f"{value}_soft", soft).drop("_low", "_high")  # one row
     firsts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_first"))
     codes = firsts.select(value, (F.row_number().over(Window.orderBy("_first")) - 1).alias("_code"))
     top = F.max("_code").over(Window.partitionBy())

@@ -172,10 +172,18 @@ def kernel_price(spark: SparkSession, d: str) -> DataFrame:
 def kernel_guesses(spark: SparkSession, d: str) -> DataFrame:
     """Each part's price from the others of its group, weighed by a Gaussian of the size difference."""
     part = table(spark, d, "part").select("p_brand", "p_type", "p_partkey", "p_size", "p_retailprice")
-    other = part.select("p_brand", "p_type", F.col("p_partkey").alias("o"), F.col("p_size").alias("z"), F.col("p_retailprice").alias("x"))
-    met = part.join(other, ["p_brand", "p_type"]).where("p_partkey <> o")
+    group = ["p_brand", "p_type"]
+    sizes = part.groupBy(*group, F.col("p_size").alias("z")).agg(F.count("*").alias("n"), F.sum("p_retailprice").alias("x"))
+    # sizes of a group meet sizes, of which there are few, not parts parts; each part then leaves itself out
+    met = sizes.select(*group, F.col("z").alias("p_size")).join(sizes, group)
     weight = gaussian((F.col("p_size") - F.col("z")).cast("double"), 0.05)
-    return met.groupBy("p_partkey", "p_retailprice").agg(ratio(F.sum(F.col("x") * weight), F.sum(weight)).alias("guess"))
+    far = lambda x: F.sum(F.when(F.col("z") != F.col("p_size"), F.col(x) * weight).otherwise(0.0))
+    near = lambda x: F.max(F.when(F.col("z") == F.col("p_size"), F.col(x)))
+    sums = met.groupBy(*group, "p_size").agg(far("x").alias("far_x"), far("n").alias("far_n"), near("x").alias("own_x"), near("n").alias("own_n"))
+    joined = part.join(sums, [*group, "p_size"])
+    same = F.when(F.col("own_n") > 1, F.col("own_x") - F.col("p_retailprice")).otherwise(0.0)
+    below = F.col("far_n") + (F.col("own_n") - 1)
+    return joined.where(below > 0).select("p_partkey", "p_retailprice", ((F.col("far_x") + same) / below).alias("guess"))
 
 
 METRICS = """g AS (SELECT a.p_partkey, a.p_retailprice AS y, sum(b.p_retailprice * exp(-0.05 * (a.p_size - b.p_size) * (a.p_size - b.p_size))) / nullif(sum(exp(-0.05 * (a.p_size - b.p_size) * (a.p_size - b.p_size))), 0) AS p

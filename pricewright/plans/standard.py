@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricewright.functions.columns import settled
+from pricewright.operators import market, similarity
 from pricewright.operators import standardise as st
 from pricewright.operators import typing as ty
 from pricewright.plans.registry import query
@@ -177,3 +178,94 @@ def defective_returns(spark: SparkSession, d: str) -> DataFrame:
     bad = F.col("l_linestatus") == "F"
     defective = F.try_divide(F.sum(F.when(bad, F.col("l_quantity"))), F.sum("l_quantity"))
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("dispositions"), F.count_if(bad).alias("defective"), settled(defective).alias("defective_share"))
+
+
+def shape_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Parts with a size and a kind told by two sections, in part."""
+    part, key = table(spark, d, "part"), F.col("p_partkey")
+    one = lambda section, feature, value: F.struct(F.lit(section).alias("section"), F.lit(feature).alias("feature"), value.alias("value"))
+    cells = F.array(
+        one("title", "size", F.when(key % 4 != 0, F.concat(F.col("p_size").cast("string"), F.lit(" mm")))),
+        one("text", "size", F.when(key % 3 == 0, F.concat((F.col("p_size") + 10).cast("string"), F.lit("mm")))),
+        one("title", "kind", F.when(key % 5 != 0, F.col("p_type"))),
+        one("text", "kind", F.when(key % 2 == 0, F.col("p_type"))),
+    )
+    return part.select(key.alias("row_id"), F.explode(cells).alias("c")).select("row_id", "c.*")
+
+
+_VECTORS = """v AS (SELECT p_partkey AS row_id, p_brand, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN p_size + 5.0::DOUBLE WHEN p_partkey % 4 <> 0 THEN p_size
+    WHEN p_partkey % 3 = 0 THEN p_size + 10 END AS size, CASE WHEN p_partkey % 5 <> 0 OR p_partkey % 2 = 0 THEN p_type END AS kind FROM part),
+m AS (SELECT avg(size) AS fill FROM v)"""
+
+
+@query("feature_vectors", f"""WITH {_VECTORS} SELECT row_id, 'size' AS feature, round(coalesce(size, fill) + 1e-9, 6) AS number, NULL AS label, size IS NOT NULL AS present FROM v, m
+UNION ALL SELECT row_id, 'kind', NULL, coalesce(kind, 'Unknown'), kind IS NOT NULL FROM v""")
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = similarity.feature_vectors(shape_cells(spark, d), ["size"])
+    return rows.withColumn("number", settled(F.col("number")))
+
+
+@query("feature_distances", f"""WITH {_VECTORS}, f AS (SELECT row_id, p_brand AS cluster, coalesce(size, fill) AS x, coalesce(kind, 'Unknown') AS kind, size FROM v, m),
+s AS (SELECT cluster, avg(size) AS mean, stddev_pop(size) AS sd FROM f GROUP BY 1),
+z AS (SELECT f.*, coalesce((x - mean) / nullif(sd, 0), 0) AS z FROM f JOIN s USING (cluster)),
+p AS (SELECT a.cluster, abs(a.z - b.z) AS dz, (a.kind <> b.kind)::INT::DOUBLE AS dk FROM z a JOIN z b ON a.cluster = b.cluster AND a.row_id < b.row_id)
+SELECT cluster, count(*) AS pairs, round(avg(dz) + 1e-9, 6) AS size, round(max(dz) + 1e-9, 6) AS farthest, round(avg(dk) + 1e-9, 6) AS kind FROM p GROUP BY 1""")
+def feature_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances of the pairs of each brand by feature, summed up."""
+    clusters = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("cluster"))
+    pairs = similarity.feature_distances(similarity.feature_vectors(shape_cells(spark, d), ["size"]), clusters)
+    of = lambda feature, f: f(F.when(F.col("feature") == feature, F.col("distance")))
+    return pairs.groupBy("cluster").agg(
+        F.count_if(F.col("feature") == "size").alias("pairs"), settled(of("size", F.avg)).alias("size"),
+        settled(of("size", F.max)).alias("farthest"), settled(of("kind", F.avg)).alias("kind"),
+    )
+
+
+@query("useful_columns", """WITH s AS (SELECT
+  [('o_orderstatus', avg((o_orderstatus IS NOT NULL)::INT), count(DISTINCT o_orderstatus), avg(length(o_orderstatus))),
+   ('o_orderpriority', avg((o_orderpriority IS NOT NULL)::INT), count(DISTINCT o_orderpriority), avg(length(o_orderpriority))),
+   ('o_totalprice', avg((o_totalprice <> 0)::INT), count(DISTINCT o_totalprice), 0.0)] AS c FROM orders)
+SELECT x[1] AS "column" FROM (SELECT unnest(c) AS x FROM s) WHERE x[2] >= 0.25 AND x[3] <= 75 AND x[4] <= 50""")
+def useful_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The columns that pre-clustering by modes would use; a banned one and one of many values are left out."""
+    columns = ["o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderkey"]
+    found = similarity.useful_columns(table(spark, d, "orders"), columns, banned=("o_orderkey",))
+    return spark.createDataFrame([(c,) for c in found], "column string")
+
+
+@query("modes_elbow", """WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1),
+r AS (SELECT n, row_number() OVER (ORDER BY n DESC, c_mktsegment) AS place FROM c)
+SELECT k::INTEGER AS k, CAST(sum(CASE WHEN place > k THEN n ELSE 0 END) AS BIGINT) AS cost FROM r, (VALUES (1), (2), (3), (5)) v(k) GROUP BY k""")
+def modes_elbow(spark: SparkSession, d: str) -> DataFrame:
+    """Costs of k-modes by the number of clusters; with one column they are the rows beyond the k commonest values."""
+    return similarity.elbow(table(spark, d, "customer"), "c_custkey", ["c_mktsegment"], [1, 2, 3, 5])
+
+
+_GAPS = """g AS (SELECT p_partkey, p_retailprice AS price, avg(p_retailprice) OVER (PARTITION BY p_brand) AS comp, (SELECT median(p_retailprice) FROM part) AS ref, p_size / 50.0::DOUBLE AS tree FROM part),
+h AS (SELECT *, (price - comp) / nullif(comp, 0) AS gap, (price - ref) / nullif(ref, 0) AS abs_gap FROM g)"""
+
+
+def priced_parts(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    comp = part.groupBy("p_brand").agg(F.avg("p_retailprice").alias("comp"))
+    middle = part.agg(F.percentile("p_retailprice", F.lit(0.5)).alias("ref"))
+    rows = part.join(comp, "p_brand").crossJoin(F.broadcast(middle))  # one row
+    price = F.col("p_retailprice")
+    rows = rows.withColumn("gap", market.price_gap(price, F.col("comp"))).withColumn("abs_gap", market.price_gap(price, F.col("ref")))
+    return rows.withColumn("tree", F.col("p_size") / 50.0)
+
+
+@query("predicted_cvr", f"""WITH {_GAPS} SELECT p_partkey, round(greatest(0, least(1, tree * 0.3 * exp(-8 * greatest(0, gap - 0.15)) * exp(-4 * greatest(0, abs_gap - 0.15)))) + 1e-9, 6) AS cvr FROM h""")
+def predicted_cvr(spark: SparkSession, d: str) -> DataFrame:
+    """Hurdle conversion, cut for prices beyond the free zones around the competitors and the market's middle."""
+    cvr = market.conversion(F.col("tree"), F.lit(0.3), F.col("gap"), F.col("abs_gap"))
+    return priced_parts(spark, d).select("p_partkey", settled(cvr).alias("cvr"))
+
+
+@query("featured_share", f"""WITH {_GAPS}, l AS (SELECT *, greatest(1e-4, least(1 - 1e-4, tree)) AS held, greatest(-30, least(30, gap * -12 + abs_gap * -4)) AS shift FROM h)
+SELECT p_partkey, round(1 / (1 + exp(-greatest(-30, least(30, ln(held / (1 - held)) + gap * -12 + abs_gap * -4)))) + 1e-9, 6) AS fitted,
+  round(1 / (1 + exp(-shift)) + 1e-9, 6) AS bare FROM l""")
+def featured_share(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted share moved by both gaps on the logit scale, and the curve that stands in for it."""
+    share = lambda fitted: market.featured_share(F.lit(0.0), fitted, F.col("gap"), F.col("abs_gap"), use_rule=False)
+    return priced_parts(spark, d).select("p_partkey", settled(share(F.col("tree"))).alias("fitted"), settled(share(None)).alias("bare"))
