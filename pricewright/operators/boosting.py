@@ -67,15 +67,7 @@ class Trees:
         out[:, -1] = self.base
         for tree in self.trees:
             out[:, -1] += self.rate * _expected(tree)
-            # a tree tells rows apart by the features it splits on, so equal ones are worked out once
-            used = sorted(_used(tree))
-            kinds, place = np.unique(b[:, used], axis=0, return_inverse=True)
-            row = np.zeros(b.shape[1], np.int64)
-            shares = np.zeros((len(kinds), len(self.features)))
-            for k, kind in enumerate(kinds):
-                row[used] = kind
-                shares[k] = _shapley(tree, row, len(self.features))
-            out[:, :-1] += self.rate * shares[place.reshape(-1)]
+            out[:, :-1] += self.rate * _shapley(tree, b, len(self.features))
         return out
 
     def to_json(self) -> str:
@@ -106,41 +98,36 @@ def _walk(node: Node, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _used(node: Node) -> set[int]:
-    """The features a tree splits on."""
-    return set() if node.left is None else {node.feature} | _used(node.left) | _used(node.right)
-
-
 def _expected(node: Node) -> float:
     if node.left is None:
         return node.value
     return (node.left.cover * _expected(node.left) + node.right.cover * _expected(node.right)) / node.cover
 
 
-def _shapley(tree: Node, row: np.ndarray, n_features: int) -> np.ndarray:
+def _shapley(tree: Node, b: np.ndarray, n_features: int) -> np.ndarray:
     """Each leaf is a product game over the features on its path: its value counts for a subset if the row satisfies the
     path's conditions on the subset, and by cover for the rest. The Shapley value of a product game has weights that
-    depend on subset sizes alone, which a small polynomial over the path's features gives."""
-    out = np.zeros(n_features)
+    depend on subset sizes alone, which a small polynomial over the path's features gives, for all rows at once."""
+    out = np.zeros((len(b), n_features))
 
-    def leaf(value: float, path: dict[int, tuple[float, float]]) -> None:
+    def leaf(value: float, path: dict[int, tuple[np.ndarray, float]]) -> None:
         items = list(path.items())
         m = len(items)
+        weight = [_choose_weight(m, k) for k in range(m)]
         for i, (feature, (one, zero)) in enumerate(items):
-            poly = np.array([1.0])
+            poly = [np.ones(len(b))]
             for j, (_, (o, z)) in enumerate(items):
                 if j != i:
-                    poly = np.convolve(poly, [z, o])
-            weight = np.array([_choose_weight(m, s) for s in range(m)])
-            out[feature] += value * (one - zero) * float((poly * weight).sum())
+                    poly = [x * z + y * o for x, y in zip([*poly, 0.0], [0.0, *poly], strict=True)]
+            out[:, feature] += value * (one - zero) * sum(w * x for w, x in zip(weight, poly, strict=True))
 
-    def walk(node: Node, path: dict[int, tuple[float, float]]) -> None:
+    def walk(node: Node, path: dict[int, tuple[np.ndarray, float]]) -> None:
         if node.left is None:
             leaf(node.value, path)
             return
-        goes_left = bool(_goes_left(node, row[node.feature]))
-        for child, hit in ((node.left, goes_left), (node.right, not goes_left)):
-            one, zero = path.get(node.feature, (1.0, 1.0))
+        goes_left = _goes_left(node, b[:, node.feature]).astype(float)
+        one, zero = path.get(node.feature, (np.ones(len(b)), 1.0))
+        for child, hit in ((node.left, goes_left), (node.right, 1 - goes_left)):
             walk(child, path | {node.feature: (one * hit, zero * child.cover / node.cover)})
 
     walk(tree, {})

@@ -127,11 +127,11 @@ BBOX = ("buybox_pct 1|implied_price 1|oi_price 1|listing_price 1|raw_price 1|own
         "revenue 1|price 1|price_vs_lowest 1|price_vs_bb 1|own_landed 1|landed_vs_bb 1|days_of_supply 1|est_margin 1|net_sentiment 1")
 
 
-def _columns(of: str) -> list[tuple[str, bool]]:
+def columns_of(of: str) -> list[tuple[str, bool]]:
     return [(c.split()[0], c.endswith("1")) for c in of.split("|")]
 
 
-_SQL = """
+PANEL_SQL = """
 WITH s AS (
   SELECT l.*, p_brand AS brand, n_regionkey AS region, CAST(l_shipdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS bought, p_type, p_size, p_partkey,
          l_extendedprice / l_quantity AS unit, o_custkey, o_totalprice, o_orderpriority,
@@ -205,12 +205,12 @@ panel AS (
 
 
 def _oracle(of: str, more: str = "") -> str:
-    columns = ", ".join(f"round({c} + 1e-9, 6) AS {c}" if fraction else c for c, fraction in _columns(of))
-    return f"{_SQL} SELECT brand, region, week, {more}{columns} FROM panel"
+    columns = ", ".join(f"round({c} + 1e-9, 6) AS {c}" if fraction else c for c, fraction in columns_of(of))
+    return f"{PANEL_SQL} SELECT brand, region, week, {more}{columns} FROM panel"
 
 
 def _selected(panel: DataFrame, of: str, *more: Column) -> DataFrame:
-    return panel.select(*KEYS, "week", *more, *[settled(F.col(c)).alias(c) if fraction else F.col(c) for c, fraction in _columns(of)])
+    return panel.select(*KEYS, "week", *more, *[settled(F.col(c)).alias(c) if fraction else F.col(c) for c, fraction in columns_of(of)])
 
 
 @query("full_cvr_panel", _oracle(CVR, "CAST(weekofyear(week) AS INTEGER) AS week_of_year, CAST(month(week) AS INTEGER) AS month, "))

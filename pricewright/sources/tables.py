@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,3 +106,15 @@ def matching(rows: DataFrame, column: str, term: str, allowed: Sequence[str] = L
         raise ValueError(f"{column!r} is not one of {', '.join(allowed)}")
     safe = term.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
     return rows.where(F.col(column).ilike(f"%{safe}%"))
+
+
+def database_options(spark: SparkSession, name: str = "API_DATABASE_URL", path: str = ".env", timeout: int = 20) -> dict[str, str]:
+    """Options of ``jdbc`` from an environment variable, or else from a line ``NAME=value`` of a settings file."""
+    url = os.environ.get(name)
+    if not url:
+        lines = (r[0] for r in spark.read.text(path).where(F.trim("value").startswith(name)).limit(1).collect())
+        found = next(lines, None)
+        if found is None:
+            raise KeyError(f"{name} is neither in the environment nor in {path}")
+        url = found.split("=", 1)[1].strip().strip("\"'")
+    return {"url": url if url.startswith("jdbc:") else f"jdbc:{url}", "connectTimeout": str(timeout)}

@@ -104,7 +104,7 @@ def test_attributions_are_shapley_values():
                 before = value(tree, row, known)
                 known = known | {f}
                 expected[f] += (value(tree, row, known) - before) / 6
-        assert np.allclose(boosting._shapley(tree, row, 3), expected)
+        assert np.allclose(boosting._shapley(tree, row[None], 3)[0], expected)
 
 
 def test_counted_rows_grow_the_model_of_all_rows():
