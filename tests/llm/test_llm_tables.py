@@ -97,3 +97,15 @@ def test_pipeline_stages(spark, folder):
     assert last.where("not round_trip").count() == 0
     assert last.select("doc_id").distinct().count() == len(copies)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_the_whole_pipeline_runs(spark, folder, tmp_path):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, folder)
+    rows = got.collect()
+    assert rows and all(r.round_trip for r in rows) and {r["sample"] for r in rows} == {0, 1}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

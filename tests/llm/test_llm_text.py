@@ -740,3 +740,89 @@ def test_rows_become_turns_in_order(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.canonical(chat.records_from_rows(frame)))).collect()}
     assert [tuple(t) for t in got[1].read_turns] == [("user", ""), ("assistant", "b"), ("assistant", "b")]
     assert got[1].loss_text == "bb" and [tuple(t) for t in got[2].read_turns] == [("", "x")] and None in got
+
+
+# ---- edges ----
+
+
+def test_every_operator_on_an_empty_table(spark, empty):
+    from pricewright.llm import neighbours
+
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.train(empty, labels)
+    assert model.constant == 0.5 and quality.scored(empty, model).count() == 0 and quality.accepted(empty, model).columns == empty.columns
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).columns == empty.columns
+    assert katz.scores(empty).count() == 0 and mixing.mix(empty).columns == empty.columns
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert neighbours.search(vectors, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of a million characters without a blank, one of 150 000 words, and one line of one repeated shingle."""
+    rng = np.random.default_rng(1)
+    texts = ["x" * 1_000_000, " ".join(f"w{i}" for i in rng.integers(0, 5000, 150_000)), "a b " * 40_000, None, ""]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(rows).collect()}
+    assert fps[3] == fps[4] == 0 and fps[2] % 2**64 == brute_simhash(texts[2])
+    sizes = {r.doc_id: r["size"] for r in mixing.sized(rows).collect()}
+    assert sizes == {0: 1, 1: 150_000, 2: 80_000, 3: 0, 4: 0}
+    counts = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(rows).collect()}
+    assert counts[0][0] == 1 and counts[0][1] > 10_000 and counts[1][0] == 150_000 and counts[3] == counts[4] == (0, 0)
+    pieces_of = segmentations.encoded(rows, samples=1, ids="hash").collect()
+    assert len(pieces_of) == 5 and all(r.round_trip for r in pieces_of)
+    found = {r.doc_id: r for r in pii.find(rows).collect()}
+    assert len(found) == 5 and all(r.n_found == 0 for r in found.values())
+    got = {r.doc_id: r for r in katz.scores(rows).collect()}
+    assert got[1].n_tokens == 150_001 and got[3].n_tokens == 1 and all(math.isfinite(r.score) for r in got.values())
+
+
+def test_quality_measures_sizes_as_stated(spark):
+    """The evidence of a handful of texts, and a score, worked out step by step."""
+    import zstandard
+
+    good, bad = b"the good text of the house " * 20, b"zz qq xx buy now $$$ " * 20
+    texts = [b"", b"the good text", b"buy now $$$ zz", "\u00e9t\u00e9".encode() * 9]
+    sizes = lambda d: [len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d) if d else None).compress(t)) for t in texts]
+    g, b, plain = sizes(good), sizes(bad), sizes(None)
+    n = [max(len(t), 1) for t in texts]
+    expected = [((y - x) / k, (y - x) / p, p / k, math.log(k)) for x, y, p, k in zip(g, b, plain, n, strict=True)]
+    got = quality.evidence(good, bad)(texts)
+    assert np.allclose(got, expected)
+    model = quality.Model(good, bad, (0.1,) * 9, (2.0,) * 9, tuple(0.3 * k for k in range(10)))
+    for row, score in zip(expected, model.scorer()(texts), strict=True):
+        terms = [*row, *(v * v for v in row), row[0] * row[3]]
+        z = sum(0.3 * k * (t - 0.1) / 2.0 for k, t in enumerate(terms)) + 0.3 * 9
+        assert score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_quality_fit_of_repeated_ids_and_long_texts(spark):
+    rng = np.random.default_rng(3)
+    made = lambda words, n: " ".join(rng.choice(np.array(words.split()), n))
+    rows, labels = [], []
+    for i in range(160):
+        rows.append((i, made("calm river stone old bridge light", 40 if i % 40 else 30_000) if i % 2 else made("win cash now click free prize", 40)))
+        labels.append((i, i % 2))
+    rows += [(1, made("calm river stone", 12)) for _ in range(50)] + [(1, rows[1][1])] * 3
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), per_class=70)
+    assert model.constant is None and max(len(model.good), len(model.bad)) <= quality.DICTIONARY
+    good, bad = model.scorer()([b"old bridge over the calm river", b"click now and win a free prize"])
+    assert good > 0.5 > bad
+
+
+def test_tables_between_steps_need_a_shared_folder(spark, monkeypatch):
+    from pricewright import session
+    from pricewright.llm import scratch
+
+    table = scratch.written(spark.range(3).toDF("x"), "probe")
+    assert table.count() == 3 and table.written_to in scratch._PATHS
+    scratch.discard(table, None, spark.range(1))
+    assert table.written_to not in scratch._PATHS
+
+    class Far:
+        master = "spark://host:7077"
+        getConf = lambda self: type("C", (), {"get": lambda self, k: None})()
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+    far = type("Session", (), {"sparkContext": Far(), "conf": type("C", (), {"get": lambda self, k, d=None: None})()})()
+    with pytest.raises(RuntimeError):
+        session.shared_folder(far)
