@@ -22,7 +22,7 @@ from pricewright.llm.pieces import DEFAULT_MODEL, Pieces, pre_tokens
 from pricewright.llm.scratch import blocks
 
 #: Nodes of the trie that a task keeps.
-NODES = 500_000
+NODES = 1_000_000
 #: Bytes of text taken up at once.
 BLOCK = 500_000
 
