@@ -7,7 +7,7 @@ low keeps its smallest one, so only a text without words has an empty sketch.
 
 Defined cases: null text counts as empty; under five words the whole sequence is one shingle; repeated shingles count
 once; likeness of two empty sketches is 1, of an empty and another 0; rows with the same ``doc_id`` are ordered by
-text; a null ``doc_id`` sorts first; an empty table gives an empty result; other columns are ignored.
+the hash of their text, then the text; a null ``doc_id`` sorts first; an id of many rows is dealt out by ranges of that hash; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ SHINGLE = 5
 FRACTION = 0.5
 #: Neighbours in ``doc_id`` order meet in buckets of 2**BUCKET_BITS consecutive ids.
 BUCKET_BITS = 9
+#: An id of more rows than this has ranges of its own.
+HOT = 1024
 
 
 def shingle_hashes(words: Column, shingle: int = SHINGLE) -> Column:
@@ -97,9 +99,35 @@ def _bucket() -> Column:
     return F.coalesce(F.shiftright("doc_id", BUCKET_BITS), F.lit(-(2**62)))
 
 
+def _hot(rows: DataFrame) -> DataFrame:
+    """(bucket, hot): the ids of a bucket that have more than ``HOT`` rows, in order, and how many ranges each of them gets."""
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    ids = F.sort_array(F.collect_list(F.struct("doc_id", F.ceil(F.col("n") / HOT).alias("ranges")))).alias("hot")
+    return counts.groupBy(_bucket().alias("_bucket")).agg(ids)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Add the bucket of each row, as (ids, place among the hot ids of the bucket, range), in the order of (doc_id, hash, text).
+
+    The table of hot ids is written first: its size is then known, and Spark broadcasts it only while it is small.
+    """
+    hot = written(_hot(rows), "hot-ids")
+    joined = rows.withColumn("_bucket", _bucket()).join(hot, "_bucket", "left")
+    own = F.filter("hot", lambda h: h["doc_id"].eqNullSafe(F.col("doc_id")))
+    before = F.filter("hot", lambda h: h["doc_id"] < F.col("doc_id"))
+    # monotone in the hash, as a double is in a whole number
+    part = F.floor((F.col("hash").cast("double") / float(2**64) + 0.5) * F.get(own, F.lit(0))["ranges"])
+    is_own = F.coalesce(F.size(own) > 0, F.lit(False))
+    place = 2 * F.greatest(F.coalesce(F.size(before), F.lit(0)), F.lit(0)) + is_own.cast("int")
+    bucket = F.struct(
+        F.col("_bucket").alias("ids"), F.when(F.col("hot").isNull(), 0).otherwise(place).alias("place"), F.when(is_own, part).otherwise(0).alias("range")
+    )
+    return joined.withColumn("bucket", bucket).drop("_bucket", "hot")
+
+
 def _following(firsts: DataFrame) -> DataFrame:
     """For each bucket, the one after it; the first one after the last. Two levels, so that no task sorts all buckets."""
-    over = F.shiftright("bucket", BUCKET_BITS)
+    over = F.shiftright(F.col("bucket")["ids"], BUCKET_BITS)
     groups = firsts.groupBy(over.alias("over")).agg(F.min("bucket").alias("first_of_group"))
     whole = Window.orderBy("over")
     groups = groups.select(
@@ -116,12 +144,13 @@ def _following(firsts: DataFrame) -> DataFrame:
 
 
 def with_next(rows: DataFrame, shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
-    """Give each row (doc_id, text, sketch) the text and sketch of the next in ``doc_id`` order, the last those of the first.
+    """Give each row (doc_id, text, sketch) the text and sketch of the next in order, the last those of the first.
 
-    Texts are dealt out once, by id bucket; only the first row of each bucket also travels to the bucket before it.
+    Texts are dealt out once, by bucket; only the first row of each bucket also travels to the bucket before it.
     """
-    row = F.min(F.struct("doc_id", "text")).alias("row")
-    firsts = rows.select("doc_id", "text").groupBy(_bucket().alias("bucket")).agg(row)
+    rows = _placed(rows.withColumn("hash", F.xxhash64("text")))
+    row = F.min(F.struct("doc_id", "hash", "text")).alias("row")
+    firsts = rows.select("bucket", "doc_id", "hash", "text").groupBy("bucket").agg(row)
     firsts = firsts.select("bucket", F.col("row.text").alias("text"))
     firsts = written(with_sketch(firsts, "text", "sketch", shingle, fraction), "bucket-firsts")
     tails = (
@@ -129,15 +158,14 @@ def with_next(rows: DataFrame, shingle: int = SHINGLE, fraction: float = FRACTIO
         .join(firsts.select(F.col("bucket").alias("next_bucket"), F.struct("text", "sketch").alias("tail")), "next_bucket")
         .select("bucket", "tail")
     )
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+    order = Window.partitionBy("bucket").orderBy("doc_id", "hash", "text")
     return (
-        rows.withColumn("bucket", _bucket())
-        .withColumn("after_text", F.lead("text").over(order))
+        rows.withColumn("after_text", F.lead("text").over(order))
         .withColumn("after_sketch", F.lead("sketch").over(order))
         .join(tails, "bucket")
         .withColumn("next_text", F.coalesce("after_text", "tail.text"))
         .withColumn("next_sketch", F.coalesce("after_sketch", "tail.sketch"))
-        .drop("after_text", "after_sketch", "tail", "bucket")
+        .drop("after_text", "after_sketch", "tail", "bucket", "hash")
     )
 
 
