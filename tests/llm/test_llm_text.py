@@ -109,6 +109,22 @@ def test_short_texts_keep_enough_hashes(spark):
     assert not ((true >= 0.5) & (got == 0)).any() and np.abs(got - true).mean() < 0.1
 
 
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_ids_of_many_rows_are_dealt_out(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprints, "HOT", hot)
+    ids = [None] * 20 + [5] * 15 + [6] + [7] * 9 + list(range(100, 110)) + [700] * 12 + [10**12] * 2
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)] + [(7, "text 40")] * 5
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - 2**64 * (h >= 2**63)
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], signed(r[1]), r[1]))
+    expected = Counter((*r, n[1]) for r, n in zip(ordered, [*ordered[1:], ordered[0]], strict=True))
+    frame = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = fingerprints.with_next(frame)
+    assert Counter((r.doc_id, r.text, r.next_text) for r in got.collect()) == expected
+    if hot == 3:
+        buckets = fingerprints._placed(frame.withColumn("hash", F.xxhash64("text"))).groupBy("bucket").count()
+        assert buckets.agg(F.max("count")).first()[0] <= 12 and buckets.count() > 10
+
+
 def test_fingerprints_of_nothing_and_sparse_ids(spark, empty):
     assert fingerprints.compare_edited(empty).count() == 0
     rows = spark.createDataFrame([(i * 10**7, f"text {i}") for i in range(20)], "doc_id long, text string")
