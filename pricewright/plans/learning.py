@@ -67,9 +67,17 @@ def otsu_pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.otsu(votes.where("score > 0"), "score", ["cluster"]).withColumn("threshold", settled(F.col("threshold")))
 
 
-@query("kept_votes")
+@query("kept_votes", f"""WITH {COSINE}, p AS (SELECT cluster, i, j, round(score + 1e-9, 6) AS score FROM votes WHERE score > 0), lim AS (SELECT cluster, min(score) AS lo, max(score) AS hi FROM p GROUP BY 1),
+b AS (SELECT cluster, lo, hi, CASE WHEN hi > lo THEN least(floor((score - lo) / ((hi - lo) / 256)), 255) ELSE 0 END AS bin, count(*) AS n FROM p JOIN lim USING (cluster) GROUP BY ALL),
+c AS (SELECT *, lo + (bin + 0.5) * ((hi - lo) / 256) AS mid FROM b),
+s AS (SELECT *, sum(n) OVER o / sum(n) OVER a::DOUBLE AS w, sum(n * mid) OVER o / sum(n) OVER a AS m, sum(n * mid) OVER a / sum(n) OVER a AS mt FROM c
+  WINDOW o AS (PARTITION BY cluster ORDER BY bin ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY cluster)),
+g AS (SELECT *, CASE WHEN w > 0 AND w < 1 THEN (mt * w - m) * (mt * w - m) / (w * (1 - w)) ELSE 0 END AS gain FROM s),
+cut AS (SELECT cluster, mid FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(gain, 9) DESC, bin) AS k FROM g) WHERE k = 1)
+SELECT p.cluster, i, j, score FROM p JOIN cut ON p.cluster = cut.cluster WHERE score >= mid""")
 def kept_votes(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.kept_votes(similarity.cosine_votes(codes(spark, d)))
+    votes = similarity.cosine_votes(codes(spark, d)).withColumn("score", settled(F.col("score")))
+    return similarity.kept_votes(votes)
 
 
 @query("k_modes")
@@ -137,7 +145,12 @@ def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
     return graphs.louvain(similarity.mutual_or(near))
 
 
-@query("fold_in")
+@query("fold_in", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, label, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) AS v FROM e),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, b.label, round(list_dot_product(a.v, b.v), 12) AS sim FROM u a JOIN u b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS n FROM p),
+w AS (SELECT i, label, sum(greatest(sim, 0)) AS w FROM k WHERE n <= 15 GROUP BY 1, 2)
+SELECT i AS row_id, label AS community FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, label) AS n FROM w) WHERE n = 1""")
 def fold_in(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v"), F.col("label").alias("community"))
     old, new = rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0")
