@@ -1,7 +1,7 @@
 """Writing-style features of texts, in built-in functions.
 
-Tagged parts of speech need a tagger, which is a plug-in; ``tag_ratios`` takes the tags from one, and without it the
-closed word classes of ``LEXICON`` stand in.
+Tagged parts of speech need a trained tagger, which is not at hand: ``tag_ratios`` goes by closed word classes and endings
+instead, in the order of ``CLASSES``, and takes what is left as nouns. The rules are for English.
 """
 
 from __future__ import annotations
@@ -15,13 +15,25 @@ STOP_WORDS = {
     "fr": "le la les de des du et un une en est que qui dans pour pas sur au par avec ne se ce il sont plus ou".split(),
     "de": "der die das und in den von zu mit sich des auf ist im dem nicht ein eine als auch es an werden aus er".split(),
     "es": "el la los las de que y en un una es se no con por para su al lo como del mas pero sus le ya".split(),
+    "it": "il lo la i gli le di che e un una per non con si da del della in sono come ma al dei nel anche piu".split(),
+    "pt": "o a os as de que e em um uma para com nao se por mais como mas ao dos das foi seu sua ou no na".split(),
+    "nl": "de het een en van in is dat op te zijn met voor niet aan er om ook als bij maar dan naar door over".split(),
 }
-#: Closed word classes that stand in for tags.
-LEXICON = {
-    "determiner": "the a an this that these those every each".split(),
-    "pronoun": "i you he she it we they me him her us them my your his its our their".split(),
-    "conjunction": "and or but nor so yet".split(),
+#: Word classes in the order in which they are tried: words, and a pattern of forms.
+CLASSES = {
+    "determiner": ("the a an this that these those every each some any".split(), None),
+    "pronoun": ("i you he she it we they me him her us them my your his its our their mine yours ours theirs".split(), None),
+    "conjunction": ("and or but nor so yet".split(), None),
+    "numeral": ("one two three four five six seven eight nine ten hundred thousand million".split(), r"\p{Nd}"),
+    "preposition": ("of to in for on with at by from into over under about after before between through without".split(), None),
+    "adverb": ("very not never always often also too just only soon here there now well again".split(), r".{2,}ly$"),
+    "verb": ("is are was were be been am has have had do does did can will would should could may might must".split(), r".{2,}(ing|ed|ise|ize|ify)$"),
+    "adjective": ("good new high low small large big great best better fast easy light".split(), r".{2,}(ous|ful|less|able|ible|ive|ical|ic|ish)$"),
 }
+#: Comparatives and superlatives, and verbs that open a request.
+DEGREES = ("more most less least better best worse worst further furthest".split(), r".{3,}(er|est)$")
+NO_DEGREES = "other after under over never ever number water paper power order user another later either rather whether winter summer test rest best".split()
+REQUESTS = "use try buy get see make take keep add click order choose enjoy discover find learn check follow read place set turn press let stop start call visit".split()
 
 
 def tokens(text: Column) -> Column:
@@ -110,10 +122,45 @@ def language(text: Column) -> Column:
     return F.when(best["n"] > 0, best["code"]).otherwise(F.lit("en"))
 
 
-def tag_ratios(words: Column, classes: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """The share of words in each class."""
+def _is(word: Column, rule: tuple[list[str], str | None]) -> Column:
+    found = word.isin(*rule[0])
+    return found | word.rlike(rule[1]) if rule[1] else found
+
+
+def tagged(words: Column) -> Column:
+    """array<string>: the class of each word, a mark's being "mark"."""
+
+    def tag(word: Column) -> Column:
+        low = F.lower(word)
+        out = F.when(~word.rlike(r"[\p{L}\p{Nd}]"), "mark")
+        for name, rule in CLASSES.items():
+            out = out.when(_is(low, rule), name)
+        return out.otherwise("noun")
+
+    return F.transform(words, tag)
+
+
+def tag_ratios(words: Column) -> dict[str, Column]:
+    """The share of tokens in each class, and of comparatives and superlatives."""
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
-    return {k: _hits(words, known) / n for k, known in (classes or LEXICON).items()}
+    tags = tagged(words)
+    found = {name: _count(tags, lambda t, name=name: t == name) / n for name in (*CLASSES, "noun")}
+    degree = lambda w: _is(F.lower(w), DEGREES) & ~F.lower(w).isin(*NO_DEGREES)
+    return found | {"comparative_superlative": _count(words, degree) / n}
+
+
+def imperative_ratio(text: Column) -> Column:
+    """Requests a sentence: verbs of a request at its start, after a comma or after a conjunction."""
+    parts = sentences(text)
+    conjunctions = F.array(*[F.lit(w) for w in CLASSES["conjunction"][0]], F.lit(","))
+
+    def requests(sentence: Column) -> Column:
+        words = F.transform(tokens(sentence), lambda w: F.lower(w))
+        opens = lambda w, i: w.isin(*REQUESTS) & ((i == 0) | F.array_contains(conjunctions, F.get(words, i - 1)))
+        return F.size(F.filter(words, opens))
+
+    total = F.aggregate(F.transform(parts, requests), F.lit(0), lambda a, n: a + n)
+    return F.coalesce(total / F.greatest(F.size(parts), F.lit(1)), F.lit(0.0))
 
 
 def unigrams_and_bigrams(text: Column) -> Column:

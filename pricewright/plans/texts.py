@@ -115,9 +115,9 @@ def style_vector(spark: SparkSession, d: str) -> DataFrame:
 
 @query("style_full")
 def style_full(spark: SparkSession, d: str) -> DataFrame:
-    """All style features, the language vote and the shares of closed word classes."""
+    """All style features, the language vote, the shares of word classes and the rate of requests."""
     text = F.col("text")
-    found = style.features(text) | {f"{k}_ratio": v for k, v in style.tag_ratios(style.tokens(text)).items()}
+    found = style.features(text) | {f"{k}_ratio": v for k, v in style.tag_ratios(style.tokens(text)).items()} | {"imperative_ratio": style.imperative_ratio(text)}
     rows = table(spark, d, "documents")
     return rows.select("doc_id", style.language(text).alias("language"), *[settled(v).alias(k) for k, v in found.items()])
 

@@ -82,3 +82,18 @@ def test_style_of_blank_text_is_zero(spark):
     blank, text = frame.select(*[v.alias(k) for k, v in found.items()]).collect()
     assert set(blank) == {0.0}
     assert text["hapax_ratio"] == 5 / 6 and text["exclamation_ratio"] == 0.5 and text["uppercase_ratio"] == 1 / 7
+
+
+def test_languages(spark):
+    texts = ("the cat is on the mat", "le chat est sur la table", "der Hund ist in dem Haus", "el gato es de la casa", "il gatto non si trova nel giardino anche", "o gato foi para a casa dos pais", "de kat is niet op het dak van een huis", "xyz", None)
+    assert read(spark, style.language, *texts) == ["en", "fr", "de", "es", "it", "pt", "nl", "en", "en"]
+
+
+def test_word_classes_and_requests(spark):
+    words = lambda t: style.tagged(style.tokens(t))
+    assert read(spark, words, "The 3 very useful lamps quickly heated it , and", "")[0] == [
+        "determiner", "numeral", "adverb", "adjective", "noun", "adverb", "verb", "pronoun", "mark", "conjunction",
+    ]
+    assert read(spark, style.imperative_ratio, "Buy it now and keep it. It is good, see more! We buy lamps.", "", None) == [1.0, 0.0, 0.0]
+    degrees = lambda t: style.tag_ratios(style.tokens(t))["comparative_superlative"]
+    assert read(spark, degrees, "brighter and cheapest other number", "")[:2] == [0.4, 0.0]
