@@ -29,36 +29,66 @@ def regression(rows: DataFrame, truth: str, guess: str, by: Sequence[str] = ())
     )
 
 
+#: Ranges of a value between its ends, within which running sums are taken side by side.
+RANGES = 4096
+
+
+def _joined(rows: DataFrame, table: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.join(table, list(by)) if by else rows.crossJoin(F.broadcast(table))  # one row without keys
+
+
+def with_sums_below(counts: DataFrame, value: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Add ``{column}_below``: the sum of a column over smaller values, and ``{column}_total``, over all of a group.
+
+    ``counts`` has one row for each value. The span of the values is cut into ranges; the sums of whole ranges are few, and
+    the rest is a running sum inside a range, so no task sorts a group. A null is below every value.
+    """
+    x = F.col(value).cast("double")
+    ends = counts.groupBy(*by).agg(F.min(x).alias("_low"), F.max(x).alias("_high"), *[F.sum(c).alias(f"{c}_total") for c in columns])
+    step = (x - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES
+    place = F.when(F.col("_high") > F.col("_low"), F.least(F.floor(step), F.lit(RANGES - 1))).otherwise(F.lit(0))
+    placed = _joined(counts, ends, by).withColumn("_range", F.when(x.isNull(), F.lit(-1)).otherwise(place))
+    ranges = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
+    ranges = ranges.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = {f"{c}_below": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns}
+    return placed.join(ranges, [*by, "_range"]).withColumns(below).drop("_low", "_high", "_range", *[f"_{c}" for c in columns])
+
+
 def average_ranks(rows: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Add the mean rank of ties of a value."""
-    first = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return rows.withColumn(name, first + (ties - 1) / 2)
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranks = with_sums_below(counts, value, ["_n"], by).select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, value])], (F.col("_n_below") + (F.col("_n") + 1) / 2).alias(name)
+    )
+    same = F.lit(True)
+    for i, c in enumerate([*by, value]):
+        same = same & rows[c].eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(ranks, same).select(*rows.columns, name)
 
 
 def spearman(rows: DataFrame, left: str, right: str, by: Sequence[str] = ()) -> DataFrame:
-    ranked = average_ranks(average_ranks(rows, left, "_a", by), right, "_b", by)
+    ranked = average_ranks(average_ranks(rows.select(*by, left, right), left, "_a", by), right, "_b", by)
     return ranked.groupBy(*by).agg(F.corr("_a", "_b").alias("spearman"))
 
 
 def roc_auc(rows: DataFrame, label: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
     """The chance that a positive outranks a negative, ties counting half.
 
-    Scores are counted per value first, so the running sum goes over distinct scores.
+    Scores are counted per value first, so the sums below go over distinct scores.
     """
     marked = rows.groupBy(*by, score).agg(F.sum(label.cast("long")).alias("_p"), F.sum(1 - label.cast("long")).alias("_n"))
-    order = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(order), F.lit(0))
-    won = marked.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
+    won = with_sums_below(marked, score, ["_n"], by).withColumn("_won", F.col("_p") * (F.col("_n_below") + F.col("_n") / 2))
     return won.groupBy(*by).agg(ratio(F.sum("_won"), F.sum("_p") * F.sum("_n")).alias("auc"))
 
 
 def average_precision(rows: DataFrame, label: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
     """The mean of the precision at each positive, in descending order of distinct scores."""
     marked = rows.groupBy(*by, score).agg(F.sum(label.cast("long")).alias("_p"), F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    precision = F.sum("_p").over(order) / F.sum("_n").over(order)
-    held = marked.withColumn("_gain", F.col("_p") * precision)
+    held = with_sums_below(marked, score, ["_p", "_n"], by)
+    precision = (F.col("_p_total") - F.col("_p_below")) / (F.col("_n_total") - F.col("_n_below"))
+    held = held.withColumn("_gain", F.col("_p") * precision)
     return held.groupBy(*by).agg(ratio(F.sum("_gain"), F.sum("_p")).alias("average_precision"))
 
 

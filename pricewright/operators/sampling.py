@@ -30,10 +30,23 @@ def undersampled(rows: DataFrame, positive: Column, key: str, seed: str) -> Data
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, fraction: float, seed: str) -> DataFrame:
-    """Add train: the given fraction of each stratum, rounded up, by smallest hashes."""
-    order = Window.partitionBy(stratum).orderBy(keyed_hash(key, seed), key)
-    total = F.count("*").over(Window.partitionBy(stratum))
-    return rows.withColumn("train", F.row_number().over(order) <= F.ceil(F.lit(fraction) * total))
+    """Add train: the given fraction of each stratum, rounded up, by smallest hashes.
+
+    Counts by hash prefix say in which prefix a stratum's cut lies; only the rows with that prefix are put in order.
+    """
+    marked = rows.withColumn("_hash", keyed_hash(key, seed)).withColumn("_prefix", F.substring("_hash", 1, 3))
+    counts = marked.groupBy(stratum, "_prefix").agg(F.count("*").alias("_n"))
+    running = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)  # 4096 prefixes
+    need = F.ceil(F.lit(fraction) * F.sum("_n").over(Window.partitionBy(stratum)))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0))).withColumn("_need", need)
+    cuts = counts.where("_before < _need").groupBy(F.col(stratum).alias("_stratum"))
+    cuts = cuts.agg(F.max(F.struct("_prefix", "_before", "_need")).alias("_cut"))
+    joined = marked.join(cuts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    there = F.coalesce(F.col("_prefix") == F.col("_cut._prefix"), F.lit(False))
+    apart = joined.where(~there).withColumn("train", F.coalesce(F.col("_prefix") < F.col("_cut._prefix"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_hash", key))
+    edge = joined.where(there).withColumn("train", F.col("_cut._before") + place <= F.col("_cut._need"))
+    return apart.unionByName(edge).select(*rows.columns, "train")
 
 
 def split(rows: DataFrame, key: str, holdout: float, seed: str = "0") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.operators import forecast, similarity, standardise
+from pricewright.operators import forecast, metrics, similarity, standardise
 from pricewright.sources import tables
 
 
@@ -107,3 +107,20 @@ def test_useful_columns(spark):
     rows = spark.createDataFrame([(i, "x" if i % 3 else None, "0", "long " * 20, str(i)) for i in range(100)], "id long, a string, zero string, text string, key string")
     assert similarity.useful_columns(rows, ["id", "a", "zero", "text", "key"], most=50) == ["a"]
     assert similarity.useful_columns(rows.where(F.lit(False)), ["a"]) == []
+
+
+def test_ranks_and_areas_by_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"g": rng.integers(0, 2, 400), "x": np.round(rng.exponential(1, 400), 1), "y": rng.integers(0, 9, 400).astype(float), "l": rng.integers(0, 2, 400)})
+    frame = spark.createDataFrame(rows)
+    for by in ([], ["g"]):
+        for _, part in rows.groupby(by) if by else [(None, rows)]:
+            keep = F.col("g") == int(part["g"].iloc[0]) if by else F.lit(True)
+            pick = lambda table, name, keep=keep: table.where(keep).first()[name]
+            assert pick(metrics.spearman(frame, "x", "y", by), "spearman") == pytest.approx(part["x"].rank().corr(part["y"].rank()))
+            auc = np.mean([(a > b) + 0.5 * (a == b) for a in part["x"][part["l"] == 1] for b in part["x"][part["l"] == 0]])
+            assert pick(metrics.roc_auc(frame, F.col("l") == 1, "x", by), "auc") == pytest.approx(auc)
+            hit = [part["l"][part["x"] >= v].mean() for v in part["x"][part["l"] == 1]]
+            assert pick(metrics.average_precision(frame, F.col("l") == 1, "x", by), "average_precision") == pytest.approx(np.mean(hit))
+    odd = spark.createDataFrame([(None,), (3.0,), (3.0,), (1.0,)], "x double")
+    assert sorted((r.x or -1, r.k) for r in metrics.average_ranks(odd, "x", "k").collect()) == [(-1, 1.0), (1.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
