@@ -140,11 +140,19 @@ def conform(rows: DataFrame, schema: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in schema])
 
 
-def pivot_first(rows: DataFrame, index: str, column: str, values: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """A wide table ``{value}_{measure}`` with the first non-null of each cell, for a fixed list of values."""
-    cells = [
-        F.min(F.when(F.col(column) == v, F.col(m))).alias(f"{v}_{m}") for v in values for m in measures
-    ]
+def pivot_first(rows: DataFrame, index: str, column: str, values: Sequence[str], measures: Sequence[str], order: str | None = None) -> DataFrame:
+    """A wide table ``{value}_{measure}`` with the first non-null of each cell, for a fixed list of values.
+
+    The first is the one with the smallest ``order``; without an order, which is for cells of one row, the smallest value.
+    """
+
+    def cell(v: str, m: str) -> Column:
+        here = (F.col(column) == v) & F.col(m).isNotNull()
+        if order is None:
+            return F.min(F.when(here, F.col(m)))
+        return F.min(F.when(here, F.struct(F.col(order), F.col(m).alias("_value"))))["_value"]
+
+    cells = [cell(v, m).alias(f"{v}_{m}") for v in values for m in measures]
     return rows.groupBy(index).agg(*cells)
 
 

@@ -44,12 +44,15 @@ def static_fold_in(spark: SparkSession, d: str) -> DataFrame:
     return asof_nearest(weeks, scraped, "day", ["k"], ["value"], "event_id")
 
 
-@query("quantisation", f"""WITH {SPINE} SELECT count(*) AS shares, CAST(sum(n) AS BIGINT) AS n FROM (SELECT buybox_pct, count(*) AS n FROM priced WHERE buybox_pct IS NOT NULL GROUP BY 1)""")
+@query("quantisation", f"""WITH {SPINE} , x AS (SELECT buybox_pct / 100 AS share, count(*) AS n FROM priced WHERE buybox_pct IS NOT NULL GROUP BY 1),
+d AS (SELECT share, n, k, row_number() OVER (PARTITION BY share ORDER BY round(abs(share - round(share * k) / k), 12), k) AS place FROM x, range(1, 31) r(k))
+SELECT count(*) AS shares, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS denominators, CAST(sum(k * n) AS BIGINT) AS weighed FROM d WHERE place = 1""")
 def quantisation(spark: SparkSession, d: str) -> DataFrame:
-    """How many distinct shares there are, after a sample size was inferred for each."""
+    """How many distinct shares there are, and the sums of the sample sizes inferred for each of them."""
     rows = spine(spark, d).select((F.col("buybox_pct") / 100).alias("share"))
     sizes = backtest.inferred_sizes(rows, "share")
-    return sizes.agg(F.count("*").alias("shares"), F.sum("n").alias("n"))
+    k = F.col("denominator")
+    return sizes.agg(F.count("*").alias("shares"), F.sum("n").alias("n"), F.sum(k).alias("denominators"), F.sum(k * F.col("n")).alias("weighed"))
 
 
 @query("backtest_draws")

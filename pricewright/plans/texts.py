@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewright.functions import parse, style
 from pricewright.functions.columns import settled
+from pricewright.operators import catalogue
 from pricewright.operators import typing as ty
 from pricewright.plans.registry import query
 from pricewright.sources.tables import table
@@ -86,18 +87,26 @@ def kv_flatten(spark: SparkSession, d: str) -> DataFrame:
     """Lists of key-value objects as long rows; of a repeated key the last one counts."""
     k = F.get_json_object("props", "$.k").cast("long")
     sheet = F.format_string('[{"key":"k","value":"%s"},{"key":"k","value":"%s"}]', k.cast("string"), (k + 1).cast("string"))
-    items = F.from_json(sheet, "array<struct<key:string,value:string>>")
-    rows = table(spark, d, "events").select("event_id", F.posexplode(items).alias("place", "item"))
-    rows = rows.groupBy("event_id", F.concat(F.lit("ttf_"), "item.key").alias("name"))
-    return rows.agg(F.max_by("item.value", "place").alias("value"))
+    rows = catalogue.sheet_long(table(spark, d, "events").select("event_id", sheet.alias("sheet")), "event_id", "sheet", "ttf_")
+    return rows.select(F.col("row_id").alias("event_id"), F.col("feature").alias("name"), "value")
 
 
 @query("paragraph_segment", """SELECT doc_id, CAST(i AS INTEGER) AS place, p AS paragraph FROM (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS i
   FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE trim(p) <> ''""")
 def paragraph_segment(spark: SparkSession, d: str) -> DataFrame:
     """Texts as long rows of paragraphs; a blank one keeps its place and goes."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "paragraph"))
-    return rows.where(F.trim("paragraph") != "").select("doc_id", (F.col("at") + 1).cast("int").alias("place"), "paragraph")
+    rows = catalogue.paragraphs(table(spark, d, "documents"), "doc_id", "text")
+    place = F.substring_index("section", "_", -1).cast("int")
+    return rows.select(F.col("row_id").alias("doc_id"), place.alias("place"), F.col("value").alias("paragraph"))
+
+
+@query("about_items", """SELECT event_id, 'paragraph_' || CAST(place AS VARCHAR) AS section, CASE place WHEN 1 THEN event_type WHEN 3 THEN 'last' END AS value
+  FROM events, (VALUES (1), (2), (3)) v(place)""")
+def about_items(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of items as long rows: one without the field keeps its place, anything but an object takes none."""
+    listed = F.format_string('[{"about_item":"%s"},{"other":1},"stray",{"about_item":"last"}]', F.col("event_type"))
+    rows = catalogue.about_items(table(spark, d, "events").select("event_id", listed.alias("items")), "event_id", "items")
+    return rows.select(F.col("row_id").alias("event_id"), "section", "value")
 
 
 @query("style_vector", r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS w FROM documents),
