@@ -233,9 +233,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     if _among_copies(planned):
         whole = kept = written(whole, "mix-rows")  # both passes have to agree on the places
     rows = with_copies(whole, planned, kept if kept is None else kept.drop("_row"))
-    # with the place in the condition it stays above the projection that sizes the texts, which is then done once for a row
-    rows = rows.where("copies > 0 and place >= 0")
-    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    # a condition on the copies would be worked into the join, where it repeats the rank's expression many times over; one on
+    # what explode gives stays above it
+    each = F.explode_outer(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")
+    return rows.select("_row", each).where("_copy is not null").select("_row.*")
 
 
 def op7_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
