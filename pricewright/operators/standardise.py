@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pricewright.functions import parse
 from pricewright.functions.units import NO_UNIT, UNITS, lexicon_table
 from pricewright.operators.typing import without_extremes
+from pricewright.session import shared_folder
 
 #: Shares of cells from which a concept is of a kind, and the longest and most varied categories.
 TRIPLES, NUMERIC, JUNK_UNITS, FITTING, RANGES, FLAGS = 0.4, 0.5, 0.3, 0.5, 0.05, 0.6
@@ -91,7 +92,8 @@ class Standardised:
 def standardised(cells: DataFrame, n_rows: int, coverage: float = COVERAGE) -> Standardised:
     """Typed features of long cells (row_id, concept, value) of a table with ``n_rows`` rows."""
     cells = cells.where("value is not null").select("row_id", "concept", "value")
-    found = verdicts(cells, n_rows, coverage)
+    shared_folder(cells.sparkSession)
+    found = verdicts(cells, n_rows, coverage).checkpoint()  # read by all that follows, so that cells are parsed once for it
     # decisions are one row for each concept of the schema
     placed = cells.join(F.broadcast(found.select("concept", "kind", "dimension")), "concept").where(
         F.col("kind").isin("sides", "measure", "bool", "color", "category")
@@ -105,6 +107,7 @@ def standardised(cells: DataFrame, n_rows: int, coverage: float = COVERAGE) -> S
     placed = placed.withColumn("values", F.when(F.col("kind") == "measure", F.filter(read, lambda v: v.isNotNull())))
     ranged = F.array_max("values") > F.array_min("values")
     ranges = placed.where("kind = 'measure'").groupBy("concept").agg((F.count_if(ranged) / n_rows).alias("ranges"))
+    ranges = ranges.checkpoint()
     placed = placed.join(F.broadcast(ranges), "concept", "left")
     is_range = F.coalesce(F.col("ranges") > RANGES, F.lit(False))
     none = {"number": F.lit(None).cast("double"), "flag": F.lit(None).cast("boolean"), "label": F.lit(None).cast("string")}
@@ -123,10 +126,10 @@ def standardised(cells: DataFrame, n_rows: int, coverage: float = COVERAGE) -> S
         .when(F.col("kind") == "color", F.array(feature("__color", label=parse.colour(value))))
         .otherwise(F.array(feature("", label=parse.unaccented(value))))
     )
-    long = placed.select("row_id", "concept", "kind", F.explode(made).alias("f")).select("row_id", "concept", "kind", "f.*")
+    long = placed.select("row_id", "concept", "kind", F.explode(made).alias("f")).select("row_id", "concept", "kind", "f.*").checkpoint()
     bounded = without_extremes(long.where("kind = 'measure'"), "number", ["feature"])
     long = bounded.select(*long.columns).unionByName(long.where("kind <> 'measure'"))
-    long = long.where("number is not null or flag is not null or label is not null")
+    long = long.where("number is not null or flag is not null or label is not null").checkpoint()
     filled = long.groupBy("feature", "concept").agg((F.count("*") / n_rows).alias("coverage")).where(F.col("coverage") >= coverage)
     kind = F.when(F.col("feature").contains("__"), F.substring_index("feature", "__", -1)).otherwise(F.lit("categorical"))
     dictionary = filled.select("feature", "concept", kind.alias("type"), F.round("coverage", 3).alias("coverage"))
