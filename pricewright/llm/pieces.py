@@ -30,9 +30,12 @@ class Pieces:
     byte_ids: list[int]
     unknown: float
     tails: dict[str, float | None] = field(repr=False, default_factory=dict)
+    #: what a worker has made of the vocabulary
+    tools: tuple | None = field(repr=False, default=None)
 
     @staticmethod
-    def load(path: str = DEFAULT_MODEL) -> Pieces:
+    def load(path: str = DEFAULT_MODEL, tails: bool = True) -> Pieces:
+        """The vocabulary of a model file, with the ends of its pieces if they are asked for."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,10 +46,10 @@ class Pieces:
                 byte_ids[int(text[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 found.append((-model.get_score(i), i, text.replace("▁", " ")))
-        return Pieces.ranked([(text, i) for _, i, text in sorted(found)], byte_ids)
+        return Pieces.ranked([(text, i) for _, i, text in sorted(found)], byte_ids, tails)
 
     @staticmethod
-    def ranked(pieces: list[tuple[str, int]], byte_ids: list[int]) -> Pieces:
+    def ranked(pieces: list[tuple[str, int]], byte_ids: list[int], tails: bool = True) -> Pieces:
         """Pieces (text, id), most likely first."""
         for text, _ in pieces:
             if " " in text.lstrip(" ") or "\n" in text:
@@ -54,7 +57,7 @@ class Pieces:
         total = math.log(sum(1 / (r + SHIFT) for r in range(1, len(pieces) + 1)))
         scores = {text: -math.log(r + SHIFT) - total for r, (text, _) in enumerate(pieces, 1)}
         out = Pieces(scores, dict(pieces), byte_ids, min(scores.values()) - UNKNOWN_BELOW)
-        for text, score in scores.items():
+        for text, score in scores.items() if tails else ():
             for k in range(1, len(text)):
                 out.tails.setdefault(text[k:], None)
             out.tails[text] = score
