@@ -33,6 +33,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 from math import isqrt
 
 import numpy as np
@@ -115,8 +116,8 @@ class _Builder:
     """Collects documents as ids into a vocabulary of its own; 0 is the end mark and 1 the mark before a text."""
 
     def __init__(self) -> None:
-        self.place: defaultdict[bytes, int] = defaultdict()
-        self.place.default_factory = lambda: len(self.place) + 2
+        # a counter and not the length, which would tie the dictionary to itself and keep it until the garbage is collected
+        self.place: defaultdict[bytes, int] = defaultdict(count(2).__next__)
         self.doc_ids: list[int | None] = []
         self.ids: list[np.ndarray] = []
         self.n_tokens = 0
