@@ -25,6 +25,10 @@ FRACTION = 0.5
 BUCKET_BITS = 9
 #: An id of more rows than this has ranges of its own.
 HOT = 1024
+#: The columns of a bucket.
+BUCKET = ("_bucket", "_place", "_range")
+#: Buckets with such ids that are broadcast; each holds at most 2**BUCKET_BITS of them.
+FEW = 1000
 
 
 def shingle_hashes(words: Column, shingle: int = SHINGLE) -> Column:
@@ -107,40 +111,41 @@ def _hot(rows: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """Add the bucket of each row, as (ids, place among the hot ids of the bucket, range), in the order of (doc_id, hash, text).
+    """Add the columns ``BUCKET`` of each row: its ids, the place among their hot ones, and the range, in the order of
+    (doc_id, hash, text). They stay apart, since Spark would deal out a struct anew for the join.
 
-    The table of hot ids is written first: its size is then known, and Spark broadcasts it only while it is small.
+    The table of hot ids is written and counted first. Mostly it is empty, and no join moves the texts; up to ``FEW`` buckets
+    of it are broadcast; a larger one is joined like any other table.
     """
     hot = written(_hot(rows), "hot-ids")
-    joined = rows.withColumn("_bucket", _bucket()).join(hot, "_bucket", "left")
+    buckets = hot.count()
+    rows = rows.withColumn("_bucket", _bucket())
+    if not buckets:
+        return rows.withColumns({"_place": F.lit(0), "_range": F.lit(0).cast("long")})
+    joined = rows.join(F.broadcast(hot) if buckets <= FEW else hot, "_bucket", "left")
     own = F.filter("hot", lambda h: h["doc_id"].eqNullSafe(F.col("doc_id")))
     before = F.filter("hot", lambda h: h["doc_id"] < F.col("doc_id"))
     # monotone in the hash, as a double is in a whole number
     part = F.floor((F.col("hash").cast("double") / float(2**64) + 0.5) * F.get(own, F.lit(0))["ranges"])
     is_own = F.coalesce(F.size(own) > 0, F.lit(False))
     place = 2 * F.greatest(F.coalesce(F.size(before), F.lit(0)), F.lit(0)) + is_own.cast("int")
-    bucket = F.struct(
-        F.col("_bucket").alias("ids"), F.when(F.col("hot").isNull(), 0).otherwise(place).alias("place"), F.when(is_own, part).otherwise(0).alias("range")
-    )
-    return joined.withColumn("bucket", bucket).drop("_bucket", "hot")
+    place, part = F.when(F.col("hot").isNull(), 0).otherwise(place), F.when(is_own, part).otherwise(0).cast("long")
+    return joined.withColumns({"_place": place, "_range": part}).drop("hot")
 
 
 def _following(firsts: DataFrame) -> DataFrame:
     """For each bucket, the one after it; the first one after the last. Two levels, so that no task sorts all buckets."""
-    over = F.shiftright(F.col("bucket")["ids"], BUCKET_BITS)
-    groups = firsts.groupBy(over.alias("over")).agg(F.min("bucket").alias("first_of_group"))
+    over, bucket = F.shiftright(F.col("_bucket"), BUCKET_BITS), F.struct(*BUCKET)
+    groups = firsts.groupBy(over.alias("over")).agg(F.min(bucket).alias("first_of_group"))
     whole = Window.orderBy("over")
     groups = groups.select(
         "over",
         F.coalesce(F.lead("first_of_group").over(whole), F.first("first_of_group").over(whole)).alias("next_group"),
     )
-    inside = Window.partitionBy("over").orderBy("bucket")
-    return (
-        firsts.select("bucket", over.alias("over"))
-        .withColumn("next_bucket", F.lead("bucket").over(inside))
-        .join(groups, "over")
-        .select("bucket", F.coalesce("next_bucket", "next_group").alias("next_bucket"))
-    )
+    inside = Window.partitionBy("over").orderBy(*BUCKET)
+    follows = firsts.select(*BUCKET, over.alias("over")).withColumn("next_bucket", F.lead(bucket).over(inside)).join(groups, "over")
+    after = follows.withColumn("after", F.coalesce("next_bucket", "next_group"))
+    return after.select(*BUCKET, *[F.col(f"after.{c}").alias(f"next{c}") for c in BUCKET])
 
 
 def with_next(rows: DataFrame, shingle: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
@@ -150,22 +155,19 @@ def with_next(rows: DataFrame, shingle: int = SHINGLE, fraction: float = FRACTIO
     """
     rows = _placed(rows.withColumn("hash", F.xxhash64("text")))
     row = F.min(F.struct("doc_id", "hash", "text")).alias("row")
-    firsts = rows.select("bucket", "doc_id", "hash", "text").groupBy("bucket").agg(row)
-    firsts = firsts.select("bucket", F.col("row.text").alias("text"))
+    firsts = rows.select(*BUCKET, "doc_id", "hash", "text").groupBy(*BUCKET).agg(row)
+    firsts = firsts.select(*BUCKET, F.col("row.text").alias("text"))
     firsts = written(with_sketch(firsts, "text", "sketch", shingle, fraction), "bucket-firsts")
-    tails = (
-        _following(firsts)
-        .join(firsts.select(F.col("bucket").alias("next_bucket"), F.struct("text", "sketch").alias("tail")), "next_bucket")
-        .select("bucket", "tail")
-    )
-    order = Window.partitionBy("bucket").orderBy("doc_id", "hash", "text")
+    named = [F.col(c).alias(f"next{c}") for c in BUCKET]
+    tails = _following(firsts).join(firsts.select(*named, F.struct("text", "sketch").alias("tail")), [f"next{c}" for c in BUCKET])
+    order = Window.partitionBy(*BUCKET).orderBy("doc_id", "hash", "text")
     return (
         rows.withColumn("after_text", F.lead("text").over(order))
         .withColumn("after_sketch", F.lead("sketch").over(order))
-        .join(tails, "bucket")
+        .join(tails.select(*BUCKET, "tail"), list(BUCKET))
         .withColumn("next_text", F.coalesce("after_text", "tail.text"))
         .withColumn("next_sketch", F.coalesce("after_sketch", "tail.sketch"))
-        .drop("after_text", "after_sketch", "tail", "bucket", "hash")
+        .drop("after_text", "after_sketch", "tail", *BUCKET, "hash")
     )
 
 
