@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, katz, mixing, neighbours, pii, quality, segmentations, simhash, token_counts
+from pricewright.llm import chat, fingerprints, katz, mixing, negatives, neighbours, pii, quality, segmentations, simhash, token_counts, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,14 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_posting_lists": neighbours.op9_posting_lists,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op12_bit_sliced_negatives": negatives.op12_bit_sliced_negatives,
+        "op13_jacobi_whitening": whitening.op13_jacobi_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_pareto_mix": mixing.OP7_SQL, "op8_chat_format": chat.OP8_SQL}
+    return {
+        "op7_pareto_mix": mixing.OP7_SQL,
+        "op8_chat_format": chat.OP8_SQL,
+        "op12_bit_sliced_negatives": negatives.OP12_SQL,
+    }
