@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import chat, fingerprints, katz, mixing, negatives, neighbours, pii, quality, segmentations, simhash, token_counts, whitening
+from pricewright.llm import chat, fingerprints, katz, mixing, negatives, neighbours, outliers, pii, quality, segmentations, simhash, token_counts, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_posting_lists": neighbours.op9_posting_lists,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op11_robust_outliers": outliers.op11_robust_outliers,
         "op12_bit_sliced_negatives": negatives.op12_bit_sliced_negatives,
         "op13_jacobi_whitening": whitening.op13_jacobi_whitening,
     }
@@ -34,5 +35,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_pareto_mix": mixing.OP7_SQL,
         "op8_chat_format": chat.OP8_SQL,
+        "op11_robust_outliers": outliers.op11_robust_outliers,
         "op12_bit_sliced_negatives": negatives.OP12_SQL,
     }

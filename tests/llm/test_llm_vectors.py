@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricewright.llm import negatives, whitening
+from pricewright.llm import negatives, outliers, whitening
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x string, component int"
 
@@ -165,3 +166,114 @@ def test_negatives_of_nothing_and_one_label(spark):
     assert negatives.mine(frame, F.col("vec_id") % 50 == 0, F.col("label")).count() == 0
     assert negatives.mine(frame.where("false"), F.col("vec_id") % 50 == 0, F.col("label")).count() == 0
     assert negatives.mine(frame_of(spark, ODD), F.col("vec_id") % 50 == 0, F.col("label")).count() == 0
+
+
+# ---- quality rules ----
+
+
+def brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    inside = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(inside)
+
+
+def test_counts_match_brute_force():
+    rng = np.random.default_rng(5)
+    texts = ["", " \n\t", "one", "a\u00a0b c\u2003d\x1ce", "x y\n\nx y\n \n \nx y ", "# * $%&| <>", "w " * 40, "A BC d.\r\nA BC d.\r\n"]
+    for n in (7, 8, 9, 15, 16, 17, 60, 400):
+        texts += [" ".join(rng.choice(list("abc"), n)) for _ in range(20)] + ["\n".join(rng.choice(["a b c d e", "f g h i", ""], n)) for _ in range(5)]
+    for text in texts:
+        assert outliers.counts_of(text)[:5] == brute_counts(text), text
+
+
+def test_chi_square_law():
+    assert abs(outliers.chi_square(2.0, 2) - (1 - np.exp(-1))) < 1e-14
+    assert abs(outliers.quantile(0.975, 8) - 17.5345461394) < 1e-8
+    assert abs(outliers.chi_square(outliers.quantile(1 - 1e-9, 8), 8) - (1 - 1e-9)) < 1e-12
+    normal = np.random.default_rng(6).normal(size=(200_000, 3))
+    inner = normal[(normal**2).sum(axis=1) <= outliers.quantile(0.75, 3)]
+    assert np.allclose(np.cov(inner.T) * outliers.correction(0.75, 3), np.eye(3), atol=0.03)
+
+
+def plain_mcd(z, floor, core):
+    """The same estimate with arrays: three starts, concentration steps to the smallest determinant, and reweighting."""
+    p = z.shape[1]
+    middle = np.median(z, axis=0)
+    spread = np.maximum(1.4826 * np.median(np.abs(z - middle), axis=0), floor)
+    u = (z - middle) / spread
+    shapes = [np.eye(p)]
+    for v in (np.tanh(u), u / np.linalg.norm(u, axis=1, keepdims=True)):
+        c = np.cov(v.T, bias=True) + 1e-3 * np.eye(p)
+        shapes.append(c / np.sqrt(np.outer(np.diag(c), np.diag(c))))
+    away = lambda m, c: np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(c), z - m)
+    best = []
+    for shape in shapes:
+        m, c, last = middle, shape * np.outer(spread, spread), np.inf
+        for _ in range(100):
+            core_rows = z[np.argsort(away(m, c), kind="stable")[: int(np.ceil(core * len(z)))]]
+            new = core_rows.mean(axis=0), np.cov(core_rows.T, bias=True) + np.diag(np.square(floor))
+            if np.linalg.slogdet(new[1])[1] >= last - 1e-9:
+                break
+            (m, c), last = new, np.linalg.slogdet(new[1])[1]
+        best.append((last, m, c))
+    _, m, c = min(best, key=lambda b: b[0])
+    inner = z[away(m, c) / outliers.correction(core, p) <= outliers.quantile(0.975, p)]
+    return inner.mean(axis=0), np.cov(inner.T, bias=True) * outliers.correction(0.975, p) + np.diag(np.square(floor))
+
+
+def test_estimates_match_arrays_and_resist_outliers(spark):
+    rng = np.random.default_rng(7)
+    groups = {}
+    for g in range(3):
+        a = rng.normal(size=(3, 3))
+        z = rng.normal(size=(600, 3)) @ a + g
+        z[:120] = rng.normal(size=(120, 3)) * 0.2 + 30 * (g + 1)  # a fifth lies far off, together
+        groups[f"g{g}"] = (z, a)
+    floor = (0.05, 0.05, 0.05)
+    frame = spark.createDataFrame([(k, *map(float, r)) for k, (z, _) in groups.items() for r in z], "key string, a double, b double, c double")
+    got = {r.key: r for r in outliers.minimum_determinant(frame, floor).collect()}
+    i, j = np.triu_indices(3)
+    for k, (z, a) in groups.items():
+        mean, cover = plain_mcd(z, floor, outliers.CORE)
+        inverse = np.zeros((3, 3))
+        inverse[i, j] = inverse[j, i] = got[k].inverse
+        ours = np.linalg.inv(inverse)
+        assert np.allclose(got[k].mean, mean, atol=0.02 * np.sqrt(np.diag(cover)).max())
+        assert np.allclose(ours, cover, atol=0.05 * np.diag(cover).max())
+        assert np.allclose(ours, a.T @ a, atol=0.25 * np.diag(a.T @ a).max())
+        away = np.einsum("ij,jk,ik->i", z - got[k].mean, inverse, z - got[k].mean)
+        assert (away[:120] > outliers.quantile(1 - 1e-9, 3)).all() and (away[120:] > outliers.quantile(1 - 1e-9, 3)).sum() == 0
+
+
+def prose(rng, n):
+    syllables = "the ing and ver st ou er le an re to mar con ly".split()
+    return " ".join("".join(rng.choice(syllables, rng.integers(1, 4))) + ("." if rng.random() < 0.12 else "") for _ in range(n))
+
+
+def test_junk_is_rejected_by_language_and_source(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, int(rng.integers(30, 300))), ("en", "de", None)[i % 3], f"s{i % 2}", "clash") for i in range(750)]
+    junk = [(1000 + i, " ".join(w + "***" for w in prose(rng, 80).split()), "en", "s0", "clash") for i in range(20)]
+    junk += [(1100 + i, prose(rng, 80).upper(), "de", "s1", "clash") for i in range(20)]
+    junk += [(1200, prose(rng, 19), "en", "s0", "clash"), (1201, None, "en", "s0", "clash"), (1202, "one two " * 30, None, "s1", "clash"), (1203, "", None, None, "clash")]
+    rare = [(1300 + i, prose(rng, 100), "fr", None, "clash") for i in range(5)] + [(1400, prose(rng, 100).replace(" ", "%% "), "fr", "s9", "clash")]
+    copies = [(2000 + i, *rows[0][1:]) for i in range(400)]  # most of a group are copies of one text
+    frame = spark.createDataFrame(rows + junk + rare + copies, "doc_id long, text string, lang string, source string, level string")
+    got = {r.doc_id: r for r in outliers.judged(outliers.counted(frame)).collect()}
+    assert len(got) == len(rows + junk + rare + copies)
+    assert [i for i in got if i < 1000 and not got[i].kept] == []
+    assert all(not got[r[0]].kept for r in junk) and not got[1400].kept
+    assert all(got[r[0]].kept for r in rare[:5] + copies)
+    assert {got[i].level for i in (0, 1, 2, 1000, 1100)} == {"lang source"} and got[1300].level == got[1400].level == "all"
+    assert got[1201].level == "lang source" and got[1201].distance is None
+    for r in rows[:5]:
+        assert tuple(got[r[0]])[3:8] == brute_counts(r[1])
+    few = outliers.judged(outliers.counted(frame.where("doc_id < 30"))).collect()
+    assert all(r.kept and r.level is None for r in few) and len(few) == 30
+    assert outliers.judged(outliers.counted(frame.where("false"))).count() == 0
