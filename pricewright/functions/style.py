@@ -37,8 +37,8 @@ REQUESTS = "use try buy get see make take keep add click order choose enjoy disc
 
 
 def tokens(text: Column) -> Column:
-    """Words and single marks, in order."""
-    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    """Words and single marks, in order; none for a null text."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
 
 
 def sentences(text: Column) -> Column:
@@ -140,11 +140,16 @@ def tagged(words: Column) -> Column:
     return F.transform(words, tag)
 
 
+def _equals(name: str):
+    # a function of one parameter: a second one would be given the place in the array
+    return lambda tag: tag == name
+
+
 def tag_ratios(words: Column) -> dict[str, Column]:
     """The share of tokens in each class, and of comparatives and superlatives."""
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     tags = tagged(words)
-    found = {name: _count(tags, lambda t, name=name: t == name) / n for name in (*CLASSES, "noun")}
+    found = {name: _count(tags, _equals(name)) / n for name in (*CLASSES, "noun")}
     degree = lambda w: _is(F.lower(w), DEGREES) & ~F.lower(w).isin(*NO_DEGREES)
     return found | {"comparative_superlative": _count(words, degree) / n}
 

@@ -122,7 +122,55 @@ def style_vector(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *[settled(found[n]).alias(n) for n in names])
 
 
-@query("style_full")
+def _style_sql() -> str:
+    """The statement for every style column, with the word lists of the features."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    matched = lambda w, rule: f"({w} IN ({listed(rule[0])})" + (f" OR regexp_matches({w}, '{rule[1]}'))" if rule[1] else ")")
+    hits = lambda words: f"len(list_filter(low, lambda x: x IN ({listed(words)})))"
+    per = lambda count, of: f"{count} / greatest(len({of}), 1)::DOUBLE"
+    tag = "CASE WHEN NOT regexp_matches(x, '[\\p{L}\\p{Nd}]') THEN 'mark' "
+    tag += " ".join(f"WHEN {matched('lower(x)', rule)} THEN '{name}'" for name, rule in style.CLASSES.items()) + " ELSE 'noun' END"
+    degree = f"{matched('x', style.DEGREES)} AND x NOT IN ({listed(style.NO_DEGREES)})"
+    before = listed([*style.CLASSES["conjunction"][0], ","])
+    asks = f"len(list_filter(p, lambda x, i: x IN ({listed(style.REQUESTS)}) AND (i = 1 OR p[i - 1] IN ({before}))))"
+    most = f"greatest({', '.join(f'n_{c}' for c in style.STOP_WORDS)})"
+    language = f"CASE WHEN {most} = 0 THEN 'en' " + " ".join(f"WHEN n_{c} = {most} THEN '{c}'" for c in style.STOP_WORDS) + " END"
+    mean = "coalesce(list_sum(lens), 0) / greatest(len(lens), 1)"
+    columns = {
+        "avg_sentence_length": mean,
+        "std_sentence_length": f"sqrt(greatest(coalesce(list_sum(list_transform(lens, lambda x: x * x)), 0) / greatest(len(lens), 1) - ({mean}) * ({mean}), 0))",
+        "max_sentence_length": "coalesce(list_max(lens), 0)",
+        "type_token_ratio": per("len(list_distinct(w))", "w"),
+        "hapax_ratio": "coalesce(once, 0) / greatest(len(list_distinct(w)), 1)::DOUBLE",
+        "stopword_ratio": per(hits(style.STOP_WORDS["en"]), "w"),
+        "avg_word_length": "CASE WHEN len(alpha) > 0 THEN list_sum(list_transform(alpha, lambda x: length(x))) / len(alpha)::DOUBLE ELSE 0 END",
+        "long_word_ratio": per("len(list_filter(alpha, lambda x: length(x) > 6))", "w"),
+        "uppercase_ratio": per("len(list_filter(alpha, lambda x: length(x) > 1 AND regexp_full_match(x, '\\p{Lu}+')))", "w"),
+        "capitalized_ratio": per("len(list_filter(alpha, lambda x: regexp_full_match(x, '\\p{Lu}\\p{Ll}*')))", "w"),
+        "digit_token_ratio": per("len(list_filter(w, lambda x: regexp_matches(x, '\\p{Nd}')))", "w"),
+        "punctuation_entropy": "coalesce(entropy, 0)",
+        "punctuation_ratio": "len(marks) / greatest(length(text), 1)::DOUBLE",
+        "exclamation_ratio": per("(length(text) - length(replace(text, '!', '')))", "lens"),
+        "question_ratio": per("(length(text) - length(replace(text, '?', '')))", "lens"),
+        "comma_ratio": per("(length(text) - length(replace(text, ',', '')))", "lens"),
+    }
+    columns |= {f"{name}_ratio": per(f"len(list_filter(tags, lambda x: x = '{name}'))", "w") for name in (*style.CLASSES, "noun")}
+    columns["comparative_superlative_ratio"] = per(f"len(list_filter(low, lambda x: {degree}))", "w")
+    columns["imperative_ratio"] = per(f"coalesce(list_sum(list_transform(parts, lambda p: {asks})), 0)", "parts")
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT *, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') AS w, regexp_extract_all(text, '[^\p{{L}}\p{{N}}_\s]') AS marks,
+  list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS said FROM d),
+t AS (SELECT *, list_transform(w, lambda x: lower(x)) AS low, list_filter(w, lambda x: regexp_full_match(x, '\p{{L}}+')) AS alpha, list_transform(w, lambda x: {tag}) AS tags,
+  list_transform(said, lambda x: list_transform(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda y: lower(y))) AS parts FROM s),
+l AS (SELECT *, list_transform(parts, lambda x: len(x)::DOUBLE) AS lens, {', '.join(f'{hits(words)} AS n_{c}' for c, words in style.STOP_WORDS.items())} FROM t),
+o AS (SELECT doc_id, count(*) FILTER (WHERE n = 1) AS once FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM s) GROUP BY 1, 2) GROUP BY 1),
+e AS (SELECT doc_id, -sum(p * log2(p)) AS entropy FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id)::DOUBLE AS p FROM
+  (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(marks) AS x FROM s) GROUP BY 1, 2)) GROUP BY 1)
+SELECT l.doc_id, {language} AS language, {', '.join(f'round({sql} + 1e-9, 6) AS {name}' for name, sql in columns.items())}
+FROM l LEFT JOIN o ON l.doc_id = o.doc_id LEFT JOIN e ON l.doc_id = e.doc_id"""
+
+
+@query("style_full", _style_sql())
 def style_full(spark: SparkSession, d: str) -> DataFrame:
     """All style features, the language vote, the shares of word classes and the rate of requests."""
     text = F.col("text")

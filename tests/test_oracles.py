@@ -16,7 +16,8 @@ def test_matches_sql(name, same_as_sql):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(name, spark, folder):
-    assert QUERIES[name](spark, folder).count() > 0
+    rows = QUERIES[name](spark, folder).collect()  # a count would prune the columns
+    assert rows and any(value is not None for value in rows[0])
 
 
 def test_entry_and_registry_agree():

@@ -97,3 +97,23 @@ def test_word_classes_and_requests(spark):
     assert read(spark, style.imperative_ratio, "Buy it now and keep it. It is good, see more! We buy lamps.", "", None) == [1.0, 0.0, 0.0]
     degrees = lambda t: style.tag_ratios(style.tokens(t))["comparative_superlative"]
     assert read(spark, degrees, "brighter and cheapest other number", "")[:2] == [0.4, 0.0]
+
+
+def test_style_of_hand_counted_texts(spark):
+    from pricewright.functions import style
+
+    texts = ["Use the small lamp, and click it. The lamp is BIG! Is it quickly?", "", None, "12 lamps... 12"]
+    text = F.col("text")
+    found = style.features(text) | {f"{k}_ratio": v for k, v in style.tag_ratios(style.tokens(text)).items()} | {"imperative_ratio": style.imperative_ratio(text)}
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", *[v.alias(k) for k, v in found.items()])
+    first, empty, null, last = (r.asDict() for r in rows.orderBy("i").collect())
+    # use the small lamp , and click it . | the lamp is big ! | is it quickly ?
+    expected = {
+        "avg_sentence_length": 18 / 3, "max_sentence_length": 9.0, "type_token_ratio": 17 / 18, "uppercase_ratio": 1 / 18, "capitalized_ratio": 3 / 18,
+        "determiner_ratio": 2 / 18, "pronoun_ratio": 2 / 18, "conjunction_ratio": 1 / 18, "verb_ratio": 2 / 18, "adverb_ratio": 1 / 18,
+        "adjective_ratio": 2 / 18, "noun_ratio": 4 / 18, "imperative_ratio": 2 / 3, "exclamation_ratio": 1 / 3, "question_ratio": 1 / 3, "comma_ratio": 1 / 3,
+    }
+    for name, value in expected.items():
+        assert abs(first[name] - value) < 1e-9, name
+    assert all(v == 0 for k, v in empty.items() if k != "i") and all(v == 0 for k, v in null.items() if k != "i")
+    assert last["numeral_ratio"] == 2 / 6 and last["digit_token_ratio"] == 2 / 6 and last["hapax_ratio"] == 1 / 3
