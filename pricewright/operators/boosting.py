@@ -1,7 +1,6 @@
 """Gradient-boosted trees on binned columns, with missing values, monotone constraints and exact attributions.
 
-Panels are small next to facts, so one task grows a model; independent models (folds, seeds, markets) grow in parallel
-as groups. Spark ML covers data that no task can hold.
+``grow`` is for rows that one task holds; ``treefit`` grows the same trees over partitions, with the splits chosen here.
 """
 
 from __future__ import annotations
@@ -190,7 +189,7 @@ def grow(
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) if logistic else raw
         gradient, curve = (y - p) * count, (np.maximum(p * (1 - p), 1e-6) if logistic else np.ones(len(y))) * count
-        tree = _grow_node(b, gradient, curve, count, np.arange(len(y)), depth, min_leaf, ridge, signs, -np.inf, np.inf)
+        tree = _grow_node(b, gradient, curve, count, np.arange(len(y)), depth, min_leaf, ridge, signs, starts_of(edges), -np.inf, np.inf)
         if tree.left is None:
             break
         model.trees.append(tree)
@@ -198,22 +197,32 @@ def grow(
     return model
 
 
-def _leaf_value(g: float, h: float, ridge: float, low: float, high: float) -> float:
+def leaf_value(g: float, h: float, ridge: float, low: float, high: float) -> float:
     return float(min(max(g / (h + ridge), low), high))
 
 
-def _grow_node(b, g, h, count, rows, depth, min_leaf, ridge, signs, low, high) -> Node:
-    total_g, total_h, total_n = g[rows].sum(), h[rows].sum(), count[rows].sum()
-    node = Node(_leaf_value(total_g, total_h, ridge, low, high), float(total_n))
-    if depth == 0 or total_n < 2 * min_leaf:
-        return node
+def starts_of(edges: Sequence[Sequence[float]]) -> np.ndarray:
+    """Where each feature's bins begin in one row of all bins, with the number of all at the end."""
+    return np.concatenate([[0], np.cumsum([len(e) + 2 for e in edges])]).astype(np.int64)
+
+
+def histogram(b: np.ndarray, weights: Sequence[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """Sums of each weight in each bin of each feature, one row for each weight."""
+    at = (b + starts[:-1]).reshape(-1)
+    return np.array([np.bincount(at, weights=np.repeat(w, b.shape[1]), minlength=int(starts[-1])) for w in weights])
+
+
+def best_split(sums: np.ndarray, starts: np.ndarray, node: Node, total: tuple[float, float, float], bounds: tuple[float, float],
+               min_leaf: int, ridge: float, signs: np.ndarray, allowed: np.ndarray | None = None):
+    """The best (feature, cut, missing_left), and (sum of gradients, curvatures and counts, value) of each side; None without gain."""
+    (total_g, total_h, total_n), (low, high) = total, bounds
     best = (1e-9, None)
-    for j in range(b.shape[1]):
-        column = b[rows, j]
-        width = int(column.max()) + 1
-        sums = [np.bincount(column, weights=w, minlength=width) for w in (g[rows], h[rows], count[rows])]
-        for missing_left in (True, False) if sums[2][0] else (True,):
-            gl, hl, nl = (np.cumsum(s[1:]) + (s[0] if missing_left else 0.0) for s in sums)
+    for j in range(len(starts) - 1):
+        if allowed is not None and not allowed[j]:
+            continue
+        table = sums[:, starts[j] : starts[j + 1]]
+        for missing_left in (True, False) if table[2][0] else (True,):
+            gl, hl, nl = (np.cumsum(s[1:]) + (s[0] if missing_left else 0.0) for s in table)
             gr, hr, nr = total_g - gl, total_h - hl, total_n - nl
             with np.errstate(divide="ignore", invalid="ignore"):
                 vl, vr = np.clip(gl / (hl + ridge), low, high), np.clip(gr / (hr + ridge), low, high)
@@ -226,21 +235,66 @@ def _grow_node(b, g, h, count, rows, depth, min_leaf, ridge, signs, low, high) -
             gain = np.where(ok, gain, -np.inf)
             if len(gain) and gain.max() > best[0]:
                 k = int(gain.argmax())
-                best = (float(gain[k]), (j, k + 1, missing_left, float(vl[k]), float(vr[k])))
-    if best[1] is None:
+                best = (float(gain[k]), (j, k + 1, missing_left, (gl[k], hl[k], nl[k], float(vl[k])), (gr[k], hr[k], nr[k], float(vr[k]))))
+    return best[1]
+
+
+def bounds_below(sign: int, vl: float, vr: float, low: float, high: float) -> list[tuple[float, float]]:
+    """What the values on both sides of a split are held in: beyond the middle if the feature is constrained."""
+    if not sign:
+        return [(low, high), (low, high)]
+    middle = (vl + vr) / 2
+    return [(low, middle), (middle, high)] if sign > 0 else [(middle, high), (low, middle)]
+
+
+def _grow_node(b, g, h, count, rows, depth, min_leaf, ridge, signs, starts, low, high) -> Node:
+    total = g[rows].sum(), h[rows].sum(), count[rows].sum()
+    node = Node(leaf_value(*total[:2], ridge, low, high), float(total[2]))
+    if depth == 0 or total[2] < 2 * min_leaf:
+        return node
+    sums = histogram(b[rows], (g[rows], h[rows], count[rows]), starts)
+    found = best_split(sums, starts, node, total, (low, high), min_leaf, ridge, signs)
+    if found is None:
         return node
-    j, cut, missing_left, vl, vr = best[1]
-    node.feature, node.cut, node.missing_left = j, cut, missing_left
-    left = _goes_left(node, b[rows, j])
-    bounds = [(low, high), (low, high)]
-    if signs[j]:
-        middle = (vl + vr) / 2
-        bounds = [(low, middle), (middle, high)] if signs[j] > 0 else [(middle, high), (low, middle)]
-    node.left = _grow_node(b, g, h, count, rows[left], depth - 1, min_leaf, ridge, signs, *bounds[0])
-    node.right = _grow_node(b, g, h, count, rows[~left], depth - 1, min_leaf, ridge, signs, *bounds[1])
+    node.feature, node.cut, node.missing_left = found[:3]
+    left = _goes_left(node, b[rows, node.feature])
+    below = bounds_below(signs[node.feature], found[3][3], found[4][3], low, high)
+    node.left = _grow_node(b, g, h, count, rows[left], depth - 1, min_leaf, ridge, signs, starts, *below[0])
+    node.right = _grow_node(b, g, h, count, rows[~left], depth - 1, min_leaf, ridge, signs, starts, *below[1])
     return node
 
 
+def _gini(counts: np.ndarray) -> np.ndarray:
+    n = counts.sum(-1)
+    return n - (counts**2).sum(-1) / np.maximum(n, 1)
+
+
+def class_leaf(counts: np.ndarray, names: Sequence[str]) -> dict:
+    return {"n": int(counts.sum()), "counts": dict(zip(names, counts.astype(int).tolist(), strict=True)), "class": names[int(counts.argmax())]}
+
+
+def best_class_split(sums: np.ndarray, starts: np.ndarray, counts: np.ndarray, min_leaf: int):
+    """The best (feature, cut, missing_left) by Gini gain, and the class counts of each side; None without gain."""
+    best = (1e-9, None)
+    for j in range(len(starts) - 1):
+        table = sums[:, starts[j] : starts[j + 1]].T
+        for missing_left in (True, False) if table[0].sum() else (True,):
+            below = np.cumsum(table[1:], axis=0) + (table[0] if missing_left else 0)
+            above = counts - below
+            gain = _gini(counts) - _gini(below) - _gini(above)
+            gain = np.where((below.sum(1) >= min_leaf) & (above.sum(1) >= min_leaf), gain, -1)
+            if len(gain) and gain.max() > best[0]:
+                k = int(gain.argmax())
+                best = (float(gain[k]), (j, k + 1, missing_left, below[k], above[k]))
+    return best[1]
+
+
+def class_split(found: tuple, features: Sequence[str], edges: Sequence[Sequence[float]]) -> dict:
+    j, cut, missing_left = found[:3]
+    edge = edges[j][cut - 1] if cut - 1 < len(edges[j]) else float("inf")
+    return {"feature": features[j], "at_most": edge, "missing_left": missing_left}
+
+
 def rule_tree(x: np.ndarray, labels: Sequence[str], features: Sequence[str], depth: int = 5, min_leaf: int = 200):
     """A shallow class tree by Gini gain, with missing values routed to the better side; leaves hold class counts."""
     x = np.asarray(x, float)
@@ -250,33 +304,18 @@ def rule_tree(x: np.ndarray, labels: Sequence[str], features: Sequence[str], dep
     model = Trees(list(features), edges, 0.0, 1.0, False)
     b = model.binned(x)
 
-    def gini(counts: np.ndarray) -> np.ndarray:
-        n = counts.sum(-1)
-        return n - (counts**2).sum(-1) / np.maximum(n, 1)
+    starts = starts_of(edges)
 
     def build(rows: np.ndarray, left_depth: int) -> dict:
         counts = np.bincount(y[rows], minlength=len(names)).astype(float)
-        leaf = {"n": len(rows), "counts": dict(zip(names, counts.astype(int).tolist(), strict=True)), "class": names[int(counts.argmax())]}
+        leaf = class_leaf(counts, names)
         if left_depth == 0 or len(rows) < 2 * min_leaf:
             return leaf
-        best = (1e-9, None)
-        for j in range(b.shape[1]):
-            table = np.zeros((int(b[rows, j].max()) + 1, len(names)))
-            np.add.at(table, (b[rows, j], y[rows]), 1)
-            for missing_left in (True, False) if table[0].sum() else (True,):
-                below = np.cumsum(table[1:], axis=0) + (table[0] if missing_left else 0)
-                above = counts - below
-                gain = gini(counts) - gini(below) - gini(above)
-                gain = np.where((below.sum(1) >= min_leaf) & (above.sum(1) >= min_leaf), gain, -1)
-                if len(gain) and gain.max() > best[0]:
-                    best = (float(gain.max()), (j, int(gain.argmax()) + 1, missing_left))
-        if best[1] is None:
+        found = best_class_split(histogram(b[rows], [y[rows] == k for k in range(len(names))], starts), starts, counts, min_leaf)
+        if found is None:
             return leaf
-        j, cut, missing_left = best[1]
-        left = _goes_left(Node(0, 0, j, cut, missing_left), b[rows, j])
-        edge = edges[j][cut - 1] if cut - 1 < len(edges[j]) else float("inf")
-        return leaf | {"feature": features[j], "at_most": edge, "missing_left": missing_left,
-                       "yes": build(rows[left], left_depth - 1), "no": build(rows[~left], left_depth - 1)}
+        left = _goes_left(Node(0, 0, *found[:3]), b[rows, found[0]])
+        return leaf | class_split(found, features, edges) | {"yes": build(rows[left], left_depth - 1), "no": build(rows[~left], left_depth - 1)}
 
     return build(np.arange(len(y)), depth)
 

@@ -1,13 +1,13 @@
 """Forecasts of share and conversion: features ranked by attribution, a constrained refit on the best, bundles that keep it.
 
-A panel of one market is small next to the facts it was made from, so one task fits a model and markets, seeds and folds are
-groups that fit side by side.
+``ranked``, ``fitted`` and ``refitted`` work on rows in memory. The same on a table, for all its models (markets, trials) at once, are
+``ranked_models``, ``fitted_models`` and ``refitted_models``, which grow their trees over partitions.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.operators import boosting
+from pricewright.functions.columns import ratio
+from pricewright.operators import boosting, metrics, treefit
 from pricewright.operators.market import price_gap, rule_share
 from pricewright.sources.sinks import write_json
 from pricewright.sources.tables import json_sidecar
@@ -23,8 +24,10 @@ from pricewright.sources.tables import json_sidecar
 #: The direction in which a price or cost may move the share.
 SIGNS = {"price": -1, "own_landed": -1, "own_shipping": -1, "price_vs_lowest": -1, "price_vs_bb": -1, "landed_vs_bb": -1,
          "lowest_price": 1, "min_landed": 1}
-#: Features kept, the least share of filled rows, and the rows whose attributions are averaged.
-TOP, FILLED, EXPLAINED = 15, 0.02, 2000
+#: Features kept, and the least share of filled rows.
+TOP, FILLED = 15, 0.02
+#: A category of more levels than this is no category.
+LEVELS = 1000
 
 
 @dataclass
@@ -93,7 +96,7 @@ def ranked(rows: pd.DataFrame, y: np.ndarray, columns: Sequence[str], categories
     x = pd.DataFrame(wide)
     x = x[[c for c in x if x[c].notna().mean() >= FILLED]]
     model = boosting.grow(x.to_numpy(float), y, list(x), rounds)
-    shares = np.abs(model.attributions(x.to_numpy(float)[:EXPLAINED])[:, :-1]).mean(0)
+    shares = np.abs(model.attributions(x.to_numpy(float))[:, :-1]).mean(0)
     return pd.Series(shares, index=list(x)).sort_values(ascending=False, kind="stable")
 
 
@@ -128,21 +131,108 @@ def chained_share(price: Column, bb_price: Column, lowest_price: Column, fba: fl
     return F.when(price.isNotNull(), rule_share(gap, abs_gap, F.lit(fba), F.lit(prime), F.lit(feedback)))
 
 
-def by_group(panel: DataFrame, by: str, run: Callable[[pd.DataFrame], dict], schema: str) -> DataFrame:
-    """One row for each group of a panel: what ``run`` makes of it."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{by: part[by].iloc[0], **run(part)}])
-
-    return panel.groupBy(by).applyInPandas(one, schema)
-
-
-def trials(panel: DataFrame, seeds: int, run: Callable[[pd.DataFrame, int], list[dict]], schema: str) -> DataFrame:
-    """The results of independent trials, each on its own split of the whole panel, side by side."""
-    repeated = panel.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        seed = int(part["trial"].iloc[0])
-        return pd.DataFrame([{"trial": seed, **r} for r in run(part, seed)])
-
-    return repeated.groupBy("trial").applyInPandas(one, schema)
+# ---- the same on tables, for all models at once ----
+
+
+def _levels(rows: DataFrame, category: str) -> list[str]:
+    found = [r[0] for r in rows.select(F.col(category).cast("string")).where(F.col(category).isNotNull()).distinct().limit(LEVELS + 1).collect()]
+    if len(found) > LEVELS:
+        raise ValueError(f"{category} has more than {LEVELS} levels")
+    return sorted(found)
+
+
+def ranked_models(rows: DataFrame, columns: Sequence[str], categories: Sequence[str], rounds: int = 60) -> dict[str, pd.Series]:
+    """``ranked`` for each ``model`` of rows with a target ``y``: attributions are averaged over all its rows."""
+    wide = {c: F.col(c).cast("double") for c in columns if c not in categories}
+    for c in (c for c in categories if c in columns):
+        wide |= {f"{c}_{v}": F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0)) for v in _levels(rows, c)[1:]}
+    names = {f"x{k}": label for k, label in enumerate(wide)}
+    table = rows.select("model", F.col("y").cast("double").alias("y"), F.lit(1.0).alias("n"), *[c.alias(k) for k, c in zip(names, wide.values(), strict=True)])
+    filled = table.groupBy("model").agg(*[F.avg(F.col(k).isNotNull().cast("double")).alias(k) for k in names]).collect()
+    allowed = {r["model"]: [k for k in names if r[k] >= FILLED] for r in filled}
+    models = treefit.grow(table, list(names), rounds, allowed=allowed)
+    out = {m: pd.Series({names[k]: 0.0 for k in allowed[m]}) for m in models}
+    for r in treefit.attributed(table, models).collect() if models else []:  # one row for each model and feature
+        if r["feature"] in allowed[r["model"]]:
+            out[r["model"]][names[r["feature"]]] = r["importance"]
+    return {m: s.sort_values(ascending=False, kind="stable") for m, s in out.items()}
+
+
+def _narrowed(trees: boosting.Trees, columns: Sequence[str], every: Sequence[str]) -> boosting.Trees:
+    """The trees with only the features they may use, named by column."""
+    place = {every.index(c): k for k, c in enumerate(columns)}
+
+    def of(node: boosting.Node) -> boosting.Node:
+        if node.left is None:
+            return node
+        return boosting.Node(node.value, node.cover, place[node.feature], node.cut, node.missing_left, of(node.left), of(node.right))
+
+    edges = [trees.edges[every.index(c)] for c in columns]
+    return boosting.Trees(list(columns), edges, trees.base, trees.rate, trees.logistic, [of(t) for t in trees.trees])
+
+
+def fitted_models(rows: DataFrame, chosen: Mapping[str, Sequence[str]], categories: Sequence[str], signs: dict[str, int] | None = None,
+                  rounds: int = 200, rate: float = 0.08, depth: int = 5, min_leaf: int = 10, ridge: float = 0.5) -> dict[str, Forecast]:
+    """``fitted`` for each ``model`` of rows with a target ``y``, on the columns chosen for it."""
+    every = list(dict.fromkeys(c for columns in chosen.values() for c in columns))
+    levels: dict[str, dict[str, list[str]]] = {m: {} for m in chosen}
+    for c in (c for c in categories if c in every):
+        _levels(rows, c)
+        means = rows.where(F.col(c).isNotNull()).groupBy("model", F.col(c).cast("string").alias("level")).agg(F.avg("y").alias("mean"))
+        for r in sorted(means.collect(), key=lambda r: (r["mean"], r["level"])):
+            levels.setdefault(r["model"], {}).setdefault(c, []).append(r["level"])
+    names = [f"x{k}" for k in range(len(every))]
+
+    def coded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blank = boosting.Trees([], [], 0.0, 1.0, False)
+        for part in parts:
+            for m, own in part.groupby("model"):
+                codes = {c: levels.get(m, {}).get(c, []) for c in categories if c in every}
+                out = pd.DataFrame(Forecast(blank, every, codes).matrix(own), columns=names)
+                yield out.assign(model=m, y=own["y"].to_numpy(float), n=1.0)
+
+    schema = ", ".join([*[f"{k} double" for k in names], "model string", "y double", "n double"])
+    table = rows.select("model", "y", *every).mapInPandas(coded, schema)
+    allowed = {m: [names[every.index(c)] for c in columns] for m, columns in chosen.items()}
+    monotone = {names[every.index(c)]: s for c, s in (signs or {}).items() if c in every}
+    models = treefit.grow(table, names, rounds, rate, depth, min_leaf, ridge, monotone=monotone, allowed=allowed)
+    return {
+        m: Forecast(_narrowed(t, list(chosen[m]), every), list(chosen[m]), {c: levels[m][c] for c in categories if c in chosen[m] and c in levels[m]})
+        for m, t in models.items()
+    }
+
+
+def refitted_models(rows: DataFrame, columns: Sequence[str], categories: Sequence[str], signs: dict[str, int] = SIGNS,
+                    top: int = TOP, **how) -> dict[str, Forecast]:
+    """Rank, keep the best columns of each model, and fit them again under the constraints."""
+    chosen = {m: best_columns(ranking, categories, top) for m, ranking in ranked_models(rows, columns, categories).items()}
+    return fitted_models(rows, chosen, categories, signs, **how)
+
+
+def guessed(rows: DataFrame, models: Mapping[str, Forecast], *own: str) -> DataFrame:
+    """(model, y, own columns, guess) of the rows that have a model."""
+    shared = rows.sparkSession.sparkContext.broadcast({m: f.to_json() for m, f in models.items()})
+    used = list(dict.fromkeys(c for f in models.values() for c in f.columns))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = {m: Forecast.from_json(f) for m, f in shared.value.items()}
+        for part in parts:
+            for m, rows in part.groupby("model"):
+                if m in made:
+                    yield rows[["model", "y", *own]].assign(guess=made[m].predict(rows))
+
+    table = rows.select("model", F.col("y").cast("double").alias("y"), *own, *[c for c in used if c not in own])
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.select("model", "y", *own).schema.fields]
+    return table.mapInPandas(run, ", ".join([*kinds, "guess double"]))
+
+
+def evaluated(rows: DataFrame, half: Column | None = None) -> DataFrame:
+    """(model, n, r2, mse, mae, auc) of guesses: the AUC is that of passing ``half``; missing where it has one class."""
+    err, known = F.col("guess") - F.col("y"), rows.where("y is not null and guess is not null")
+    means = known.groupBy("model").agg(F.avg("y").alias("_mean"))
+    spread = F.sum((F.col("y") - F.col("_mean")) ** 2)
+    fit = known.join(means, "model").groupBy("model").agg(
+        F.count("*").alias("n"), (1 - ratio(F.sum(err * err), spread)).alias("r2"), F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae")
+    )
+    marked = known.withColumn("_passed", F.col("y") >= (F.lit(0.5) if half is None else half))
+    return fit.join(metrics.roc_auc(marked, F.col("_passed"), "guess", ["model"]), "model", "left")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions.columns import gaussian, ratio, settled
-from pricewright.operators import agents, boosting, factors, graphs, market, metrics, similarity
+from pricewright.operators import agents, boosting, factors, graphs, market, metrics, similarity, treefit
 from pricewright.operators import typing as ty
 from pricewright.plans.panels import SPINE, sales, spine
 from pricewright.plans.registry import query
+from pricewright.sources.steps import stored
 from pricewright.sources.tables import table
 
 R = "round(({}) + 1e-9, 6)"
@@ -296,18 +295,25 @@ def model_panel(spark: SparkSession, d: str) -> DataFrame:
 @query("hurdle_cvr")
 def hurdle_cvr(spark: SparkSession, d: str) -> DataFrame:
     """Two-stage conversion for each region: the chance of any sale times its size, price never raising either."""
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = part[FEATURES].to_numpy(float), part["cvr"].to_numpy(float)
-        test = pd.util.hash_array(part["brand"].to_numpy() + part["week"].astype(str).to_numpy()) % 10 < 3
-        down = {"implied_price": -1}
-        any_ = boosting.grow(x[~test], (y[~test] > 0).astype(float), FEATURES, 30, logistic=True, monotone=down)
-        size = boosting.grow(x[~test & (y > 0)], y[~test & (y > 0)], FEATURES, 30, monotone=down)
-        guess = np.clip(any_.predict(x[test]) * size.predict(x[test]), 0, 1)
-        err = guess - y[test]
-        return pd.DataFrame([{"region": part["region"].iloc[0], "n": int(test.sum()), "mae": float(np.abs(err).mean()), "mean_guess": float(guess.mean()), "mean_true": float(y[test].mean())}])
-
-    return model_panel(spark, d).groupBy("region").applyInPandas(fit, "region int, n long, mae double, mean_guess double, mean_true double")
+    test = F.crc32(F.concat_ws("|", "brand", F.col("week").cast("string")).cast("binary")) % 10 < 3
+    rows = stored(model_panel(spark, d).where("cvr is not null").withColumn("test", test), "hurdle-panel")
+    sold, size = F.col("cvr") > 0, F.col("cvr").cast("double")
+    stage = F.explode(F.filter(F.array(
+        F.struct(F.lit("any").alias("stage"), sold.cast("double").alias("y")), F.when(sold, F.struct(F.lit("size").alias("stage"), size.alias("y")))
+    ), lambda s: s.isNotNull()))
+    both = rows.where("not test").withColumn("s", stage)
+    both = both.select(F.concat_ws("|", "region", "s.stage").alias("model"), *FEATURES, "s.y", F.lit(1.0).alias("n"))
+    regions = [str(r[0]) for r in rows.select("region").distinct().collect()]
+    models = treefit.grow(both, FEATURES, 30, logistic=[f"{r}|any" for r in regions], monotone={"implied_price": -1})
+    guess = rows.where("test").select("region", "cvr", *FEATURES)
+    for s in ("any", "size"):
+        named = guess.withColumns({"model": F.concat_ws("|", "region", F.lit(s)), **{f"k_{f}": F.col(f) for f in FEATURES}})
+        guess = treefit.predicted(named, models, s, FEATURES).drop("model").withColumnsRenamed({f"k_{f}": f for f in FEATURES})
+    p = F.least(F.greatest(F.col("any") * F.col("size"), F.lit(0.0)), F.lit(1.0))
+    guess = guess.where("any is not null and size is not null").withColumn("guess", p)
+    return guess.groupBy("region").agg(
+        F.count("*").alias("n"), F.avg(F.abs(F.col("guess") - F.col("cvr"))).alias("mae"), F.avg("guess").alias("mean_guess"), F.avg("cvr").alias("mean_true")
+    )
 
 
 @query("price_attribution")
@@ -318,36 +324,29 @@ def price_attribution(spark: SparkSession, d: str) -> DataFrame:
     """
     part = table(spark, d, "part").groupBy("p_size", "p_type")
     exact = F.sum(F.col("p_retailprice").cast("decimal(28,6)")).cast("double")  # the same however rows are dealt out
-    part = part.agg(F.count("*").alias("n"), F.count("p_retailprice").alias("known"), exact.alias("price"))
+    part = part.agg(F.count("*").alias("all"), F.count("p_retailprice").alias("known"), exact.alias("price"))
     types = sorted(r[0] for r in part.select("p_type").where("p_type is not null").distinct().collect())
-    rows = ty.one_hot(part, "p_type", types)
-    names = ["p_size", *[f"p_type_{t}" for t in types[1:]]]
-    train = rows.where("known > 0").orderBy("p_size", "p_type").toPandas()  # the fit is one task's work
-    count = train["known"].to_numpy(float)
-    model = boosting.grow(train[names].to_numpy(float), train["price"].to_numpy(float) / count, names, 20, depth=3, count=count)
-    text = model.to_json()
-
-    def explain(batches):
-        trees = boosting.Trees.from_json(text)
-        for batch in batches:
-            n = batch["n"].to_numpy(float)
-            shares = np.abs(trees.attributions(batch[names].to_numpy(float))[:, :-1])
-            yield pd.DataFrame({"feature": names, "total": n @ shares, "n": int(n.sum())})
-
-    parts = rows.select(*names, "n").mapInPandas(explain, "feature string, total double, n long")
-    return parts.groupBy("feature").agg((F.sum("total") / F.sum("n")).alias("importance"))
+    labels = ["p_size", *[f"p_type_{t}" for t in types[1:]]]
+    names = {f"x{k}": label for k, label in enumerate(labels)}
+    wide = ty.one_hot(part, "p_type", types)
+    rows = wide.select(
+        F.lit("all").alias("model"), *[F.col(f"`{c}`").cast("double").alias(k) for k, c in names.items()],
+        F.try_divide("price", "known").alias("y"), F.col("known").cast("double").alias("n"), F.col("all").cast("double").alias("all"),
+    )
+    rows = stored(rows, "price-groups")
+    models = treefit.grow(rows.where("n > 0"), list(names), 20, depth=3, counted=True)
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return treefit.attributed(rows, models, "all").select(named[F.col("feature")].alias("feature"), "importance")
 
 
 @query("outcome_rules")
 def outcome_rules(spark: SparkSession, d: str) -> DataFrame:
-    """The shallow rule tree of a region's outcome classes, a line for each leaf."""
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        label = np.where(part["buybox_pct"] >= 100, "WON", np.where(part["buybox_pct"] <= 0, "LOST", "MIXED"))
-        tree = boosting.rule_tree(part[FEATURES].to_numpy(float), label.tolist(), FEATURES, 5, min_leaf=200)
-        return pd.DataFrame({"region": part["region"].iloc[0], "rule": boosting.rule_lines(tree)})
-
-    return model_panel(spark, d).groupBy("region").applyInPandas(fit, "region int, rule string")
+    """The shallow rule tree of each region's outcome classes, a line for each leaf."""
+    label = F.when(F.col("buybox_pct") >= 100, "WON").when(F.col("buybox_pct") <= 0, "LOST").otherwise("MIXED")
+    rows = stored(model_panel(spark, d).select(F.col("region").cast("string").alias("model"), *FEATURES, label.alias("label")), "outcome-panel")
+    trees = treefit.grow_classes(rows, FEATURES, 5, min_leaf=200)
+    lines = [(int(m), line) for m, tree in trees.items() for line in boosting.rule_lines(tree)]  # 32 for each region at most
+    return spark.createDataFrame(lines, "region int, rule string")
 
 
 def demo_market(spark: SparkSession, d: str) -> market.Market:

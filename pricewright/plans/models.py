@@ -2,56 +2,46 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions.columns import settled
 from pricewright.operators import forecast, sampling
 from pricewright.plans.market_panels import BBOX, CVR, PANEL_SQL, columns_of, market_panel
 from pricewright.plans.registry import query
+from pricewright.sources.steps import stored
 
 #: Columns that are the target or come of it.
 OUTCOMES = {"buybox_pct", "units", "sessions", "revenue", "implied_price", "oi_price", "listing_price", "raw_price", "rank_value", "cvr"}
 CATEGORIES = ("brand", "product_type", "has_aplus")
-SCORES = "n long, r2 double, mse double, mae double, auc double, columns string"
 
 
 def _features(of: str) -> list[str]:
     return ["brand", *[c for c, _ in columns_of(of) if c not in OUTCOMES]]
 
 
-def _held(rows: pd.DataFrame, share: float, seed: int = 0) -> np.ndarray:
-    """A split by a hash of the row's keys, which is the same however the rows are dealt out."""
-    keys = rows["brand"].astype(str) + "|" + rows["region"].astype(str) + "|" + rows["week"].astype(str) + f"|{seed}"
-    return np.array([zlib.crc32(k.encode()) % 10_000 < share * 10_000 for k in keys])
-
+def _bucket(*keys: Column) -> Column:
+    """A place in 10 000 by a hash of the row's keys, which is the same however the rows are dealt out."""
+    return F.crc32(F.concat_ws("|", *[k.cast("string") for k in keys]).cast("binary")) % 10_000
 
-def _ordered(part: pd.DataFrame) -> pd.DataFrame:
-    return part.sort_values(["brand", "region", "week"], kind="stable").reset_index(drop=True)
 
+def _split_panel(panel: DataFrame, y: Column, name: str) -> DataFrame:
+    """The panel with a model for each region, its target in 0..1, and 40 % of the rows held out."""
+    target = F.least(F.greatest(y.cast("double"), F.lit(0.0)), F.lit(1.0))
+    test = _bucket(F.col("brand"), F.col("region"), F.col("week"), F.lit("0")) < 4000
+    return stored(panel.withColumns({"model": F.col("region").cast("string"), "y": target, "test": test}).where("y is not null"), name)
 
-def fit_featured(part: pd.DataFrame) -> dict:
-    """Rank on all columns, keep the best, refit under constraints, and score on the 40 % held out."""
-    part = _ordered(part)
-    y = np.clip(part["buybox_pct"].to_numpy(float) / 100, 0, 1)
-    test = _held(part, 0.4)
-    columns = _features(BBOX)
-    model = forecast.refitted(part[~test], y[~test], columns, CATEGORIES, rounds=100)
-    return {"n": int(test.sum()), **forecast.scores(y[test], model.predict(part[test])), "columns": ",".join(model.columns)}
 
-
-def fit_cvr(part: pd.DataFrame) -> dict:
-    """The same for conversion, with the share by rule as a feature."""
-    part = _ordered(part)
-    y = np.clip(part["cvr"].to_numpy(float), 0, 1)
-    test = _held(part, 0.4)
-    model = forecast.refitted(part[~test], y[~test], [*_features(CVR), "buybox_pred"], CATEGORIES, rounds=100)
-    guess = np.clip(model.predict(part[test]), 0, 1)
-    return {"n": int(test.sum()), **forecast.scores(y[test], guess, float(np.median(y))), "columns": ",".join(model.columns)}
+def _scored(rows: DataFrame, columns: list[str], half: DataFrame | None = None) -> DataFrame:
+    """Rank on all columns, keep the best of each region, refit under constraints, and score on what is held out."""
+    models = forecast.refitted_models(rows.where("not test"), columns, CATEGORIES, rounds=100)
+    guesses = forecast.guessed(rows.where("test"), models).withColumn("guess", F.least(F.greatest("guess", F.lit(0.0)), F.lit(1.0)))
+    limit = None
+    if half is not None:
+        guesses, limit = guesses.join(half, "model"), F.col("half")
+    chosen = rows.sparkSession.createDataFrame([(m, ",".join(f.columns)) for m, f in models.items()], "model string, columns string")
+    found = forecast.evaluated(stored(guesses, "guesses"), limit).join(chosen, "model")
+    return found.select(F.col("model").cast("int").alias("region"), "n", "r2", "mse", "mae", "auc", "columns")
 
 
 def _with_share(panel: DataFrame) -> DataFrame:
@@ -61,15 +51,18 @@ def _with_share(panel: DataFrame) -> DataFrame:
 @query("featured_model")
 def featured_model(spark: SparkSession, d: str) -> DataFrame:
     """A forecast of the featured-offer share for each region, with its holdout scores."""
-    return forecast.by_group(market_panel(spark, d), "region", fit_featured, f"region int, {SCORES}")
+    rows = _split_panel(market_panel(spark, d), F.col("buybox_pct") / 100, "featured-panel")
+    return _scored(rows, _features(BBOX))
 
 
 @query("cvr_model")
 def cvr_model(spark: SparkSession, d: str) -> DataFrame:
-    """A forecast of conversion for each region, on weeks with sales and as many without."""
+    """A forecast of conversion for each region, on weeks with sales and as many without, with the share by rule as a feature."""
     panel = _with_share(market_panel(spark, d)).withColumn("key", F.concat_ws("|", "brand", "region", "week"))
-    balanced = sampling.undersampled(panel, F.col("units") > 0, "key", "cvr")
-    return forecast.by_group(balanced.drop("key"), "region", fit_cvr, f"region int, {SCORES}")
+    balanced = sampling.undersampled(stored(panel, "cvr-panel"), F.col("units") > 0, "key", "cvr")
+    rows = _split_panel(balanced.drop("key"), F.col("cvr"), "cvr-rows")
+    half = rows.groupBy("model").agg(F.percentile_approx("y", 0.5, 10_000).alias("half"))
+    return _scored(rows, [*_features(CVR), "buybox_pred"], half)
 
 
 @query("chained_share", PANEL_SQL + """ SELECT brand, region, week, round(1 / (1 + exp(-greatest(-30, least(30,
@@ -79,24 +72,29 @@ def chained_share(spark: SparkSession, d: str) -> DataFrame:
     return _with_share(market_panel(spark, d)).select("brand", "region", "week", settled(F.col("buybox_pred")).alias("buybox_pred"))
 
 
-def compare(part: pd.DataFrame, seed: int) -> list[dict]:
-    """Two predictors of the share on one random split: the brand's mean, and boosted trees."""
-    part = _ordered(part)
-    y = np.clip(part["buybox_pct"].to_numpy(float) / 100, 0, 1)
-    test = _held(part, 0.3, seed)
-    means = pd.Series(y[~test]).groupby(part["brand"][~test].to_numpy()).mean()
-    plain = part["brand"][test].map(means).fillna(y[~test].mean()).to_numpy(float)
-    columns = ["brand", "price_vs_bb", "price_vs_lowest", "offer_count", "frac_oos", "price"]
-    trees = forecast.fitted(part[~test], y[~test], columns, ("brand",), forecast.SIGNS, rounds=40, depth=3).predict(part[test])
-    return [{"method": m, "mae": s["mae"], "r2": s["r2"]} for m, s in (("mean", forecast.scores(y[test], plain)), ("trees", forecast.scores(y[test], trees)))]
+#: Splits that the two predictors are compared on.
+TRIALS = 10
 
 
 @query("paired_trials")
 def paired_trials(spark: SparkSession, d: str) -> DataFrame:
-    """Means and spreads of two predictors' errors over ten splits of one region's panel."""
-    panel = market_panel(spark, d).where("region = 0")
-    rows = forecast.trials(panel, 10, compare, "trial int, method string, mae double, r2 double")
-    return rows.groupBy("method").agg(F.avg("mae").alias("mae"), F.stddev("mae").alias("mae_spread"), F.avg("r2").alias("r2"), F.count("*").alias("n"))
+    """Means and spreads of two predictors' errors over ten splits of the panel: the brand's mean, and boosted trees."""
+    columns = ["price_vs_bb", "price_vs_lowest", "offer_count", "frac_oos", "price"]
+    panel = market_panel(spark, d).select("brand", "region", "week", *columns, F.least(F.greatest(F.col("buybox_pct") / 100, F.lit(0.0)), F.lit(1.0)).alias("y"))
+    trial = F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1)))
+    rows = stored(panel.where("y is not null"), "trial-panel").withColumn("trial", trial).withColumn("model", F.col("trial").cast("string"))
+    rows = rows.withColumn("test", _bucket(F.col("brand"), F.col("region"), F.col("week"), F.col("trial")) < 3000)
+    train, test = rows.where("not test"), rows.where("test")
+    chosen = {str(k): ["brand", *columns] for k in range(TRIALS)}
+    trees = forecast.guessed(test, forecast.fitted_models(train, chosen, ("brand",), forecast.SIGNS, rounds=40, depth=3))
+    whole = train.groupBy("model").agg(F.avg("y").alias("all"))
+    means = train.groupBy("model", "brand").agg(F.avg("y").alias("own"))
+    plain = test.join(means, ["model", "brand"], "left").join(whole, "model").select("model", "y", F.coalesce("own", "all").alias("guess"))
+    out = None
+    for method, guesses in (("mean", plain), ("trees", trees)):
+        found = forecast.evaluated(guesses).select(F.lit(method).alias("method"), "mae", "r2")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("method").agg(F.avg("mae").alias("mae"), F.stddev("mae").alias("mae_spread"), F.avg("r2").alias("r2"), F.count("*").alias("n"))
 
 
 @query("linear_and_forest")

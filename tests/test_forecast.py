@@ -58,6 +58,37 @@ def test_bundles_are_read_or_fitted_again(spark, tmp_path):
     assert np.allclose(forecast.kept_or_fitted(spark, path, fit).predict(rows), first.predict(rows)) and len(calls) == 2
 
 
+def test_models_of_a_table_rank_refit_and_score(spark):
+    rows, y = panel(1200)
+    frame = rows.assign(y=y, model=np.where(np.arange(1200) % 2, "a", "b"), test=np.arange(1200) % 5 == 0, price=rows["price"].round(1))
+    table = spark.createDataFrame(frame)
+    columns = [c for c in rows.columns]
+    train = table.where("not test")
+    ranking = forecast.ranked_models(train, columns, ("brand",), rounds=15)
+    assert set(ranking) == {"a", "b"} and all(set(r.index[:2]) == {"price", "lowest_price"} and "sparse" not in r and "empty" not in r for r in ranking.values())
+    models = forecast.refitted_models(train, columns, ("brand",), top=4, rounds=25, rate=0.2)
+    for m, model in models.items():
+        own = frame[(frame["model"] == m) & ~frame["test"]]
+        means = own.groupby("brand")["y"].mean().sort_values()
+        assert model.columns[:2] == list(forecast.best_columns(ranking[m], ("brand",), 2)) and model.levels.get("brand", list(means.index)) == list(means.index)
+        sweep = frame.iloc[np.repeat(7, 40)].assign(price=np.linspace(5, 20, 40))
+        assert (np.diff(model.predict(sweep)) <= 1e-9).all()
+    guesses = forecast.guessed(table.where("test"), models, "brand").cache()
+    found = {r.model: r for r in forecast.evaluated(guesses).collect()}
+    for m, part in guesses.toPandas().groupby("model"):
+        expected = forecast.scores(part["y"].to_numpy(), part["guess"].to_numpy())
+        assert {k: found[m][k] for k in expected} == pytest.approx(expected) and found[m].n == len(part)
+        assert found[m].r2 > 0.25 and found[m].mae < 0.35
+        assert np.allclose(part["guess"].sort_values(), np.sort(models[m].predict(frame[(frame["model"] == m) & frame["test"]])))
+
+
+def test_categories_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(forecast, "LEVELS", 3)
+    rows = spark.createDataFrame([("a", float(i), f"b{i}") for i in range(5)], "model string, y double, brand string")
+    with pytest.raises(ValueError):
+        forecast.fitted_models(rows, {"a": ["brand"]}, ("brand",))
+
+
 def test_scores_match_their_definitions():
     y, p = np.array([0.0, 0.2, 0.7, 1.0]), np.array([0.1, 0.6, 0.5, 0.9])
     pairs = [(a > b) + 0.5 * (a == b) for a, b in itertools.product(p[y >= 0.5], p[y < 0.5])]
