@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.session import shared_folder
+from pricewright.sources.steps import dropped, stored
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -77,36 +77,123 @@ def unified_score(modularities: list[float], conductances: list[float], largest:
     return float(m.mean() * largest / (c.mean() + c.std() + m.std() + 1e-5))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20) -> DataFrame:
-    """(node, community): greedy modularity moves in each connected component, which is one task's graph.
+#: Nodes are dealt into so many colours, which move one after the other; a sweep that gains less ends a level.
+COLOURS, LEAST_GAIN = 2, 1e-9
 
-    Nodes are visited in order of their ids, so runs agree. A community is named by its smallest node.
-    """
-    member = components(edges)
-    placed = edges.join(member, edges["src"] == member["node"]).select("component", "src", "dst", "weight")
-    total = edges.agg(F.sum("weight")).first()[0] or 1.0
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.r_[part["src"].to_numpy(), part["dst"].to_numpy()])
-        a, b = np.searchsorted(nodes, part["src"]), np.searchsorted(nodes, part["dst"])
-        label = communities(len(nodes), a, b, part["weight"].to_numpy(), total, resolution, passes)
-        first = {}
-        for i, c in enumerate(label):
-            first.setdefault(c, nodes[i])
-        return pd.DataFrame({"node": nodes, "community": [first[c] for c in label]})
-
-    return placed.groupBy("component").applyInPandas(run, "node long, community long")
 
+def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, community): greedy modularity moves over partitions, then the same on the graph of communities, until none gains.
 
-def communities(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, total: float, resolution: float, passes: int) -> list[int]:
-    """Community of each node: local moves until none gains, then the same on the graph of communities."""
+    Nodes move in phases by colour, a hash of their id. Of those of one colour that want to move, a node waits for a
+    neighbour that wants to as well and comes first by another hash, so neighbours never move together. Nodes that join one community at
+    once may take more of its gain than there is; so a sweep over all colours has to raise the modularity, or it is undone
+    and ends the level. Each level starts from the edges between communities, summed. So everything is joins and sums, whatever
+    the size of a component or the degree of a node, and it ends, as modularity is bounded. Runs agree; a community is named by
+    its smallest node.
+    """
+    links = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    links = stored(links.where("weight > 0"), "louvain-links")
+    total = links.agg(F.sum("weight")).first()[0] or 1.0
+    member = stored(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")), "louvain-members")
+    level = 0
+    while True:
+        labels = _moved(links, total, resolution, level)
+        if labels is None:
+            break
+        to = labels.select(F.col("node").alias("community"), F.col("community").alias("new"))
+        old, member = member, stored(member.join(to, "community").select("node", F.col("new").alias("community")), "louvain-members")
+        dropped(old)
+        a = labels.select(F.col("node").alias("src"), F.col("community").alias("ca"))
+        b = labels.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+        joined = links.join(a, "src").join(b, "dst")
+        between = joined.groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("weight").alias("weight"))
+        old, links = links, stored(between, "louvain-links")
+        dropped(old, labels)
+        level += 1
+    dropped(links)
+    names = member.groupBy("community").agg(F.min("node").alias("first"))
+    return member.join(names, "community").select("node", F.col("first").alias("community"))
+
+
+def _quality(links: DataFrame, state: DataFrame, total: float, resolution: float, sweep: int) -> tuple[float, int]:
+    """The modularity of a state, and how many nodes moved in a sweep."""
+    a = state.select(F.col("node").alias("src"), F.col("community").alias("ca"))
+    b = state.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    inside = links.join(a, "src").join(b, "dst").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
+    mass = state.groupBy("community").agg(F.sum("degree").alias("mass"), F.count_if(F.col("sweep") == sweep).alias("moved"))
+    mass = mass.agg(F.sum(F.col("mass") * F.col("mass")).alias("squares"), F.sum("moved").alias("moved"))
+    found = inside.crossJoin(mass).first()  # two one-row tables
+    return found["inside"] / total - resolution * (found["squares"] or 0.0) / (4 * total * total), found["moved"] or 0
+
+
+def _moved(links: DataFrame, total: float, resolution: float, level: int) -> DataFrame | None:
+    """(node, community) after local moves of single nodes, or None where none gains."""
+    apart = links.where("src <> dst")
+    both = stored(apart.unionByName(apart.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "louvain-both")
+    colour = F.pmod(F.xxhash64("node", F.lit(f"colour {level}")), F.lit(COLOURS))
+    nodes = degrees(links).withColumns({"community": F.col("node"), "colour": colour, "sweep": F.lit(-1)})
+    state, sweep = stored(nodes, "louvain-state"), 0
+    best, _ = _quality(links, state, total, resolution, 0)
+    gained = False
+    while True:
+        before = state
+        for c in range(COLOURS):
+            fresh = _phase(both, state, c, total, resolution, sweep)
+            if fresh is not None and state is not before:
+                dropped(state)
+            state = state if fresh is None else fresh
+        if state is before:
+            dropped(both)
+            return before if gained else None
+        value, moves = _quality(links, state, total, resolution, sweep)
+        if not moves or value <= best + LEAST_GAIN:
+            dropped(state, both)
+            return before if gained else None
+        dropped(before)
+        best, gained, sweep = value, True, sweep + 1
+
+
+def _phase(both: DataFrame, state: DataFrame, colour: int, total: float, resolution: float, sweep: int) -> DataFrame | None:
+    """The state after the moves of one colour; None if none of it wants to move."""
+    mass = state.groupBy("community").agg(F.sum("degree").alias("mass"))
+    mine = state.where(F.col("colour") == colour).select(F.col("node").alias("src"), "degree", F.col("community").alias("home"))
+    near = both.join(mine, "src").join(state.select(F.col("node").alias("dst"), "community"), "dst")
+    around = near.groupBy("src", "degree", "home", "community").agg(F.sum("weight").alias("weight")).join(mass, "community")
+    around = around.join(mass.select(F.col("community").alias("home"), F.col("mass").alias("home_mass")), "home")
+    stays = F.col("community") == F.col("home")
+    pull = lambda held: resolution * F.col("degree") * held / (2 * total)
+    gain = F.round(F.col("weight") - pull(F.col("mass") - F.when(stays, F.col("degree")).otherwise(0.0)), 12)
+    chosen = around.groupBy("src", "degree", "home", "home_mass").agg(
+        F.max(F.struct(gain.alias("gain"), (-F.col("community")).alias("to"))).alias("best"), F.max(F.when(stays, gain)).alias("own")
+    )
+    own = F.coalesce("own", F.round(-pull(F.col("home_mass") - F.col("degree")), 12))
+    chosen = chosen.where((F.col("best.gain") > own + 1e-12) & (-F.col("best.to") != F.col("home")))
+    turn = F.xxhash64("src", F.lit(f"turn {sweep}"))
+    want = stored(chosen.select("src", (-F.col("best.to")).alias("to"), turn.alias("turn")), "louvain-wants")
+    if want.isEmpty():
+        dropped(want)
+        return None
+    other = want.select(F.col("src").alias("dst"), F.col("turn").alias("earlier"))
+    waits = both.select("src", "dst").join(want.select("src", "turn"), "src").join(other, "dst")
+    waits = waits.where((F.col("earlier") < F.col("turn")) | ((F.col("earlier") == F.col("turn")) & (F.col("dst") < F.col("src")))).select("src").distinct()
+    moves = want.join(waits, "src", "left_anti").select(F.col("src").alias("node"), "to")
+    joined = state.join(moves, "node", "left")
+    fresh = joined.select("node", "degree", F.coalesce("to", "community").alias("community"), "colour", F.when(F.col("to").isNotNull(), F.lit(sweep)).otherwise(F.col("sweep")).alias("sweep"))
+    out = stored(fresh, "louvain-state")
+    dropped(want)
+    return out
+
+
+def communities(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> list[int]:
+    """Community of each node of a graph in memory: local moves one by one until none gains, then the same on the graph of communities."""
+    total = float(weight.sum()) or 1.0
     mapping = list(range(n))
     links: list[dict[int, float]] = [{} for _ in range(n)]
     for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist(), strict=True):
         links[x][y] = links[x].get(y, 0.0) + w
         if x != y:
             links[y][x] = links[y].get(x, 0.0) + w
-    for _ in range(passes):
+    while True:
         size = len(links)
         degree = [sum(v * (2 if j == i else 1) for j, v in links[i].items()) for i in range(size)]
         label, mass = list(range(size)), degree.copy()

@@ -180,6 +180,55 @@ def test_louvain_finds_two_cliques(spark):
     assert graphs.largest_share(rows).first()[0] == 0.5
 
 
+def blocks_graph(rng, sizes, inside, outside):
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(group)
+    a, b = np.triu_indices(n, 1)
+    keep = rng.random(len(a)) < np.where(group[a] == group[b], inside, outside)
+    return a[keep], b[keep], np.round(rng.random(keep.sum()) + 0.5, 3)
+
+
+def quality(labels, a, b, w):
+    total, inside, mass = w.sum(), 0.0, {}
+    for x, y, v in zip(a, b, w, strict=True):
+        inside += v * (labels[x] == labels[y])
+        mass[labels[x]] = mass.get(labels[x], 0) + v
+        mass[labels[y]] = mass.get(labels[y], 0) + v
+    return inside / total - sum(m * m for m in mass.values()) / (4 * total * total)
+
+
+@pytest.mark.parametrize("kind", ["blocks", "ring", "star"])
+def test_louvain_over_partitions_is_as_good_as_one_by_one(spark, kind):
+    rng = np.random.default_rng(21)
+    if kind == "blocks":
+        a, b, w = blocks_graph(rng, [30, 25, 20, 15], 0.4, 0.02)
+    elif kind == "ring":  # twelve cliques of five in a ring
+        pairs = [(5 * g + x, 5 * g + y) for g in range(12) for x, y in itertools.combinations(range(5), 2)] + [(5 * g, (5 * g + 6) % 60) for g in range(12)]
+        a, b = (np.array(c) for c in zip(*pairs, strict=True))
+        w = np.ones(len(a))
+    else:  # a hub that all know, and pairs among the rest
+        pairs = [(0, i) for i in range(1, 61)] + [(i, i + 1) for i in range(1, 60, 2)]
+        a, b = (np.array(c) for c in zip(*pairs, strict=True))
+        w = np.where(a == 0, 1.0, 5.0)
+    edges = spark.createDataFrame([(int(x), int(y), float(v)) for x, y, v in zip(a, b, w, strict=True)], "src long, dst long, weight double")
+    labels = {r.node: r.community for r in graphs.louvain(edges).collect()}
+    assert set(labels) == set(a.tolist()) | set(b.tolist())
+    for c in set(labels.values()):
+        assert c == min(n for n in labels if labels[n] == c)
+    n = max(labels) + 1
+    one_by_one = dict(enumerate(graphs.communities(n, a, b, w)))
+    assert quality(labels, a, b, w) >= quality(one_by_one, a, b, w) - 1e-9
+    rows = spark.createDataFrame(list(labels.items()), "node long, community long")
+    assert graphs.modularity(edges, rows).first()[0] == pytest.approx(quality(labels, a, b, w))
+
+
+def test_louvain_of_no_and_of_loose_edges(spark):
+    schema = "src long, dst long, weight double"
+    assert graphs.louvain(spark.createDataFrame([], schema)).count() == 0
+    loose = graphs.louvain(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (7, 7, 2.0)], schema)).collect()
+    assert {(r.node, r.community) for r in loose} == {(1, 1), (2, 1), (7, 7)}
+
+
 def test_whole_components_match_union_find(spark, tmp_path):
     rng = np.random.default_rng(12)
     lines = [(int(s), int(s // 5 * 10 + rng.integers(0, 8)), float(q)) for s, q in zip(rng.integers(0, 40, 120), rng.integers(1, 51, 120), strict=True)]
