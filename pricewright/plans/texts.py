@@ -125,12 +125,14 @@ def style_vector(spark: SparkSession, d: str) -> DataFrame:
 def _style_sql() -> str:
     """The statement for every style column, with the word lists of the features."""
     listed = lambda words: ", ".join(f"'{w}'" for w in words)
-    matched = lambda w, rule: f"({w} IN ({listed(rule[0])})" + (f" OR regexp_matches({w}, '{rule[1]}'))" if rule[1] else ")")
+    ended = lambda w, rule, n: f" OR regexp_matches({w}, '.{{{n},}}({'|'.join(rule[1])})$')" if rule[1] else ""
+    matched = lambda w, rule, n=2: f"({w} IN ({listed(rule[0])}){ended(w, rule, n)})"
     hits = lambda words: f"len(list_filter(low, lambda x: x IN ({listed(words)})))"
     per = lambda count, of: f"{count} / greatest(len({of}), 1)::DOUBLE"
     tag = "CASE WHEN NOT regexp_matches(x, '[\\p{L}\\p{Nd}]') THEN 'mark' "
-    tag += " ".join(f"WHEN {matched('lower(x)', rule)} THEN '{name}'" for name, rule in style.CLASSES.items()) + " ELSE 'noun' END"
-    degree = f"{matched('x', style.DEGREES)} AND x NOT IN ({listed(style.NO_DEGREES)})"
+    more = lambda name: f" OR regexp_matches(x, '{style.DIGIT}')" if name == "numeral" else ""
+    tag += " ".join(f"WHEN {matched('lower(x)', rule)}{more(name)} THEN '{name}'" for name, rule in style.CLASSES.items()) + " ELSE 'noun' END"
+    degree = f"{matched('x', style.DEGREES, 3)} AND x NOT IN ({listed(style.NO_DEGREES)})"
     before = listed([*style.CLASSES["conjunction"][0], ","])
     asks = f"len(list_filter(p, lambda x, i: x IN ({listed(style.REQUESTS)}) AND (i = 1 OR p[i - 1] IN ({before}))))"
     most = f"greatest({', '.join(f'n_{c}' for c in style.STOP_WORDS)})"
@@ -173,10 +175,8 @@ FROM l LEFT JOIN o ON l.doc_id = o.doc_id LEFT JOIN e ON l.doc_id = e.doc_id"""
 @query("style_full", _style_sql())
 def style_full(spark: SparkSession, d: str) -> DataFrame:
     """All style features, the language vote, the shares of word classes and the rate of requests."""
-    text = F.col("text")
-    found = style.features(text) | {f"{k}_ratio": v for k, v in style.tag_ratios(style.tokens(text)).items()} | {"imperative_ratio": style.imperative_ratio(text)}
-    rows = table(spark, d, "documents")
-    return rows.select("doc_id", style.language(text).alias("language"), *[settled(v).alias(k) for k, v in found.items()])
+    rows = style.measured(table(spark, d, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", "language", *[settled(F.col(n)).alias(n) for n in style.NAMES])
 
 
 @query("punct_entropy", r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\p{L}\p{N}_\s]')) AS c FROM documents),
