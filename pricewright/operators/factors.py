@@ -1,4 +1,4 @@
-"""Presence matrices: TF-IDF weights, truncated SVD from a Gramian, imputation and reconstruction quality."""
+"""Presence matrices: TF-IDF weights, truncated SVD over partitions, imputation and reconstruction quality."""
 
 from __future__ import annotations
 
@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricewright.sources.steps import dropped, stored
+
 
 def presence(long: DataFrame) -> DataFrame:
     """(row_id, feature) of values that are there: neither null, blank nor a number equal to 0."""
@@ -29,7 +32,7 @@ def tfidf(cells: DataFrame) -> DataFrame:
 
 @dataclass
 class Factors:
-    """Right singular vectors by feature, singular values, and each component's share of the variance."""
+    """Right singular vectors by feature, singular values, and each component's share of the squared weights."""
 
     features: list[str]
     right: np.ndarray
@@ -37,54 +40,175 @@ class Factors:
     explained: np.ndarray
 
 
-def dense_rows(weights: DataFrame, features: list[str]) -> DataFrame:
-    """(row_id, v): rows as arrays over a fixed list of features."""
-    place = F.create_map(*[F.lit(x) for i, f in enumerate(features) for x in (f, i)])
-    entry = F.struct(place[F.col("feature")].alias("at"), F.col("w"))
-    known = weights.where(F.col("feature").isin(*features)).groupBy("row_id").agg(F.collect_list(entry).alias("e"))
-    table = F.map_from_entries("e")
-    return known.select("row_id", F.transform(F.sequence(F.lit(0), F.lit(len(features) - 1)), lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0.0))).alias("v"))
+#: Features of a fit at most: times ``rank`` and some, their numbers have to fit the driver and every task.
+FEATURES = 1 << 18
+#: Columns of a block beyond the rank, columns of the basis beyond which it isn't widened, and the residual that ends it.
+SPARE, WIDEST, RESIDUAL = 10, 1000, 1e-10
+#: Rows of a task, tasks whose sums come to the driver as they are, features in a piece of a sum.
+ROWS, TASKS, PIECE = 20_000, 32, 4096
 
 
-def fit_factors(weights: DataFrame, rank: int = 50) -> Factors:
-    """Truncated SVD without centring: the Gramian of the features is summed over partitions and solved on the driver.
+def places(weights: DataFrame) -> tuple[list[str], DataFrame]:
+    """The features in order, and (feature, at) with their places."""
+    found = weights.select("feature").distinct().limit(FEATURES + 1).collect()
+    if len(found) > FEATURES:
+        raise ValueError(f"more than {FEATURES} features")
+    features = sorted(r["feature"] for r in found)
+    table = weights.sparkSession.createDataFrame(list(zip(features, range(len(features)), strict=True)), "feature string, at int")
+    return features, table
 
-    The Gramian has the square of the number of features, which is the size of the schema; each component's sign makes
-    its largest loading positive.
-    """
-    features = sorted(r["feature"] for r in weights.select("feature").distinct().collect())
-    rows = dense_rows(weights, features)
 
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(features), len(features)))
+def sparse_rows(weights: DataFrame, at: DataFrame) -> DataFrame:
+    """(row_id, at, w): the places and weights of each row's known features, as arrays."""
+    entry = F.struct("at", "w")
+    rows = weights.join(at, "feature").groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return rows.select("row_id", F.col("e.at").alias("at"), F.col("e.w").alias("w"))
+
+
+def _products(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which entries belong to which row, their features and weights, and the rows times the basis."""
+    at, w = batch.column("at"), batch.column("w")
+    ends = np.concatenate([[0], np.cumsum(at.value_lengths().to_numpy())])
+    cells, weight = at.flatten().to_numpy(), w.flatten().to_numpy()
+    out = np.add.reduceat(np.vstack([basis[cells] * weight[:, None], np.zeros((1, basis.shape[1]))]), ends[:-1], axis=0) if len(ends) > 1 else np.zeros((0, basis.shape[1]))
+    out[np.diff(ends) == 0] = 0.0
+    return np.repeat(np.arange(len(at)), np.diff(ends)), cells, weight, out
+
+
+def _back_and_forth(rows: DataFrame, basis: np.ndarray, tasks: int) -> np.ndarray:
+    """The transposed rows times the rows times the basis, one number for each feature and column of the basis."""
+    n, width = basis.shape
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, width))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(features)), pa.int32()), pa.array(list(total))], ["i", "g"])
-
-    parts = rows.select("v").mapInArrow(gram, "i int, g array<double>")
-    summed = parts.select("i", F.posexplode("g").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    g = np.zeros((len(features), len(features)))
-    for r in summed:
-        g[r["i"], r["j"]] = r["x"]
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(-values)[: min(rank, len(features))]
-    right = vectors[:, order]
-    right *= np.where(right[np.abs(right).argmax(0), range(right.shape[1])] < 0, -1, 1)
-    held = np.maximum(values[order], 0)
-    return Factors(features, right, np.sqrt(held), held / max(values.clip(0).sum(), 1e-300))
+            for i in range(0, batch.num_rows, 1024):
+                row, cells, weight, out = _products(batch.slice(i, 1024), shared.value)
+                np.add.at(total, cells, out[row] * weight[:, None])
+        part = TaskContext.get().partitionId() % TASKS
+        pieces = [(k, total[k * PIECE : (k + 1) * PIECE]) for k in range(-(-n // PIECE))]
+        pieces = [(k, part, piece.tobytes()) for k, piece in pieces if piece.any()]
+        columns = list(zip(*pieces, strict=True)) or [[]] * 3
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "part", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(s) for s in group["sums"].to_pylist())
+        return group.slice(0, 1).set_column(2, "sums", pa.array([total.tobytes()], pa.binary()))
+
+    schema = "piece int, part int, sums binary"
+    parts = rows.select("at", "w").mapInArrow(run, schema)
+    if tasks > TASKS:  # the sums of many tasks meet in a few, then in one for each piece
+        parts = parts.groupBy("piece", "part").applyInArrow(added, schema).groupBy("piece").applyInArrow(added, schema)
+    out = np.zeros((n, width))
+    for r in sorted(parts.collect(), key=lambda r: (r["piece"], r["part"])):
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] += np.frombuffer(r["sums"]).reshape(-1, width)
+    return out
+
+
+def tall_triangle(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """The triangular factor of the rows times the basis: every task reduces its rows to a triangle, and triangles meet in pairs of stages."""
+    width = basis.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, width))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                held = np.linalg.qr(np.vstack([held, _products(batch.slice(i, 4096), shared.value)[3]]), mode="r")
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TASKS], pa.int32()), pa.array([held.tobytes()])], ["part", "r"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        held = np.zeros((0, width))
+        for r in group["r"].to_pylist():
+            held = np.linalg.qr(np.vstack([held, np.frombuffer(r).reshape(-1, width)]), mode="r")
+        return pa.table({"part": group["part"].slice(0, 1), "r": pa.array([held.tobytes()], pa.binary())})
+
+    parts = rows.select("at", "w").mapInArrow(run, "part int, r binary").groupBy("part").applyInArrow(joined, "part int, r binary")
+    held = np.zeros((0, width))
+    for r in sorted(parts.collect(), key=lambda r: r["part"]):  # ``TASKS`` triangles at most
+        held = np.linalg.qr(np.vstack([held, np.frombuffer(r["r"]).reshape(-1, width)]), mode="r")
+    return held
+
+
+def fit_factors(weights: DataFrame, rank: int = 50, seed: int = 5) -> Factors:
+    """Truncated SVD without centring, by a randomised block Krylov basis and a triangle of the rows in it.
+
+    A random block is taken back and forth through the rows, made orthogonal to what there is, and added to the basis,
+    until the leading pairs leave no residual or the basis spans all features. A pass moves features times columns of a block; no
+    matrix of features by features is ever made. The singular values come from the triangle of the rows in the leading directions,
+    which keeps small ones exact. Each component's sign makes its largest loading positive.
+    """
+    features, at = places(weights)
+    n = len(features)
+    size = weights.select("row_id").distinct().count()
+    if not n:
+        return Factors([], np.zeros((0, 0)), np.zeros(0), np.zeros(0))
+    tasks = -(-size // ROWS)
+    rows = stored(sparse_rows(weights, at).repartition(tasks), "sparse-rows")
+    width = min(rank + SPARE, n)
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, width)))[0]
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    while True:
+        forth = _back_and_forth(rows, block, tasks)
+        basis, image = np.hstack([basis, block]), np.hstack([image, forth])
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-values)[:width]
+        values, turn = values[order], turn[:, order]
+        away = image @ turn[:, :rank] - (basis @ turn[:, :rank]) * values[:rank]
+        if basis.shape[1] >= min(n, WIDEST) or np.linalg.norm(away, axis=0).max() <= RESIDUAL * max(values[0], 1e-300):
+            break
+        fresh = forth
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        fresh, triangle = np.linalg.qr(fresh)
+        kept = np.abs(np.diag(triangle)) > 1e-12 * max(values[0], 1e-300)
+        if not kept.any():  # the rows have no other direction
+            break
+        fresh = fresh[:, kept][:, : n - basis.shape[1]]
+        block = np.linalg.qr(fresh - basis @ (basis.T @ fresh))[0]
+    if np.linalg.norm(away, axis=0).max() > 1e-6 * max(values[0], 1e-300) and basis.shape[1] < n:
+        raise ArithmeticError(f"the leading {rank} factors are not settled in {WIDEST} directions")
+    lead = basis @ turn
+    _, values, turn = np.linalg.svd(tall_triangle(rows, lead), full_matrices=False)
+    total = weights.join(at, "feature").agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0.0
+    dropped(rows)
+    count = min(rank, len(values))
+    right = lead @ turn[:count].T
+    right *= np.where(right[np.abs(right).argmax(0), range(count)] < 0, -1, 1)
+    return Factors(features, right, values[:count], values[:count] ** 2 / max(total, 1e-300))
 
 
 def embed(weights: DataFrame, factors: Factors) -> DataFrame:
     """(row_id, v): rows in the factor space; features that the factors don't know go."""
-    rows = dense_rows(weights, factors.features)
+    named = list(zip(factors.features, range(len(factors.features)), strict=True))
+    at = weights.sparkSession.createDataFrame(named, "feature string, at int")
+    shared = weights.sparkSession.sparkContext.broadcast(factors.right)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x @ factors.right))], ["row_id", "v"])
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(_products(part, shared.value)[3]), pa.list_(pa.float64()))], ["row_id", "v"])
 
-    return rows.mapInArrow(project, "row_id long, v array<double>")
+    rows = sparse_rows(weights, at)
+    return rows.mapInArrow(project, f"row_id {rows.schema['row_id'].dataType.simpleString()}, v array<double>")
+
+
+def reconstruction_error(weights: DataFrame, factors: Factors) -> DataFrame:
+    """One row: what the factors leave of the weights, relative to their norm, and the root mean square over all cells.
+
+    The factors are orthogonal, so what is left is the norm of the weights without that of the projections.
+    """
+    held = embed(weights, factors).agg(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("held"))
+    known = weights.agg(F.sum(F.col("w") * F.col("w")).alias("total"), (F.count_distinct("row_id") * F.count_distinct("feature")).alias("cells"))
+    left = F.greatest(F.col("total") - F.col("held"), F.lit(0.0))
+    return known.crossJoin(held).select(  # two one-row tables
+        F.sqrt(F.try_divide(left, "total")).alias("relative_frobenius"), F.sqrt(F.try_divide(left, "cells")).alias("rmse")
+    )
 
 
 def scree(factors: Factors, at: tuple[int, ...] = (5, 10, 30, 50)) -> dict[int, float]:

@@ -171,10 +171,38 @@ def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
 
 @query("svd_embedding")
 def svd_embedding(spark: SparkSession, d: str) -> DataFrame:
-    weights = factors.tfidf(part_presence(spark, d))
+    weights = stored(factors.tfidf(part_presence(spark, d)), "presence")
     return factors.embed(weights, factors.fit_factors(weights, 8))
 
 
+#: Components that the reports of factors go by, and loadings of each.
+REPORTED, LOADINGS = 8, 5
+
+
+@query("factor_report")
+def factor_report(spark: SparkSession, d: str) -> DataFrame:
+    """(component, share, cumulated, place, feature, loading): the scree of the presence weights and the largest loadings."""
+    fit = factors.fit_factors(stored(factors.tfidf(part_presence(spark, d)), "presence"), REPORTED)
+    cumulated = factors.scree(fit, tuple(range(1, REPORTED + 1)))
+    rows, place = [], {}
+    for c, feature, loading in factors.top_loadings(fit, REPORTED, LOADINGS):
+        place[c] = place.get(c, 0) + 1
+        rows.append((c + 1, float(fit.explained[c]), cumulated[c + 1], place[c], feature, loading))
+    return spark.createDataFrame(rows, "component int, share double, cumulated double, place int, feature string, loading double")
+
+
+@query("factor_reconstruction")
+def factor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """(rank, relative_frobenius, rmse): what factors of rising number leave of the presence weights."""
+    weights = stored(factors.tfidf(part_presence(spark, d)), "presence")
+    whole, out = factors.fit_factors(weights, 16), None
+    for rank in (2, 4, 8, 16):
+        some = factors.Factors(whole.features, whole.right[:, :rank], whole.values[:rank], whole.explained[:rank])
+        row = factors.reconstruction_error(weights, some).select(F.lit(rank).alias("rank"), "relative_frobenius", "rmse")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("kernel_price", f"""WITH p AS (SELECT a.p_partkey, a.p_retailprice, sum(b.p_retailprice * exp(-0.05 * (a.p_size - b.p_size) * (a.p_size - b.p_size))) / nullif(sum(exp(-0.05 * (a.p_size - b.p_size) * (a.p_size - b.p_size))), 0) AS guess
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey GROUP BY 1, 2) SELECT p_partkey, {R.format('guess')} AS guess FROM p""")
 def kernel_price(spark: SparkSession, d: str) -> DataFrame:
