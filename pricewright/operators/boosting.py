@@ -216,26 +216,33 @@ def best_split(sums: np.ndarray, starts: np.ndarray, node: Node, total: tuple[fl
                min_leaf: int, ridge: float, signs: np.ndarray, allowed: np.ndarray | None = None):
     """The best (feature, cut, missing_left), and (sum of gradients, curvatures and counts, value) of each side; None without gain."""
     (total_g, total_h, total_n), (low, high) = total, bounds
+    # one row for each feature, as wide as the widest; padding repeats the last sum and cuts there leave nothing on the right
+    widths = np.diff(starts)
+    at = starts[:-1, None] + np.arange(widths.max(initial=1))
+    table = np.where(np.arange(at.shape[1]) < widths[:, None], sums[:, np.minimum(at, int(starts[-1]) - 1)], 0.0)
+    below, missing = np.cumsum(table[:, :, 1:], axis=2), table[:, :, :1]
+    may = np.ones(len(widths), bool) if allowed is None else np.asarray(allowed, bool)
     best = (1e-9, None)
-    for j in range(len(starts) - 1):
-        if allowed is not None and not allowed[j]:
+    for missing_left in (True, False):
+        gl, hl, nl = below + missing if missing_left else below
+        gr, hr, nr = total_g - gl, total_h - hl, total_n - nl
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vl, vr = np.clip(gl / (hl + ridge), low, high), np.clip(gr / (hr + ridge), low, high)
+            gain = (gl * vl - 0.5 * (hl + ridge) * vl**2) + (gr * vr - 0.5 * (hr + ridge) * vr**2)
+        gain -= total_g * node.value - 0.5 * (total_h + ridge) * node.value**2
+        ok = (nl >= min_leaf) & (nr >= min_leaf) & may[:, None]
+        # missing values take no part in the order, so they may not decide a constrained split
+        ok &= (signs[:, None] == 0) | (signs[:, None] * (vr - vl) >= 0)
+        if not missing_left:
+            ok &= missing[2] > 0
+        gain = np.where(ok, gain, -np.inf)
+        if not gain.size:
             continue
-        table = sums[:, starts[j] : starts[j + 1]]
-        for missing_left in (True, False) if table[2][0] else (True,):
-            gl, hl, nl = (np.cumsum(s[1:]) + (s[0] if missing_left else 0.0) for s in table)
-            gr, hr, nr = total_g - gl, total_h - hl, total_n - nl
-            with np.errstate(divide="ignore", invalid="ignore"):
-                vl, vr = np.clip(gl / (hl + ridge), low, high), np.clip(gr / (hr + ridge), low, high)
-                gain = (gl * vl - 0.5 * (hl + ridge) * vl**2) + (gr * vr - 0.5 * (hr + ridge) * vr**2)
-            gain -= total_g * node.value - 0.5 * (total_h + ridge) * node.value**2
-            ok = (nl >= min_leaf) & (nr >= min_leaf)
-            if signs[j]:
-                # missing values take no part in the order, so they may not decide a constrained split
-                ok &= (signs[j] * (vr - vl) >= 0)
-            gain = np.where(ok, gain, -np.inf)
-            if len(gain) and gain.max() > best[0]:
-                k = int(gain.argmax())
-                best = (float(gain[k]), (j, k + 1, missing_left, (gl[k], hl[k], nl[k], float(vl[k])), (gr[k], hr[k], nr[k], float(vr[k]))))
+        j, k = divmod(int(gain.argmax()), gain.shape[1])
+        # of equal gains the first feature counts, and missing values go left
+        if gain[j, k] > best[0] or (best[1] is not None and gain[j, k] == best[0] and j < best[1][0]):
+            sides = [tuple(float(x[j, k]) for x in side) for side in ((gl, hl, nl, vl), (gr, hr, nr, vr))]
+            best = (float(gain[j, k]), (j, k + 1, missing_left, *sides))
     return best[1]
 
 

@@ -25,7 +25,7 @@ from pricewright.operators.boosting import BINS, Node, Trees
 from pricewright.sources.steps import dropped, stored
 
 #: Rows of one task; tasks whose sums come to the driver as they are; rounds between tables of scores.
-ROWS, TASKS, KEEP = 50_000, 64, 10
+ROWS, TASKS, KEEP = 10_000, 64, 10
 
 
 def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
