@@ -9,6 +9,7 @@ instead, in the order of ``CLASSES``, and takes what is left as nouns. The rules
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -192,13 +193,16 @@ def unigrams_and_bigrams(text: Column) -> Column:
 
 _WORD = r"\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\p{Join_Control}"  # what (?U)\w is in the expressions
 _TOKEN = regex.compile(rf"[{_WORD}]+|[^{_WORD}\s]")
-_BREAK = regex.compile(r"(?<=[.!?])[ \t\n\x0B\f\r]+")
+# the same for characters up to the end of Latin letters, where plain ranges say it and the plain engine is faster
+_LATIN = "A-Za-z0-9_\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_LATIN_TOKEN, _BEYOND = re.compile(rf"[{_LATIN}]+|[^{_LATIN}\t-\r \x85\xa0]"), re.compile("[^\x00-\u024f]")
+_BREAK = re.compile(r"(?<=[.!?])[ \t\n\x0B\f\r]+")
 _FORMS = {k: regex.compile(p) for k, p in (("alpha", r"\p{L}+"), ("upper", r"\p{Lu}+"), ("capital", r"\p{Lu}\p{Ll}*"), ("mark", rf"[^{_WORD}\s]"))}
 _SOME = regex.compile(r"[\p{L}\p{Nd}]")
 _DIGIT = regex.compile(DIGIT)
 _STOPS = {c: frozenset(words) for c, words in STOP_WORDS.items()}
+_OPENERS = frozenset(REQUESTS)
 _BEFORE = {*CLASSES["conjunction"][0], ","}
-_CLASS_SETS = {name: frozenset(rule[0]) for name, rule in CLASSES.items()}
 #: Features that are counts over tokens, by what is counted.
 TAGS = (*CLASSES, "noun")
 NAMES = (
@@ -208,32 +212,52 @@ NAMES = (
 )
 
 
-def _ends(low: str, rule: tuple[list[str], list[str] | None], before: int) -> bool:
-    return any(low.endswith(e) and len(low) >= len(e) + before for e in rule[1] or ())
+_ORDER = {name: k for k, name in enumerate(CLASSES)}
+_LISTED: dict[str, int] = {}
+for _name, _rule in CLASSES.items():
+    for _w in _rule[0]:
+        _LISTED.setdefault(_w, _ORDER[_name])
+_ENDED = [(k, tuple(rule[1])) for k, rule in enumerate(CLASSES.values()) if rule[1]]
+_DEGREE_WORDS, _DEGREE_ENDS, _NO_DEGREE = frozenset(DEGREES[0]), tuple(DEGREES[1]), frozenset(NO_DEGREES)
+_SAID_IN = {w: tuple(i for i, words in enumerate(_STOPS.values()) if w in words) for words in _STOPS.values() for w in words}
 
 
-def _class(low: str) -> str:
-    if not _SOME.search(low):
-        return "mark"
-    for name, rule in CLASSES.items():
-        if low in _CLASS_SETS[name] or _ends(low, rule, 2) or (name == "numeral" and _DIGIT.search(low)):
-            return name
-    return "noun"
+def _ends(low: str, endings: tuple[str, ...], before: int) -> bool:
+    return low.endswith(endings) and any(low.endswith(e) and len(low) >= len(e) + before for e in endings)
+
+
+def _class(low: str, digit: bool) -> int:
+    """The first class that a word is in, by its list, its ending or its digits; the last number is that of nouns."""
+    found = _LISTED.get(low, len(CLASSES))
+    if digit:
+        found = min(found, _ORDER["numeral"])
+    for k, endings in _ENDED:
+        if k < found and _ends(low, endings, 2):
+            return k
+    return found
 
 
 @lru_cache(maxsize=1 << 16)
 def _known(token: str) -> tuple:
-    """What a token adds to a text's features each time it occurs."""
+    """What a token adds to a text's features each time it occurs; the class is -1 for what has neither letter nor digit."""
     low = token.lower()
-    is_ = {k: bool(p.fullmatch(token)) for k, p in _FORMS.items()}
-    degree = (low in DEGREES[0] or _ends(low, DEGREES, 3)) and low not in NO_DEGREES
-    langs = tuple(i for i, words in enumerate(_STOPS.values()) if low in words)
-    return is_["alpha"], len(token), is_["upper"], is_["capital"], bool(_DIGIT.search(token)), is_["mark"], TAGS.index(t) if (t := _class(low)) != "mark" else -1, degree, langs, low in REQUESTS
+    if token.isascii():
+        alpha, some = token.isalpha(), token.isalnum() or token.strip("_") != ""
+        upper, capital = alpha and token.isupper(), alpha and token[0].isupper() and (len(token) == 1 or token[1:].islower())
+        digit = not alpha and any("0" <= c <= "9" for c in token)
+        mark = len(token) == 1 and not token.isalnum() and token != "_"
+        some = some and not mark
+    else:
+        alpha, upper, capital, mark = (bool(_FORMS[k].fullmatch(token)) for k in ("alpha", "upper", "capital", "mark"))
+        digit, some = bool(_DIGIT.search(token)), bool(_SOME.search(token))
+    degree = (low in _DEGREE_WORDS or _ends(low, _DEGREE_ENDS, 3)) and low not in _NO_DEGREE
+    return alpha, len(token), upper, capital, digit, mark, _class(low, digit) if some else -1, degree, _SAID_IN.get(low, ()), low in _OPENERS
 
 
 def style_of(text: str) -> tuple[str, list[float]]:
     """The language and ``NAMES`` of a text."""
-    said = [_TOKEN.findall(s) for s in _BREAK.split(text.strip(" ")) if s.strip(" ")]
+    token = _TOKEN if _BEYOND.search(text) else _LATIN_TOKEN
+    said = [token.findall(s) for s in _BREAK.split(text.strip(" ")) if s.strip(" ")]
     if not said:
         return "en", [0.0] * len(NAMES)
     counts: Counter[str] = Counter()
@@ -260,7 +284,7 @@ def style_of(text: str) -> tuple[str, list[float]]:
         for i in langs:
             stops[i] += k
         asks = asks or request
-    opened = sum(t.lower() in REQUESTS and (i == 0 or s[i - 1].lower() in _BEFORE) for s in said for i, t in enumerate(s)) if asks else 0
+    opened = sum(t.lower() in _OPENERS and (i == 0 or s[i - 1].lower() in _BEFORE) for s in said for i, t in enumerate(s)) if asks else 0
     mean = sum(lengths) / len(lengths)
     best = max(range(len(stops)), key=lambda i: (stops[i], -i))
     parts = len(said)

@@ -62,8 +62,8 @@ s AS (SELECT *, sum(n) OVER o / sum(n) OVER a::DOUBLE AS w, sum(n * mid) OVER o
 g AS (SELECT *, CASE WHEN w > 0 AND w < 1 THEN (mt * w - m) * (mt * w - m) / (w * (1 - w)) ELSE 0 END AS gain FROM s)
 SELECT cluster, round(mid + 1e-9, 6) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(gain, 9) DESC, bin) AS k FROM g) WHERE k = 1""")
 def otsu_pairs(spark: SparkSession, d: str) -> DataFrame:
-    votes = similarity.copresent_votes(codes(spark, d)).withColumn("score", settled(F.col("score")))
-    return similarity.otsu(votes.where("score > 0"), "score", ["cluster"]).withColumn("threshold", settled(F.col("threshold")))
+    pairs = similarity.copresent_classes(codes(spark, d)).pairs.withColumn("score", settled(F.col("score")))
+    return similarity.otsu(pairs.where("score > 0"), "score", ["cluster"], weight="n").withColumn("threshold", settled(F.col("threshold")))
 
 
 @query("kept_votes", f"""WITH {COSINE}, p AS (SELECT cluster, i, j, round(score + 1e-9, 6) AS score FROM votes WHERE score > 0), lim AS (SELECT cluster, min(score) AS lo, max(score) AS hi FROM p GROUP BY 1),
@@ -75,8 +75,9 @@ g AS (SELECT *, CASE WHEN w > 0 AND w < 1 THEN (mt * w - m) * (mt * w - m) / (w
 cut AS (SELECT cluster, mid FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(gain, 9) DESC, bin) AS k FROM g) WHERE k = 1)
 SELECT p.cluster, i, j, score FROM p JOIN cut ON p.cluster = cut.cluster WHERE score >= mid""")
 def kept_votes(spark: SparkSession, d: str) -> DataFrame:
-    votes = similarity.cosine_votes(codes(spark, d)).withColumn("score", settled(F.col("score")))
-    return similarity.kept_votes(votes)
+    voted = similarity.cosine_classes(codes(spark, d))
+    pairs = stored(voted.pairs.withColumn("score", settled(F.col("score"))), "class-votes")
+    return similarity.Voted(pairs, voted.members).kept().expanded()
 
 
 @query("k_modes")
