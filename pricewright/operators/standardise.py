@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewright.functions import parse
-from pricewright.functions.units import NO_UNIT, UNITS, lexicon_table
+from pricewright.functions.units import NO_UNIT, lexicon_table
 from pricewright.operators.typing import without_extremes
-from pricewright.session import shared_folder
+from pricewright.sources.steps import dropped, stored
 
 #: Shares of cells from which a concept is of a kind, and the longest and most varied categories.
 TRIPLES, NUMERIC, JUNK_UNITS, FITTING, RANGES, FLAGS = 0.4, 0.5, 0.3, 0.5, 0.05, 0.6
@@ -89,47 +89,69 @@ class Standardised:
     report: DataFrame
 
 
+#: A typed cell of a concept: its feature, and the value in the column of its type.
+_EMPTY = {"number": "double", "flag": "boolean", "label": "string"}
+
+
+def _typed(rows: DataFrame, name: Column, column: str, value: Column) -> DataFrame:
+    parts = [(value if c == column else F.lit(None)).cast(t).alias(c) for c, t in _EMPTY.items()]
+    return rows.select("row_id", "concept", "kind", name.alias("feature"), *parts)
+
+
+def _measured(cells: DataFrame) -> DataFrame:
+    """Cells of measures with the first, least and largest of their values in the base unit.
+
+    The factors come by a join with the lexicon, of fixed size; numbers with units of other dimensions go.
+    """
+    each = cells.select("row_id", "concept", "kind", "dimension", F.posexplode(parse.pairs(F.col("value"))).alias("at", "pair"))
+    each = each.select("row_id", "concept", "kind", "dimension", "at", "pair.value", "pair.unit")
+    known = each.join(F.broadcast(lexicon_table(cells.sparkSession)), ["dimension", "unit"])
+    value = F.col("value") * F.col("factor")
+    return known.groupBy("row_id", "concept", "kind", "dimension").agg(
+        F.min_by(value, "at").alias("first"), F.min(value).alias("low"), F.max(value).alias("high")
+    )
+
+
+def _measures(rows: DataFrame, is_range: Column) -> DataFrame:
+    ends = F.when(is_range, F.array(*[F.struct(F.lit(e).alias("end"), F.col(c).alias("x")) for e, c in (("_min", "low"), ("_max", "high"))]))
+    whole = F.array(F.struct(F.lit("").alias("end"), F.col("first").alias("x")))
+    each = rows.withColumn("f", F.explode(F.coalesce(ends, whole)))
+    return _typed(each, F.concat("concept", F.lit("__"), "dimension", "f.end"), "number", F.col("f.x"))
+
+
+def _sides(cells: DataFrame) -> DataFrame:
+    rows = cells.where("kind = 'sides'").withColumn("s", parse.triple_mm(F.col("value"))).where("s is not null")
+    each = rows.select("row_id", "concept", "kind", F.posexplode("s").alias("at", "x"))
+    names = F.array(*[F.lit(f"__{s}_mm") for s in ("depth", "width", "height")])
+    return _typed(each, F.concat("concept", F.get(names, F.col("at"))), "number", F.col("x"))
+
+
+def _flags(cells: DataFrame) -> DataFrame:
+    return _typed(cells.where("kind = 'bool'"), F.concat("concept", F.lit("__bool")), "flag", parse.flag(F.col("value")))
+
+
+def _labels(cells: DataFrame) -> DataFrame:
+    colours = _typed(cells.where("kind = 'color'"), F.concat("concept", F.lit("__color")), "label", parse.colour(F.col("value")))
+    return colours.unionByName(_typed(cells.where("kind = 'category'"), F.col("concept"), "label", parse.unaccented(F.col("value"))))
+
+
 def standardised(cells: DataFrame, n_rows: int, coverage: float = COVERAGE) -> Standardised:
     """Typed features of long cells (row_id, concept, value) of a table with ``n_rows`` rows."""
     cells = cells.where("value is not null").select("row_id", "concept", "value")
-    shared_folder(cells.sparkSession)
-    found = verdicts(cells, n_rows, coverage).checkpoint()  # read by all that follows, so that cells are parsed once for it
+    found = stored(verdicts(cells, n_rows, coverage), "concepts")  # read by all that follows, so that cells are parsed once for it
     # decisions are one row for each concept of the schema
-    placed = cells.join(F.broadcast(found.select("concept", "kind", "dimension")), "concept").where(
-        F.col("kind").isin("sides", "measure", "bool", "color", "category")
-    )
-    factors = F.create_map(
-        *[x for d, (_, words) in UNITS.items() for x in (F.lit(d), F.create_map(*[F.lit(y) for u, f in words.items() for y in (u, float(f))]))]
-    )
-    value = F.col("value")
-    own = F.when(F.col("kind") == "measure", F.element_at(factors, F.col("dimension")))
-    read = F.transform(parse.pairs(value), lambda p: p["value"] * F.try_element_at(own, p["unit"]))
-    placed = placed.withColumn("values", F.when(F.col("kind") == "measure", F.filter(read, lambda v: v.isNotNull())))
-    ranged = F.array_max("values") > F.array_min("values")
-    ranges = placed.where("kind = 'measure'").groupBy("concept").agg((F.count_if(ranged) / n_rows).alias("ranges"))
-    ranges = ranges.checkpoint()
-    placed = placed.join(F.broadcast(ranges), "concept", "left")
+    placed = cells.join(F.broadcast(found.select("concept", "kind", "dimension")), "concept")
+    placed = stored(placed.where(F.col("kind").isin("sides", "measure", "bool", "color", "category")), "placed-cells")
+    measured = stored(_measured(placed.where("kind = 'measure'")), "measured-cells")
+    ranges = measured.groupBy("concept").agg((F.count_if(F.col("high") > F.col("low")) / n_rows).alias("ranges"))
+    ranges = stored(ranges, "ranges")  # one row for each concept
     is_range = F.coalesce(F.col("ranges") > RANGES, F.lit(False))
-    none = {"number": F.lit(None).cast("double"), "flag": F.lit(None).cast("boolean"), "label": F.lit(None).cast("string")}
-
-    def feature(suffix: str | Column, **parts: Column) -> Column:
-        name = F.concat(F.col("concept"), suffix if isinstance(suffix, Column) else F.lit(suffix))
-        return F.struct(name.alias("feature"), *[parts.get(k, v).alias(k) for k, v in none.items()])
-
-    measured = lambda end, x: feature(F.concat(F.lit("__"), F.col("dimension"), F.lit(end)), number=x)
-    sides = parse.triple_mm(value)
-    made = (
-        F.when(F.col("kind") == "sides", F.array(*[feature(f"__{s}_mm", number=F.get(sides, F.lit(i))) for i, s in enumerate(("depth", "width", "height"))]))
-        .when((F.col("kind") == "measure") & is_range, F.array(measured("_min", F.array_min("values")), measured("_max", F.array_max("values"))))
-        .when(F.col("kind") == "measure", F.array(measured("", F.get("values", F.lit(0)))))
-        .when(F.col("kind") == "bool", F.array(feature("__bool", flag=parse.flag(value))))
-        .when(F.col("kind") == "color", F.array(feature("__color", label=parse.colour(value))))
-        .otherwise(F.array(feature("", label=parse.unaccented(value))))
-    )
-    long = placed.select("row_id", "concept", "kind", F.explode(made).alias("f")).select("row_id", "concept", "kind", "f.*").checkpoint()
-    bounded = without_extremes(long.where("kind = 'measure'"), "number", ["feature"])
-    long = bounded.select(*long.columns).unionByName(long.where("kind <> 'measure'"))
-    long = long.where("number is not null or flag is not null or label is not null").checkpoint()
+    numbers = _measures(measured.join(F.broadcast(ranges), "concept", "left"), is_range)
+    # a select for each kind keeps each one's code small enough to be compiled
+    rest = _sides(placed).unionByName(_flags(placed)).unionByName(_labels(placed))
+    long = without_extremes(numbers, "number", ["feature"]).select(*numbers.columns).unionByName(rest)
+    long = stored(long.where("number is not null or flag is not null or label is not null"), "typed-cells")
+    dropped(placed, measured)
     filled = long.groupBy("feature", "concept").agg((F.count("*") / n_rows).alias("coverage")).where(F.col("coverage") >= coverage)
     kind = F.when(F.col("feature").contains("__"), F.substring_index("feature", "__", -1)).otherwise(F.lit("categorical"))
     dictionary = filled.select("feature", "concept", kind.alias("type"), F.round("coverage", 3).alias("coverage"))

@@ -118,6 +118,16 @@ def test_typed_columns_of_nothing_and_of_extremes(spark):
     assert [(r.concept, r.kind, r.dimension) for r in done.report.collect()] == [("power", "measure", "power_w")]
 
 
+def test_typed_columns_are_compiled(spark, folder):
+    from pricewright.plans import registry
+
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # else code that is too large is interpreted without an error
+    try:
+        registry.queries()["standard_features"](spark, folder).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
 def test_votes_of_blocks_are_those_of_the_whole(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i % 2), int(i), f, str(rng.integers(3))) for i in range(60) for f in ("a", "b", "c") if rng.random() < 0.7]

@@ -58,6 +58,11 @@ def test_neighbouring_numbers_stay_apart(spark):
 def test_triples(spark):
     got = read(spark, parse.triple_mm, "10 x 20 x 30 mm", "1x2x3", "nothing")
     assert got == [[10.0, 20.0, 30.0], [10.0, 20.0, 30.0], None]
+    cells = ("10 cm x 20mm X 3 m", "12,5 × 8 × 4 cm", "30 l x 20 b x 10 h cm", "1*2*4 inch", "40 x 30", "Maße: 1.5x2x3 unknown", "5 kg", None)
+    assert read(spark, parse.triple_mm, *cells) == [
+        [100.0, 20.0, 3000.0], [125.0, 80.0, 40.0], [300.0, 200.0, 100.0], [25.4, 50.8, 101.6], None, [15.0, 20.0, 30.0], None, None,
+    ]
+    assert read(spark, lambda t: parse.sides_mm(t, 2), "40 x 30", "7", "4x5x6 mm") == [[400.0, 300.0], None, [4.0, 5.0, 6.0]]
 
 
 def test_flags_and_colours(spark):
@@ -65,11 +70,17 @@ def test_flags_and_colours(spark):
     assert read(spark, parse.colour, "Noir mat", "grün", "Dunkelgrau", "") == ["black", "green", None, None]
 
 
-@pytest.mark.parametrize(("header", "name"), [("ttf_Marque", "brand"), ("btf_Weight (in g):", "weight"), ("Couleur", "color")])
+@pytest.mark.parametrize(("header", "name"), [("ttf_Marque", "brand"), ("btf_Weight (in g):", "weight"), ("Couleur", "color"),
+     ("ttf_Modèle", "model name"), ("Plug-in  type .", "plug-in type"), ("Size (a (b) c) of_box", "size of box"), ("Weight (g", "weight"), ("ttf", "ttf"), ("", "")])
 def test_concepts(header, name):
     assert parse.concept(header) == name
 
 
+def test_concepts_by_rules_of_a_catalogue():
+    own = parse.Naming(sources=("src",), synonyms={"vikt": "weight"})
+    assert own.concept("src_Vikt (g)") == "weight" and own.concept("ttf_Marque") == "ttf marque"
+
+
 def test_lexicon_has_every_dimension_once():
     words = units.lexicon()
     assert len(words) == 16
