@@ -1,4 +1,4 @@
-"""Presence matrices: TF-IDF weights, truncated SVD over partitions, imputation and reconstruction quality."""
+"""Presence matrices: TF-IDF weights, truncated SVD over partitions, imputation, correlations and groups of features."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pricewright.operators import graphs
 from pricewright.sources.steps import dropped, stored
 
 
@@ -86,24 +87,36 @@ def _back_and_forth(rows: DataFrame, basis: np.ndarray, tasks: int) -> np.ndarra
             for i in range(0, batch.num_rows, 1024):
                 row, cells, weight, out = _products(batch.slice(i, 1024), shared.value)
                 np.add.at(total, cells, out[row] * weight[:, None])
-        part = TaskContext.get().partitionId() % TASKS
-        pieces = [(k, total[k * PIECE : (k + 1) * PIECE]) for k in range(-(-n // PIECE))]
-        pieces = [(k, part, piece.tobytes()) for k, piece in pieces if piece.any()]
-        columns = list(zip(*pieces, strict=True)) or [[]] * 3
-        kinds = (pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "part", "sums"])
+        yield _pieces(total, PIECE, TASKS)
+
+    return _added_up(rows.select("at", "w").mapInArrow(run, PIECES), (n, width), tasks)
+
+
+PIECES = "piece int, part int, sums binary"
+
+
+def _pieces(total: np.ndarray, size: int, parts: int) -> pa.RecordBatch:
+    """A task's sums, cut into pieces of ``size`` rows; pieces of zeros go."""
+    part = TaskContext.get().partitionId() % parts
+    pieces = [(k, total[k * size : (k + 1) * size]) for k in range(-(-len(total) // size))]
+    pieces = [(k, part, piece.tobytes()) for k, piece in pieces if piece.any()]
+    columns = list(zip(*pieces, strict=True)) or [[]] * 3
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["piece", "part", "sums"])
+
+
+def _added_up(parts: DataFrame, shape: tuple[int, int], tasks: int) -> np.ndarray:
+    """The sum of what tasks have made; the sums of many meet in a few, then in one for each piece."""
 
     def added(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(s) for s in group["sums"].to_pylist())
         return group.slice(0, 1).set_column(2, "sums", pa.array([total.tobytes()], pa.binary()))
 
-    schema = "piece int, part int, sums binary"
-    parts = rows.select("at", "w").mapInArrow(run, schema)
-    if tasks > TASKS:  # the sums of many tasks meet in a few, then in one for each piece
-        parts = parts.groupBy("piece", "part").applyInArrow(added, schema).groupBy("piece").applyInArrow(added, schema)
-    out = np.zeros((n, width))
+    if tasks > TASKS:
+        parts = parts.groupBy("piece", "part").applyInArrow(added, PIECES).groupBy("piece").applyInArrow(added, PIECES)
+    out = np.zeros(shape)
     for r in sorted(parts.collect(), key=lambda r: (r["piece"], r["part"])):
-        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] += np.frombuffer(r["sums"]).reshape(-1, width)
+        out[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] += np.frombuffer(r["sums"]).reshape(-1, shape[1])
     return out
 
 
@@ -120,15 +133,18 @@ def tall_triangle(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         if len(held):
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TASKS], pa.int32()), pa.array([held.tobytes()])], ["part", "r"])
 
+    return _joined_triangles(rows.select("at", "w").mapInArrow(run, "part int, r binary"), width)
+
+
+def _joined_triangles(parts: DataFrame, width: int) -> np.ndarray:
     def joined(group: pa.Table) -> pa.Table:
         held = np.zeros((0, width))
         for r in group["r"].to_pylist():
             held = np.linalg.qr(np.vstack([held, np.frombuffer(r).reshape(-1, width)]), mode="r")
         return pa.table({"part": group["part"].slice(0, 1), "r": pa.array([held.tobytes()], pa.binary())})
 
-    parts = rows.select("at", "w").mapInArrow(run, "part int, r binary").groupBy("part").applyInArrow(joined, "part int, r binary")
     held = np.zeros((0, width))
-    for r in sorted(parts.collect(), key=lambda r: r["part"]):  # ``TASKS`` triangles at most
+    for r in sorted(parts.groupBy("part").applyInArrow(joined, "part int, r binary").collect(), key=lambda r: r["part"]):  # ``TASKS`` triangles at most
         held = np.linalg.qr(np.vstack([held, np.frombuffer(r["r"]).reshape(-1, width)]), mode="r")
     return held
 
@@ -224,29 +240,172 @@ def top_loadings(factors: Factors, components: int = 5, k: int = 10) -> list[tup
     return out
 
 
+#: Columns of a table whose pairs, or whose triangle, one task and the driver hold.
+COLUMNS = 2000
+
+
 def imputed(x: np.ndarray, rank: int, rounds: int = 10) -> np.ndarray:
     """Missing entries from repeated truncated SVD, observed ones kept, results in [0, 1]; a block of one task."""
     known = ~np.isnan(x)
     means = np.array([x[known[:, j], j].mean() if known[:, j].any() else 0.0 for j in range(x.shape[1])])
     y = np.where(known, x, means)
     for _ in range(rounds):
-        u, s, v = np.linalg.svd(y, full_matrices=False)
-        low = (u[:, :rank] * s[:rank]) @ v[:rank]
-        y = np.where(known, x, np.clip(low, 0, 1))
+        _, _, v = np.linalg.svd(y, full_matrices=False)
+        y = _once_more(x, known, y, v[:rank])
     return y
 
 
+def _once_more(x: np.ndarray, known: np.ndarray, y: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.where(known, x, np.clip((y @ right.T) @ right, 0, 1))
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    """Rows of arrays as a matrix, null entries as NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def imputed_rows(rows: DataFrame, rank: int, rounds: int = 10) -> DataFrame:
+    """(row_id, x) of (row_id, x), x being arrays of one length with nulls: ``imputed``, for rows in any number of tasks.
+
+    A round needs the leading directions of the rows as they are, which the triangle of all rows gives. Rows aren't written
+    again: a task starts from the means and goes through the directions of all rounds so far, each a product of fixed size.
+    """
+    width = rows.select(F.size("x").alias("n")).agg(F.max("n")).first()[0] or 0
+    if not 0 < width <= COLUMNS:
+        if width > COLUMNS:
+            raise ValueError(f"more than {COLUMNS} columns")
+        return rows
+    found = rows.agg(*[F.avg(F.get("x", F.lit(j))).alias(f"m{j}") for j in range(width)]).first()
+    means, held = np.array([m if m is not None else 0.0 for m in found]), []
+
+    def now(x: np.ndarray, directions: list[np.ndarray]) -> np.ndarray:
+        known = ~np.isnan(x)
+        y = np.where(known, x, means)
+        for right in directions:
+            y = _once_more(x, known, y, right)
+        return y
+
+    for _ in range(rounds):
+        shared = rows.sparkSession.sparkContext.broadcast(list(held))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((0, width))
+            for batch in batches:
+                for i in range(0, batch.num_rows, 4096):
+                    y = now(_wide(batch.column(0).slice(i, 4096)), shared.value)
+                    total = np.linalg.qr(np.vstack([total, y]), mode="r")
+            if len(total):
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TASKS], pa.int32()), pa.array([total.tobytes()])], ["part", "r"])
+
+        triangle = _joined_triangles(rows.select("x").mapInArrow(run, "part int, r binary"), width)
+        held.append(np.linalg.svd(triangle, full_matrices=False)[2][:rank])
+    shared = rows.sparkSession.sparkContext.broadcast(held)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                y = now(_wide(part.column(1)), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(y), pa.list_(pa.float64()))], ["row_id", "x"])
+
+    kind = rows.schema["row_id"].dataType.simpleString()
+    return rows.select("row_id", "x").mapInArrow(fill, f"row_id {kind}, x array<double>")
+
+
+def correlations(cells: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Features in order, and for each pair of them the number of rows that have both and their correlation there.
+
+    ``cells`` is long: (row_id, feature, w). Rows are centred on the features' means before products are taken; a task
+    adds up the products of its rows, and no pair of rows or of cells is made. A pair without spread has NaN.
+    """
+    features, at = places(cells)
+    n = len(features)
+    if n > COLUMNS:
+        raise ValueError(f"more than {COLUMNS} features")
+    if not n:
+        return [], np.zeros((0, 0)), np.zeros((0, 0))
+    means = {r["feature"]: r["m"] for r in cells.groupBy("feature").agg(F.avg("w").alias("m")).collect()}
+    centre = np.array([means[f] for f in features])
+    size = cells.select("row_id").distinct().count()
+    tasks = -(-size // ROWS)
+    rows = stored(sparse_rows(cells, at).repartition(tasks), "feature-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4 * n, n))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                some = batch.slice(i, 2048)
+                places_, weights = some.column("at"), some.column("w")
+                row = np.repeat(np.arange(len(places_)), places_.value_lengths().to_numpy())
+                cell = places_.flatten().to_numpy()
+                there, x = np.zeros((len(places_), n)), np.zeros((len(places_), n))
+                there[row, cell], x[row, cell] = 1.0, weights.flatten().to_numpy() - centre[cell]
+                total += np.vstack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        yield _pieces(total, PIECE, TASKS)
+
+    count, sums, squares, products = _added_up(rows.select("at", "w").mapInArrow(run, PIECES), (4 * n, n), tasks).reshape(4, n, n)
+    dropped(rows)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = sums / count
+        spread = np.maximum(squares / count - mean * mean, 0)
+        r = (products / count - mean * mean.T) / np.sqrt(spread * spread.T)
+        small = spread <= 1e-14 * np.maximum(np.nan_to_num(squares / count), 1e-300)
+    return features, count, np.where(small | small.T, np.nan, np.clip(r, -1, 1))
+
+
+def linkage(away: np.ndarray) -> list[tuple[int, int, float]]:
+    """Average linkage by the nearest-neighbour chain: merges (a, b, height) of groups named by their smallest member, by height.
+
+    A chain goes from a group to its nearest one until two are nearest to each other; these merge, whatever the rest
+    looks like, since a merge brings no group nearer than its parts were.
+    """
+    n = len(away)
+    d = np.array(away, float)
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            last = chain[-1]
+            near = int(d[last].argmin())
+            if len(chain) > 1 and d[last, chain[-2]] <= d[last, near]:
+                break
+            chain.append(near)
+        b, a = chain.pop(), chain.pop()
+        a, b = min(a, b), max(a, b)
+        merges.append((a, b, float(d[a, b])))
+        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = merged, merged
+        d[a, a] = np.inf
+        d[b], d[:, b] = np.inf, np.inf
+        size[a] += size[b]
+        alive[b] = False
+    return sorted(merges, key=lambda m: m[2])
+
+
 def linked_features(correlation: np.ndarray, cut: float = 0.8) -> list[int]:
-    """Average-linkage clusters on 1 - |r|, cut where groups are less alike than ``cut``; a matrix of the schema's size."""
-    groups = [[i] for i in range(len(correlation))]
-    away = 1 - np.abs(np.nan_to_num(correlation))
-    while len(groups) > 1:
-        best = min(((away[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j))
-        if best[0] > 1 - cut:
-            break
-        groups[best[1]] += groups.pop(best[2])
-    label = [0] * len(correlation)
-    for k, g in enumerate(sorted(groups, key=min)):
-        for i in g:
-            label[i] = k
-    return label
+    """Average-linkage clusters on 1 - |r|, cut where groups are less alike than ``cut``; numbered by their first member."""
+    n = len(correlation)
+    over = list(range(n))
+
+    def top(i: int) -> int:
+        while over[i] != i:
+            i = over[i]
+        return i
+
+    for a, b, height in linkage(1 - np.abs(np.nan_to_num(correlation))) if n else []:
+        if height <= 1 - cut + 1e-12:
+            a, b = top(a), top(b)
+            over[max(a, b)] = min(a, b)
+    first = {r: k for k, r in enumerate(sorted({top(i) for i in range(n)}))}
+    return [first[top(i)] for i in range(n)]
+
+
+def feature_communities(spark: SparkSession, features: list[str], correlation: np.ndarray, least: float = 0.3) -> dict[str, str]:
+    """The Louvain community of each feature in the graph of correlations of at least ``least``, by its first feature."""
+    i, j = np.nonzero(np.triu(np.abs(np.nan_to_num(correlation)) >= least, 1))
+    edges = [(int(a), int(b), float(abs(correlation[a, b]))) for a, b in zip(i, j, strict=True)]
+    found = graphs.louvain(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()  # one row for each feature
+    return {f: f for f in features} | {features[r["node"]]: features[r["community"]] for r in found}

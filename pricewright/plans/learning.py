@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions.columns import gaussian, ratio, settled
-from pricewright.operators import agents, boosting, factors, graphs, market, metrics, similarity, treefit
+from pricewright.operators import agents, boosting, factors, graphs, market, metrics, similarity, standardise, treefit
 from pricewright.operators import typing as ty
 from pricewright.plans.panels import SPINE, sales, spine
 from pricewright.plans.registry import query
+from pricewright.plans.standard import part_cells
 from pricewright.sources.steps import stored
 from pricewright.sources.tables import table
 
@@ -204,6 +205,47 @@ def factor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: The columns of order lines that are correlated, and when each is missing.
+CORRELATED = {"l_quantity": "l_linenumber % 4 <> 0", "l_extendedprice": "true", "l_discount": "l_orderkey % 3 <> 0", "l_tax": "l_orderkey % 5 <> 0"}
+
+
+@query("feature_correlations", "WITH c AS (SELECT " + ", ".join(f"CASE WHEN {w} THEN {c} END AS {c}" for c, w in CORRELATED.items()) + " FROM lineitem) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, {R.format(f'corr({a}, {b})')} AS r FROM c WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for a in CORRELATED for b in CORRELATED if a < b))
+def feature_correlations(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations of order-line columns over the rows that have both of a pair."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.when(F.expr(w), F.col(c)).cast("double").alias("w")) for c, w in CORRELATED.items()]))
+    rows = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("row_id"), *CORRELATED, "l_linenumber", "l_orderkey")
+    long = stored(rows.select("row_id", cells.alias("c")).select("row_id", "c.feature", "c.w").where("w is not null"), "line-cells")
+    features, count, r = factors.correlations(long)
+    pairs = [(a, b, int(count[i, j]), float(r[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    return spark.createDataFrame(pairs, "a string, b string, n long, r double").withColumn("r", settled(F.col("r")))
+
+
+@query("feature_clusters")
+def feature_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, cluster, community): numbers of the standard features grouped by average linkage, and by Louvain."""
+    cells = stored(standardise.standardised(*part_cells(spark, d)).features.where("number is not null").select("row_id", "feature", F.col("number").alias("w")), "numbers")
+    features, _, r = factors.correlations(cells)
+    communities = factors.feature_communities(spark, features, r)
+    rows = [(f, c, communities[f]) for f, c in zip(features, factors.linked_features(r), strict=True)]
+    return spark.createDataFrame(rows, "feature string, cluster int, community string")
+
+
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query("imputed_shares")
+def imputed_shares(spark: SparkSession, d: str) -> DataFrame:
+    """(customer, priority, share, known): each customer's share of filled orders by priority, missing ones from two factors."""
+    done = (F.col("o_orderstatus") == "F").cast("double")
+    shares = [F.avg(F.when(F.col("o_orderpriority") == p, done)) for p in PRIORITIES]
+    rows = stored(table(spark, d, "orders").groupBy(F.col("o_custkey").alias("row_id")).agg(F.array(*shares).alias("x")), "order-shares")
+    full = factors.imputed_rows(rows, 2).withColumnRenamed("x", "y").join(rows, "row_id")
+    names = F.array(*[F.lit(p) for p in PRIORITIES])
+    each = full.select("row_id", "x", F.posexplode("y").alias("at", "share"))
+    return each.select(F.col("row_id").alias("customer"), F.get(names, F.col("at")).alias("priority"), "share", F.get("x", F.col("at")).isNotNull().alias("known"))
+
+
 @query("kernel_price", f"""WITH p AS (SELECT a.p_partkey, a.p_retailprice, sum(b.p_retailprice * exp(-0.05 * (a.p_size - b.p_size) * (a.p_size - b.p_size))) / nullif(sum(exp(-0.05 * (a.p_size - b.p_size) * (a.p_size - b.p_size))), 0) AS guess
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey <> b.p_partkey GROUP BY 1, 2) SELECT p_partkey, {R.format('guess')} AS guess FROM p""")
 def kernel_price(spark: SparkSession, d: str) -> DataFrame:

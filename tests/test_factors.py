@@ -65,3 +65,60 @@ def test_wide_matrices_stop_before_all_features(spark, monkeypatch):
     monkeypatch.setattr(factors, "FEATURES", 399)
     with pytest.raises(ValueError):
         factors.places(long(spark, x))
+
+
+def test_imputation_over_partitions_is_that_of_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.clip(rng.random((90, 3)) @ rng.random((3, 7)) / 2, 0, 1)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[:, 6] = np.nan
+    expected = factors.imputed(x, 2)
+    rows = [(i, [None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(x)]
+    frame = spark.createDataFrame(rows, "row_id long, x array<double>").repartition(5)
+    monkeypatch.setattr(factors, "TASKS", 2)
+    got = {r.row_id: r.x for r in factors.imputed_rows(frame, 2).collect()}
+    assert np.allclose([got[i] for i in range(90)], expected, atol=1e-8)
+    there = ~np.isnan(x)
+    assert np.array_equal(np.array([got[i] for i in range(90)])[there], x[there])
+    assert factors.imputed_rows(frame.where("false"), 2).count() == 0
+
+
+def plain_linkage(away, cut):
+    """Groups by merging the nearest two, by the mean of all distances between them, again and again."""
+    groups = [[i] for i in range(len(away))]
+    while len(groups) > 1:
+        best = min((away[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if best[0] > 1 - cut:
+            break
+        groups[best[1]] += groups.pop(best[2])
+    return sorted(sorted(g) for g in groups)
+
+
+@pytest.mark.parametrize("cut", [0.3, 0.6, 0.8])
+def test_linkage_is_that_of_nearest_pairs(cut):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 40)) + 0.6 * rng.normal(size=(200, 40))
+    r = np.corrcoef(x.T)
+    labels = factors.linked_features(r, cut)
+    groups = sorted(sorted(np.flatnonzero(np.array(labels) == c).tolist()) for c in set(labels))
+    assert groups == plain_linkage(1 - np.abs(r), cut) and labels[0] == 0
+    assert factors.linked_features(np.zeros((0, 0))) == []
+
+
+def test_correlations_of_rows_that_have_both(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 6)) @ rng.normal(size=(6, 6)) + 1000
+    x[:, 5] = 3.0
+    x[rng.random(x.shape) < 0.3] = np.nan
+    rows = [(i, f"f{j}", float(x[i, j])) for i in range(150) for j in range(6) if not np.isnan(x[i, j])]
+    features, count, r = factors.correlations(spark.createDataFrame(rows, "row_id long, feature string, w double").repartition(3))
+    for i in range(6):
+        for j in range(6):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert count[i, j] == both.sum()
+            if 5 in (i, j):
+                assert np.isnan(r[i, j])
+            else:
+                assert r[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
+    two = np.array([[1, 0.9, 0.0], [0.9, 1, 0.1], [0.0, 0.1, 1]])
+    assert factors.feature_communities(spark, ["a", "b", "c"], two) == {"a": "a", "b": "a", "c": "c"}
