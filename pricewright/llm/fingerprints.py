@@ -23,6 +23,8 @@ SHINGLE = 5
 FRACTION = 0.5
 #: Neighbours in ``doc_id`` order meet in buckets of 2**BUCKET_BITS consecutive ids.
 BUCKET_BITS = 9
+#: Groups of buckets that one task puts in order.
+GROUPS = 4096
 #: An id of more rows than this has ranges of its own.
 HOT = 1024
 #: The columns of a bucket.
@@ -133,15 +135,29 @@ def _placed(rows: DataFrame) -> DataFrame:
     return joined.withColumns({"_place": place, "_range": part}).drop("hot")
 
 
+def _next_groups(groups: DataFrame) -> DataFrame:
+    """(over, next_group) of (over, first_of_group): the first of the group after each, that of the first group for the last.
+
+    Up to ``GROUPS`` of them are put in order by one task. More are groups in turn, by the higher bits of their numbers, so
+    that ids far apart, each in a bucket and a group of its own, make no task longer either.
+    """
+    groups = written(groups, "bucket-groups")
+    if groups.count() <= GROUPS:
+        whole = Window.orderBy("over")
+        after = F.coalesce(F.lead("first_of_group").over(whole), F.first("first_of_group").over(whole))
+        return groups.select("over", after.alias("next_group"))
+    groups = groups.withColumn("above", F.shiftright("over", BUCKET_BITS))
+    higher = groups.groupBy(F.col("above").alias("over")).agg(F.min("first_of_group").alias("first_of_group"))
+    higher = _next_groups(higher).select(F.col("over").alias("above"), F.col("next_group").alias("next_above"))
+    inside = Window.partitionBy("above").orderBy("over")
+    follows = groups.withColumn("after", F.lead("first_of_group").over(inside)).join(higher, "above")
+    return follows.select("over", F.coalesce("after", "next_above").alias("next_group"))
+
+
 def _following(firsts: DataFrame) -> DataFrame:
-    """For each bucket, the one after it; the first one after the last. Two levels, so that no task sorts all buckets."""
+    """For each bucket, the one after it; the first one after the last. In levels, so that no task sorts all buckets."""
     over, bucket = F.shiftright(F.col("_bucket"), BUCKET_BITS), F.struct(*BUCKET)
-    groups = firsts.groupBy(over.alias("over")).agg(F.min(bucket).alias("first_of_group"))
-    whole = Window.orderBy("over")
-    groups = groups.select(
-        "over",
-        F.coalesce(F.lead("first_of_group").over(whole), F.first("first_of_group").over(whole)).alias("next_group"),
-    )
+    groups = _next_groups(firsts.groupBy(over.alias("over")).agg(F.min(bucket).alias("first_of_group")))
     inside = Window.partitionBy("over").orderBy(*BUCKET)
     follows = firsts.select(*BUCKET, over.alias("over")).withColumn("next_bucket", F.lead(bucket).over(inside)).join(groups, "over")
     after = follows.withColumn("after", F.coalesce("next_bucket", "next_group"))

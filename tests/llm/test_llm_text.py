@@ -132,6 +132,16 @@ def test_fingerprints_of_nothing_and_sparse_ids(spark, empty):
     assert got == {i * 10**7: f"text {(i + 1) % 20}" for i in range(20)}
 
 
+@pytest.mark.parametrize("groups", [2, 7, 4096])
+def test_ids_far_apart_are_ordered_in_levels(spark, monkeypatch, groups):
+    monkeypatch.setattr(fingerprints, "GROUPS", groups)
+    ids = sorted([*[i << 40 for i in range(-60, 60)], *range(5), -(2**63), 2**63 - 1])
+    ids = [None, *sorted(set(ids))]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(fingerprints.fingerprint(rows)).collect()}
+    assert got == {i: f"text {ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+
+
 # ---- simhash ----
 
 
