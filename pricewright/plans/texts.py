@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.functions import parse, style
+from pricewright.functions import parse, style, table_functions
 from pricewright.functions.columns import settled
 from pricewright.operators import catalogue
 from pricewright.operators import typing as ty
@@ -100,6 +100,25 @@ def paragraph_segment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("row_id").alias("doc_id"), place.alias("place"), F.col("value").alias("paragraph"))
 
 
+@query("kv_lateral", """SELECT event_id, 'ttf_k' AS name, CAST(CAST(props ->> 'k' AS BIGINT) + 1 AS VARCHAR) AS value FROM events""")
+def kv_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """The sheets of ``kv_flatten`` unfolded by a table function in SQL."""
+    table_functions.register(spark)
+    k = F.get_json_object("props", "$.k").cast("long")
+    sheet = F.format_string('[{"key":"k","value":"%s"},{"key":"k","value":"%s"}]', k.cast("string"), (k + 1).cast("string"))
+    sheets = table(spark, d, "events").select("event_id", sheet.alias("sheet"))
+    return spark.sql("SELECT event_id, feature AS name, value FROM {sheets}, LATERAL kv(sheet, 'ttf_')", sheets=sheets)
+
+
+@query("paragraph_lateral", """SELECT doc_id, CAST(i AS INTEGER) AS place, p AS paragraph FROM (SELECT doc_id, unnest(s) AS p, generate_subscripts(s, 1) AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) WHERE trim(p) <> ''""")
+def paragraph_lateral(spark: SparkSession, d: str) -> DataFrame:
+    """The paragraphs of ``paragraph_segment`` by a table function in SQL."""
+    table_functions.register(spark)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, place, value AS paragraph FROM {docs}, LATERAL paragraphs(text)", docs=docs)
+
+
 @query("about_items", """SELECT event_id, 'paragraph_' || CAST(place AS VARCHAR) AS section, CASE place WHEN 1 THEN event_type WHEN 3 THEN 'last' END AS value
   FROM events, (VALUES (1), (2), (3)) v(place)""")
 def about_items(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import math
 import os
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,22 +21,70 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A query at a database; filters and column choices of the frame are pushed into it by Spark."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def sql_literal(value: object) -> str:
+    """A value as a literal that every database reads; what has no plain form is refused."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "1" if value else "0"
+    if isinstance(value, int) or (isinstance(value, float) and math.isfinite(value)):
+        return repr(value)
+    if isinstance(value, str) and "\x00" not in value:
+        return "'" + value.replace("'", "''") + "'"
+    if isinstance(value, datetime.date):
+        return f"'{value.isoformat()}'"
+    raise ValueError(f"no literal for {value!r}")
+
+
+def bound(query: str, **parameters: object) -> str:
+    """A query with each ``:name`` outside quotes replaced by its value as a literal; names without a value are an error."""
+    parts = re.split(r"('(?:[^']|'')*')", query)
+
+    def value(match: re.Match) -> str:
+        if match[1] not in parameters:
+            raise KeyError(f"no value for :{match[1]}")
+        return sql_literal(parameters[match[1]])
+
+    return "".join(p if i % 2 else re.sub(r"(?<![:\w]):([A-Za-z_]\w*)", value, p) for i, p in enumerate(parts))
+
+
+def jdbc(
+    spark: SparkSession,
+    url: str,
+    query: str,
+    parameters: Mapping[str, object] | None = None,
+    split: tuple[str, int, int, int] | None = None,
+    rows: int | None = None,
+    **options: str,
+) -> DataFrame:
+    """A query at a database; filters and column choices of the frame are pushed into it by Spark.
+
+    ``parameters`` are bound to ``:name`` marks. ``split`` is (column, lowest, highest, parts): as many tasks each read a
+    range of the column, rows beyond the ends with the outer ranges. ``rows`` bounds the scan, as a limit that the database applies.
+    """
+    options = {"url": url, "dbtable": f"({bound(query, **(parameters or {}))}) part_of_query", **options}
+    if split:
+        column, low, high, parts = split
+        options |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    table = spark.read.format("jdbc").options(**options).load()
+    return table if rows is None else table.limit(rows)
 
 
-def two_row_csv(spark: SparkSession, path: str) -> DataFrame:
+def two_row_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """A CSV whose first two lines are sections and features; columns become ``section__feature``, as strings.
 
-    A blank section repeats the one before. The reader finds the data lines by the file's own first two lines.
+    A blank section repeats the one before. The two lines are left out by their place, the start of the first file in
+    order of names, so data lines equal to them stay. ``rows`` bounds the scan.
     """
-    head = [list(r) for r in spark.read.option("header", False).csv(path).limit(2).toPandas().itertuples(index=False)]
+    plain = spark.read.option("header", False).csv(path)
+    files = sorted(plain.inputFiles())
+    first = next((f for f in files if not os.path.basename(f).startswith(("_", "."))), None)
+    head = [list(r) for r in spark.read.option("header", False).csv(first).limit(2).collect()] if first else []
     if len(head) < 2:
         raise ValueError(f"{path} has no two header rows")
     section, names = "", []
     for top, feature in zip(*head, strict=True):
-        section = top if top not in (None, "") and top == top else section
+        section = top if top else section
         names.append(f"{section}__{feature}")
     seen: dict[str, int] = {}
     unique = []
@@ -40,13 +92,20 @@ def two_row_csv(spark: SparkSession, path: str) -> DataFrame:
         seen[n] = seen.get(n, 0) + 1
         unique.append(n if seen[n] == 1 else f"{n}.{seen[n] - 1}")
     schema = ", ".join(f"`_c{i}` string" for i in range(len(unique)))
-    rows = spark.read.option("header", False).schema(schema).csv(path)
-    for i, line in enumerate(head):
-        same = F.lit(True)
-        for c, value in enumerate(line):
-            same = same & F.col(f"_c{c}").eqNullSafe(F.lit(None if value != value else value))
-        rows = rows.where(~same)
-    return rows.toDF(*unique)
+    data = spark.read.option("header", False).schema(schema).csv(path)
+    place = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")  # local paths come with one slash or three
+    starts = (place == re.sub("^file:/+", "file:/", first)) & (F.col("_metadata.file_block_start") == 0)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = 2  # the first block is one task's, in order; no other task has rows here
+        for batch in batches:
+            skip = min(left, batch.num_rows)
+            left -= skip
+            yield batch.slice(skip)
+
+    opening = data.where(starts).mapInArrow(rest, schema)
+    whole = opening.unionByName(data.where(~starts)).toDF(*unique)
+    return whole if rows is None else whole.limit(rows)
 
 
 def feature_name(column: str) -> str:
