@@ -79,6 +79,8 @@ def unified_score(modularities: list[float], conductances: list[float], largest:
 
 #: Nodes are dealt into so many colours, which move one after the other; a sweep that gains less ends a level.
 COLOURS, LEAST_GAIN = 2, 1e-9
+#: Edges between communities, once nodes have moved, that are few enough to finish in memory.
+FEW_EDGES = 50_000
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -87,7 +89,8 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     Nodes move in phases by colour, a hash of their id. Of those of one colour that want to move, a node waits for a
     neighbour that wants to as well and comes first by another hash, so neighbours never move together. Nodes that join one community at
     once may take more of its gain than there is; so a sweep over all colours has to raise the modularity, or it is undone
-    and ends the level. Each level starts from the edges between communities, summed. So everything is joins and sums, whatever
+    and ends the level. Each level starts from the edges between communities, summed; once these
+    are few, the rest goes on in memory. So everything is joins and sums, whatever
     the size of a component or the degree of a node, and it ends, as modularity is bounded. Runs agree; a community is named by
     its smallest node.
     """
@@ -97,7 +100,8 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     member = stored(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")), "louvain-members")
     level = 0
     while True:
-        labels = _moved(links, total, resolution, level)
+        few = level and links.count() <= FEW_EDGES
+        labels = _finished(links, resolution) if few else _moved(links, total, resolution, level)
         if labels is None:
             break
         to = labels.select(F.col("node").alias("community"), F.col("community").alias("new"))
@@ -110,11 +114,26 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         old, links = links, stored(between, "louvain-links")
         dropped(old, labels)
         level += 1
+        if few:
+            break
     dropped(links)
     names = member.groupBy("community").agg(F.min("node").alias("first"))
     return member.join(names, "community").select("node", F.col("first").alias("community"))
 
 
+def _finished(links: DataFrame, resolution: float) -> DataFrame | None:
+    """(node, community) of a graph of communities with ``FEW_EDGES`` edges at most, by moves one by one."""
+    rows = links.orderBy("src", "dst").collect()
+    nodes = np.unique([r[c] for r in rows for c in ("src", "dst")])
+    if not len(nodes):
+        return None
+    a, b = (np.searchsorted(nodes, [r[c] for r in rows]) for c in ("src", "dst"))
+    found = communities(len(nodes), a, b, np.array([r["weight"] for r in rows]), resolution)
+    first: dict[int, int] = {}
+    named = [(int(n), first.setdefault(c, int(n))) for n, c in zip(nodes, found, strict=True)]
+    return links.sparkSession.createDataFrame(named, "node long, community long")
+
+
 def _quality(links: DataFrame, state: DataFrame, total: float, resolution: float, sweep: int) -> tuple[float, int]:
     """The modularity of a state, and how many nodes moved in a sweep."""
     a = state.select(F.col("node").alias("src"), F.col("community").alias("ca"))

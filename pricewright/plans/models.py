@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.functions.columns import settled
-from pricewright.operators import forecast, sampling
+from pricewright.operators import forecast, kernels, sampling
 from pricewright.plans.market_panels import BBOX, CVR, PANEL_SQL, columns_of, market_panel
 from pricewright.plans.registry import query
 from pricewright.sources.steps import stored
@@ -99,11 +99,12 @@ def paired_trials(spark: SparkSession, d: str) -> DataFrame:
 
 @query("linear_and_forest")
 def linear_and_forest(spark: SparkSession, d: str) -> DataFrame:
-    """An elastic net with cross-validated penalties and a random forest for part prices, fitted by Spark ML on all parts.
+    """An elastic net with cross-validated penalties and a random forest by Spark ML, and a kernel regression, for part prices.
 
-    Both work on partitions; their holdout is a hash of the key.
+    All work on partitions of all parts; their holdout is a hash of the key.
     """
     from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -131,5 +132,10 @@ def linear_and_forest(spark: SparkSession, d: str) -> DataFrame:
     for name, estimator in made.items():
         guess = estimator.fit(train).transform(test).select(F.lit(name).alias("method"), "label", "prediction")
         out = guess if out is None else out.unionByName(guess)
+    lift = Pipeline(stages=steps).fit(train)
+    wide = lambda part: lift.transform(part).select(vector_to_array("features").alias("x"), F.col("label").alias("y"))
+    kernel = kernels.fit(stored(wide(train), "kernel-rows"), gamma=0.02, ridge=1e-4, epsilon=5.0)
+    guess = kernels.predicted(wide(test), kernel).select(F.lit("kernel").alias("method"), F.col("y").alias("label"), F.col("guess").alias("prediction"))
+    out = out.unionByName(guess)
     err = F.col("prediction") - F.col("label")
     return out.groupBy("method").agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"))
