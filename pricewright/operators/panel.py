@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,6 +74,20 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return numbered.where("_place = 1").drop("_place")
 
 
+def top_levels(rows: DataFrame, keys: Sequence[str], column: str, most: int) -> DataFrame:
+    """(keys, column, n, share): the commonest levels of each group, ties in their order, and their shares of all its rows."""
+    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*keys)
+    counts = counts.withColumns({"share": F.col("n") / F.sum("n").over(group), "_place": F.row_number().over(group.orderBy(F.desc("n"), column))})
+    return counts.where(F.col("_place") <= most).drop("_place")
+
+
+def mapped(rows: DataFrame, column: str, names: Mapping[object, object], to: str) -> DataFrame:
+    """Rows with what a fixed map gives for a column; rows that it lacks go."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return rows.withColumn(to, F.try_element_at(table, F.col(column))).where(F.col(to).isNotNull())
+
+
 def distinct_ignoring_case(rows: DataFrame, column: str) -> DataFrame:
     """One spelling, the smallest in byte order, of values that agree in lower case; blank ones go."""
     kept = rows.where(F.col(column).isNotNull() & (F.trim(column) != ""))

@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     from importlib import import_module
 
-    for module in ("panels", "texts", "learning", "catalogues", "standard", "market_panels", "models"):
+    for module in ("panels", "texts", "learning", "catalogues", "standard", "market_panels", "models", "reports"):
         import_module(f"pricewright.plans.{module}")
 
 
