@@ -277,3 +277,49 @@ def test_junk_is_rejected_by_language_and_source(spark):
     few = outliers.judged(outliers.counted(frame.where("doc_id < 30"))).collect()
     assert all(r.kept and r.level is None for r in few) and len(few) == 30
     assert outliers.judged(outliers.counted(frame.where("false"))).count() == 0
+
+
+# ---- cases of earlier operators ----
+
+
+def test_neighbours_of_often_repeated_ids_and_clashing_columns(spark):
+    from pricewright.llm import neighbours
+
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(45, 6))
+    rows = [(int(i), [float(c) for c in centre[i] + 0.01 * rng.normal(size=6)], "x", 1, 2.0, 3) for i in range(45) for _ in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string, shard int, score double, rank int")
+    best: dict[tuple[int, int], float] = {}
+    x = np.array([r[1] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    for q in (0, 20, 40):
+        scores = x[ids == q] @ x.T
+        for j in range(45):
+            if j != q:
+                best[q, j] = scores[:, ids == j].max()
+    found: dict[int, set] = {}
+    for r in neighbours.search(frame, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert r.score <= best[r.query_id, r.vec_id] + 1e-9
+    assert set(found) == {0, 20, 40} and all(len(f) == 20 and q not in f for q, f in found.items())
+    hits = [len(f & set(sorted(set(range(45)) - {q}, key=lambda j: -best[q, j])[:20])) for q, f in found.items()]
+    assert sum(hits) >= 0.9 * 60
+
+
+def test_conversations_with_clashing_columns(spark):
+    from pricewright.llm import chat
+
+    rows = [(1, 0, "user", "hi", "r", "f", 1), (1, 1, "assistant", "yo", "r", "f", 1)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string, formatted string, turns int")
+    got = chat.read_back(chat.formatted(chat.canonical(chat.records_from_rows(frame)))).collect()
+    assert [[tuple(t) for t in r.read_turns] for r in got] == [[("user", "hi"), ("assistant", "yo")]] and got[0].loss_text == "yo"
+
+
+def test_vector_operators_ignore_clashing_columns(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], i % 2, "a", "b", 1, 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, place string, x string, block int, n int")
+    plain = frame.select("vec_id", "embedding", "label")
+    named = lambda found: sorted(map(str, found.collect()))
+    mined = [named(negatives.mine(f, F.col("vec_id") % 50 == 0, F.col("label"))) for f in (frame, plain)]
+    assert mined[0] == mined[1] and mined[0]
+    assert whitening.components_of(frame).count() == whitening.components_of(plain).count() > 0
