@@ -143,16 +143,17 @@ def _is(word: Column, rule: tuple[list[str], list[str] | None], before: int = 2)
     return found
 
 
-def tagged(low: Column) -> Column:
-    """array<string>: the class of each word in lower case, a mark's being "mark"."""
+def tagged(words: Column) -> Column:
+    """array<string>: the class of each word, a mark's being "mark"."""
 
     def tag(word: Column) -> Column:
+        word = F.lower(word)
         out = F.when(~word.rlike(r"[\p{L}\p{Nd}]"), "mark")
         for name, rule in CLASSES.items():
             out = out.when(_is(word, rule) | word.rlike(DIGIT) if name == "numeral" else _is(word, rule), name)
         return out.otherwise("noun")
 
-    return F.transform(low, tag)
+    return F.transform(words, tag)
 
 
 def _equals(name: str):
@@ -164,7 +165,7 @@ def tag_ratios(words: Column) -> dict[str, Column]:
     """The share of tokens in each class, and of comparatives and superlatives."""
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     low = F.transform(words, lambda w: F.lower(w))
-    tags = tagged(low)
+    tags = tagged(words)
     found = {name: _count(tags, _equals(name)) / n for name in (*CLASSES, "noun")}
     degree = lambda w: _is(w, DEGREES, 3) & ~w.isin(*NO_DEGREES)
     return found | {"comparative_superlative": _count(low, degree) / n}
