@@ -35,6 +35,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_pareto_mix": mixing.OP7_SQL,
         "op8_chat_format": chat.OP8_SQL,
-        "op11_robust_outliers": outliers.op11_robust_outliers,
         "op12_bit_sliced_negatives": negatives.OP12_SQL,
     }
