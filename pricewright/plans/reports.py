@@ -118,7 +118,7 @@ def guess_reconstruction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("model_evaluation", f"""WITH s AS (SELECT lang AS model, quality::DOUBLE AS y, (n_chars % 1000) / 1000.0::DOUBLE AS p FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND quality IS NOT NULL AND n_chars IS NOT NULL),
-m AS (SELECT model, avg(y) AS mean FROM s GROUP BY 1), f AS (SELECT model, count(*) AS n, 1 - sum((p - y) * (p - y)) / sum((y - mean) * (y - mean)) AS r2, avg((p - y) * (p - y)) AS mse, avg(abs(p - y)) AS mae FROM s JOIN m USING (model) GROUP BY 1),
+m AS (SELECT model, avg(y) AS mean FROM s GROUP BY 1), f AS (SELECT model, count(*) AS n, 1 - sum((p - y) * (p - y)) / nullif(sum((y - mean) * (y - mean)), 0) AS r2, avg((p - y) * (p - y)) AS mse, avg(abs(p - y)) AS mae FROM s JOIN m USING (model) GROUP BY 1),
 r AS (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS r FROM s),
 a AS (SELECT model, (sum(CASE WHEN y = 1 THEN r END) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS auc FROM r GROUP BY 1),
 g AS (SELECT model, p, sum(y) AS hits, count(*) AS n FROM s GROUP BY 1, 2), c AS (SELECT model, hits, sum(hits) OVER w / sum(n) OVER w::DOUBLE AS prec FROM g WINDOW w AS (PARTITION BY model ORDER BY p DESC)),
