@@ -363,3 +363,10 @@ def test_sample_sizes_and_imputation(spark):
     y[3, 2] = np.nan
     assert abs(factors.imputed(y, 1, 30)[3, 2] - x[3, 2]) < 0.02
     assert factors.linked_features(np.array([[1, 0.95, 0], [0.95, 1, 0], [0, 0, 1]])) == [0, 0, 1]
+
+
+def test_sample_sizes_of_shares_between_two_samples(spark):
+    from pricewright.operators import backtest
+
+    rows = spark.createDataFrame([(59 / 60,), (57 / 116,), (1.0,), (0.0,), (7 / 30,)], "s double")
+    assert {round(r.s, 6): r.denominator for r in backtest.inferred_sizes(rows, "s").collect()} == {0.983333: 1, 0.491379: 2, 1.0: 1, 0.0: 1, 0.233333: 30}
