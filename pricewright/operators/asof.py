@@ -31,9 +31,10 @@ def asof_nearest(
     )
     series = lefts.unionByName(rights)
     back = Window.partitionBy(*by).orderBy(on, "_side", "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(on, F.desc("_side"), "_seq").rowsBetween(0, Window.unboundedFollowing)
+    # the order turned round, since Spark goes through all the rest again for each row of a frame that ends unbounded
+    ahead = Window.partitionBy(*by).orderBy(F.desc(on), "_side", F.desc("_seq")).rowsBetween(Window.unboundedPreceding, 0)
     series = series.withColumn("_back", F.last("_row", True).over(back))
-    series = series.withColumn("_next", F.first("_row", True).over(ahead)).where("_side = 1")
+    series = series.withColumn("_next", F.last("_row", True).over(ahead)).where("_side = 1")
     since = F.col(on).cast("timestamp").cast("double") - F.col("_back.at").cast("timestamp").cast("double")
     until = F.col("_next.at").cast("timestamp").cast("double") - F.col(on).cast("timestamp").cast("double")
     earlier = F.col("_back").isNotNull() & (F.col("_next").isNull() | (since <= until))

@@ -38,8 +38,9 @@ def attach_monthly(spine: DataFrame, facts: DataFrame, keys: Sequence[str]) -> D
 def filled(panel: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """Fill gaps in a series from the row before, and at its start from the row after."""
     past = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    fills = {c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(ahead)) for c in columns}
+    # a frame that ends unbounded costs a pass over the rest for each row
+    ahead = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    fills = {c: F.coalesce(F.last(c, True).over(past), F.last(c, True).over(ahead)) for c in columns}
     return panel.withColumns(fills)
 
 

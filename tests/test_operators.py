@@ -370,3 +370,14 @@ def test_sample_sizes_of_shares_between_two_samples(spark):
 
     rows = spark.createDataFrame([(59 / 60,), (57 / 116,), (1.0,), (0.0,), (7 / 30,)], "s double")
     assert {round(r.s, 6): r.denominator for r in backtest.inferred_sizes(rows, "s").collect()} == {0.983333: 1, 0.491379: 2, 1.0: 1, 0.0: 1, 0.233333: 30}
+
+
+def test_no_running_window_ends_unbounded(spark):
+    """Such a frame is gone through again for each row, which is quadratic in the rows of a key."""
+    rows = spark.range(40).selectExpr("id % 3 AS k", "id AS at", "IF(id % 4 = 0, id, NULL) AS v")
+    both = asof.asof_nearest(rows.select("k", "at"), rows, "at", ["k"], ["v"], "at")
+    for made in (both, panel.filled(rows, ["k"], "at", ["v"])):
+        plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
+    filled = {r.at: r.v for r in panel.filled(rows, ["k"], "at", ["v"]).collect()}
+    assert [filled[i] for i in (1, 2, 5, 11)] == [4, 8, 8, 8]
