@@ -215,9 +215,10 @@ class Store:
             self._clear()
             for i in both.tolist() if tokens else []:
                 self.number[tokens[i]]
-        found = [list(map(self.number.__getitem__, tokens)) for tokens in tokens_of_texts]
-        used = np.array(list(chain.from_iterable(found)), np.int64)
-        self.recent = [self.recent[1], np.unique(used)]
+        used = np.fromiter(map(self.number.__getitem__, chain.from_iterable(tokens_of_texts)), np.int64)
+        seen = np.zeros(len(self.number), bool)
+        seen[used] = True
+        self.recent = [self.recent[1], np.flatnonzero(seen)]
         return used
 
     def lattice(self) -> Lattice:
@@ -240,15 +241,28 @@ class Store:
 # ---- noise --------------------------------------------------------------------------------------------------------
 
 
+#: What a place in a row, and a purpose, add to the row key before it is mixed.
+PLACE, PURPOSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
 def uniform(key: np.ndarray, place: np.ndarray, purpose: int) -> np.ndarray:
     """Numbers in (0, 1) from a 64-bit mix of the row key, a place in the row and the purpose."""
     with np.errstate(over="ignore"):
-        x = key + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        x += np.uint64(purpose + 1) * np.uint64(0xD1B54A32D192ED03)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+        return _mixed(key + (place.astype(np.uint64) + np.uint64(1)) * PLACE + np.uint64(purpose + 1) * PURPOSE)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64 bits, whose array is used up."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x >>= np.uint64(12)
+    out = x.astype(np.float64)
+    out += 0.5
+    out /= float(1 << 52)
+    return out
 
 
 def below(top: np.ndarray, location: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -301,21 +315,29 @@ def descend(texts: Texts, path: np.ndarray, row: np.ndarray, node: np.ndarray, e
             sample: int) -> None:
     """Follow the lattice from each node to the end of its pre-token, and write the edges taken into ``path``."""
     lattice = texts.lattice
+    first, running = lattice.first, lattice.running
+    with np.errstate(over="ignore"):  # what stays the same of a pre-token's hashes as it goes on
+        base = (texts.key - (texts.start[:-1].astype(np.uint64) - np.uint64(1)) * PLACE + np.uint64(2 * sample + 1) * PURPOSE).take(row)
     while len(node):
-        u = uniform(texts.key[row], place - texts.start[row], 2 * sample)
-        edge = lattice.first[node].copy()
-        last = lattice.first[node + 1] - 1
-        wait = np.flatnonzero((u > lattice.running[edge]) & (edge < last))
-        while len(wait):
-            edge[wait] += 1
-            wait = wait[(u[wait] > lattice.running[edge[wait]]) & (edge[wait] < last[wait])]
+        u = _mixed(base + place.astype(np.uint64) * PLACE)
+        edge = first.take(node)
+        last = first.take(node + 1) - 1
+        wait = np.flatnonzero((u > running.take(edge)) & (edge < last))
+        if len(wait):
+            at, u, last = edge.take(wait), u.take(wait), last.take(wait)
+            while len(wait):
+                at += 1
+                more = (u > running.take(at)) & (at < last)
+                done = ~more
+                edge[wait[done]] = at[done]
+                wait, at, u, last = wait[more], at[more], u[more], last[more]
         path[place] = edge
-        reached = lattice.edge_to[edge]
+        reached = lattice.edge_to.take(edge)
         place = place + (reached - node)
         node = reached
         more = node < end
         if not more.all():
-            row, node, end, place = row[more], node[more], end[more], place[more]
+            base, node, end, place = base[more], node[more], end[more], place[more]
 
 
 def sample_paths(texts: Texts, samples: int = SAMPLES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -401,7 +423,7 @@ def sample_paths(texts: Texts, samples: int = SAMPLES) -> tuple[list[np.ndarray]
         taken_at = np.flatnonzero(path >= 0)
         chosen = path[taken_at]
         gain = np.log(np.minimum(lattice.chance[chosen], 1.0))
-        row_of = np.searchsorted(texts.start, taken_at, "right") - 1
+        row_of = np.repeat(rows, np.diff(np.searchsorted(taken_at, texts.start)))
         sums = np.bincount(row_of, gain, n)
         perturbed[:, s] = np.where(alive, top, -np.inf)
         logp[:, s] = np.where(alive, sums, -np.inf)
@@ -519,7 +541,7 @@ class Codec:
         return self.bytes_of(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "surrogatepass")[1:]
 
 
-IDS = {"array": "ids array<int>", "packed": "ids binary", "hash": "ids_hash string"}
+IDS = {"array": "ids array<int>", "packed": "ids binary", "hash": "ids_hash string", "both": "ids binary, ids_hash string"}
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean"
 
 
@@ -532,8 +554,8 @@ def encoded(
 ) -> DataFrame:
     """One row for each text and sample: piece ids, probabilities, and whether decoding restores the text.
 
-    ``ids`` is "array" for integers, "packed" for their little-endian 32-bit words compressed by zstandard, or "hash" for
-    a 128-bit hash of those words.
+    ``ids`` is "array" for integers, "packed" for their little-endian 32-bit words compressed by zstandard, "hash" for
+    a 128-bit hash of those words, or "both" for the two last.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(model, tails=False))
 
@@ -572,7 +594,7 @@ def encode_block(store: Store, codec: Codec, doc_ids: list, texts: list[str], sa
         "packed": lambda own: small.compress(own.astype("<i4").tobytes()),
         "hash": lambda own: xxhash.xxh3_128_hexdigest(own.astype("<i4").tobytes()),
     }
-    form = forms[kind]
+    form = [forms[f] for f in (("packed", "hash") if kind == "both" else (kind,))]
     for s, path in enumerate(paths):
         alive = perturbed[:, s] > -np.inf
         taken = np.flatnonzero(path >= 0)
@@ -591,11 +613,11 @@ def encode_block(store: Store, codec: Codec, doc_ids: list, texts: list[str], sa
             own = ids[id_at[i] : id_at[i + 1]]
             rows.append(
                 (doc_ids[i], s, len(own), logp[i, s], perturbed[i, s], score[i], bool(same[i]),
-                 form(own))
+                 *(f(own) for f in form))
             )
     types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-    types.append({"array": pa.list_(pa.int32()), "packed": pa.binary(), "hash": pa.string()}[kind])
-    names = [c.split()[0] for c in SCHEMA.split(", ")] + [IDS[kind].split()[0]]
+    types += {"array": [pa.list_(pa.int32())], "packed": [pa.binary()], "hash": [pa.string()], "both": [pa.binary(), pa.string()]}[kind]
+    names = [c.split()[0] for c in f"{SCHEMA}, {IDS[kind]}".split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -622,5 +644,6 @@ def decoded(rows: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
 
 
 def op2_gumbel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every whole text: their ids, which ``decoded`` turns into the text again, and a hash of these."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encoded(docs, ids="hash")
+    return encoded(docs, ids="both")

@@ -703,6 +703,20 @@ def test_encoding_round_trips_and_repeats(docs, empty):
     assert segmentations.encoded(empty).count() == 0
 
 
+def test_the_query_returns_the_segmentations(spark, tmp_path):
+    import xxhash
+
+    texts = ["a plain text of words", "ünï\n\nwords  and more words", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = segmentations.op2_gumbel_pieces(spark, str(tmp_path))
+    got = segmentations.decoded(rows).collect()
+    assert {r.doc_id for r in got if r.sample == 1} == {0, 1} and len(got) == 6
+    for r in got:
+        words = segmentations.unpacked(bytes(r.ids)).astype("<i4")
+        assert r.decoded == (texts[r.doc_id] or "") and len(words) == r.n_pieces
+        assert xxhash.xxh3_128_hexdigest(words.tobytes()) == r.ids_hash
+
+
 # ---- chat ----
 
 
