@@ -6,7 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewright.session import shared_folder
 from pricewright.sources.steps import dropped, stored
 
 
@@ -17,23 +16,43 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest reachable node, by spreading minima and jumping along them until nothing moves.
+    """(node, component): smallest reachable node, by contracting each node into the smallest of its neighbours and itself.
 
-    Labels can only fall, so the loop ends; its rounds grow with the logarithm of the longest path.
+    Nodes follow these to a node that has no smaller neighbour, and the edges between what they end at, each once, are the next
+    round's. At least one end of every edge is merged in a round, so the loop ends, and the edges that move get fewer from
+    round to round.
     """
-    shared_folder(edges.sparkSession)
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    label = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "node").checkpoint()
+    ends = F.explode(F.array("src", "dst")).alias("node")
+    pair = [F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")]
+    links = stored(edges.select(*pair).distinct(), "component-links")
+    member = stored(links.select(ends).where("node is not null").distinct().withColumn("component", F.col("node")), "component-members")
     while True:
-        heard = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("heard"))
-        spread = label.join(heard, label["node"] == heard["src"]).select("node", F.least("label", "heard").alias("near"), "label")
-        far = label.select(F.col("node").alias("near"), F.col("label").alias("jump"))
-        fresh = spread.join(far, "near", "left").select("node", F.least("near", "jump").alias("fresh"), "label")
-        fresh = fresh.checkpoint()
-        moved = fresh.where("fresh <> label").limit(1).count()
-        label = fresh.select("node", F.col("fresh").alias("label"))
+        apart = links.where("src <> dst")
+        near = apart.select(ends, "src").groupBy("node").agg(F.min("src").alias("label"))
+        label = _followed(stored(near, "component-labels"))
+        if label.isEmpty():
+            dropped(links, label)
+            return member
+        to = label.select(F.col("node").alias("component"), "label")
+        old, member = member, stored(member.join(to, "component", "left").select("node", F.coalesce("label", "component").alias("component")), "component-members")
+        a, b = (label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("src", "dst"))
+        between = apart.join(a, "src").join(b, "dst").where("_src <> _dst")
+        between = between.select(F.least("_src", "_dst").alias("src"), F.greatest("_src", "_dst").alias("dst")).distinct()
+        gone, links = links, stored(between, "component-links")
+        dropped(old, gone, label)
+
+
+def _followed(label: DataFrame) -> DataFrame:
+    """(node, label) where a label is the last of its chain, by jumps that double."""
+    while True:
+        far = label.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        fresh = stored(label.join(far, "label").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")), "component-labels")
+        moved = not fresh.where("moved").isEmpty()
+        dropped(label)
+        label = fresh.select("node", "label")
+        label.stored_at = fresh.stored_at
         if not moved:
-            return label.withColumnRenamed("label", "component")
+            return label
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

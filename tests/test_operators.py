@@ -381,3 +381,42 @@ def test_no_running_window_ends_unbounded(spark):
         assert "windowspecdefinition" in plan and "unboundedfollowing" not in plan
     filled = {r.at: r.v for r in panel.filled(rows, ["k"], "at", ["v"]).collect()}
     assert [filled[i] for i in (1, 2, 5, 11)] == [4, 8, 8, 8]
+
+
+def _read_counter(spark, rows):
+    """The rows, and how many of them have been read so far."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    return rows.mapInPandas(run, rows.schema), read
+
+
+def test_components_read_the_edges_once(spark):
+    rng = np.random.default_rng(5)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 7), (3, 900), (900, 2)] + [(int(a), int(b)) for a, b in rng.integers(1000, 1300, (200, 2))]
+    edges, read = _read_counter(spark, spark.createDataFrame(pairs, "src long, dst long"))
+    got = {r.node: r.component for r in graphs.components(edges).collect()}
+    assert read.value == len(pairs)
+    root = {n: n for p in pairs for n in p}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert got == {n: find(n) for n in root}
+
+
+def test_market_panel_joins_the_lines_once_and_counts_distinct_values_apart(spark, folder):
+    from pricewright.plans.market_panels import market_panel
+
+    plan = market_panel(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "o_orderdate" not in plan  # columns that only the joined tables have
+    assert "count(distinct" not in plan.lower()
