@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.functions.columns import ratio, settled, share
+from pricewright.functions.columns import month_start, ratio, settled, share, week_start
 from pricewright.operators import panel as op
 from pricewright.plans.registry import query
+from pricewright.sources.steps import stored
 from pricewright.sources.tables import table
 
 KEYS = ("brand", "region")
@@ -26,10 +27,20 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.join(place, F.col("l_suppkey") == F.col("s_suppkey"))
     bought = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
     rows = rows.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.withColumns({
-        "brand": F.col("p_brand"), "region": F.col("n_regionkey"), "day": F.to_date("l_shipdate"), "bought": F.to_date("o_orderdate"),
-        "unit": F.col("l_extendedprice") / F.col("l_quantity"),
-    })
+    named = rows.select(
+        F.col("p_brand").alias("brand"), F.col("n_regionkey").alias("region"), F.to_date("l_shipdate").alias("day"), F.to_date("o_orderdate").alias("bought"),
+        "l_orderkey", "l_linenumber", "l_suppkey", "p_partkey", "o_custkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "o_totalprice", "o_orderpriority", "p_type", "p_size",
+    )
+    return stored(named, "order-lines").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
+
+
+def _distinct(facts: DataFrame, rows: DataFrame, keys: tuple[str, ...], at: Column | None, value: str, name: str) -> DataFrame:
+    """Facts with the number of distinct values of their group, counted by itself: beside other measures each of these would move with every value."""
+    grain = [c for c in facts.columns if c in (*keys, "week", "month")]
+    every = [F.col(k) for k in keys] + ([at.alias(grain[-1])] if at is not None else [])
+    counts = rows.select(*every, value).distinct().groupBy(*grain).agg(F.count(value).alias(name))
+    return op.attach(facts, counts, grain)
 
 
 def _some(count: Column) -> Column:
@@ -43,7 +54,7 @@ def shipped_facts(rows: DataFrame) -> DataFrame:
     avg = lambda condition, value: F.avg(F.when(condition, value))
     yes = lambda condition: condition.cast("double")
     worst = lambda flag: F.max(F.when(bad, flag.cast("int")))
-    return op.weekly(
+    weeks = op.weekly(
         rows, KEYS, "day",
         sessions=F.count("*"), units=F.count_if(F.col("l_returnflag") == "R"), revenue=F.sum("l_extendedprice"),
         browser_sessions=F.count_if(open_), mobile_sessions=F.count_if(~open_), page_views=F.sum("l_linenumber"),
@@ -57,9 +68,10 @@ def shipped_facts(rows: DataFrame) -> DataFrame:
         issue_count=_some(F.count_if(bad)),
         listing_price=avg(old, F.col("unit")),
         best_rank=F.min("l_linenumber"), rank_value=F.avg("l_linenumber"),
-        n_sellers=F.count_distinct("l_suppkey"), price_dispersion=F.stddev("unit"), min_landed=F.min("unit"), max_landed=F.max("unit"),
+        price_dispersion=F.stddev("unit"), min_landed=F.min("unit"), max_landed=F.max("unit"),
         frac_offers_fba=share(F.col("l_linestatus") == "F"), avg_feedback=F.avg("l_discount"),
     )
+    return _distinct(weeks, rows, KEYS, week_start(F.col("day")), "l_suppkey", "n_sellers")
 
 
 def ordered_facts(rows: DataFrame) -> DataFrame:
@@ -77,7 +89,8 @@ def ordered_facts(rows: DataFrame) -> DataFrame:
 def monthly_facts(rows: DataFrame) -> DataFrame:
     """Review shares and customers by month."""
     told = lambda first: F.avg(F.when(F.col("o_orderpriority").startswith(first), F.col("l_tax")))
-    return op.monthly(rows, KEYS, "day", positive_share=told("1"), negative_share=told("5"), unique_customers=F.count_distinct("o_custkey"))
+    months = op.monthly(rows, KEYS, "day", positive_share=told("1"), negative_share=told("5"))
+    return _distinct(months, rows, KEYS, month_start(F.col("day")), "o_custkey", "unique_customers")
 
 
 def product_facts(rows: DataFrame) -> DataFrame:
@@ -93,10 +106,10 @@ def product_facts(rows: DataFrame) -> DataFrame:
         F.sum(F.when(returned, F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(0.0))).alias("defective"),
         F.sum("l_quantity").alias("total"),
         F.avg(F.datediff("day", "bought")).alias("delivery_days"),
-        F.count_distinct("p_partkey").alias("siblings"),
         topics("1").alias("pos_topics"),
         topics("5").alias("neg_topics"),
     )
+    out = _distinct(out, rows, KEYS, None, "p_partkey", "siblings")
     return out.select(
         *KEYS, F.col("last.p_type").alias("product_type"), F.col("last.p_size").alias("maker"), F.col("last.l_discount").alias("repeat_rate"),
         "image_count", "has_aplus", ratio(F.col("returned"), F.col("total")).alias("return_rate"),
