@@ -248,6 +248,9 @@ class Wanted:
         self.starts = {p.split()[0] for p in after if p[0] == " "}
         self.prefixes = _Glued({p.split()[-1] for p in before if p[-1] != " "} | {p for p in self.lefts if p and p[-1] != " "}, 0)
         self.suffixes = _Glued({p.split()[0] for p in after if p[0] != " "} | {p for p in self.rights if p and p[0] != " "}, -1)
+        #: words that a frame may have before it, and all whole words of patterns
+        self.before = {p[:-1] for p in self.lefts if p[-1:] == " "}
+        self.whole = self.ends | self.starts
 
 
 def count_patterns(text: str, wanted: Wanted) -> dict[str, int]:
@@ -260,7 +263,14 @@ def count_patterns(text: str, wanted: Wanted) -> dict[str, int]:
         if p in wanted.patterns:
             found[p] = found.get(p, 0) + 1
 
+    whole, framing, frames = wanted.whole, wanted.before, bool(wanted.lefts)
+    heads, tails = wanted.prefixes.lengths, wanted.suffixes.lengths
+    before = None
     for i, w in enumerate(words):
+        framed, before = before in framing, w
+        glued = w[0] in heads
+        if not (framed or glued or w in whole or w[-1] in tails):
+            continue
         if w in wanted.ends:
             met(f"<{w} ")
             if i:
@@ -269,8 +279,8 @@ def count_patterns(text: str, wanted: Wanted) -> dict[str, int]:
             met(f"> {w}")
             if i < last:
                 met(f"> {w} {words[i + 1]}")
-        prefixes = wanted.prefixes.before(w) if w[0] in wanted.prefixes.lengths else ()
-        suffixes = wanted.suffixes.after(w) if w[-1] in wanted.suffixes.lengths else ()
+        prefixes = wanted.prefixes.before(w) if glued else ()
+        suffixes = wanted.suffixes.after(w) if w[-1] in tails else ()
         for p in prefixes:
             met(f"<{p}")
             if i:
@@ -279,9 +289,9 @@ def count_patterns(text: str, wanted: Wanted) -> dict[str, int]:
             met(f">{p}")
             if i < last:
                 met(f">{p} {words[i + 1]}")
-        if wanted.lefts:
+        if frames and (framed or prefixes):
             lefts = [p for p in prefixes if p in wanted.lefts]
-            if i and f"{words[i - 1]} " in wanted.lefts:
+            if framed:
                 lefts.append(f"{words[i - 1]} ")
             if lefts:
                 rights = [p for p in suffixes if p in wanted.rights]
