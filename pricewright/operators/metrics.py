@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from pricewright.functions.columns import ratio
 
 
+def correlated(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, n, r): for each pair of columns of a wide table the rows that have both and their correlation there; one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
+    both = lambda a, b: F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
+    r = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
+    each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), both(a, b).alias("n"), r(a, b).alias("r")) for a, b in pairs]
+    return rows.agg(F.array(*each).alias("pairs")).select(F.inline("pairs"))
+
+
 def regression(rows: DataFrame, truth: str, guess: str, by: Sequence[str] = ()) -> DataFrame:
     """R2, MAE, RMSE, MedAE, MAPE, sMAPE, Bias % and Hit20 of each group, in one aggregate after the group's mean."""
     y, p = F.col(truth).cast("double"), F.col(guess).cast("double")
