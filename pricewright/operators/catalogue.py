@@ -32,9 +32,9 @@ def about_items(rows: DataFrame, key: str, data: str) -> DataFrame:
     return parts.select("row_id", F.concat(F.lit("paragraph_"), (F.col("at") + 1).cast("string")).alias("section"), value.alias("value"))
 
 
-def style_long(sections: DataFrame) -> DataFrame:
-    """The style features of each section of (row_id, section, value), one row for each feature."""
-    found = style.features(F.col("value"))
+def style_long(sections: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
+    """The style features of each section of (row_id, section, value), one row for each feature, or for each of ``only``."""
+    found = {k: v for k, v in style.features(F.col("value")).items() if only is None or k in only}
     pairs = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in found.items()])
     return sections.select("row_id", "section", F.explode(pairs).alias("x")).select("row_id", "section", "x.feature", "x.value")
 

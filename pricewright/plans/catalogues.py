@@ -19,7 +19,7 @@ SELECT doc_id AS row_id, section, round(len(regexp_extract_all(p, '[^\p{L}\p{N}_
 def paragraph_style(spark: SparkSession, d: str) -> DataFrame:
     """Style features of each paragraph as a long table; one of them compared."""
     sections = catalogue.paragraphs(table(spark, d, "documents"), "doc_id", "text")
-    rows = catalogue.style_long(sections).where("feature = 'punctuation_ratio'")
+    rows = catalogue.style_long(sections, ["punctuation_ratio"])  # a filter on the names would come after all have been found
     return rows.select("row_id", "section", settled(F.col("value")).alias("value"))
 
 

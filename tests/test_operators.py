@@ -420,3 +420,20 @@ def test_market_panel_joins_the_lines_once_and_counts_distinct_values_apart(spar
     plan = market_panel(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_shipdate" not in plan and "o_orderdate" not in plan  # columns that only the joined tables have
     assert "count(distinct" not in plan.lower()
+
+
+def test_correlations_of_a_wide_table_move_no_rows(spark, folder):
+    rows = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.5, 1.0), (4.0, 7.0, 0.0), (None, 1.0, 3.0), (8.0, None, 5.0)], "x double, y double, z double")
+    got = {(r.a, r.b): (r.n, r.r) for r in metrics.correlated(rows, ["z", "x", "y"]).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("x", "y"): 3, ("x", "z"): 3, ("y", "z"): 3}
+    assert got[("x", "y")][1] == pytest.approx(np.corrcoef([1, 2, 4], [2, 4.5, 7])[0, 1])
+    plan = registry.queries()["feature_correlations"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and "row_id" not in plan and "LocalRelation" not in plan
+
+
+def test_one_style_feature_costs_no_other(spark):
+    from pricewright.operators import catalogue
+
+    rows = spark.createDataFrame([(1, "p", "a, b.")], "row_id long, section string, value string")
+    only = catalogue.style_long(rows, ["punctuation_ratio"])
+    assert [tuple(r) for r in only.collect()] == [tuple(r) for r in catalogue.style_long(rows).where("feature = 'punctuation_ratio'").collect()]
