@@ -1,7 +1,8 @@
 """Typing of catalogue columns: one decision for each concept, and its cells converted to match.
 
-Cells come long, as (row_id, concept, value). One aggregate over the cells and one over the units in them decide what a
-concept is; the decisions, one row for each concept, then meet the cells again. The order of the decisions is: triples of
+Cells come long, as (row_id, concept, value). They are counted by value, and a value is parsed once, however many cells have
+it. One aggregate over the values and one over the units in them decide what a concept is; the decisions, one row for each
+concept, meet the values, and what these were read as meets the cells. The order of the decisions is: triples of
 sides, measures with a unit, yes and no, colours by name, identifiers and free text, which go, and categories.
 
 Defined cases: null cells count only against coverage; a concept filled in less than ``COVERAGE`` of the rows goes, and so
@@ -36,10 +37,19 @@ def identifier_statistics(value: Column) -> dict[str, Column]:
     return {"codes": share(CODE), "articles": share(ARTICLE), "distinct": distinct, "length": F.avg(F.length(value))}
 
 
+def value_counts(cells: DataFrame) -> DataFrame:
+    """(concept, value, n): how many cells have each value."""
+    return cells.groupBy("concept", "value").agg(F.count("*").alias("n"))
+
+
 def unit_counts(cells: DataFrame) -> DataFrame:
     """(concept, unit, n): how often each word stands after a number."""
-    units = cells.select("concept", F.explode(parse.pairs(F.col("value"))).alias("pair"))
-    return units.groupBy("concept", F.col("pair.unit").alias("unit")).agg(F.count("*").alias("n"))
+    return _counted_units(value_counts(cells))
+
+
+def _counted_units(values: DataFrame) -> DataFrame:
+    units = values.select("concept", "n", F.explode(parse.pairs(F.col("value"))).alias("pair"))
+    return units.groupBy("concept", F.col("pair.unit").alias("unit")).agg(F.sum("n").alias("n"))
 
 
 def dimensions(counts: DataFrame) -> DataFrame:
@@ -55,17 +65,21 @@ def dimensions(counts: DataFrame) -> DataFrame:
     return found.select("concept", F.col("best.dimension").alias("dimension"), share.alias("fitting"), "junk")
 
 
-def verdicts(cells: DataFrame, n_rows: int, coverage: float = COVERAGE) -> DataFrame:
-    """One row for each concept: what it is, its dimension if it is a measure, and the figures that say so."""
-    value = F.col("value")
-    stats = cells.groupBy("concept").agg(
-        F.count("*").alias("n"),
-        F.avg(value.rlike(r"^\s*[+-]?[0-9]").cast("double")).alias("numeric"),
-        F.avg(value.rlike(parse.TRIPLE).cast("double")).alias("triples"),
-        F.avg(parse.flag(value).isNotNull().cast("double")).alias("flags"),
-        *[c.alias(name) for name, c in identifier_statistics(value).items()],
+def verdicts(values: DataFrame, n_rows: int, coverage: float = COVERAGE) -> DataFrame:
+    """One row for each concept of (concept, value, n): what it is, its dimension if it is a measure, and the figures that say so."""
+    value, n = F.col("value"), F.col("n")
+    mean = lambda x: F.sum(n * x.cast("long")) / F.sum(n)
+    stats = values.groupBy("concept").agg(
+        F.sum(n).alias("n"),
+        mean(value.rlike(r"^\s*[+-]?[0-9]")).alias("numeric"),
+        mean(value.rlike(parse.TRIPLE)).alias("triples"),
+        mean(parse.flag(value).isNotNull()).alias("flags"),
+        mean(value.rlike(CODE)).alias("codes"),
+        mean(value.rlike(ARTICLE)).alias("articles"),
+        (F.count("*") / F.sum(n)).alias("distinct"),
+        mean(F.length(value)).alias("length"),
     )
-    stats = stats.where(F.col("n") >= coverage * n_rows).join(dimensions(unit_counts(cells)), "concept", "left")
+    stats = stats.where(F.col("n") >= coverage * n_rows).join(dimensions(_counted_units(values)), "concept", "left")
     number = F.col("numeric") >= NUMERIC
     free = (F.col("codes") > CODES) | (F.col("articles") > ARTICLES) | (F.col("distinct") > DISTINCT) | (F.col("length") > LONG_TEXT)
     kind = (
@@ -93,22 +107,29 @@ class Standardised:
 _EMPTY = {"number": "double", "flag": "boolean", "label": "string"}
 
 
-def _typed(rows: DataFrame, name: Column, column: str, value: Column) -> DataFrame:
+def _typed(rows: DataFrame, key: str, name: Column, column: str, value: Column) -> DataFrame:
     parts = [(value if c == column else F.lit(None)).cast(t).alias(c) for c, t in _EMPTY.items()]
-    return rows.select("row_id", "concept", "kind", name.alias("feature"), *parts)
+    return rows.select(key, "concept", "kind", name.alias("feature"), *parts)
 
 
-def _measured(cells: DataFrame) -> DataFrame:
-    """Cells of measures with the first, least and largest of their values in the base unit.
+def _read_measures(values: DataFrame) -> DataFrame:
+    """Values of measures with the first, least and largest of their numbers in the base unit.
 
     The factors come by a join with the lexicon, of fixed size; numbers with units of other dimensions go.
     """
-    each = cells.select("row_id", "concept", "kind", "dimension", F.posexplode(parse.pairs(F.col("value"))).alias("at", "pair"))
-    each = each.select("row_id", "concept", "kind", "dimension", "at", "pair.value", "pair.unit")
-    known = each.join(F.broadcast(lexicon_table(cells.sparkSession)), ["dimension", "unit"])
+    each = values.select("concept", "kind", "dimension", F.col("value").alias("cell"), F.posexplode(parse.pairs(F.col("value"))).alias("at", "pair"))
+    each = each.select("concept", "kind", "dimension", "cell", "at", "pair.value", "pair.unit")
+    known = each.join(F.broadcast(lexicon_table(values.sparkSession)), ["dimension", "unit"])
     value = F.col("value") * F.col("factor")
-    return known.groupBy("row_id", "concept", "kind", "dimension").agg(
-        F.min_by(value, "at").alias("first"), F.min(value).alias("low"), F.max(value).alias("high")
+    return known.groupBy("concept", "kind", "dimension", F.col("cell").alias("value")).agg(
+        F.min("at").alias("at"), F.min_by(value, "at").alias("first"), F.min(value).alias("low"), F.max(value).alias("high")
+    )
+
+
+def _measured(cells: DataFrame, read: DataFrame) -> DataFrame:
+    """Rows with the first, least and largest of a measure's numbers, over all cells that a row has for it."""
+    return cells.join(read, ["concept", "value"]).groupBy("row_id", "concept", "kind", "dimension").agg(
+        F.min_by("first", "at").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")
     )
 
 
@@ -116,42 +137,45 @@ def _measures(rows: DataFrame, is_range: Column) -> DataFrame:
     ends = F.when(is_range, F.array(*[F.struct(F.lit(e).alias("end"), F.col(c).alias("x")) for e, c in (("_min", "low"), ("_max", "high"))]))
     whole = F.array(F.struct(F.lit("").alias("end"), F.col("first").alias("x")))
     each = rows.withColumn("f", F.explode(F.coalesce(ends, whole)))
-    return _typed(each, F.concat("concept", F.lit("__"), "dimension", "f.end"), "number", F.col("f.x"))
+    return _typed(each, "row_id", F.concat("concept", F.lit("__"), "dimension", "f.end"), "number", F.col("f.x"))
 
 
-def _sides(cells: DataFrame) -> DataFrame:
-    rows = cells.where("kind = 'sides'").withColumn("s", parse.triple_mm(F.col("value"))).where("s is not null")
-    each = rows.select("row_id", "concept", "kind", F.posexplode("s").alias("at", "x"))
+def _sides(values: DataFrame) -> DataFrame:
+    rows = values.where("kind = 'sides'").withColumn("s", parse.triple_mm(F.col("value"))).where("s is not null")
+    each = rows.select("value", "concept", "kind", F.posexplode("s").alias("at", "x"))
     names = F.array(*[F.lit(f"__{s}_mm") for s in ("depth", "width", "height")])
-    return _typed(each, F.concat("concept", F.get(names, F.col("at"))), "number", F.col("x"))
+    return _typed(each, "value", F.concat("concept", F.get(names, F.col("at"))), "number", F.col("x"))
 
 
-def _flags(cells: DataFrame) -> DataFrame:
-    return _typed(cells.where("kind = 'bool'"), F.concat("concept", F.lit("__bool")), "flag", parse.flag(F.col("value")))
+def _flags(values: DataFrame) -> DataFrame:
+    return _typed(values.where("kind = 'bool'"), "value", F.concat("concept", F.lit("__bool")), "flag", parse.flag(F.col("value")))
 
 
-def _labels(cells: DataFrame) -> DataFrame:
-    colours = _typed(cells.where("kind = 'color'"), F.concat("concept", F.lit("__color")), "label", parse.colour(F.col("value")))
-    return colours.unionByName(_typed(cells.where("kind = 'category'"), F.col("concept"), "label", parse.unaccented(F.col("value"))))
+def _labels(values: DataFrame) -> DataFrame:
+    colours = _typed(values.where("kind = 'color'"), "value", F.concat("concept", F.lit("__color")), "label", parse.colour(F.col("value")))
+    return colours.unionByName(_typed(values.where("kind = 'category'"), "value", F.col("concept"), "label", parse.unaccented(F.col("value"))))
 
 
 def standardised(cells: DataFrame, n_rows: int, coverage: float = COVERAGE) -> Standardised:
     """Typed features of long cells (row_id, concept, value) of a table with ``n_rows`` rows."""
-    cells = cells.where("value is not null").select("row_id", "concept", "value")
-    found = stored(verdicts(cells, n_rows, coverage), "concepts")  # read by all that follows, so that cells are parsed once for it
+    cells = stored(cells.where("value is not null").select("row_id", "concept", "value"), "cells")
+    values = stored(value_counts(cells), "values")
+    found = stored(verdicts(values, n_rows, coverage), "concepts")  # read by all that follows, so that values are parsed once for it
     # decisions are one row for each concept of the schema
-    placed = cells.join(F.broadcast(found.select("concept", "kind", "dimension")), "concept")
-    placed = stored(placed.where(F.col("kind").isin("sides", "measure", "bool", "color", "category")), "placed-cells")
-    measured = stored(_measured(placed.where("kind = 'measure'")), "measured-cells")
+    placed = values.join(F.broadcast(found.select("concept", "kind", "dimension")), "concept")
+    read = stored(_read_measures(placed.where("kind = 'measure'")), "read-measures")
+    measured = stored(_measured(cells, read), "measured-cells")
     ranges = measured.groupBy("concept").agg((F.count_if(F.col("high") > F.col("low")) / n_rows).alias("ranges"))
     ranges = stored(ranges, "ranges")  # one row for each concept
     is_range = F.coalesce(F.col("ranges") > RANGES, F.lit(False))
     numbers = _measures(measured.join(F.broadcast(ranges), "concept", "left"), is_range)
     # a select for each kind keeps each one's code small enough to be compiled
-    rest = _sides(placed).unionByName(_flags(placed)).unionByName(_labels(placed))
+    rest = stored(_sides(placed).unionByName(_flags(placed)).unionByName(_labels(placed)), "read-values")
+    known = "number is not null or flag is not null or label is not null"
+    rest = cells.join(rest.where(known), ["concept", "value"]).select(*numbers.columns)
     long = without_extremes(numbers, "number", ["feature"]).select(*numbers.columns).unionByName(rest)
-    long = stored(long.where("number is not null or flag is not null or label is not null"), "typed-cells")
-    dropped(placed, measured)
+    long = stored(long.where(known), "typed-cells")
+    dropped(cells, values, read, measured)
     filled = long.groupBy("feature", "concept").agg((F.count("*") / n_rows).alias("coverage")).where(F.col("coverage") >= coverage)
     kind = F.when(F.col("feature").contains("__"), F.substring_index("feature", "__", -1)).otherwise(F.lit("categorical"))
     dictionary = filled.select("feature", "concept", kind.alias("type"), F.round("coverage", 3).alias("coverage"))

@@ -118,6 +118,25 @@ def test_typed_columns_of_nothing_and_of_extremes(spark):
     assert [(r.concept, r.kind, r.dimension) for r in done.report.collect()] == [("power", "measure", "power_w")]
 
 
+def test_values_are_parsed_once_however_many_cells_have_them(spark, monkeypatch):
+    parsed = {}
+
+    def counted(df, name, made=standardise.stored):
+        table = made(df, name)
+        parsed[name] = table.count()
+        return table
+
+    monkeypatch.setattr(standardise, "stored", counted)
+    rows = [(i, "power", f"{20 + i % 5} W") for i in range(200)] + [(i, "size", f"{i % 3 + 1} x 2 x 3 cm") for i in range(200)] + [(i, "wet", "ja") for i in range(100)]
+    rows += [(0, "power", "30 W"), (0, "power", "1 kW")]  # a row with three cells of a measure
+    done = standardise.standardised(spark.createDataFrame(rows, "row_id long, concept string, value string"), 200)
+    assert parsed["cells"] == 502 and parsed["values"] == 11 and parsed["read-measures"] == 7 and parsed["read-values"] == 10
+    found = {(r.row_id, r.feature): (r.number, r.flag) for r in done.features.collect()}
+    assert len(found) == 200 + 600 + 100 and found[7, "power__power_w"] == (22.0, None) and found[7, "size__depth_mm"] == (20.0, None) and found[99, "wet__bool"] == (None, True)
+    assert found[0, "power__power_w"][0] in (20.0, 30.0, 1000.0)
+    assert {(r.concept, r.kind, r.coverage) for r in done.report.collect()} == {("power", "measure", 1.01), ("size", "sides", 1.0), ("wet", "bool", 0.5)}
+
+
 def test_typed_columns_are_compiled(spark, folder):
     from pricewright.plans import registry
 
