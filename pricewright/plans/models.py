@@ -97,6 +97,15 @@ def paired_trials(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("method").agg(F.avg("mae").alias("mae"), F.stddev("mae").alias("mae_spread"), F.avg("r2").alias("r2"), F.count("*").alias("n"))
 
 
+#: Parts in a partition of those that models of Spark ML are fitted on; a forest holds some hundred numbers for each.
+PARTS = 50_000
+
+
+def _dealt(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows by hash of the key in partitions of about ``most``, in order, however few files they come from."""
+    return rows.repartition(max(1, -(-rows.count() // most)), key).sortWithinPartitions(key)
+
+
 @query("linear_and_forest")
 def linear_and_forest(spark: SparkSession, d: str) -> DataFrame:
     """An elastic net with cross-validated penalties and a random forest by Spark ML, and a kernel regression, for part prices.
@@ -113,7 +122,7 @@ def linear_and_forest(spark: SparkSession, d: str) -> DataFrame:
     from pricewright.sources.tables import table
 
     part = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), "p_brand", "p_type", F.col("p_retailprice").alias("label"))
-    rows = sampling.split(part, "p_partkey", 0.3)
+    rows = sampling.split(_dealt(part, "p_partkey", PARTS), "p_partkey", 0.3)
     train, test = rows.where("train"), rows.where("not train")
     steps = [
         StringIndexer(inputCols=["p_brand", "p_type"], outputCols=["b", "t"], handleInvalid="keep"),

@@ -184,3 +184,15 @@ def test_ranks_and_areas_by_ranges(spark):
             assert pick(metrics.average_precision(frame, F.col("l") == 1, "x", by), "average_precision") == pytest.approx(np.mean(hit))
     odd = spark.createDataFrame([(None,), (3.0,), (3.0,), (1.0,)], "x double")
     assert sorted((r.x or -1, r.k) for r in metrics.average_ranks(odd, "x", "k").collect()) == [(-1, 1.0), (1.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
+
+
+def test_rows_of_few_files_are_dealt_out_for_models(spark):
+    from pricewright.plans import models
+
+    rows = spark.range(0, 1000, 1, 1).withColumn("x", F.col("id") % 7)
+    dealt = models._dealt(rows, "id", 100)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 1000 and max(sizes) < 200
+    again = [[r.id for r in p] for p in models._dealt(rows.repartition(3), "id", 100).rdd.glom().collect()]
+    assert again == [[r.id for r in p] for p in dealt.rdd.glom().collect()]  # a forest draws by place, so runs agree
+    assert models._dealt(rows.where("false"), "id", 100).count() == 0
