@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pricewright.sources.steps import dropped, stored
@@ -100,13 +100,16 @@ def unified_score(modularities: list[float], conductances: list[float], largest:
 COLOURS, LEAST_GAIN = 2, 1e-9
 #: Edges between communities, once nodes have moved, that are few enough to finish in memory.
 FEW_EDGES = 50_000
+#: Edges of a task, each counted at both ends, while nodes move.
+EDGES = 100_000
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(node, community): greedy modularity moves over partitions, then the same on the graph of communities, until none gains.
 
     Nodes move in phases by colour, a hash of their id. Of those of one colour that want to move, a node waits for a
-    neighbour that wants to as well and comes first by another hash, so neighbours never move together. Nodes that join one community at
+    neighbour that comes first by another hash and wants to where the node is, or away from where it wants to; so no move takes from another
+    what it goes for. Nodes that join one community at
     once may take more of its gain than there is; so a sweep over all colours has to raise the modularity, or it is undone
     and ends the level. Each level starts from the edges between communities, summed; once these
     are few, the rest goes on in memory. So everything is joins and sums, whatever
@@ -153,73 +156,77 @@ def _finished(links: DataFrame, resolution: float) -> DataFrame | None:
     return links.sparkSession.createDataFrame(named, "node long, community long")
 
 
-def _quality(links: DataFrame, state: DataFrame, total: float, resolution: float, sweep: int) -> tuple[float, int]:
-    """The modularity of a state, and how many nodes moved in a sweep."""
+def _quality(links: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
+    """The modularity of a state."""
     a = state.select(F.col("node").alias("src"), F.col("community").alias("ca"))
     b = state.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
     inside = links.join(a, "src").join(b, "dst").where("ca = cb").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
-    mass = state.groupBy("community").agg(F.sum("degree").alias("mass"), F.count_if(F.col("sweep") == sweep).alias("moved"))
-    mass = mass.agg(F.sum(F.col("mass") * F.col("mass")).alias("squares"), F.sum("moved").alias("moved"))
+    mass = state.groupBy("community").agg(F.sum("degree").alias("mass")).agg(F.sum(F.col("mass") * F.col("mass")).alias("squares"))
     found = inside.crossJoin(mass).first()  # two one-row tables
-    return found["inside"] / total - resolution * (found["squares"] or 0.0) / (4 * total * total), found["moved"] or 0
+    return found["inside"] / total - resolution * (found["squares"] or 0.0) / (4 * total * total)
 
 
 def _moved(links: DataFrame, total: float, resolution: float, level: int) -> DataFrame | None:
-    """(node, community) after local moves of single nodes, or None where none gains."""
+    """(node, community) after local moves of single nodes, or None where none gains.
+
+    Edges lie where the state of their ``dst`` comes to, and know the degree and colour of their ``src``. Each node has one to
+    itself, without weight. Since neighbours never move together, the weight that comes inside is the sum of what each move brings.
+    """
     apart = links.where("src <> dst")
-    both = stored(apart.unionByName(apart.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "louvain-both")
-    colour = F.pmod(F.xxhash64("node", F.lit(f"colour {level}")), F.lit(COLOURS))
-    nodes = degrees(links).withColumns({"community": F.col("node"), "colour": colour, "sweep": F.lit(-1)})
-    state, sweep = stored(nodes, "louvain-state"), 0
-    best, _ = _quality(links, state, total, resolution, 0)
-    gained = False
+    degree = degrees(links)
+    itself = degree.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight"))
+    both = apart.unionByName(apart.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).unionByName(itself)
+    colour = F.pmod(F.xxhash64("src", F.lit(f"colour {level}")), F.lit(COLOURS)).cast("int")
+    both = stored(both.join(degree.withColumnRenamed("node", "src"), "src").withColumn("colour", colour), "louvain-both")
+    placed = both.repartition(-(-both.count() // EDGES) or 1, "dst").persist()
+    state, sweep = stored(degree.withColumn("community", F.col("node")), "louvain-state"), 0
+    best, gained = _quality(links, state, total, resolution), False
     while True:
         before = state
         for c in range(COLOURS):
-            fresh = _phase(both, state, c, total, resolution, sweep)
+            fresh = _phase(placed, state, c, total, resolution, sweep)
             if fresh is not None and state is not before:
                 dropped(state)
             state = state if fresh is None else fresh
-        if state is before:
-            dropped(both)
-            return before if gained else None
-        value, moves = _quality(links, state, total, resolution, sweep)
-        if not moves or value <= best + LEAST_GAIN:
-            dropped(state, both)
+        value = best if state is before else _quality(links, state, total, resolution)
+        if value <= best + LEAST_GAIN:
+            dropped(both, state if state is not before else None)
+            placed.unpersist()
             return before if gained else None
         dropped(before)
         best, gained, sweep = value, True, sweep + 1
 
 
+#: The moves of one colour. A node's edge to itself brings what it is. Sides are merged, not broadcast: edges are dealt out by ``dst`` already.
+_MOVES = """
+WITH mass AS (SELECT community, sum(degree) AS mass FROM {state} GROUP BY community),
+told AS (SELECT /*+ MERGE(mass) */ node AS dst, community, mass FROM {state} JOIN mass USING (community)),
+near AS (SELECT /*+ MERGE(told), REPARTITION(src) */ src, degree, community, mass, weight, src = dst AS own FROM {both} JOIN told USING (dst) WHERE colour = :colour),
+around AS (SELECT src, degree, community, mass, sum(weight) AS weight, bool_or(own) AS home FROM near GROUP BY src, degree, community, mass),
+gains AS (SELECT src, community, home, round(weight - :resolution * degree * (mass - if(home, degree, 0D)) / (2 * :total), 12) AS gain FROM around),
+chosen AS (
+  SELECT src, max(struct(gain, -community AS place, community)) AS best, max(if(home, gain, NULL)) AS gain, max(if(home, community, NULL)) AS home
+  FROM gains GROUP BY src),
+want AS (
+  SELECT src AS node, home, best.community AS to, xxhash64(src, :turn) AS turn FROM chosen WHERE best.gain > gain + 1e-12D AND best.community <> home),
+met AS (
+  SELECT /*+ MERGE(a), MERGE(b) */ a.node, a.to, (b.to = a.home OR b.home = a.to) AND struct(b.turn, b.node) < struct(a.turn, a.node) AS waits
+  FROM {both} e JOIN want b ON e.dst = b.node JOIN want a ON e.src = a.node WHERE e.colour = :colour),
+moves AS (SELECT node, to FROM met GROUP BY node, to HAVING NOT bool_or(waits))
+SELECT /*+ MERGE(moves) */ node, degree, coalesce(to, community) AS community, to FROM {state} LEFT JOIN moves USING (node)
+"""
+
+
 def _phase(both: DataFrame, state: DataFrame, colour: int, total: float, resolution: float, sweep: int) -> DataFrame | None:
     """The state after the moves of one colour; None if none of it wants to move."""
-    mass = state.groupBy("community").agg(F.sum("degree").alias("mass"))
-    mine = state.where(F.col("colour") == colour).select(F.col("node").alias("src"), "degree", F.col("community").alias("home"))
-    near = both.join(mine, "src").join(state.select(F.col("node").alias("dst"), "community"), "dst")
-    around = near.groupBy("src", "degree", "home", "community").agg(F.sum("weight").alias("weight")).join(mass, "community")
-    around = around.join(mass.select(F.col("community").alias("home"), F.col("mass").alias("home_mass")), "home")
-    stays = F.col("community") == F.col("home")
-    pull = lambda held: resolution * F.col("degree") * held / (2 * total)
-    gain = F.round(F.col("weight") - pull(F.col("mass") - F.when(stays, F.col("degree")).otherwise(0.0)), 12)
-    chosen = around.groupBy("src", "degree", "home", "home_mass").agg(
-        F.max(F.struct(gain.alias("gain"), (-F.col("community")).alias("to"))).alias("best"), F.max(F.when(stays, gain)).alias("own")
-    )
-    own = F.coalesce("own", F.round(-pull(F.col("home_mass") - F.col("degree")), 12))
-    chosen = chosen.where((F.col("best.gain") > own + 1e-12) & (-F.col("best.to") != F.col("home")))
-    turn = F.xxhash64("src", F.lit(f"turn {sweep}"))
-    want = stored(chosen.select("src", (-F.col("best.to")).alias("to"), turn.alias("turn")), "louvain-wants")
-    if want.isEmpty():
-        dropped(want)
-        return None
-    other = want.select(F.col("src").alias("dst"), F.col("turn").alias("earlier"))
-    waits = both.select("src", "dst").join(want.select("src", "turn"), "src").join(other, "dst")
-    waits = waits.where((F.col("earlier") < F.col("turn")) | ((F.col("earlier") == F.col("turn")) & (F.col("dst") < F.col("src")))).select("src").distinct()
-    moves = want.join(waits, "src", "left_anti").select(F.col("src").alias("node"), "to")
-    joined = state.join(moves, "node", "left")
-    fresh = joined.select("node", "degree", F.coalesce("to", "community").alias("community"), "colour", F.when(F.col("to").isNotNull(), F.lit(sweep)).otherwise(F.col("sweep")).alias("sweep"))
-    out = stored(fresh, "louvain-state")
-    dropped(want)
-    return out
+    given = {"colour": colour, "resolution": float(resolution), "total": float(total), "turn": f"turn {sweep}"}
+    seen = Observation()
+    fresh = state.sparkSession.sql(_MOVES, given, both=both, state=state).observe(seen, F.count("to").alias("moves"))
+    fresh = stored(fresh.drop("to"), "louvain-state")
+    if seen.get["moves"]:
+        return fresh
+    dropped(fresh)
+    return None
 
 
 def communities(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> list[int]:

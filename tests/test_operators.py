@@ -223,6 +223,16 @@ def test_louvain_over_partitions_is_as_good_as_one_by_one(spark, monkeypatch, ki
     assert graphs.modularity(edges, rows).first()[0] == pytest.approx(quality(labels, a, b, w))
 
 
+def test_louvain_moves_many_neighbours_in_a_phase(spark, monkeypatch):
+    """Phases don't grow with the degree: of neighbours that want to, only those wait that would take from each other."""
+    pairs = [(a, b, 1.0) for g in (range(24), range(30, 54)) for a, b in itertools.combinations(g, 2)] + [(0, 30, 1.0)]
+    phases, phase = [], graphs._phase
+    monkeypatch.setattr(graphs, "_phase", lambda *given: phases.append(1) or phase(*given))
+    labels = {r.node: r.community for r in graphs.louvain(spark.createDataFrame(pairs, "src long, dst long, weight double")).collect()}
+    assert {labels[n] for n in range(24)} == {0} and {labels[n] for n in range(30, 54)} == {30}
+    assert len(phases) <= 12
+
+
 def test_louvain_of_no_and_of_loose_edges(spark):
     schema = "src long, dst long, weight double"
     assert graphs.louvain(spark.createDataFrame([], schema)).count() == 0
