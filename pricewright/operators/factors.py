@@ -406,6 +406,6 @@ def linked_features(correlation: np.ndarray, cut: float = 0.8) -> list[int]:
 def feature_communities(spark: SparkSession, features: list[str], correlation: np.ndarray, least: float = 0.3) -> dict[str, str]:
     """The Louvain community of each feature in the graph of correlations of at least ``least``, by its first feature."""
     i, j = np.nonzero(np.triu(np.abs(np.nan_to_num(correlation)) >= least, 1))
-    edges = [(int(a), int(b), float(abs(correlation[a, b]))) for a, b in zip(i, j, strict=True)]
-    found = graphs.louvain(spark.createDataFrame(edges, "src long, dst long, weight double")).collect()  # one row for each feature
-    return {f: f for f in features} | {features[r["node"]]: features[r["community"]] for r in found}
+    found = graphs.communities(len(features), i, j, np.abs(correlation[i, j]))  # a matrix of ``COLUMNS`` at most, in memory already
+    first: dict[int, str] = {}
+    return {f: first.setdefault(c, f) for f, c in zip(features, found, strict=True)}

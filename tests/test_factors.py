@@ -122,3 +122,12 @@ def test_correlations_of_rows_that_have_both(spark):
                 assert r[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
     two = np.array([[1, 0.9, 0.0], [0.9, 1, 0.1], [0.0, 0.1, 1]])
     assert factors.feature_communities(spark, ["a", "b", "c"], two) == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_communities_of_features_take_no_jobs():
+    r = np.eye(6)
+    for a, b, w in ((0, 2, 0.9), (0, 4, -0.8), (2, 4, 0.7), (1, 5, 0.6), (4, 5, 0.1), (3, 1, np.nan)):
+        r[a, b] = r[b, a] = w
+    found = factors.feature_communities(None, list("abcdef"), r)  # no session
+    assert found == {"a": "a", "b": "b", "c": "a", "d": "d", "e": "a", "f": "b"}
+    assert factors.feature_communities(None, [], np.zeros((0, 0))) == {}
