@@ -5,6 +5,7 @@ holds (gradients, curvatures and counts, or counts of classes); the sums of task
 and the driver, which sees sums but no rows, picks the splits as ``boosting`` does for rows in memory. A level of all models
 (markets, trials, stages) is one pass, so a tree costs as many passes as it is deep, whatever the number of models or rows.
 Finished trees travel with the passes, and every ``KEEP`` rounds the rows are written anew with their scores so far.
+Boosted models of up to ``OWN`` rows need no passes: each grows in a task of its own, by the same sums and splits.
 
 Edges of bins are quantiles by a sketch of bounded size; rows with counts, which stand for many, get exact ones. Models and
 features are a few hundred at most: their histograms are what the driver holds.
@@ -26,6 +27,8 @@ from pricewright.sources.steps import dropped, stored
 
 #: Rows of one task; tasks whose sums come to the driver as they are; rounds between tables of scores.
 ROWS, TASKS, KEEP = 10_000, 64, 10
+#: Rows of a model that one task may hold, a byte for each feature; models of more grow over partitions.
+OWN = 50_000
 
 
 def _matrix(batch: pa.RecordBatch, features: Sequence[str]) -> np.ndarray:
@@ -120,6 +123,13 @@ def _scores(trees: Sequence[Node], rate: float, b: np.ndarray, raw: np.ndarray)
     return raw
 
 
+def _add(sums: np.ndarray, inside: np.ndarray, b: np.ndarray, weights: Sequence[np.ndarray], starts: np.ndarray) -> None:
+    """Add rows, each in one of the open nodes, to the histograms."""
+    at = ((inside * starts[-1])[:, None] + b + starts[:-1]).reshape(-1)
+    for s, w in enumerate(weights):
+        sums[s] += np.bincount(at, weights=np.repeat(w, b.shape[1]), minlength=sums.shape[1])
+
+
 def _summed(table: DataFrame, growing: list[Growing], rate: float, stats: int, weigh: Callable, tasks: int) -> dict[tuple[int, int], np.ndarray]:
     """The histogram of each (model, open node)."""
     held = [
@@ -137,9 +147,7 @@ def _summed(table: DataFrame, growing: list[Growing], rate: float, stats: int, w
                 inside = _slots(root, b[mine], slot)
                 mine, inside = mine[inside >= 0], inside[inside >= 0]
                 weights = weigh(k, y[mine], n[mine], _scores(fresh, rate, b[mine], raw[mine]))
-                at = ((inside * starts[-1])[:, None] + b[mine] + starts[:-1]).reshape(-1)
-                for s, w in enumerate(weights):
-                    sums[k][s] += np.bincount(at, weights=np.repeat(w, b.shape[1]), minlength=width * int(starts[-1]))
+                _add(sums[k], inside, b[mine], weights, starts)
         task, out = TaskContext.get().partitionId(), []
         for k, _, _, _, starts, width in held:
             cube = sums[k].reshape(stats, width, int(starts[-1]))
@@ -209,7 +217,21 @@ def grow(
         p = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) if on_log[k] else raw
         return (y - p) * n, (np.maximum(p * (1 - p), 1e-6) if on_log[k] else np.ones(len(y))) * n, n
 
-    for round_ in range(rounds):
+    stored_rows, counts = table, table.groupBy("model").count().collect()
+    alone = [r["model"] for r in counts if r["count"] <= OWN]
+
+    def whole(group: pa.Table) -> pa.Table:
+        k = group["model"][0].as_py()
+        _grow_alone(growing[k], group, lambda *rows: weigh(k, *rows), rounds, depth, min_leaf, ridge, signs)
+        return pa.table({"model": pa.array([k], pa.int32()), "trees": pa.array([growing[k].model.to_json()])})
+
+    if alone:
+        own = table.where(F.col("model").isin(alone)).repartitionByRange(len(alone), "model")
+        for r in own.groupBy("model").applyInArrow(whole, "model int, trees string").collect():  # a model each
+            growing[r["model"]].model, growing[r["model"]].ended = Trees.from_json(r["trees"]), True
+        table = table.where(~F.col("model").isin(alone))
+
+    for round_ in range(0 if len(alone) == len(counts) else rounds):
         for g in growing:
             g.root = None if g.ended else Node(0.0, 0.0)
             g.open = [] if g.ended else [(g.root, None, (-np.inf, np.inf))]
@@ -233,10 +255,35 @@ def grow(
             dropped(old)
             for g in growing:
                 g.fresh = []
-    dropped(table)
+    dropped(stored_rows, table)
     return {name: g.model for name, g in zip(names, growing, strict=True)}
 
 
+def _grow_alone(g: Growing, rows: pa.Table, weigh: Callable, rounds: int, depth: int, min_leaf: int, ridge: float, signs: np.ndarray) -> None:
+    """Grow a model on rows that are all here, by the steps of the passes."""
+    b = np.frombuffer(b"".join(rows["bins"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    y, n, raw = (rows[c].to_numpy() for c in ("y", "n", "raw"))
+    width = int(g.starts[-1])
+    for _ in range(rounds):
+        g.root = Node(0.0, 0.0)
+        g.open = [(g.root, None, (-np.inf, np.inf))]
+        weights = weigh(y, n, raw)
+        for _ in range(depth):
+            if not g.open:
+                break
+            inside, sums = _slots(g.root, b, _open_slots(g)), np.zeros((len(weights), len(g.open) * width))
+            for i in range(0, len(b), ROWS):
+                at = i + np.flatnonzero(inside[i : i + ROWS] >= 0)
+                _add(sums, inside[at], b[at].astype(np.int64), [w[at] for w in weights], g.starts)
+            cube = sums.reshape(len(weights), -1, width)
+            found = [cube[:, s] if cube[:, s].any() else None for s in range(len(g.open))]
+            g.open = [child for s, node in enumerate(g.open) for child in _split(g, node, found[s], min_leaf, ridge, signs)]
+        if g.root.left is None:
+            break
+        g.model.trees.append(g.root)
+        raw = _scores([g.root], g.model.rate, b, raw)
+
+
 def _split(g: Growing, opened: tuple, sums: np.ndarray | None, min_leaf: int, ridge: float, signs: np.ndarray) -> list[tuple]:
     """The children of an open node, after it has got its split; none where it stays a leaf."""
     node, total, bounds = opened

@@ -76,3 +76,23 @@ def test_no_rows_and_constant_targets(spark, panel):
     assert treefit.grow(frame.where("false"), FEATURES) == {} and treefit.grow_classes(frame.where("false").withColumnRenamed("model", "label").selectExpr("label", "label as model", *FEATURES), FEATURES) == {}
     flat = treefit.grow(frame.selectExpr("model", *FEATURES, "0.25D as y", "n"), FEATURES, 3)
     assert flat["a"].trees == [] and flat["a"].base == pytest.approx(0.25)
+
+
+@pytest.mark.parametrize(("own", "passes"), [(50_000, 0), (900, 10), (0, 10)])
+def test_models_of_few_rows_grow_in_a_task_and_others_over_partitions(spark, panel, monkeypatch, own, passes):
+    rows = pd.concat([panel[panel["model"] == "a"], panel[panel["model"] == "b"], panel[panel["model"] == "b"].assign(y=lambda x: x["y"] + 0.1 * x["gap"].fillna(0))])
+    made = []
+    real = treefit._summed
+    monkeypatch.setattr(treefit, "OWN", own)
+    monkeypatch.setattr(treefit, "KEEP", 2)
+    monkeypatch.setattr(treefit, "ROWS", 400)
+    monkeypatch.setattr(treefit, "_summed", lambda *a: made.append(1) or real(*a))
+    edges = {m: boosting.quantile_edges(part[FEATURES].to_numpy()) for m, part in rows.groupby("model")}
+    got = treefit.grow(spark.createDataFrame(rows), FEATURES, 5, depth=2, min_leaf=15, edges=edges, monotone={"price": -1}, allowed={"a": ["price", "gap"], "b": FEATURES}, logistic=["a"])
+    assert len(made) == passes  # a pass is a job
+    for m, part in rows.groupby("model"):
+        x = np.where([True, m == "b", True], part[FEATURES].to_numpy(), np.nan)
+        expected = boosting.grow(x, part["y"].to_numpy(), FEATURES, 5, depth=2, min_leaf=15, monotone={"price": -1}, logistic=m == "a")
+        assert len(got[m].trees) == len(expected.trees) == 5
+        for a, b in zip(got[m].trees, expected.trees, strict=True):
+            same(a, b)
