@@ -7,6 +7,8 @@ join to it would leave it. The SQL that the queries are compared with has each f
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,11 @@ from pricewright.sources.tables import table
 KEYS = ("brand", "region")
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
+#: Facts that are counted as distinct values, and the column of the lines that each needs.
+COUNTED = {"n_sellers": "l_suppkey", "unique_customers": "o_custkey", "siblings": "p_partkey"}
+
+
+def lines(spark: SparkSession, d: str, counted: Collection[str] = tuple(COUNTED)) -> DataFrame:
     """Order lines with product, market and order: the one join that all facts share."""
     line, part, orders, supplier, nation = (table(spark, d, n) for n in ("lineitem", "part", "orders", "supplier", "nation"))
     place = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey")
@@ -32,11 +38,18 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_suppkey", "p_partkey", "o_custkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "o_totalprice", "o_orderpriority", "p_type", "p_size",
     )
+    named = named.drop(*[column for fact, column in COUNTED.items() if fact not in counted])
     return stored(named, "order-lines").withColumn("unit", F.col("l_extendedprice") / F.col("l_quantity"))
 
 
-def _distinct(facts: DataFrame, rows: DataFrame, keys: tuple[str, ...], at: Column | None, value: str, name: str) -> DataFrame:
-    """Facts with the number of distinct values of their group, counted by itself: beside other measures each of these would move with every value."""
+def _distinct(facts: DataFrame, rows: DataFrame, keys: tuple[str, ...], at: Column | None, name: str) -> DataFrame:
+    """Facts with the number of distinct values of their group, counted by itself: beside other measures each of these would move with every value.
+
+    Lines that lack the column were made for a panel without the fact.
+    """
+    value = COUNTED[name]
+    if value not in rows.columns:
+        return facts
     grain = [c for c in facts.columns if c in (*keys, "week", "month")]
     every = [F.col(k) for k in keys] + ([at.alias(grain[-1])] if at is not None else [])
     counts = rows.select(*every, value).distinct().groupBy(*grain).agg(F.count(value).alias(name))
@@ -71,7 +84,7 @@ def shipped_facts(rows: DataFrame) -> DataFrame:
         price_dispersion=F.stddev("unit"), min_landed=F.min("unit"), max_landed=F.max("unit"),
         frac_offers_fba=share(F.col("l_linestatus") == "F"), avg_feedback=F.avg("l_discount"),
     )
-    return _distinct(weeks, rows, KEYS, week_start(F.col("day")), "l_suppkey", "n_sellers")
+    return _distinct(weeks, rows, KEYS, week_start(F.col("day")), "n_sellers")
 
 
 def ordered_facts(rows: DataFrame) -> DataFrame:
@@ -90,7 +103,7 @@ def monthly_facts(rows: DataFrame) -> DataFrame:
     """Review shares and customers by month."""
     told = lambda first: F.avg(F.when(F.col("o_orderpriority").startswith(first), F.col("l_tax")))
     months = op.monthly(rows, KEYS, "day", positive_share=told("1"), negative_share=told("5"))
-    return _distinct(months, rows, KEYS, month_start(F.col("day")), "o_custkey", "unique_customers")
+    return _distinct(months, rows, KEYS, month_start(F.col("day")), "unique_customers")
 
 
 def product_facts(rows: DataFrame) -> DataFrame:
@@ -109,17 +122,17 @@ def product_facts(rows: DataFrame) -> DataFrame:
         topics("1").alias("pos_topics"),
         topics("5").alias("neg_topics"),
     )
-    out = _distinct(out, rows, KEYS, None, "p_partkey", "siblings")
+    out = _distinct(out, rows, KEYS, None, "siblings")
     return out.select(
         *KEYS, F.col("last.p_type").alias("product_type"), F.col("last.p_size").alias("maker"), F.col("last.l_discount").alias("repeat_rate"),
         "image_count", "has_aplus", ratio(F.col("returned"), F.col("total")).alias("return_rate"),
-        ratio(F.col("defective"), F.col("total")).alias("defect_rate"), "delivery_days", "siblings", "pos_topics", "neg_topics",
+        ratio(F.col("defective"), F.col("total")).alias("defect_rate"), "delivery_days", *[c for c in ("siblings",) if c in out.columns], "pos_topics", "neg_topics",
     )
 
 
-def market_panel(spark: SparkSession, d: str) -> DataFrame:
-    """All facts on the spine of weeks with traffic, prices filled, and the relations between them."""
-    rows = lines(spark, d)
+def market_panel(spark: SparkSession, d: str, counted: Collection[str] = tuple(COUNTED)) -> DataFrame:
+    """All facts on the spine of weeks with traffic, prices filled, and the relations between them; of ``COUNTED`` those asked for."""
+    rows = lines(spark, d, counted)
     panel = op.attach(shipped_facts(rows), ordered_facts(rows), [*KEYS, "week"])
     panel = op.attach(op.attach_monthly(panel, monthly_facts(rows), KEYS), product_facts(rows), KEYS)
     panel = panel.withColumn("implied_price", ratio(F.col("revenue"), F.col("units")))
@@ -229,7 +242,7 @@ def _selected(panel: DataFrame, of: str, *more: Column) -> DataFrame:
 @query("full_cvr_panel", _oracle(CVR, "CAST(weekofyear(week) AS INTEGER) AS week_of_year, CAST(month(week) AS INTEGER) AS month, "))
 def full_cvr_panel(spark: SparkSession, d: str) -> DataFrame:
     calendar = (F.weekofyear("week").alias("week_of_year"), F.month("week").alias("month"))
-    return _selected(market_panel(spark, d), CVR, *calendar)
+    return _selected(market_panel(spark, d, ()), CVR, *calendar)
 
 
 @query("full_bbox_panel", _oracle(BBOX))

@@ -58,7 +58,8 @@ def featured_model(spark: SparkSession, d: str) -> DataFrame:
 @query("cvr_model")
 def cvr_model(spark: SparkSession, d: str) -> DataFrame:
     """A forecast of conversion for each region, on weeks with sales and as many without, with the share by rule as a feature."""
-    panel = _with_share(market_panel(spark, d)).withColumn("key", F.concat_ws("|", "brand", "region", "week"))
+    panel = _with_share(market_panel(spark, d, ())).withColumn("key", F.concat_ws("|", "brand", "region", "week"))
+    panel = panel.select("key", "region", "week", "units", "cvr", *_features(CVR), "buybox_pred")
     balanced = sampling.undersampled(stored(panel, "cvr-panel"), F.col("units") > 0, "key", "cvr")
     rows = _split_panel(balanced.drop("key"), F.col("cvr"), "cvr-rows")
     half = rows.groupBy("model").agg(F.percentile_approx("y", 0.5, 10_000).alias("half"))
@@ -69,7 +70,7 @@ def cvr_model(spark: SparkSession, d: str) -> DataFrame:
   -1.45 - 12 * coalesce((price - bb_price) / nullif(bb_price, 0), 0) - 4 * coalesce((price - lowest_price) / nullif(lowest_price, 0), 0) + 0.5 + 0.5 + 0.45)))) + 1e-9, 6) AS buybox_pred FROM panel""")
 def chained_share(spark: SparkSession, d: str) -> DataFrame:
     """The share by the stated rule for every week, as the conversion models read it."""
-    return _with_share(market_panel(spark, d)).select("brand", "region", "week", settled(F.col("buybox_pred")).alias("buybox_pred"))
+    return _with_share(market_panel(spark, d, ())).select("brand", "region", "week", settled(F.col("buybox_pred")).alias("buybox_pred"))
 
 
 #: Splits that the two predictors are compared on.
@@ -80,7 +81,7 @@ TRIALS = 10
 def paired_trials(spark: SparkSession, d: str) -> DataFrame:
     """Means and spreads of two predictors' errors over ten splits of the panel: the brand's mean, and boosted trees."""
     columns = ["price_vs_bb", "price_vs_lowest", "offer_count", "frac_oos", "price"]
-    panel = market_panel(spark, d).select("brand", "region", "week", *columns, F.least(F.greatest(F.col("buybox_pct") / 100, F.lit(0.0)), F.lit(1.0)).alias("y"))
+    panel = market_panel(spark, d, ()).select("brand", "region", "week", *columns, F.least(F.greatest(F.col("buybox_pct") / 100, F.lit(0.0)), F.lit(1.0)).alias("y"))
     trial = F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1)))
     rows = stored(panel.where("y is not null"), "trial-panel").withColumn("trial", trial).withColumn("model", F.col("trial").cast("string"))
     rows = rows.withColumn("test", _bucket(F.col("brand"), F.col("region"), F.col("week"), F.col("trial")) < 3000)

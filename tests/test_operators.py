@@ -447,3 +447,14 @@ def test_one_style_feature_costs_no_other(spark):
     rows = spark.createDataFrame([(1, "p", "a, b.")], "row_id long, section string, value string")
     only = catalogue.style_long(rows, ["punctuation_ratio"])
     assert [tuple(r) for r in only.collect()] == [tuple(r) for r in catalogue.style_long(rows).where("feature = 'punctuation_ratio'").collect()]
+
+
+def test_a_panel_counts_only_the_distinct_values_asked_for(spark, folder):
+    from pricewright.plans.market_panels import COUNTED, market_panel
+
+    whole, light = market_panel(spark, folder), market_panel(spark, folder, ("n_sellers",))
+    assert set(whole.columns) - set(light.columns) == set(COUNTED) - {"n_sellers"}
+    plan = light._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_custkey" not in plan and "p_partkey" not in plan and "l_suppkey" in plan
+    settle = lambda rows: sorted(str([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows.select(*sorted(light.columns)).collect())
+    assert settle(light) == settle(whole)
