@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -98,8 +99,8 @@ def unified_score(modularities: list[float], conductances: list[float], largest:
 
 #: Nodes are dealt into so many colours, which move one after the other; a sweep that gains less ends a level.
 COLOURS, LEAST_GAIN = 2, 1e-9
-#: Edges between communities, once nodes have moved, that are few enough to finish in memory.
-FEW_EDGES = 50_000
+#: Edges, of the graph itself or between communities, that are few enough to finish in memory: 24 MB of columns, and as lists some 150 MB.
+FEW_EDGES = 1_000_000
 #: Edges of a task, each counted at both ends, while nodes move.
 EDGES = 100_000
 
@@ -111,13 +112,17 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     neighbour that comes first by another hash and wants to where the node is, or away from where it wants to; so no move takes from another
     what it goes for. Nodes that join one community at
     once may take more of its gain than there is; so a sweep over all colours has to raise the modularity, or it is undone
-    and ends the level. Each level starts from the edges between communities, summed; once these
-    are few, the rest goes on in memory. So everything is joins and sums, whatever
-    the size of a component or the degree of a node, and it ends, as modularity is bounded. Runs agree; a community is named by
+    and ends the level. Each level starts from the edges between communities, summed. A graph of
+    few edges, at the start or once it is one of communities, is finished in memory, where nodes move one by one. Above that everything is joins and
+    sums, whatever the size of a component or the degree of a node, and it ends, as modularity is bounded. Runs agree; a community is named by
     its smallest node.
     """
     links = edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
     links = stored(links.where("weight > 0"), "louvain-links")
+    if links.count() <= FEW_EDGES:
+        labels = stored(_finished(links, resolution), "louvain-members")
+        dropped(links)
+        return labels
     total = links.agg(F.sum("weight")).first()[0] or 1.0
     member = stored(links.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("community", F.col("node")), "louvain-members")
     level = 0
@@ -143,17 +148,14 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     return member.join(names, "community").select("node", F.col("first").alias("community"))
 
 
-def _finished(links: DataFrame, resolution: float) -> DataFrame | None:
-    """(node, community) of a graph of communities with ``FEW_EDGES`` edges at most, by moves one by one."""
-    rows = links.orderBy("src", "dst").collect()
-    nodes = np.unique([r[c] for r in rows for c in ("src", "dst")])
-    if not len(nodes):
-        return None
-    a, b = (np.searchsorted(nodes, [r[c] for r in rows]) for c in ("src", "dst"))
-    found = communities(len(nodes), a, b, np.array([r["weight"] for r in rows]), resolution)
-    first: dict[int, int] = {}
-    named = [(int(n), first.setdefault(c, int(n))) for n, c in zip(nodes, found, strict=True)]
-    return links.sparkSession.createDataFrame(named, "node long, community long")
+def _finished(links: DataFrame, resolution: float) -> DataFrame:
+    """(node, community) of a graph with ``FEW_EDGES`` edges at most, by moves one by one; a community is named by its smallest node."""
+    table = links.toArrow()
+    src, dst, weight = (table[c].to_numpy() for c in ("src", "dst", "weight"))
+    nodes = np.unique(np.r_[src, dst])
+    found = np.array(communities(len(nodes), np.searchsorted(nodes, src), np.searchsorted(nodes, dst), weight, resolution), np.int64)
+    _, first = np.unique(found, return_index=True)
+    return links.sparkSession.createDataFrame(pa.table({"node": nodes, "community": nodes[first[found]]}))
 
 
 def _quality(links: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
@@ -232,48 +234,55 @@ def _phase(both: DataFrame, state: DataFrame, colour: int, total: float, resolut
 def communities(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, resolution: float = 1.0) -> list[int]:
     """Community of each node of a graph in memory: local moves one by one until none gains, then the same on the graph of communities."""
     total = float(weight.sum()) or 1.0
-    mapping = list(range(n))
-    links: list[dict[int, float]] = [{} for _ in range(n)]
-    for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist(), strict=True):
-        links[x][y] = links[x].get(y, 0.0) + w
-        if x != y:
-            links[y][x] = links[y].get(x, 0.0) + w
+    mapping = np.arange(n)
     while True:
-        size = len(links)
-        degree = [sum(v * (2 if j == i else 1) for j, v in links[i].items()) for i in range(size)]
-        label, mass = list(range(size)), degree.copy()
-        improved = False
-        moving = True
-        while moving:
-            moving = False
-            for i in range(size):
-                around: dict[int, float] = {}
-                for j, w in links[i].items():
-                    if j != i:
-                        around[label[j]] = around.get(label[j], 0.0) + w
-                home = label[i]
-                mass[home] -= degree[i]
-                gain = lambda c: around.get(c, 0.0) - resolution * degree[i] * mass[c] / (2 * total)  # noqa: B023, E731
-                best, most = home, gain(home)
-                for c in sorted(around):
-                    if gain(c) > most + 1e-12:
-                        best, most = c, gain(c)
-                mass[best] += degree[i]
-                if best != home:
-                    label[i] = best
-                    moving = improved = True
+        a, b, weight = _summed(a, b, weight)
+        label, improved = _one_by_one(n, a, b, weight, resolution / (2 * total))
         names = {c: k for k, c in enumerate(dict.fromkeys(label))}
-        mapping = [names[label[m]] for m in mapping]
+        named = np.array([names[c] for c in label], np.int64)
+        mapping = named[mapping]
         if not improved:
-            break
-        merged: list[dict[int, float]] = [{} for _ in names]
-        for i in range(size):
-            for j, w in links[i].items():
-                if j < i:
-                    continue
-                x, y = names[label[i]], names[label[j]]
-                merged[x][y] = merged[x].get(y, 0.0) + w
-                if x != y:
-                    merged[y][x] = merged[y].get(x, 0.0) + w
-        links = merged
-    return mapping
+            return mapping.tolist()
+        n, a, b = len(names), named[a], named[b]
+
+
+def _summed(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each edge once, with the weight of all that join its ends."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, weight = a[order], b[order], weight[order].astype(float)
+    if not len(a):
+        return a, b, weight
+    heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[heads], b[heads], np.add.reduceat(weight, heads)
+
+
+def _one_by_one(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, scale: float) -> tuple[list[int], bool]:
+    """The label of each node once no move gains, and whether any did; a node's edges lie side by side."""
+    degree = (np.bincount(a, weight, n) + np.bincount(b, weight, n)).tolist()
+    apart = a != b
+    src, dst, w = np.r_[a[apart], b[apart]], np.r_[b[apart], a[apart]], np.r_[weight[apart], weight[apart]]
+    order = np.lexsort((dst, src))
+    first, ends, weights = np.searchsorted(src[order], np.arange(n + 1)).tolist(), dst[order].tolist(), w[order].tolist()
+    label, mass = list(range(n)), degree.copy()
+    improved, moving = False, True
+    while moving:
+        moving = False
+        for i in range(n):
+            x, y = first[i], first[i + 1]
+            around: dict[int, float] = {}
+            for j, v in zip(ends[x:y], weights[x:y], strict=True):
+                c = label[j]
+                around[c] = around[c] + v if c in around else v
+            home, own = label[i], degree[i]
+            mass[home] -= own
+            best, most = home, around.get(home, 0.0) - scale * own * mass[home]
+            for c in sorted(around):
+                gain = around[c] - scale * own * mass[c]
+                if gain > most + 1e-12:
+                    best, most = c, gain
+            mass[best] += own
+            if best != home:
+                label[i] = best
+                moving = improved = True
+    return label, improved

@@ -233,6 +233,37 @@ def test_louvain_moves_many_neighbours_in_a_phase(spark, monkeypatch):
     assert len(phases) <= 12
 
 
+def edge_table(spark, a, b, w):
+    return spark.createDataFrame([(int(x), int(y), float(v)) for x, y, v in zip(a, b, w, strict=True)], "src long, dst long, weight double")
+
+
+def test_louvain_of_few_edges_takes_no_phase(spark, monkeypatch):
+    """A graph that fits a bounded piece of memory is finished there, repeated and turned edges summed, communities named by smallest nodes."""
+    a, b, w = blocks_graph(np.random.default_rng(5), [30, 25, 20, 15], 0.4, 0.02)
+    ids = np.arange(90) * 7 + 3
+    monkeypatch.setattr(graphs, "_phase", None)
+    edges = edge_table(spark, ids[a], ids[b], w / 2).union(edge_table(spark, ids[b], ids[a], w / 2))
+    labels = {r.node: r.community for r in graphs.louvain(edges).collect()}
+    first: dict[int, int] = {}
+    assert labels == {ids[n]: first.setdefault(c, ids[n]) for n, c in enumerate(graphs.communities(90, a, b, w))}
+
+
+@pytest.mark.parametrize("kind", ["blocks", "star"])
+def test_louvain_of_more_edges_moves_in_phases_first(spark, monkeypatch, kind):
+    if kind == "blocks":
+        a, b, w = blocks_graph(np.random.default_rng(21), [30, 25, 20, 15], 0.4, 0.02)
+    else:
+        pairs = [(0, i) for i in range(1, 61)] + [(i, i + 1) for i in range(1, 60, 2)]
+        a, b = (np.array(c) for c in zip(*pairs, strict=True))
+        w = np.where(a == 0, 1.0, 5.0)
+    phases, phase = [], graphs._phase
+    monkeypatch.setattr(graphs, "FEW_EDGES", len(a) - 1)
+    monkeypatch.setattr(graphs, "_phase", lambda *given: phases.append(1) or phase(*given))
+    labels = {r.node: r.community for r in graphs.louvain(edge_table(spark, a, b, w)).collect()}
+    assert phases and set(labels) == set(a.tolist()) | set(b.tolist())
+    assert quality(labels, a, b, w) >= quality(dict(enumerate(graphs.communities(max(labels) + 1, a, b, w))), a, b, w) - 1e-9
+
+
 def test_louvain_of_no_and_of_loose_edges(spark):
     schema = "src long, dst long, weight double"
     assert graphs.louvain(spark.createDataFrame([], schema)).count() == 0
