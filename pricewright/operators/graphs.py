@@ -99,7 +99,7 @@ def unified_score(modularities: list[float], conductances: list[float], largest:
 
 #: Nodes are dealt into so many colours, which move one after the other; a sweep that gains less ends a level.
 COLOURS, LEAST_GAIN = 2, 1e-9
-#: Edges, of the graph itself or between communities, that are few enough to finish in memory: 24 MB of columns, and as lists some 150 MB.
+#: Edges, of the graph itself or between communities, that are few enough to finish in memory: 24 MB of columns, and some 250 MB while nodes move.
 FEW_EDGES = 1_000_000
 #: Edges of a task, each counted at both ends, while nodes move.
 EDGES = 100_000
